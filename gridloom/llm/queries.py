@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import simhash
+from gridloom.llm import packing, pieces, simhash
 from gridloom.llm.common import table
 
 
@@ -18,9 +18,27 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_sentencepiece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digests = pieces.coded_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return digests.withColumnRenamed("id", "doc_id")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return placed.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
+        "op7_sentencepiece_coding": op7_sentencepiece_coding,
+        "op9_best_fit_packing": op9_best_fit_packing,
     }
 
 
