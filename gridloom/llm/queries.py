@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import packing, pieces, rules, simhash
-from gridloom.llm.common import table
+from gridloom.llm import language, media, packing, pieces, rules, simhash, toxicity
+from gridloom.llm.common import crc_mod, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,17 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language.learn_profiles(docs.where(crc_mod("doc_id", 3) != 1))
+    found = language.identified(docs, profiles)
+    return found.select(F.col("id").alias("doc_id"), (crc_mod("id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -33,6 +44,18 @@ def op7_sentencepiece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.withColumnRenamed("id", "doc_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
+    found = toxicity.scored(docs, toxicity.learn(docs, labels))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        (crc_mod("id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return placed.withColumnRenamed("id", "doc_id")
@@ -42,7 +65,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
+        "op4_media_columns": op4_media_columns,
+        "op5_language_id": op5_language_id,
         "op7_sentencepiece_coding": op7_sentencepiece_coding,
+        "op8_toxicity": op8_toxicity,
         "op9_best_fit_packing": op9_best_fit_packing,
     }
 
