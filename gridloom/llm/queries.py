@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import language, media, packing, pieces, rules, simhash, toxicity
-from gridloom.llm.common import crc_mod, table
+from gridloom.llm import html_text, language, media, packing, pieces, rules, shards, simhash, toxicity, warc
+from gridloom.llm.common import crc_mod, shared_dir, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -33,6 +37,26 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (crc_mod("id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as the compacted shards hold it, with its shard."""
+    store = shards.ShardStore(spark, shared_dir(spark))
+    docs = table(spark, sf_dir, "documents")
+    store.append(docs)
+    version = store.compact()
+    rows = store.read(version)
+    rows = docs.where(F.lit(False)) if rows is None else rows
+    return rows.select(
+        "doc_id",
+        F.md5(F.col("text").cast("binary")).alias("text_md5"),
+        "lang",
+        "source",
+        "n_chars",
+        F.col("_metadata.file_name").alias("shard"),
+        F.col("_metadata.file_size").alias("shard_bytes"),
+        F.lit(version).alias("manifest_version"),
+    )
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -61,17 +85,24 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumnRenamed("id", "doc_id")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).drop("url")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
+        "op3_html_extraction": op3_html_extraction,
         "op4_media_columns": op4_media_columns,
         "op5_language_id": op5_language_id,
+        "op6_sharding": op6_sharding,
         "op7_sentencepiece_coding": op7_sentencepiece_coding,
         "op8_toxicity": op8_toxicity,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc": warc.ORACLE_SQL}
