@@ -10,10 +10,13 @@ ones that fill the gap so opened more tightly.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import durable, small_batches
+from gridloom.llm.merges import MergeRounds
 
 CAPACITY = 2048
 END_ID = 0
@@ -31,34 +35,93 @@ GROUP_PIECES = 32_768
 CACHED_WORDS, CACHED_CHARS = 400_000, 64
 
 
+#: Characters of Latin scripts; words with others are left to the library.
+_LATIN_END = "\u0250"
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies."""
+    own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(other)) for b in range(256)]
+
+
 class WordEncoder:
-    """Ids of texts under a tokenizer that drops white space.
+    """Ids of texts under a byte-level BPE that drops white space and case.
 
     Such a tokenizer never joins what white space parts, so the ids of a text
-    are those of its words, which are remembered.
+    are those of its words, which are remembered. New words are split into parts
+    as the tokenizer's pattern does, and the new parts are merged together.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        model = json.loads(Path(path).read_text())
+        self.special = [x["content"] for x in model["added_tokens"]]
+        normalizers = [x["type"] for x in model["normalizer"]["normalizers"]]
+        if normalizers != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError(f"no rule for words under {normalizers}")
+        self.parts = regex.compile(model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        suffix, vocab = model["model"]["end_of_word_suffix"], model["model"]["vocab"]
+        letters = byte_letters()
+        self.inner = [vocab[x] for x in letters]
+        self.last = [vocab[x + suffix] for x in letters]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]]
+        self.rounds = MergeRounds({(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(merges)})
         self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        new = list(set(words).difference(self.known))
-        ids = self.known
+        self.known_parts: dict[str, bytes] = {}
+
+    def _split(self, word: str) -> list[str]:
+        if word.isascii():
+            return self.parts(word.lower())
+        # Letter by letter, so that no rule for the end of a word applies.
+        return self.parts("".join(map(str.lower, unicodedata.normalize("NFC", word))))
+
+    def _merged(self, parts: list[str]) -> dict[str, bytes]:
+        raw = [p.encode() for p in parts]
+        sizes = np.array([len(x) for x in raw])
+        flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        symbols = np.array(self.inner, dtype=np.int64)[flat]
+        ends = np.cumsum(sizes)
+        symbols[ends - 1] = np.array(self.last, dtype=np.int64)[flat[ends - 1]]
+        ids, n = self.rounds.merge(symbols, sizes)
+        found, stop = ids.astype("<u4").tobytes(), np.cumsum(4 * n)
+        return {p: found[e - k : e] for p, e, k in zip(parts, stop.tolist(), (4 * n).tolist(), strict=True)}
+
+    def _new_words(self, words: list[str]) -> dict[str, bytes]:
+        plain, found = {}, {}
+        for w in words:
+            if (w.isascii() or max(w) < _LATIN_END) and not ("<|" in w and any(x in w for x in self.special)):
+                plain[w] = self._split(w)
+            else:
+                ids = self.tokenizer.encode(w, add_special_tokens=False).ids
+                found[w] = np.array(ids, dtype="<u4").tobytes()
+        new = list({p for own in plain.values() for p in own}.difference(self.known_parts))
         if new:
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            found = {w: np.array(x.ids, dtype="<u4").tobytes() for w, x in zip(new, found, strict=True)}
-            long = any(len(w) > CACHED_CHARS for w in new)
-            ids = {w: found[w] if w in found else self.known[w] for w in set(words)} if long else self.known
-            self.known.update((w, x) for w, x in found.items() if len(w) <= CACHED_CHARS)
-        return b"".join(map(ids.__getitem__, words))
+            self.known_parts.update(self._merged(new))
+        get = self.known_parts.__getitem__
+        found.update((w, get(own[0]) if len(own) == 1 else b"".join(map(get, own))) for w, own in plain.items())
+        if len(self.known_parts) > CACHED_WORDS:
+            self.known_parts = {}
+        return found
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
+        met = set().union(*split)
+        if len(self.known) > CACHED_WORDS:
+            self.known = {w: self.known[w] for w in met if w in self.known}
+        found = self._new_words(list(met.difference(self.known)))
+        self.known.update(found)
+        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        for w in found:
+            if len(w) > CACHED_CHARS:
+                del self.known[w]
+        return out
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,8 +137,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         step = 4 * CAPACITY
         for pdf in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for k, text in enumerate(pdf["text"]):
-                ids = (encoder.encode(text) if text else b"") + end
+            for k, ids in enumerate(encoder.encode_batch(list(pdf["text"]))):
+                ids += end
                 for j, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append(k)

@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import small_batches
+from gridloom.llm.merges import MergeRounds
 
 BLANK = "▁"
-_NONE = np.iinfo(np.int64).max
 #: Units whose ids a worker remembers at most, and the longest of them.
 CACHED_UNITS, CACHED_CHARS = 400_000, 64
 _UNITS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+")
@@ -52,23 +52,17 @@ class PieceCoder:
         order = {s: r for r, s in enumerate(scores)}
         rank = {p: order[sp.get_score(i)] for p, i in plain.items()}
         pair: dict[tuple[int, int], tuple[int, int]] = {}
-        next_to: dict[int, int] = {}
         for p, i in plain.items():
             for k in range(1, len(p)):
                 left, right = self.symbol.get(p[:k]), self.symbol.get(p[k:])
                 if left is not None and right is not None:
                     pair[left, right] = (rank[p], i)
-                    for s in (left, right):
-                        next_to[s] = min(next_to.get(s, _NONE), rank[p])
-        self.width = 1 + max(self.symbol.values(), default=0)
-        keys = np.array([a * self.width + b for a, b in pair], dtype=np.int64)
-        by = np.argsort(keys)
-        self.keys = keys[by]
-        self.ranks = np.array([r for r, _ in pair.values()], dtype=np.int64)[by]
-        self.merged = np.array([m for _, m in pair.values()], dtype=np.int64)[by]
-        # Merging all places of a pair at once is the same as one after another,
-        # unless the new symbol itself takes part in a pair of as good a rank.
-        self.at_once = np.array([next_to.get(m, _NONE) > r for r, m in zip(self.ranks, self.merged, strict=True)], dtype=bool)
+        self.rounds = MergeRounds(pair)
+        # A character without a symbol is -1 minus its code point, and never merges.
+        self.char_symbol = -1 - np.arange(0x110000, dtype=np.int64)
+        for c, i in self.symbol.items():
+            if len(c) == 1:
+                self.char_symbol[ord(c)] = i
         self.spelling = [
             b"" if special[i] else bytes([int(p[3:5], 16)]) if byte[i] else p.replace(BLANK, " ").encode()
             for i, p in enumerate(pieces)
@@ -77,70 +71,11 @@ class PieceCoder:
 
     # -- encoding
 
-    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Where each pair is in the table; -1 if it is no pair."""
-        key = left * self.width + right
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        at[(self.keys[at] != key) | (left < 0) | (right < 0)] = -1
-        return at
-
-    def _merge(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Final symbols of all units, and how many each has.
-
-        Symbols without an id are -1 minus their code point.
-        """
-        done_sym, done_unit = [], []
-        sym, unit = symbols, np.repeat(np.arange(len(sizes)), sizes)
-        at = np.full(len(sym), -1)
-        if len(sym) > 1:
-            at[:-1] = np.where(unit[1:] == unit[:-1], self._pairs(sym[:-1], sym[1:]), -1)
-        while len(sym):
-            rank = np.where(at >= 0, self.ranks[at], _NONE)
-            start = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-            size = np.diff(np.r_[start, len(unit)])
-            least = np.minimum.reduceat(rank, start)
-            if (least == _NONE).any():
-                over = np.repeat(least == _NONE, size)
-                done_sym.append(sym[over])
-                done_unit.append(unit[over])
-                sym, unit, at, rank = sym[~over], unit[~over], at[~over], rank[~over]
-                if not len(sym):
-                    break
-                start = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-                size = np.diff(np.r_[start, len(unit)])
-                least = least[least != _NONE]
-            hit = np.flatnonzero(rank == np.repeat(least, size))
-            # Of places that overlap in a row, every second from the left.
-            fresh = np.r_[True, hit[1:] != hit[:-1] + 1]
-            head = np.maximum.accumulate(np.where(fresh, np.arange(len(hit)), 0))
-            alone = np.r_[True, unit[hit[1:]] != unit[hit[:-1]]]
-            hit = hit[alone | (self.at_once[at[hit]] & ((np.arange(len(hit)) - head) % 2 == 0) & self._all_at_once(hit, unit, at))]
-            sym[hit] = self.merged[at[hit]]
-            keep = np.ones(len(sym), dtype=bool)
-            keep[hit + 1] = False
-            new_at = np.cumsum(keep) - 1
-            sym, unit, at = sym[keep], unit[keep], at[keep]
-            changed = new_at[hit]
-            changed = np.unique(np.r_[changed, changed[changed > 0] - 1])
-            inner = changed[changed < len(sym) - 1]
-            inner = inner[unit[inner] == unit[inner + 1]]
-            at[changed] = -1
-            at[inner] = self._pairs(sym[inner], sym[inner + 1])
-        out, of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_sym, done_unit))
-        by = np.argsort(of, kind="stable")
-        return out[by], np.bincount(of, minlength=len(sizes))
-
-    def _all_at_once(self, hit: np.ndarray, unit: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """False for the places of units in which one place must go first."""
-        one = np.unique(unit[hit[~self.at_once[at[hit]]]])
-        return ~np.isin(unit[hit], one) if len(one) else np.ones(len(hit), dtype=bool)
-
     def _encode_units(self, units: list[str]) -> list[bytes]:
-        get = self.symbol.get
         sizes = np.array([len(u) for u in units])
-        symbols = np.array([get(c, -1 - ord(c)) for u in units for c in u], dtype=np.int64)
-        ids, n = self._merge(symbols, sizes)
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        symbols = self.char_symbol[codes]
+        ids, n = self.rounds.merge(symbols, sizes)
         known = (ids >= 0) & (ids < len(self.spelling))
         ends = np.cumsum(n)
         if known.all():

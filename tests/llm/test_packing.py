@@ -47,15 +47,17 @@ def test_word_ids_are_those_of_the_whole_text():
     encoder = pk.WordEncoder(PATH)
     given = ["", " ", "<|startoftext|>x", "don't I'll", "x" * 3000]
     given += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 80))) for _ in range(1500)]
-    for text in given:
-        assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+    for text, got in zip(given, encoder.encode_batch(given), strict=True):
+        assert np.frombuffer(got, dtype="<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+    for text in given[:50]:
+        assert encoder.encode_batch([text, None]) == [pk.WordEncoder.encode_batch(encoder, [text])[0], b""]
 
 
 def test_word_ids_when_memory_is_full(monkeypatch):
     monkeypatch.setattr(pk, "CACHED_WORDS", 3)
     t, encoder = Tokenizer.from_file(PATH), pk.WordEncoder(PATH)
-    for text in ["a b", "c d e f g h", "a b c", "x" * 70 + " a"]:
-        assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    for text in ["a b", "c d e f g h", "a b c", "x" * 70 + " a", "l m n o", "a l"]:
+        assert np.frombuffer(encoder.encode_batch([text])[0], dtype="<u4").tolist() == t.encode(text, add_special_tokens=False).ids
     assert len(encoder.known) <= 8
 
 
