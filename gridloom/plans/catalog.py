@@ -1,28 +1,14 @@
-"""The registered queries over the driver's tables, with their SQL."""
+"""All registered queries over the driver's tables, with their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def spmv_part_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_suppkey", "l_quantity")
-    x = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_acctbal")
-    y = a.join(x, a.l_suppkey == x.s_suppkey).groupBy(F.col("l_partkey").alias("i"))
-    return y.agg(F.round(F.sum(F.col("l_quantity") * F.col("s_acctbal")), 2).alias("y"))
+from gridloom.plans import basics, kernels, modelling, series, wording  # noqa: F401
+from gridloom.plans.registry import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return {"spmv_part_supplier": spmv_part_supplier}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "spmv_part_supplier": "SELECT l_partkey AS i, round(sum(l_quantity * s_acctbal), 2) AS y "
-        "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_partkey"
-    }
+    return dict(ORACLES)
