@@ -43,11 +43,12 @@ def error_curve(df: DataFrame, x: Column, y: Column, trial: Column, trials: int,
 
 
 def descend(gradient: Callable[[float], float], x: float, rate: float = 0.1, tolerance: float = 1e-4, decay: float = 0.0, most: int = 10_000) -> list[float]:
-    """Points of a one-dimensional descent; with ``decay`` the rate falls as 1 / (1 + decay * step)."""
+    """Points of a one-dimensional descent; with ``decay`` step k divides the rate by 1 + k * decay."""
     path = [x]
     for k in range(most):
-        new = x - rate / (1 + decay * k) * gradient(x)
+        new = x - rate * gradient(x)
         path.append(new)
+        rate /= 1 + k * decay
         if abs(new - x) <= tolerance:
             break
         x = new
