@@ -45,7 +45,7 @@ def kth_smallest(df: DataFrame, group: str, value: str, k: Column, bins: int = 4
     """(group, value at place k): places count from 0, ``k`` is an expression over the count ``n``.
 
     Values fall into equal ranges between a group's extremes. The range that
-    holds the place is found from the counts, and only its rows are ordered.
+    holds the place is found from the counts, and only its values are ordered.
     """
     rows = df.where(F.col(value).isNotNull())
     ends = rows.groupBy(F.col(group).alias("_g")).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("n"))
@@ -59,8 +59,10 @@ def kth_smallest(df: DataFrame, group: str, value: str, k: Column, bins: int = 4
     chosen = counts.withColumn("_before", before).where((F.col("_before") <= F.col("_k")) & (F.col("_k") < F.col("_before") + F.col("_n")))
     chosen = chosen.select(F.col(group).alias("_cg"), F.col("_bin").alias("_cbin"), (F.col("_k") - F.col("_before")).alias("_in"))
     near = placed.join(chosen, F.col(group).eqNullSafe(F.col("_cg")) & (F.col("_bin") == F.col("_cbin")))
-    order = F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1
-    return near.withColumn("_row", order).where("_row = _in").select(group, value)
+    # Rows of one value are counted together, so ties do not pile up either.
+    ties = near.groupBy(group, value, "_in").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(group).orderBy(value))
+    return ties.withColumn("_upto", upto).where("_upto - _n <= _in AND _in < _upto").select(group, value)
 
 
 def statistics(df: DataFrame, group: str, value: str) -> DataFrame:

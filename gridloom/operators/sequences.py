@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.blocks import in_blocks, running
+from gridloom.operators.blocks import BLOCK, in_blocks, running
 
 
 def inclusive_scan(df: DataFrame, idx: str, value: Column, name: str = "scan") -> DataFrame:
@@ -103,6 +103,21 @@ def linear_recurrence(array: Column, decay: float, start: float = 0.0) -> Column
     return F.aggregate(array, F.lit(float(start)), lambda x, step: x * decay + step)
 
 
+def decayed_sum(df: DataFrame, key: str, idx: str, value: Column, decay: float, name: str = "state", block: int = BLOCK) -> DataFrame:
+    """(key, state): x' = decay * x + value from 0 over each key's rows in the order of ``idx``.
+
+    A block of positions gives one term for each key, so a key with very many
+    rows is spread over its blocks.
+    """
+    within = Window.partitionBy(key, "_block").orderBy(F.desc(idx))
+    placed = df.select(key, idx, value.alias("_value"), F.floor(F.col(idx) / block).alias("_block"))
+    placed = placed.withColumn("_term", F.col("_value") * F.pow(F.lit(decay), F.row_number().over(within) - 1))
+    blocks = placed.groupBy(key, "_block").agg(F.sum("_term").alias("_term"), F.count("*").alias("_n"))
+    later = Window.partitionBy(key).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_after", F.coalesce(F.sum("_n").over(later), F.lit(0)))
+    return blocks.groupBy(key).agg(F.sum(F.col("_term") * F.pow(F.lit(decay), F.col("_after"))).alias(name))
+
+
 def price_path(df: DataFrame, key: str, order: Sequence[str], step: Column, start: float = 1.0) -> DataFrame:
     """Geometric path: start times the exponential of the running sum of log steps."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

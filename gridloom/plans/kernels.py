@@ -200,19 +200,20 @@ def hpcg_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- graphs
 
-_NODES = "(SELECT count(*) AS n FROM supplier)"
-_EDGES = f"(SELECT l_suppkey AS src, l_partkey % n AS dst FROM lineitem, {_NODES} WHERE l_suppkey % 7 <> 0)"
+_NODES = "(SELECT count(*) AS n FROM part)"
+_EDGES = "(SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem)"
 
 
 def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Suppliers as nodes, an edge for each line item; every seventh has none out."""
-    suppliers = table(spark, sf, "supplier")
-    n = suppliers.count()
-    edges = table(spark, sf, "lineitem").where("l_suppkey % 7 <> 0").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst"))
-    return edges, suppliers.select(F.col("s_suppkey").alias("id"))
+    """Part keys as nodes; an edge for each line item, from its supplier's number to its part's.
 
+    Supplier numbers are a first stretch of the part numbers; the other nodes have no edge out.
+    """
+    edges = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return edges, table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
 
-@query(f"SELECT s_suppkey AS id, coalesce(d, 0) AS degree FROM supplier LEFT JOIN (SELECT src, count(*) AS d FROM {_EDGES} GROUP BY src) ON src = s_suppkey")
+
+@query(f"SELECT p_partkey AS id, coalesce(d, 0) AS degree FROM part LEFT JOIN (SELECT src, count(*) AS d FROM {_EDGES} GROUP BY src) ON src = p_partkey")
 def out_degree(spark: SparkSession, sf: str) -> DataFrame:
     return gr.out_degree(*_graph(spark, sf))
 
@@ -221,7 +222,7 @@ def _pagerank_sql(steps: int) -> str:
     sql = (
         f"WITH e AS (SELECT * FROM {_EDGES}), d AS (SELECT src, count(*) AS d FROM e GROUP BY src),"
         " w AS (SELECT e.src, dst, sum(0.85::DOUBLE / d) AS w FROM e JOIN d ON e.src = d.src GROUP BY 1, 2),"
-        f" z AS (SELECT s_suppkey AS id, CASE WHEN d IS NULL THEN 1.0::DOUBLE / n ELSE 0.15::DOUBLE / n END AS z FROM supplier LEFT JOIN d ON src = s_suppkey, {_NODES}),"
+        f" z AS (SELECT p_partkey AS id, CASE WHEN d IS NULL THEN 1.0::DOUBLE / n ELSE 0.15::DOUBLE / n END AS z FROM part LEFT JOIN d ON src = p_partkey, {_NODES}),"
         f" x0 AS (SELECT id, 1.0::DOUBLE / n AS x FROM z, {_NODES})"
     )
     for k in range(steps):

@@ -128,9 +128,11 @@ def price_path(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_id", F.round("path", 6).alias("path"))
 
 
-@query()
+@query(
+    "SELECT user_id, round(sum(0.1 * value * 0.9 ** (k - 1)), 6) AS smoothed FROM (SELECT user_id, value,"
+    " row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) GROUP BY user_id"
+)
 def recurrence(spark: SparkSession, sf: str) -> DataFrame:
     """Smoothed value at the end of each user's events: w' = 0.9 w + 0.1 value."""
-    rows = table(spark, sf, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))
-    steps = F.transform("e", lambda x: 0.1 * x["value"])
-    return rows.select("user_id", F.round(sq.linear_recurrence(steps, 0.9), 6).alias("smoothed"))
+    out = sq.decayed_sum(table(spark, sf, "events"), "user_id", "event_id", 0.1 * F.col("value"), 0.9)
+    return out.select("user_id", F.round("state", 6).alias("smoothed"))

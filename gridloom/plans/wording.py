@@ -103,9 +103,11 @@ def exact_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def token_f1(spark: SparkSession, sf: str) -> DataFrame:
-    """Each turn against its first 40 characters."""
-    rows = table(spark, sf, "conversations")
-    return rows.select("conv_id", "turn", F.round(tx.token_f1(F.substring("text", 1, 40), F.col("text")), 6).alias("f1"))
+    """Each turn against the one before it in its conversation."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
+    met = rows.join(before, ["conv_id", "turn"])
+    return met.select("conv_id", "turn", F.round(tx.token_f1(F.col("before"), F.col("text")), 6).alias("f1"))
 
 
 @query("SELECT vec_id, size, ones FROM (SELECT vec_id, 20 AS size, label % 5 + 3 + 2 AS ones FROM embeddings)")
