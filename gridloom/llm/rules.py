@@ -150,8 +150,12 @@ def learn(
     """
     names = list(tested)
     flagged = rows.select(*[c.alias(k) for k, c in tested.items()], bad.alias("bad"), set_aside.alias("aside")).where("bad IS NOT NULL")
-    cut = flagged.agg(*[F.percentile_approx(k, QUANTILES, 10_000).alias(k) for k in names]).first()
-    cuts = {k: sorted(set(cut[k] or [])) for k in names}
+    # Quantiles, and the least positive value, which parts rows that have none of a thing.
+    cut = flagged.agg(
+        *[F.percentile_approx(k, QUANTILES, 10_000).alias(k) for k in names],
+        *[F.min(F.when(F.col(k) > 0, F.col(k))).alias(f"least_{k}") for k in names],
+    ).first()
+    cuts = {k: sorted({*(cut[k] or []), *([cut[f"least_{k}"]] if cut[f"least_{k}"] is not None else [])}) for k in names}
     if not any(cuts.values()):
         return DecisionList()
     bins = [sum((F.when(F.col(k) >= t, 1).otherwise(0) for t in cuts[k]), F.lit(0)).alias(k) for k in names]
