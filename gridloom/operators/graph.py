@@ -14,17 +14,18 @@ def out_degree(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return counts if nodes is None else nodes.join(counts, "id", "left").fillna(0, ["degree"])
 
 
-def pagerank_step(scaled: DataFrame, nodes: DataFrame, x: DataFrame, n: int, p: float = DAMPING) -> DataFrame:
-    """(id, x) after one iteration from x(id, x).
+def pagerank_step(scaled: DataFrame, state: DataFrame) -> DataFrame:
+    """The next state(id, z, x), and x before as ``old``.
 
     ``scaled`` is (src, dst, w) with w = p / out-degree, repeated edges added;
-    ``nodes`` is (id, z) with z = (1 - p) / n, or 1 / n for nodes without an
-    edge out. The jump term is one number, summed over all nodes.
+    z is (1 - p) / n, or 1 / n for nodes without an edge out. The jump term is
+    one number, summed over all nodes; z rides along, so it needs no join.
     """
-    jump = nodes.join(x, "id").agg(F.sum(F.col("z") * F.col("x")).alias("jump"))
-    moved = scaled.join(x.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("in"))
-    out = nodes.select("id").join(moved, "id", "left").crossJoin(F.broadcast(jump))
-    return out.select("id", (F.coalesce("in", F.lit(0.0)) + F.col("jump")).alias("x"))
+    jump = state.agg(F.sum(F.col("z") * F.col("x")).alias("jump"))
+    sent = scaled.join(state.select(F.col("id").alias("src"), "x"), "src")
+    moved = sent.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("in"))
+    out = state.select("id", "z", F.col("x").alias("old")).join(moved, "id", "left").crossJoin(F.broadcast(jump))
+    return out.select("id", "z", (F.coalesce("in", F.lit(0.0)) + F.col("jump")).alias("x"), "old")
 
 
 def prepared(edges: DataFrame, nodes: DataFrame, n: int, p: float = DAMPING) -> tuple[DataFrame, DataFrame]:
@@ -45,17 +46,16 @@ def pagerank(
     vector to reliable storage, so plans and recomputation stay bounded.
     """
     n = nodes.count()
-    scaled, z = (df.persist() for df in prepared(edges, nodes, n, p))
-    x, norm, done = nodes.select("id", F.lit(1.0 / n).alias("x") if n else F.lit(0.0).alias("x")), float("inf"), 0
+    scaled, z = prepared(edges, nodes, n, p)
+    scaled = scaled.persist()
+    state = z.select("id", "z", F.lit(1.0 / max(n, 1)).alias("x")).checkpoint()
+    norm, done = float("inf"), 0
     while done < (max_steps if steps is None else steps) and n:
-        new = pagerank_step(scaled, z, x, n, p).checkpoint()
+        state = pagerank_step(scaled, state).checkpoint()
         done += 1
         if steps is None:
-            change = new.join(x.withColumnRenamed("x", "old"), "id").agg(F.sqrt(F.sum((F.col("x") - F.col("old")) ** 2)))
-            norm = change.first()[0]
-        x = new
+            norm = state.agg(F.sqrt(F.sum((F.col("x") - F.col("old")) ** 2))).first()[0]
         if norm <= tolerance:
             break
     scaled.unpersist()
-    z.unpersist()
-    return x, done, norm
+    return state.select("id", "x"), done, norm
