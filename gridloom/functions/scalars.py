@@ -165,3 +165,17 @@ def uniform(key: Column, salt: str = "") -> Column:
 def lag_parts(d: Column) -> Column:
     """Year and month as 'Y-M', without padding."""
     return F.concat_ws("-", F.year(d), F.month(d))
+
+
+def spline_basis(x: Column, knots: Sequence[float], degree: int = 3) -> Column:
+    """B-splines of the degree over the knots, as an array; 0 outside, right-open intervals."""
+    basis = [F.when((x >= a) & (x < b), 1.0).otherwise(0.0) for a, b in zip(knots, knots[1:], strict=False)]
+    for d in range(1, degree + 1):
+        made = []
+        for k in range(len(basis) - 1):
+            left, right = knots[k + d] - knots[k], knots[k + d + 1] - knots[k + 1]
+            a = (x - knots[k]) / left * basis[k] if left else F.lit(0.0)
+            b = (knots[k + d + 1] - x) / right * basis[k + 1] if right else F.lit(0.0)
+            made.append(a + b)
+        basis = made
+    return F.array(*basis)

@@ -124,3 +124,16 @@ def price_path(df: DataFrame, key: str, order: Sequence[str], step: Column, star
     return df.withColumn("path", F.lit(start) * F.exp(F.sum(step).over(w)))
 
 
+
+
+def interpolated(df: DataFrame, x: Column, grid: DataFrame, name: str = "y", step: float = 1.0, origin: float = 0.0) -> DataFrame:
+    """``df`` with the value at ``x`` between the points of grid(k, y), which lie at origin + k * step.
+
+    An interval lookup as an equi-join: each row knows its interval, and each
+    point meets the next one first. Rows outside the grid get null.
+    """
+    points = grid.select("k", F.col("y").alias("_y0")).join(grid.select((F.col("k") - 1).alias("k"), F.col("y").alias("_y1")), "k")
+    at = (x - origin) / step
+    placed = df.withColumn("_at", at).withColumn("_k", F.floor("_at"))
+    met = placed.join(points.withColumnRenamed("k", "_gk"), F.col("_k") == F.col("_gk"), "left")
+    return met.withColumn(name, F.col("_y0") + (F.col("_at") - F.col("_k")) * (F.col("_y1") - F.col("_y0"))).drop("_at", "_k", "_gk", "_y0", "_y1")

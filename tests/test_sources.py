@@ -131,3 +131,23 @@ def test_micro_batches(spark, tmp_path):
     args = (f"file://{tmp_path}/in", df.schema, lambda d: d.selectExpr("x * 2 AS y"), f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
     assert map_files(spark, *args) == 4 and map_files(spark, *args) == 0
     assert spark.read.parquet(f"file://{tmp_path}/out").agg({"y": "sum"}).first()[0] == 9900
+
+
+def test_generators(spark):
+    from gridloom.functions.scalars import spline_basis
+    from gridloom.sources import generators as gn
+
+    a = gn.whole_numbers(spark, 2000, 100, 1)
+    assert a.collect() == gn.whole_numbers(spark, 2000, 100, 1).repartition(5).orderBy("idx").collect()
+    x = a.toPandas().x
+    assert x.between(0, 100).all() and abs(x.mean() - 50) < 3
+    p = gn.noisy_polynomial(spark, 4000, (0.5, 2.0), 0.1).toPandas()
+    assert abs((p.y - 0.5 - 2 * p.x).std() - 0.1) < 0.01 and p.x.between(-1, 1).all()
+    g = gn.price_paths(spark, 500, 20, 0.05, 0.2).toPandas()
+    last = np.log(g[g.t == 20].x)
+    assert len(g) == 10_000 and abs(last.std() - 0.2) < 0.02 and abs(last.mean() - 0.03) < 0.03
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20).select((F.col("id") / 20 + 0.5).alias("x"))
+    sums = rows.select(F.aggregate(spline_basis(F.col("x"), [-3.0, -2.0, -1.0, 0.0, 1.0, 2.0, 3.0, 4.0, 5.0]), F.lit(0.0), lambda u, v: u + v).alias("s")).collect()
+    assert np.allclose([r.s for r in sums], 1.0)
