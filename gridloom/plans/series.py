@@ -140,11 +140,11 @@ def recurrence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "WITH g AS (SELECT p_size AS k, avg(p_retailprice) AS y FROM part GROUP BY p_size) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,"
-    " round(a.y + 0.3 * (b.y - a.y), 3) AS y FROM lineitem LEFT JOIN (g a JOIN g b ON b.k = a.k + 1) ON a.k = floor(l_quantity)"
+    " round(a.y + 0.3 * (b.y - a.y), 7) AS y FROM lineitem LEFT JOIN (g a JOIN g b ON b.k = a.k + 1) ON a.k = floor(l_quantity)"
 )
 def piecewise_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Mean price at quantity + 0.3, between the means of whole part sizes."""
     grid = table(spark, sf, "part").groupBy(F.col("p_size").cast("long").alias("k")).agg(F.avg("p_retailprice").alias("y"))
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     out = sq.interpolated(lines, F.col("l_quantity") + 0.3, grid)
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("y", 3).alias("y"))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("y", 7).alias("y"))
