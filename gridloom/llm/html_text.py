@@ -43,11 +43,14 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SIDE = frozenset("nav footer aside form fieldset menu dialog search head optgroup option".split())
 _SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 _SIDE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent"
+    "ad ads adv advert adverts alert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent"
     " disclaimer disqus dropdown footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification"
     " pagination pager popup promo promos promoted promotion recommended related reply replies respond search share sharing sidebar"
     " signup skyscraper social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget".split()
 )
+#: Names that begin or end so are those of side matter too, as in "commentlist" or "mainmenu".
+_SIDE_BEGINS = ("advert", "breadcrumb", "comment", "cookie", "footer", "navbar", "newsletter", "promo", "sidebar", "sponsor")
+_SIDE_ENDS = ("banner", "comments", "footer", "menu", "navbar", "sidebar")
 
 
 @dataclass
@@ -92,6 +95,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[_Open] = []
     links = 0
     heading = False
+    leaf: _Open | None = None  # an open paragraph or heading, with what it says of itself
     now = _Builder()
 
     def add(raw: str) -> None:
@@ -106,7 +110,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal now
         text = " ".join("".join(now.parts).split())
         if text:
-            top = stack[-1] if stack else _Open("", False, False)
+            top = leaf or (stack[-1] if stack else _Open("", False, False))
             out.append(Block(text, now.link_chars, now.chars, top.side, top.article, heading))
         now = _Builder()
 
@@ -126,14 +130,18 @@ def blocks(page: str) -> list[Block]:
             now.parts.append(" ")
         elif name in _BLOCK:
             flush()
-            links = 0
+            links, leaf = 0, None
             heading = name in _HEADING and not token["close"]
             if token["close"]:
                 if name in _OUTER and any(o.name == name for o in stack):
                     while stack.pop().name != name:
                         pass
-            elif name in _OUTER:
-                stack.append(_opened(name, token["attrs"], stack[-1] if stack else None))
+            else:
+                opened = _opened(name, token["attrs"], stack[-1] if stack else None)
+                if name in _OUTER:
+                    stack.append(opened)
+                else:
+                    leaf = opened
     if at < len(page):
         add(page[at:])
     flush()
@@ -161,9 +169,10 @@ def _opened(name: str, attrs: str, around: _Open | None) -> _Open:
     inside = around.article if around else False
     if name == "header":
         side |= not inside
+    if name == "header" or inside:
         said -= {"header"}
     if name not in ("html", "body", "main"):
-        side |= bool(said & _SIDE_NAMES) or hidden
+        side |= bool(said & _SIDE_NAMES) or hidden or any(w.startswith(_SIDE_BEGINS) or w.endswith(_SIDE_ENDS) for w in said)
     return _Open(name, side or (around.side if around else False), article or inside)
 
 

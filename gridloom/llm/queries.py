@@ -12,7 +12,9 @@ from gridloom.llm.common import crc_mod, shared_dir, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    first = ["doc_id", *rules.STATISTICS[:5], "base_failed", "kept"]
+    return found.select(*first, *rules.STATISTICS[5:])
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

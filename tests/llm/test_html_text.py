@@ -43,6 +43,14 @@ def test_page_without_article_element():
     ]
 
 
+def test_names_of_elements():
+    tree = ht.labelled_tree()
+    page = """<div class="mainMenu">One two three four five six seven</div><article><div class="entry-header"><h1>Title here</h1></div>
+    <p class="lead">A first paragraph of the text.</p><p class="notice">This page needs a newer browser to look right.</p>
+    <p>And one more.</p></article><ol class="commentlist"><li>I do not agree with what this article says at all.</ol>"""
+    assert ht.extract(page, tree).split("\n\n") == ["Title here", "A first paragraph of the text.", "And one more."]
+
+
 def test_odd_markup():
     tree = ht.labelled_tree()
     for page in [None, "", "   ", "<", "<p", "<script>x", "<!-- ", "</div></div>", "<a href='", "<p>&", "&#0;&#xD800;", "<" * 5000, "<a " * 5000, "<p '" * 3000]:
