@@ -6,12 +6,15 @@ block once, and the distances of a block are made together.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 QUERY_BLOCK = 64
+ROW_BLOCK = 512
 
 
 def _wide(v: str) -> Column:
@@ -58,9 +61,31 @@ def to_queries(
 
 
 def l2_by_norms(rows: DataFrame, queries: DataFrame, key: str, vector: str, name: str = "distance") -> DataFrame:
-    """Squared L2 as |x|^2 + |y|^2 - 2 x.y, its absolute value, so that no -0 remains."""
-    out = to_queries(rows, queries, key, vector, lambda x, y: F.abs(inner(x, x) + inner(y, y) - 2 * inner(x, y)), name)
-    return out
+    """Squared L2 as |x|^2 + |y|^2 - 2 x.y, a matrix product for each pair of blocks.
+
+    Both sides are gathered into blocks of vectors of one length, ROW_BLOCK rows
+    and QUERY_BLOCK queries; a task sees one pair of blocks at a time. Absolute
+    values are taken, so that no -0 remains. Keys are longs.
+    """
+    left = _gathered(rows, key, vector, ROW_BLOCK).select(F.col("keys").alias("ids"), F.col("flat").alias("x"))
+    right = _gathered(queries, key, vector, QUERY_BLOCK).select(F.col("keys").alias("qs"), F.col("flat").alias("y"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for ids, x, qs, y in zip(pdf["ids"], pdf["x"], pdf["qs"], pdf["y"], strict=True):
+                a, b = np.reshape(x, (len(ids), -1)), np.reshape(y, (len(qs), -1))
+                d = np.abs((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T))
+                yield pd.DataFrame({"q": np.tile(qs, len(ids)), "id": np.repeat(ids, len(qs)), name: d.ravel()})
+
+    return left.crossJoin(right).mapInPandas(run, f"q long, id long, {name} double")
+
+
+def _gathered(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """(keys, flat) for each block of about ``size`` vectors, one after another in ``flat``."""
+    n = max(1, -(-df.count() // size))
+    placed = df.select(F.col(key).cast("long").alias("k"), _wide(vector).alias("x"), F.pmod(F.xxhash64(key), F.lit(n)).alias("_b"))
+    got = placed.groupBy("_b").agg(F.collect_list(F.struct("k", "x")).alias("g"))
+    return got.select(F.col("g.k").alias("keys"), F.flatten(F.col("g.x")).alias("flat"))
 
 
 def outer_sum(rows: DataFrame, queries: DataFrame, key: str, value: str, name: str = "total") -> DataFrame:
