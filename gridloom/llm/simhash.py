@@ -202,7 +202,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = simhash_groups(docs, id_col, text_col)
     kept = groups.where(F.col("id") == F.col("component_id"))
     stay = durable(kept.groupBy(F.col("id").alias("_kept_id")).agg(F.count("*").alias("_kept_rows")))
-    out = docs.join(stay, docs[id_col] == stay["_kept_id"])
+    # Merged at every size: the kept ids grow with the input, so they are never broadcast.
+    out = docs.join(stay.hint("merge"), docs[id_col] == stay["_kept_id"])
     once = out.where("_kept_rows = 1").select(*docs.columns)
     repeated = out.where("_kept_rows > 1").select(*docs.columns).dropDuplicates([id_col])
     return once.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))
