@@ -237,9 +237,9 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     picked = durable(picked.select("_label_id", F.col("quality").alias("_quality")))
     read = docs.select(F.col(id_col).alias("_doc_id"), F.col(text_col).alias("_text"))
     # The broadcast side has TRAIN_ROWS pairs of numbers at most.
-    labelled = read.join(F.broadcast(picked), F.col("_doc_id") == F.col("_label_id"))
-    counted = with_statistics(labelled, "_text").drop("_text").where(~base_failed())
-    counted = durable(counted)
+    labelled = durable(read.join(F.broadcast(picked), F.col("_doc_id") == F.col("_label_id")))
+    # Written between, or the filter and its statistics would go below the join.
+    counted = durable(with_statistics(labelled, "_text").drop("_text")).where(~base_failed())
     aside = F.crc32(F.col("_doc_id").cast("string").cast("binary")) % 3 == 0
     return learn(counted, features(), F.col("_quality") == 0, aside)
 
