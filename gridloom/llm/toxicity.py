@@ -28,7 +28,7 @@ RIDGE = 0.02
 STEPS = 800
 RATE = 60
 _SEP = 8  # blanks between the texts of a batch
-_SLICE = 256  # texts that are counted together
+_SLICE_CHARS = 1 << 19  # of texts that are counted together
 _P, _K = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 _LETTERS = np.array([chr(c).isalpha() for c in range(0x3000)], dtype=bool)
 
@@ -46,6 +46,20 @@ def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.cumsum(np.r_[_SEP, sizes[:-1] + _SEP]) if len(texts) else np.zeros(0, np.int64)
 
 
+def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, in lists of about _SLICE_CHARS characters, one text at least."""
+    held, size = [], 0
+    for t in texts:
+        n = len(t) if t else 0
+        if held and size + n > _SLICE_CHARS:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += n + _SEP
+    if held:
+        yield held
+
+
 def buckets(texts: list[str | None], table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, bucket, value) for each n-gram that a text has; sorted.
 
@@ -87,11 +101,12 @@ class Model:
         self.table, self.weights, self.bias = table, weights, bias
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        if len(texts) > _SLICE:
-            return np.concatenate([self.scores(texts[i : i + _SLICE]) for i in range(0, len(texts), _SLICE)])
-        text, slot, value = buckets(texts, self.table)
-        z = self.bias + np.bincount(text, weights=self.weights[slot] * value, minlength=len(texts))
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        out = [np.zeros(0)]
+        for part in _slices(texts):
+            text, slot, value = buckets(part, self.table)
+            z = self.bias + np.bincount(text, weights=self.weights[slot] * value, minlength=len(part))
+            out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        return np.concatenate(out)
 
 
 def _fit(row: np.ndarray, slot: np.ndarray, value: np.ndarray, size: int, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -130,9 +145,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         totals = np.zeros((2, BUCKETS), dtype=np.int64)
         for pdf in batches:
             for c in (0, 1):
-                own = list(pdf["_text"][pdf["_toxic"] == c])
-                for i in range(0, len(own), _SLICE):
-                    totals[c] += np.bincount(buckets(own[i : i + _SLICE])[1], minlength=BUCKETS)
+                for part in _slices(list(pdf["_text"][pdf["_toxic"] == c])):
+                    totals[c] += np.bincount(buckets(part)[1], minlength=BUCKETS)
         seen = np.flatnonzero(totals.any(axis=0))
         yield pd.DataFrame({"bucket": seen, "n0": totals[0, seen], "n1": totals[1, seen]})
 
@@ -153,10 +167,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            text, slot, value = buckets(list(pdf["_text"]), table)
-            at = np.searchsorted(text, np.arange(1, len(pdf)))
-            slots = [x.astype("<u2").tobytes() for x in np.split(slot, at)]
-            values = [x.astype("<f4").tobytes() for x in np.split(value, at)]
+            slots, values = [], []
+            for part in _slices(list(pdf["_text"])):
+                text, slot, value = buckets(part, table)
+                at = np.searchsorted(text, np.arange(1, len(part)))
+                slots += [x.astype("<u2").tobytes() for x in np.split(slot, at)]
+                values += [x.astype("<f4").tobytes() for x in np.split(value, at)]
             yield pd.DataFrame({"id": pdf["_doc_id"], "toxic": pdf["_toxic"], "slots": slots, "vals": values})
 
     id_type = rows.schema["_doc_id"].dataType.simpleString()
