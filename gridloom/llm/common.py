@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.session import shared_dir
+
 #: ASCII white space: tab, line feed, vertical tab, form feed, return, space.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 
@@ -19,22 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under the cluster's shared checkpoint folder.
-
-    Only where ``spark.checkpoint.dir`` is unset, and only for a local master,
-    a temporary folder stands in for it.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = base or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
-
-
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
@@ -48,7 +31,7 @@ def durable(df: DataFrame) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for texts of any length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 

@@ -4,6 +4,27 @@ from __future__ import annotations
 
 import numpy as np
 
+
+class Memory:
+    """Values by key for about ``most`` keys: those met lately stay, the rest go.
+
+    Keys live in two generations. A key that is met again moves to the young
+    one; when that is half of ``most``, it becomes the old one, which goes.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys without a value; all others are in ``young`` afterwards."""
+        if len(self.young) > self.most // 2:
+            self.old, self.young = self.young, {}
+        absent = keys.difference(self.young)
+        known = absent.intersection(self.old)
+        self.young.update((k, self.old[k]) for k in known)
+        return list(absent - known)
+
+
 _NONE = np.iinfo(np.int64).max
 
 

@@ -16,6 +16,7 @@ import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -25,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import durable, small_batches
-from gridloom.llm.merges import MergeRounds
+from gridloom.llm.merges import Memory, MergeRounds
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces that one task packs, about.
 GROUP_PIECES = 32_768
 #: Words whose ids a worker remembers at most, and the longest of them.
-CACHED_WORDS, CACHED_CHARS = 400_000, 64
+CACHED_WORDS, CACHED_CHARS = 500_000, 64
 
 
 #: Characters of Latin scripts; words with others are left to the library.
@@ -72,8 +73,7 @@ class WordEncoder:
         self.last = [vocab[x + suffix] for x in letters]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]]
         self.rounds = MergeRounds({(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(merges)})
-        self.known: dict[str, bytes] = {}
-        self.known_parts: dict[str, bytes] = {}
+        self.words, self.word_parts = Memory(CACHED_WORDS), Memory(CACHED_WORDS)
 
     def _split(self, word: str) -> list[str]:
         if word.isascii():
@@ -100,30 +100,32 @@ class WordEncoder:
             else:
                 ids = self.tokenizer.encode(w, add_special_tokens=False).ids
                 found[w] = np.array(ids, dtype="<u4").tobytes()
-        new = list({p for own in plain.values() for p in own}.difference(self.known_parts))
+        new = self.word_parts.missing({p for own in plain.values() for p in own})
         if new:
-            self.known_parts.update(self._merged(new))
-        get = self.known_parts.__getitem__
+            self.word_parts.young.update(self._merged(new))
+        get = self.word_parts.young.__getitem__
         found.update((w, get(own[0]) if len(own) == 1 else b"".join(map(get, own))) for w, own in plain.items())
-        if len(self.known_parts) > CACHED_WORDS:
-            self.known_parts = {}
         return found
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        met = set().union(*split)
-        if len(self.known) > CACHED_WORDS:
-            self.known = {w: self.known[w] for w in met if w in self.known}
-        found = self._new_words(list(met.difference(self.known)))
-        self.known.update(found)
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        found = self._new_words(self.words.missing(set().union(*split)))
+        known = self.words.young
+        known.update(found)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
         for w in found:
             if len(w) > CACHED_CHARS:
-                del self.known[w]
+                del known[w]
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for a worker, so that later tasks find its words known."""
+    return WordEncoder(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32): each text's ids, END_ID added, cut at CAPACITY.
 
@@ -132,7 +134,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         end = np.array([END_ID], dtype="<u4").tobytes()
         step = 4 * CAPACITY
         for pdf in batches:

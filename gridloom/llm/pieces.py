@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import small_batches
-from gridloom.llm.merges import MergeRounds
+from gridloom.llm.merges import Memory, MergeRounds
 
 BLANK = "▁"
 #: Units whose ids a worker remembers at most, and the longest of them.
-CACHED_UNITS, CACHED_CHARS = 400_000, 64
+CACHED_UNITS, CACHED_CHARS = 500_000, 64
 _UNITS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+")
 _WHOLE = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
@@ -67,7 +68,7 @@ class PieceCoder:
             b"" if special[i] else bytes([int(p[3:5], 16)]) if byte[i] else p.replace(BLANK, " ").encode()
             for i, p in enumerate(pieces)
         ]
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(CACHED_UNITS)
 
     # -- encoding
 
@@ -112,17 +113,15 @@ class PieceCoder:
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, begin and end ids included."""
         split = [self.units(t) if t else [] for t in texts]
-        new = set().union(*split).difference(self.known)
-        new.discard("")
-        if len(self.known) + len(new) > CACHED_UNITS:
-            self.known = {}
-            new = set().union(*split) - {""}
-        units = list(new)
-        found = dict(zip(units, self._encode_units(units), strict=True)) if units else {}
-        ids = {**self.known, **found, "": b""}
+        units = self.known.missing(set().union(*split) - {""})
+        known = self.known.young
+        known.update(zip(units, self._encode_units(units), strict=True) if units else ())
+        known[""] = b""
         begin, end = (np.array([i], dtype="<u4").tobytes() for i in (self.bos, self.eos))
-        out = [begin + b"".join(map(ids.__getitem__, s)) + end for s in split]
-        self.known.update((u, x) for u, x in found.items() if len(u) <= CACHED_CHARS)
+        out = [begin + b"".join(map(known.__getitem__, s)) + end for s in split]
+        for u in units:
+            if len(u) > CACHED_CHARS:
+                del known[u]
         return out
 
     # -- decoding
@@ -133,6 +132,12 @@ class PieceCoder:
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def coder_of(path: str) -> PieceCoder:
+    """One coder for a worker, so that later tasks find its units known."""
+    return PieceCoder(path)
+
+
 def coded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, decoded): the ids of each text as an array, and their text.
 
@@ -140,7 +145,7 @@ def coded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
     rows come back as often; null ids are kept; other columns are ignored.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = PieceCoder(model_path)
+        coder = coder_of(model_path)
         for pdf in batches:
             ids = coder.encode_batch(list(pdf["text"]))
             as_lists = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids]
@@ -152,7 +157,7 @@ def coded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
 def coded_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256), as for ``coded``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = PieceCoder(model_path)
+        coder = coder_of(model_path)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for pdf in batches:
             ids = coder.encode_batch(list(pdf["text"]))
