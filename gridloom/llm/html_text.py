@@ -7,10 +7,12 @@ decision tree, trained on the labelled table below, tells content from the rest.
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
-_WORD = re.compile(r"[a-z0-9]+")
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 #: Elements that end a block where they begin or end.
 _BLOCK = frozenset(
@@ -38,19 +40,33 @@ _BLOCK = frozenset(
     " th thead tr ul caption".split()
 )
 #: Block elements that may stand open around other blocks, and so are remembered.
-_OUTER = _BLOCK - frozenset("p h1 h2 h3 h4 h5 h6 hr dd dt legend summary".split())
+_OUTER = _BLOCK - frozenset("p h1 h2 h3 h4 h5 h6 hr dd dt legend summary option optgroup".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-_SIDE = frozenset("nav footer aside form fieldset menu dialog search head optgroup option".split())
-_SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
+_SIDE = frozenset("nav footer aside menu dialog search optgroup option".split())
+_SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 _SIDE_NAMES = frozenset(
-    "ad ads adv advert adverts alert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent"
+    "ad ads adv advert adverts alert advertisement advertising banner breadcrumb breadcrumbs comment commentform commentlist comments cookie cookiebar cookienotice cookies consent"
     " disclaimer disqus dropdown footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification"
     " pagination pager popup promo promos promoted promotion recommended related reply replies respond search share sharing sidebar"
     " signup skyscraper social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget".split()
 )
-#: Names that begin or end so are those of side matter too, as in "commentlist" or "mainmenu".
-_SIDE_BEGINS = ("advert", "breadcrumb", "comment", "cookie", "footer", "navbar", "newsletter", "promo", "sidebar", "sponsor")
+#: Names of matter that comes as articles of its own, and of notices that are never the text of a page.
+_MANY_NAMES = frozenset("comment commentform commentlist comments disqus related recommended reply replies respond".split())
+_NOTICE_NAMES = frozenset("cookie cookiebar cookienotice cookies consent gdpr".split())
+#: A last part that ends so is a name of side matter too, as in "mainmenu".
 _SIDE_ENDS = ("banner", "comments", "footer", "menu", "navbar", "sidebar")
+#: After a side name, these leave it one, as in "comment-body"; before one, those say what a page has or is filed under.
+_PLAIN_PARTS = frozenset(
+    "area bar block body box buttons column container content form group icons inner item items label link links list message nav panel"
+    " post posts section slot text title unit widget widgets wrap wrapper".split()
+)
+_NOT_OF_ITSELF = frozenset("has with without no not hide show tag category cat topic term format type status author tax taxonomy".split())
+
+# What a mark comes from, and so what takes it away again (see ``_Marks``).
+_HIDDEN, _FIRM, _NOTICE, _MANY, _LOOSE, _ARTICLE = range(6)
+#: Characters from which a block is running text, and the link density that it stays below.
+RUNNING_CHARS = 50
+RUNNING_DENSITY = 0.33
 
 
 @dataclass
@@ -74,10 +90,97 @@ class Block:
 @dataclass
 class _Open:
     name: str
-    side: bool
+    mark: int
     article: bool
 
 
+class _Marks:
+    """The marks of side matter of a page, each within another or none (-1).
+
+    Hidden and firm marks hold for all inside, but a main element ends the firm
+    ones. A mark from a loose name or a form says little of what it is around:
+    articles inside are free of it unless other text of the page outweighs them,
+    and it goes if next to no running text of the page is outside it. Comments
+    and related matter hold articles, and go only if the page has little else.
+    """
+
+    def __init__(self) -> None:
+        self.around: list[int] = []
+        self.kind: list[int] = []
+        self.hidden: list[int] = []  # the nearest hidden mark, itself included
+        self.firm: list[bool] = []  # whether an article stays within it
+        self.own: list[int] = []
+
+    def add(self, around: int, kind: int) -> int:
+        m = len(self.kind)
+        self.around.append(around)
+        self.kind.append(kind)
+        self.hidden.append(m if kind == _HIDDEN else self.hidden[around] if around >= 0 else -1)
+        self.firm.append(kind in (_HIDDEN, _FIRM, _MANY) or (around >= 0 and self.firm[around]))
+        self.own.append(0)
+        return m
+
+    def side(self, found: list[Block], at: list[int]) -> list[bool]:
+        """Whether each block is side matter, given its mark."""
+        free = 0
+        for b, m in zip(found, at, strict=True):
+            if (b.chars >= RUNNING_CHARS or b.article) and b.density < RUNNING_DENSITY:
+                if m < 0:
+                    free += b.chars
+                else:
+                    self.own[m] += b.chars
+        n = len(self.kind)
+        gone = [False] * n
+
+        def totals() -> list[int]:
+            total = list(self.own)
+            for m in range(n - 1, -1, -1):
+                if self.around[m] >= 0 and not gone[m] and self.kind[m] > _NOTICE:
+                    total[self.around[m]] += total[m]
+            return total
+
+        inside: list[list[int]] = [[] for _ in range(n)]
+        for m in range(n):
+            if self.around[m] >= 0:
+                inside[self.around[m]].append(m)
+        total, outside = totals(), free
+        groups = [[k for k in x if self.kind[k] == _ARTICLE] for x in inside]
+        for articles in sorted(filter(None, groups), key=lambda x: -sum(total[k] for k in x)):
+            size = sum(total[k] for k in articles)
+            if 2 * size < outside:
+                break
+            outside = max(outside, size)
+            for k in articles:
+                gone[k] = True
+                free += self.own[k]
+        total = totals()
+        open_marks = [(-total[m], m) for m in range(n) if self.around[m] < 0 or gone[self.around[m]]]
+        heapq.heapify(open_marks)
+        while open_marks:
+            _, m = heapq.heappop(open_marks)
+            loose = self.kind[m] in (_LOOSE, _ARTICLE)
+            least, most = (RUNNING_CHARS, 1000) if loose else (200, 200)
+            if gone[m] or self.kind[m] <= _NOTICE or total[m] < max(least, 4 * free) or free >= most:
+                continue
+            gone[m] = True
+            free += self.own[m]
+            for k in inside[m]:
+                if self.kind[k] == _ARTICLE and not gone[k]:
+                    gone[k] = True
+                    free += self.own[k]
+                    for j in inside[k]:
+                        heapq.heappush(open_marks, (-total[j], j))
+                else:
+                    heapq.heappush(open_marks, (-total[k], k))
+        held: list[bool] = []
+        for m in range(n):
+            if gone[m]:
+                held.append(self.kind[m] != _ARTICLE and self.around[m] >= 0 and held[self.around[m]])
+            else:
+                held.append(True)
+        return [m >= 0 and held[m] for m in at]
+
+
 @dataclass
 class _Builder:
     parts: list[str] = field(default_factory=list)
@@ -92,6 +195,8 @@ def blocks(page: str) -> list[Block]:
     passed over; a tag cut off by the end of the page is dropped.
     """
     out: list[Block] = []
+    at_mark: list[int] = []
+    marks = _Marks()
     stack: list[_Open] = []
     links = 0
     heading = False
@@ -110,8 +215,9 @@ def blocks(page: str) -> list[Block]:
         nonlocal now
         text = " ".join("".join(now.parts).split())
         if text:
-            top = leaf or (stack[-1] if stack else _Open("", False, False))
-            out.append(Block(text, now.link_chars, now.chars, top.side, top.article, heading))
+            top = leaf or (stack[-1] if stack else _Open("", -1, False))
+            out.append(Block(text, now.link_chars, now.chars, False, top.article, heading))
+            at_mark.append(top.mark)
         now = _Builder()
 
     at = 0
@@ -137,7 +243,7 @@ def blocks(page: str) -> list[Block]:
                     while stack.pop().name != name:
                         pass
             else:
-                opened = _opened(name, token["attrs"], stack[-1] if stack else None)
+                opened = _opened(name, token["attrs"], stack[-1] if stack else None, marks)
                 if name in _OUTER:
                     stack.append(opened)
                 else:
@@ -145,35 +251,76 @@ def blocks(page: str) -> list[Block]:
     if at < len(page):
         add(page[at:])
     flush()
+    for b, side in zip(out, marks.side(out, at_mark), strict=True):
+        b.side = side
     return out
 
 
-def _opened(name: str, attrs: str, around: _Open | None) -> _Open:
-    side = name in _SIDE
-    article = name in ("article", "main")
-    said: set[str] = set()
+@lru_cache(maxsize=1 << 14)
+def _token_kind(token: str) -> tuple[int, str] | None:
+    """What a class or id says of its element, with the name that says it; None for nothing.
+
+    The whole or its last part counts, or a first part that only plain ones
+    follow; "content-sidebar-wrap" and "has-sidebar" are about other elements.
+    """
+    parts = [x.lower() for x in _PART.findall(token.partition("--")[0])]
+    if not parts or (len(parts) > 1 and parts[0] in _NOT_OF_ITSELF):
+        return None
+    plain = len(parts) > 1 and all(x in _PLAIN_PARTS for x in parts[1:])
+    for said in ("".join(parts), parts[-1], *parts[: int(plain)]):
+        name = said if said in _SIDE_NAMES else next((x for x in _SIDE_ENDS if said.endswith(x)), "")
+        if name:
+            # "cookie-notice" is about cookies.
+            notice = not _NOTICE_NAMES.isdisjoint(parts)
+            return (_NOTICE if notice else _MANY if name in _MANY_NAMES else _LOOSE), name
+    return None
+
+
+def _opened(name: str, attrs: str, around: _Open | None, marks: _Marks) -> _Open:
+    main, article = name == "main", name == "article"
+    kinds: set[int] = set()
+    inside = around.article if around else False
+    if name in _SIDE:
+        kinds.add(_FIRM)
+    elif name in ("form", "fieldset") or (name == "header" and not inside):
+        kinds.add(_LOOSE)
+    said: list[str] = []
     hidden = False
     if "=" in attrs:
         for m in _ATTR.finditer(attrs):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                said.update(_WORD.findall(value))
+                said += value.split()
             elif key == "role":
-                side |= value in _SIDE_ROLES
-                article |= value in ("main", "article")
+                role = value.lower()
+                main |= role == "main"
+                article |= role == "article"
+                if role in _SIDE_ROLES:
+                    kinds.add(_FIRM)
+                elif role == "form":
+                    kinds.add(_LOOSE)
             elif key == "style":
-                hidden |= "display:none" in value.replace(" ", "")
+                hidden |= "display:none" in value.lower().replace(" ", "")
             elif key == "aria-hidden":
-                hidden |= value == "true"
+                hidden |= value.lower() == "true"
     hidden |= bool(re.search(r"\bhidden(?:\s|$)", re.sub(_ATTR, " ", attrs))) if "hidden" in attrs else False
-    inside = around.article if around else False
-    if name == "header":
-        side |= not inside
-    if name == "header" or inside:
-        said -= {"header"}
     if name not in ("html", "body", "main"):
-        side |= bool(said & _SIDE_NAMES) or hidden or any(w.startswith(_SIDE_BEGINS) or w.endswith(_SIDE_ENDS) for w in said)
-    return _Open(name, side or (around.side if around else False), article or inside)
+        if hidden:
+            kinds.add(_HIDDEN)
+        for token in said if not main else ():
+            found = _token_kind(token)
+            if found and not (found[1] == "header" and (name == "header" or inside)):
+                # An article is filed under all sorts of names; only those of other articles make it side matter.
+                if not article or found[0] == _MANY:
+                    kinds.add(found[0])
+    mark = around.mark if around and name != "body" else -1
+    if main and mark >= 0:
+        mark = marks.hidden[mark]
+    elif article and mark >= 0 and not marks.firm[mark]:
+        mark = marks.add(mark, _ARTICLE)
+    if kinds:
+        mark = marks.add(mark, min(kinds))
+    return _Open(name, mark, main or article or inside)
 
 
 FEATURES = ["words", "density", "words_before", "density_before", "words_after", "density_after", "side", "article", "heading"]

@@ -51,6 +51,62 @@ def test_names_of_elements():
     assert ht.extract(page, tree).split("\n\n") == ["Title here", "A first paragraph of the text.", "And one more."]
 
 
+LINES = [f"Paragraph {i} of the text, which goes on for quite a few words so that it is taken for running text." for i in range(3)]
+PS = "".join(f"<p>{x}</p>" for x in LINES)
+
+
+def test_article_within_side_names():
+    tree = ht.labelled_tree()
+    footer = "<footer>&copy; 2020 someone. All rights reserved by the one who wrote this page.</footer>"
+    for page in [
+        f'<div class="content-sidebar-wrap"><main><article>{PS}</article></main></div>',
+        f'<div class="has-sidebar"><main><article>{PS}</article></main></div>',
+        f'<div class="has-sidebar"><div>{PS}</div></div>',
+        f'<div class="content-sidebar"><article>{PS}</article><div class="sidebar"><article><p>Another one.</p></article></div></div>',
+        f'<div id="page" class="sidebar"><main>{PS}</main></div>',
+        f'<article class="post category-social tag-cookies tag-login category-newsletter tag-search tag-alert">{PS}</article>',
+        f'<article class="post social alert">{PS}</article>',
+        f'<div class="commentary">{PS}</div>',
+        f'<div class="post-tags-social">{PS}</div>',
+        f'<form id="aspnetForm"><div class="menu"><a href=1>One</a></div><div>{PS}</div></form>',
+        f'<form><fieldset><article>{PS}</article></fieldset></form>',
+        f'<form><div>{PS}</div><div class="sidebar"><p>Some words of a side column that are not the text.</p></div></form>',
+        f'<div class="widget"><div class="notice">{PS}</div></div>',
+        f"<nav><a href=1>One</a><main>{PS}</main>",
+        f"<head><title>T</title><body>{PS}</body>",
+        f"<header><p>My site</p><article>{PS}</article></header>",
+    ]:
+        assert ht.extract(f"<html><body>{page}{footer}</body></html>" if "<head" not in page else page, tree).split("\n\n") == LINES, page
+
+
+def test_side_matter_stays_out():
+    tree = ht.labelled_tree()
+    other = "<p>Someone else writes here, and at some length, about a thing that is not what the page is about at all.</p>" * 2
+    for side in [
+        f'<section id="comments"><article class="comment">{other}</article><article class="comment">{other}</article></section>',
+        f'<ol class="comment-list"><li><article>{other}</article></li></ol>',
+        f'<div class="comment-body">{other}</div>',
+        f'<aside><article>{other}</article></aside>',
+        f'<div class="cookie-bar">{other}</div>',
+        f'<div class="sidebar"><article><p>{"A teaser of another text. " * 4}</p></article></div>',
+        f'<div class="right-sidebar">{other}</div>',
+        f'<div style="display: none"><article>{other}</article></div>',
+        f'<form>{other}</form>',
+    ]:
+        for page in [f"<article>{PS}</article>{side}", f"{side}<main>{PS}</main>"]:
+            assert ht.extract(f"<body>{page}</body>", tree).split("\n\n") == LINES, page
+    assert ht.extract(f'<body><div class="cookie-bar">{other}</div></body>', tree) == ""
+
+
+def test_deep_marks_take_little_time():
+    import time
+
+    t = time.perf_counter()
+    ht.blocks('<form><div class="comment">' * 4000 + "text " * 30 + "<article><p>" * 2000)
+    ht.blocks('<form><article class="comment">text <main>' * 3000)
+    assert time.perf_counter() - t < 20
+
+
 def test_odd_markup():
     tree = ht.labelled_tree()
     for page in [None, "", "   ", "<", "<p", "<script>x", "<!-- ", "</div></div>", "<a href='", "<p>&", "&#0;&#xD800;", "<" * 5000, "<a " * 5000, "<p '" * 3000]:
