@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -21,8 +22,11 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import small_batches
 
-#: Elements whose whole content is no text of the page.
-_RAW = "script|style|noscript|template|textarea|title|svg|iframe|object|select|button|math|canvas|audio|video"
+#: Elements whose whole content is no text of the page; without an end tag they run to the end of it.
+_RAW = "script|style|template|textarea|title"
+#: Those that hold other elements and end with the element around them; only the nested ones may lie in their like.
+_NESTED = frozenset("svg object math".split())
+_MUTE = _NESTED | frozenset("noscript iframe select button canvas audio video".split())
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     rf"|<(?P<raw>{_RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -221,8 +225,13 @@ def blocks(page: str) -> list[Block]:
         now = _Builder()
 
     at = 0
-    for token in _TOKEN.finditer(page):
-        if token.start() > at:
+    mute = ""  # an element without an end tag of its own, until the next block
+    tokens = list(_TOKEN.finditer(page))
+    ends = _mute_ends(tokens)
+    for k, token in enumerate(tokens):
+        if token.start() < at:
+            continue
+        if token.start() > at and not mute:
             add(page[at : token.start()])
         at = token.end()
         name = (token["name"] or "").lower()
@@ -230,11 +239,21 @@ def blocks(page: str) -> list[Block]:
             if token["raw"]:
                 now.parts.append(" ")
             continue
-        if name == "a":
+        if mute and name in _BLOCK and not (mute == "select" and name in ("option", "optgroup")):
+            mute = ""
+        if name in _MUTE:
+            now.parts.append(" ")
+            if k in ends:
+                at = tokens[ends[k]].end()
+            elif token["close"]:
+                mute = "" if mute == name else mute
+            elif not token["attrs"].endswith("/"):
+                mute = name
+        elif name == "a":
             links = 0 if token["close"] else 1
         elif name == "br":
             now.parts.append(" ")
-        elif name in _BLOCK:
+        elif name in _BLOCK and not mute:
             flush()
             links, leaf = 0, None
             heading = name in _HEADING and not token["close"]
@@ -248,7 +267,7 @@ def blocks(page: str) -> list[Block]:
                     stack.append(opened)
                 else:
                     leaf = opened
-    if at < len(page):
+    if at < len(page) and not mute:
         add(page[at:])
     flush()
     for b, side in zip(out, marks.side(out, at_mark), strict=True):
@@ -256,6 +275,39 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _mute_ends(tokens: list[re.Match]) -> dict[int, int]:
+    """The end tag of each mute element that has one within the element around it, as places of tokens.
+
+    A second button before the end of the first leaves the first without one,
+    as does an end tag of an element around it; svg and math may close themselves.
+    """
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    count: Counter[str] = Counter()
+    for k, token in enumerate(tokens):
+        name = (token["name"] or "").lower()
+        if name not in _MUTE and name not in _OUTER:
+            continue
+        if not token["close"]:
+            if name in ("svg", "math") and token["attrs"].endswith("/"):
+                continue
+            if name in _MUTE and name not in _NESTED and count[name]:
+                at = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
+                stack[at] = ("", 0)
+                count[name] -= 1
+            stack.append((name, k))
+            count[name] += 1
+        elif count[name]:
+            while True:
+                above, start = stack.pop()
+                count[above] -= 1
+                if above == name:
+                    break
+            if name in _MUTE:
+                ends[start] = k
+    return ends
+
+
 @lru_cache(maxsize=1 << 14)
 def _token_kind(token: str) -> tuple[int, str] | None:
     """What a class or id says of its element, with the name that says it; None for nothing.

@@ -98,12 +98,30 @@ def test_side_matter_stays_out():
     assert ht.extract(f'<body><div class="cookie-bar">{other}</div></body>', tree) == ""
 
 
+def test_unclosed_and_self_closed_elements():
+    tree = ht.labelled_tree()
+    for odd in ['<svg class="i"/>', "<math/>", '<svg class="i" />', *[f"<{x} class=y>" for x in "button select object audio video canvas iframe noscript svg".split()]]:
+        for page in [
+            f"<article>{odd}{PS}</article>",
+            f"<article><div>{odd}Share</div>{PS}</article>" if "/>" not in odd else f"<article>{PS}{odd}</article>",
+            f"<article><div>{odd}</div>{PS}</article><footer><button>Go</button><svg><path/></svg></footer>",
+            f"<article><p>{LINES[0]}{odd}</p><p>{LINES[1]}<p>{LINES[2]}</article>",
+        ]:
+            assert ht.extract(page, tree).split("\n\n") == LINES, page
+    for gone in ["<select><option>A<option>B</select>", "<select><option>A<option>B", "<button><div>Share</div></button>", "<svg><svg/><svg><text>A</text></svg><title>t</title></svg>",
+                 "<object><object>A</object><div>B</div></object>", "<noscript><p>Turn it on</p></noscript>", "<datalist><option>A<option>B"]:
+        assert ht.extract(f"<article><div>{gone}</div>{PS}</article>", tree).split("\n\n") == LINES, gone
+    assert ht.extract("<article><p>one<button><div>x</div></button>two <svg/>three</p></article>", tree) == "one two three"
+    assert ht.extract("<article><p>one <script>two", tree) == "one"
+
+
 def test_deep_marks_take_little_time():
     import time
 
     t = time.perf_counter()
     ht.blocks('<form><div class="comment">' * 4000 + "text " * 30 + "<article><p>" * 2000)
     ht.blocks('<form><article class="comment">text <main>' * 3000)
+    ht.blocks("<button><svg><div>" * 5000 + "</div>" * 5000 + "<select></object>" * 5000)
     assert time.perf_counter() - t < 20
 
 
