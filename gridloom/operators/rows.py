@@ -73,6 +73,13 @@ def one_hot_array(df: DataFrame, column: str, size: int, name: str = "target") -
     return df.withColumn(name, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: (k == F.col(column)).cast("int")))
 
 
+def nested(df: DataFrame, key: str, columns: Sequence[str], rows: int = 1_000) -> DataFrame:
+    """(key, parallel arrays of the columns, in their order) in parts of ``rows`` at most, so no array grows with its key."""
+    part = F.floor(F.monotonically_increasing_id() / rows)
+    made = df.select(key, *columns, part.alias("_part")).groupBy(key, "_part").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_t"))
+    return made.select(key, *[F.col(f"_t.{c}").alias(c) for c in columns])
+
+
 def zipped(df: DataFrame, arrays: Sequence[str]) -> DataFrame:
     """A row for each place of parallel arrays."""
     keys = [c for c in df.columns if c not in arrays]

@@ -226,8 +226,8 @@ def one_hot(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT conv_id, turn, text FROM conversations")
 def explode_zip(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations")
-    nested = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return rw.zipped(nested.select("conv_id", F.col("t.turn").alias("turn"), F.col("t.text").alias("text")), ["turn", "text"])
+    nested = rw.nested(rows, "conv_id", ["turn", "text"])
+    return rw.zipped(nested, ["turn", "text"])
 
 
 @query("SELECT slot, event_id, value FROM (SELECT event_id % 64 AS slot, max(event_id) AS event_id FROM events GROUP BY 1) JOIN events USING (event_id)")

@@ -238,3 +238,16 @@ def test_rest_of_the_library_does_not_import_llm():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"gridloom\.llm|corpus_pipeline", p.read_text()), p
+
+
+def test_hot_conversation_is_nested_in_parts(spark, tmp_path, monkeypatch):
+    from gridloom.plans import basics
+
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("conv_id"), (F.col("id") % 2500).alias("turn"), F.lit("same").alias("text"))
+    rows = rows.unionByName(spark.sql("SELECT 1L AS conv_id, NULL AS turn, NULL AS text FROM range(3)"))
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    sizes, zipped = [], basics.rw.zipped
+    monkeypatch.setattr(basics.rw, "zipped", lambda df, arrays: (sizes.append(df.agg(F.max(F.size("turn"))).first()[0]), zipped(df, arrays))[1])
+    got = basics.explode_zip(spark, str(tmp_path)).select("conv_id", "turn", "text")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, rows.collect()))
+    assert sizes[0] <= 1000
