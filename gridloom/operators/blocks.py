@@ -7,11 +7,13 @@ so a window within a block sees all that it needs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.session import shared_dir
+
 BLOCK = 100_000
 
 
@@ -42,3 +44,32 @@ def running(df: DataFrame, idx: str, value: Column, name: str, block: int = BLOC
     within = F.sum("_value").over(Window.partitionBy("_block").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0))
     out = placed.withColumn("_within", within).join(totals, F.col("_block") == F.col("_of"))
     return out.withColumn(name, F.coalesce("_within", F.lit(0)) + F.col("_ahead")).drop("_block", "_value", "_of", "_ahead", "_within")
+
+
+def in_key_order(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """``df`` in ranges of (key, order): partitions follow one another, and a hot key has many."""
+    return df.repartitionByRange(F.col(key), *[F.col(c) for c in order])
+
+
+def key_blocks(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """``df`` with ``_block``, a range of (key, order) of limited size; blocks ascend.
+
+    Ranges come from a sample and may differ when they are made again, so rows
+    are written with their block to the shared folder.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    placed = in_key_order(df, key, order).withColumn("_block", F.spark_partition_id())
+    placed.write.parquet(path)
+    return spark.read.schema(placed.schema).parquet(path)
+
+
+def carried(blocks: DataFrame, key: str, totals: Sequence[Column], make: Callable[[Window], dict[str, Column]]) -> DataFrame:
+    """``blocks`` with what each key's blocks before a row's own carry over.
+
+    ``totals`` are aggregates of a key's rows of one block; ``make`` gets a
+    window over a key's blocks in order.
+    """
+    each = blocks.groupBy(key, "_block").agg(*totals)
+    spec = Window.partitionBy(key).orderBy("_block")
+    each = each.select(F.col(key).alias("_of"), F.col("_block").alias("_at"), *[c.alias(k) for k, c in make(spec).items()])
+    return blocks.join(each, F.col(key).eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_at"))).drop("_of", "_at")

@@ -6,15 +6,19 @@ on the data.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.aggregates import moments
+from gridloom.operators.blocks import in_key_order
 
 
 def fit_polynomial(df: DataFrame, x: Column, y: Column, degree: int, ridge: float = 0.0) -> list[float]:
@@ -70,21 +74,68 @@ def batch_descent(df: DataFrame, x: Column, y: Column, rate: float, tolerance: f
 
 
 def stochastic_descent(df: DataFrame, key: str, order: Sequence[str], x: str, y: str, rate: float, epochs: int = 1) -> DataFrame:
-    """(key, a, b, cost) of row-by-row descent, a sequence of its own for each key."""
-    key_type = df.schema[key].dataType.simpleString()
+    """(key, a, b, cost) of row-by-row descent, a sequence of its own for each key.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order))
+    A row's error is linear in (a, b, 1) before it, so ordered rows compose to an
+    affine map of (a, b) and a quadratic form for the cost. Each range of ordered
+    rows gives one of them for each of its keys, and a key's few are applied in
+    order, once an epoch.
+    """
+    key_type = df.schema[key].dataType.simpleString()
+    forms = [f"m{k}" for k in range(12)]
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId()
+        made: list[list] = []
+        held: list | None = None  # the key and place, rows, the linear forms of a and b, and the cost's six terms
+        types = None
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array([r[0] for r in made], types)]
+            columns += [pa.array([r[k] for r in made], t) for k, t in ((1, pa.int64()), (2, pa.int64()))]
+            columns += [pa.array([r[k] for r in made], pa.float64()) for k in range(3, 15)]
+            made.clear()
+            return pa.RecordBatch.from_arrays(columns, [key, "place", "n", *forms])
+
+        for batch in batches:
+            types = batch.schema.field(0).type
+            for name, u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                u, v = (math.nan if z is None else z for z in (u, v))
+                if held is None or not (held[0] == name or (name != name and held[0] != held[0])):
+                    if held is not None:
+                        made.append(held)
+                    held = [name, place, 0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+                _, _, n, a0, a1, a2, b0, b1, b2, q00, q01, q02, q11, q12, q22 = held
+                e0, e1, e2 = a0 + u * b0, a1 + u * b1, a2 + u * b2 - v
+                s, t = rate, rate * u
+                held[2:] = [
+                    n + 1, a0 - s * e0, a1 - s * e1, a2 - s * e2, b0 - t * e0, b1 - t * e1, b2 - t * e2,
+                    q00 + e0 * e0, q01 + e0 * e1, q02 + e0 * e2, q11 + e1 * e1, q12 + e1 * e2, q22 + e2 * e2,
+                ]
+            if len(made) >= 1_000:
+                yield out()
+        if held is not None:
+            made.append(held)
+            yield out()
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        rows = pdf[forms].to_numpy()
         a = b = cost = 0.0
         for _ in range(epochs):
             cost = 0.0
-            for u, v in zip(pdf[x], pdf[y], strict=True):
-                e = a + b * u - v
-                cost += e * e / 2
-                a, b = a - rate * e, b - rate * e * u
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "a": [a], "b": [b], "cost": [cost / max(1, len(pdf))]})
-
-    return df.groupBy(key).applyInPandas(run, f"{key} {key_type}, a double, b double, cost double")
+            for a0, a1, a2, b0, b1, b2, q00, q01, q02, q11, q12, q22 in rows:
+                cost += (q00 * a * a + q11 * b * b + q22) / 2 + q01 * a * b + q02 * a + q12 * b
+                a, b = a0 * a + a1 * b + a2, b0 * a + b1 * b + b2
+        n = int(pdf["n"].sum())
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "a": [a], "b": [b], "cost": [max(cost, 0.0) / max(1, n) if cost == cost else cost]})
+
+    # Rows without a place come last.
+    places = {f"_o{2 * k + j}": c for k, o in enumerate(order) for j, c in enumerate((F.col(o).isNull(), F.col(o)))}
+    rows = df.select(key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), *[c.alias(k) for k, c in places.items()])
+    ordered = in_key_order(rows, key, list(places)).sortWithinPartitions(key, *places).select(key, "_x", "_y")
+    schema = f"{key} {key_type}, place long, n long, " + ", ".join(f"{m} double" for m in forms)
+    return ordered.mapInArrow(compose, schema).groupBy(key).applyInPandas(fold, f"{key} {key_type}, a double, b double, cost double")
 
 
 def gradient_loop(df: DataFrame, gradient: Callable[[list[float]], list[Column]], start: list[float], rate: float, steps: int) -> list[float]:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.blocks import BLOCK, in_blocks, running
+from gridloom.operators.blocks import BLOCK, carried, in_blocks, key_blocks, running
 
 
 def inclusive_scan(df: DataFrame, idx: str, value: Column, name: str = "scan") -> DataFrame:
@@ -19,7 +19,11 @@ def inclusive_scan(df: DataFrame, idx: str, value: Column, name: str = "scan") -
 
 
 def group_position(df: DataFrame, key: str, order: Sequence[str], name: str = "position") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+    """Places from 0 in each key's order: those within a block, and the rows of the blocks before."""
+    before = lambda w: {"_ahead": F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}
+    out = carried(key_blocks(df, key, order), key, [F.count("*").alias("_n")], before)
+    within = F.row_number().over(Window.partitionBy(key, "_block").orderBy(*order)) - 1
+    return out.withColumn(name, within + F.col("_ahead")).drop("_block", "_ahead")
 
 
 def row_pointers(coo: DataFrame, rows: DataFrame) -> DataFrame:
@@ -31,8 +35,12 @@ def row_pointers(coo: DataFrame, rows: DataFrame) -> DataFrame:
 
 def returns(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
     """Lag, simple, absolute and log returns; the first row of a key is dropped."""
-    lag = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
-    out = df.withColumn("lag1", lag).where("lag1 IS NOT NULL")
+    last = F.max_by(value, F.struct(*order)).alias("_last")
+    out = carried(key_blocks(df, key, order), key, [last], lambda w: {"_ahead": F.lag("_last").over(w)})
+    w = Window.partitionBy(key, "_block").orderBy(*order)
+    # A null value is no missing row, so the place in the block decides.
+    lag = F.when(F.row_number().over(w) == 1, F.col("_ahead")).otherwise(F.lag(value).over(w))
+    out = out.withColumn("lag1", lag).drop("_block", "_ahead").where("lag1 IS NOT NULL")
     simple = F.try_divide(F.col(value), F.col("lag1")) - 1
     return out.withColumns({"simple": simple, "absolute": F.abs(simple), "log": F.log(F.try_divide(F.col(value), F.col("lag1")))})
 
@@ -120,8 +128,11 @@ def decayed_sum(df: DataFrame, key: str, idx: str, value: Column, decay: float,
 
 def price_path(df: DataFrame, key: str, order: Sequence[str], step: Column, start: float = 1.0) -> DataFrame:
     """Geometric path: start times the exponential of the running sum of log steps."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("path", F.lit(start) * F.exp(F.sum(step).over(w)))
+    before = lambda w: {"_ahead": F.sum("_total").over(w.rowsBetween(Window.unboundedPreceding, -1))}
+    out = carried(key_blocks(df.withColumn("_step", step), key, order), key, [F.sum("_step").alias("_total")], before)
+    within = F.sum("_step").over(Window.partitionBy(key, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.coalesce(within + F.col("_ahead"), within, F.col("_ahead"))
+    return out.withColumn("path", F.lit(start) * F.exp(upto)).drop("_block", "_step", "_ahead")
 
 
 

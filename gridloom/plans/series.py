@@ -15,6 +15,10 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", "value")
 
 
+def _by_user(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+
+
 def _joined(array: str) -> Column:
     return F.array_join(F.transform(array, lambda x: x.cast("decimal(18,2)").cast("string")), ",")
 
@@ -29,7 +33,7 @@ def inclusive_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position FROM events")
 def group_position(spark: SparkSession, sf: str) -> DataFrame:
-    return sq.group_position(table(spark, sf, "events"), "user_id", ["ts", "event_id"]).select("event_id", F.col("position").cast("long").alias("position"))
+    return sq.group_position(table(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"]).select("event_id", F.col("position").cast("long").alias("position"))
 
 
 _LAG = "(SELECT event_id, user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS lag1 FROM events)"
@@ -40,7 +44,7 @@ _LAG = "(SELECT event_id, user_id, value, lag(value) OVER (PARTITION BY user_id
     f" FROM {_LAG} WHERE lag1 IS NOT NULL"
 )
 def returns(spark: SparkSession, sf: str) -> DataFrame:
-    out = sq.returns(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value")
+    out = sq.returns(_by_user(spark, sf), "user_id", ["ts", "event_id"], "value")
     return out.select("event_id", "lag1", *[F.round(k, 6).alias(k) for k in ("simple", "absolute", "log")])
 
 
@@ -48,7 +52,7 @@ def returns(spark: SparkSession, sf: str) -> DataFrame:
 def uncentered_return_r2(spark: SparkSession, sf: str) -> DataFrame:
     from gridloom.operators.aggregates import uncentred_r2
 
-    out = sq.returns(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value")
+    out = sq.returns(_by_user(spark, sf), "user_id", ["ts", "event_id"], "value")
     return out.agg(F.round(uncentred_r2(F.col("simple"), F.lit(0.1)), 8).alias("r2"))
 
 
@@ -124,7 +128,7 @@ def cell_mean_anomaly(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT event_id, round(exp(sum(x) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 6) AS path FROM (SELECT *, (value - 50) / 1000 AS x FROM events)"
 )
 def price_path(spark: SparkSession, sf: str) -> DataFrame:
-    out = sq.price_path(table(spark, sf, "events"), "user_id", ["ts", "event_id"], (F.col("value") - 50) / 1000)
+    out = sq.price_path(_by_user(spark, sf), "user_id", ["ts", "event_id"], (F.col("value") - 50) / 1000)
     return out.select("event_id", F.round("path", 6).alias("path"))
 
 

@@ -251,3 +251,71 @@ def test_hot_conversation_is_nested_in_parts(spark, tmp_path, monkeypatch):
     got = basics.explode_zip(spark, str(tmp_path)).select("conv_id", "turn", "text")
     assert sorted(map(repr, got.collect())) == sorted(map(repr, rows.collect()))
     assert sizes[0] <= 1000
+
+
+def hot(spark):
+    """Two thirds of the rows in key 1, some in a null key; values and order with nulls and repeats."""
+    key = F.when(F.col("id") % 3 > 0, 1).when(F.col("id") % 30 > 0, F.col("id") % 7 + 2)
+    value = F.when(F.col("id") % 11 > 0, (F.col("id") * 37 % 101 / 50.0))
+    return spark.range(3000).select(key.alias("k"), F.when(F.col("id") % 5 > 0, F.col("id") * 13 % 17).alias("o"), "id", value.alias("v"))
+
+
+def by_key(spark):
+    found = {}
+    for r in sorted(hot(spark).collect(), key=lambda r: (r.o is not None, r.o or 0, r.id)):
+        found.setdefault(r.k, []).append(r)
+    return found
+
+
+@pytest.fixture
+def many_ranges(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+def test_hot_key_windows_in_blocks(spark, many_ranges, monkeypatch):
+    from gridloom.operators import blocks
+
+    made = []
+    key_blocks = blocks.key_blocks
+    monkeypatch.setattr(sq, "key_blocks", lambda *a: (made.append(key_blocks(*a)), made[-1])[1])
+    position = {r.id: r.position for r in sq.group_position(hot(spark), "k", ["o", "id"]).collect()}
+    back = {r.id: r for r in sq.returns(hot(spark), "k", ["o", "id"], "v").collect()}
+    path = {r.id: r.path for r in sq.price_path(hot(spark), "k", ["o", "id"], F.col("v") / 100).collect()}
+    assert len(position) == len(path) == 3000
+    for rows in by_key(spark).values():
+        total, seen = 0.0, False
+        for k, r in enumerate(rows):
+            total, seen = total + (r.v or 0.0) / 100, seen or r.v is not None
+            assert position[r.id] == k
+            assert path[r.id] is None if not seen else math.isclose(path[r.id], math.exp(total), rel_tol=1e-9)
+            lag = rows[k - 1].v if k else None
+            assert (back[r.id].lag1 if r.id in back else None) == lag
+    assert len(made) == 3
+    for df in made:
+        assert df.groupBy("k", "_block").count().agg(F.max("count")).first()[0] < 1000  # of 2,000 rows of key 1
+
+
+def test_hot_key_descent_in_blocks(spark, many_ranges):
+    df = hot(spark).withColumn("v", F.coalesce("v", F.lit(0.5))).withColumn("y", 1 + 2 * F.col("v") + F.col("id") % 4 / 10)
+    for epochs in (1, 3):
+        out = md.stochastic_descent(df, "k", ["o", "id"], "v", "y", 0.1, epochs)
+        got = {None if r.k is None or r.k != r.k else r.k: r for r in out.collect()}
+        want = by_key(spark)
+        assert got.keys() == want.keys()
+        for k, rows in want.items():
+            a = b = 0.0
+            for _ in range(epochs):
+                cost = 0.0
+                for r in sorted(rows, key=lambda r: (r.o is None, r.o or 0, r.id)):
+                    u = 0.5 if r.v is None else r.v
+                    e = a + b * u - (1 + 2 * u + r.id % 4 / 10)
+                    cost += e * e / 2
+                    a, b = a - 0.1 * e, b - 0.1 * e * u
+            assert np.allclose([got[k].a, got[k].b, got[k].cost], [a, b, cost / len(rows)], rtol=1e-9)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "MapInArrow" in plan
