@@ -279,9 +279,11 @@ def cross_section(df: DataFrame, step: str, value: str) -> DataFrame:
 
 
 def cell_anomaly(df: DataFrame, cell: Sequence[str], value: str) -> DataFrame:
-    """Each row's difference from the mean of its cell; means are pre-aggregated and joined."""
-    mean = df.groupBy(*cell).agg(F.avg(value).alias("cell_mean"))
-    return df.join(mean, list(cell)).withColumn("anomaly", F.col(value) - F.col("cell_mean"))
+    """Each row's difference from the mean of its cell; means are pre-aggregated and joined. Nulls make cells of their own."""
+    names = [f"_cell_{k}" for k in range(len(cell))]
+    mean = df.groupBy(*[F.col(c).alias(n) for c, n in zip(cell, names, strict=True)]).agg(F.avg(value).alias("cell_mean"))
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(cell, names, strict=True)]
+    return df.join(mean, same).drop(*names).withColumn("anomaly", F.col(value) - F.col("cell_mean"))
 
 
 def by_rank(df: DataFrame, column: Column, k: int, largest: bool = False) -> DataFrame:

@@ -319,3 +319,9 @@ def test_hot_key_descent_in_blocks(spark, many_ranges):
             assert np.allclose([got[k].a, got[k].b, got[k].cost], [a, b, cost / len(rows)], rtol=1e-9)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" in plan and "MapInArrow" in plan
+
+
+def test_null_cells_have_anomalies(spark):
+    df = spark.createDataFrame([(1, None, "a", 1.0), (2, None, "a", 3.0), (3, 5, None, 4.0), (4, None, None, 7.0), (5, 5, "a", 2.0), (6, 5, "a", None)], "id int, h int, t string, v double")
+    got = {r.id: r.anomaly for r in md.cell_anomaly(df, ["h", "t"], "v").collect()}
+    assert got == {1: -1.0, 2: 1.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: None}
