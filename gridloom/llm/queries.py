@@ -11,6 +11,10 @@ from gridloom.llm import html_text, language, media, packing, pieces, rules, sha
 from gridloom.llm.common import crc_mod, shared_dir, table
 
 
+#: Parts in which the documents of op6 arrive, compacted after every other one.
+ARRIVALS = 8
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     first = ["doc_id", *rules.STATISTICS[:5], "base_failed", "kept"]
@@ -40,11 +44,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as the compacted shards hold it, with its shard."""
+    """Each document as the compacted shards hold it, with its shard; documents arrive in eight parts."""
     store = shards.ShardStore(spark, shared_dir(spark))
     docs = table(spark, sf_dir, "documents")
-    store.append(docs)
-    version = store.compact()
+    version = 0
+    for k in range(ARRIVALS):
+        store.append(docs.where(F.coalesce(crc_mod("doc_id", ARRIVALS), F.lit(0)) == k))
+        if k % 2:
+            version = store.compact()
     rows = store.read(version)
     rows = docs.where(F.lit(False)) if rows is None else rows
     return rows.select(

@@ -56,3 +56,25 @@ def test_query_holds_every_document(spark, sf_dir):
     for r in rows:
         d = docs[r.doc_id]
         assert (r.text_md5, r.lang, r.source, r.n_chars) == (hashlib.md5(d.text.encode()).hexdigest(), d.lang, d.source, d.n_chars)
+
+
+def test_query_merges_over_several_arrivals(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "ARRIVAL_ROWS", 20)
+    docs = spark.range(2000).select(
+        F.when(F.col("id") % 50 > 0, F.col("id")).alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(64).alias("n_chars")
+    )
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    merged, compact = [], shards.ShardStore.compact
+
+    def watched(store):
+        before = {r.shard for r in store.manifest().collect()}
+        version = compact(store)
+        merged.append(before - {r.shard for r in store.manifest().collect()})
+        return version
+
+    monkeypatch.setattr(shards.ShardStore, "compact", watched)
+    rows = queries()["op6_sharding"](spark, str(tmp_path)).collect()
+    want = [(r.doc_id, hashlib.md5(r.text.encode()).hexdigest()) for r in docs.collect()]
+    assert sorted(map(repr, ((r.doc_id, r.text_md5) for r in rows))) == sorted(map(repr, want))
+    assert len([m for m in merged if m]) > 1
+    assert any("/data/c" in shard for m in merged for shard in m)  # shards of an earlier merge are merged again
