@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
+#: Words of more symbols than this are merged by themselves, place by place, as a round passes over all of a word.
+LONG = 256
+
 
 class Memory:
     """Values by key for about ``most`` keys: those met lately stay, the rest go.
@@ -50,6 +55,7 @@ class MergeRounds:
         # unless the new symbol itself takes part in a pair of as good a rank.
         best = [next_to.get(m, _NONE) for m in self.merged.tolist()]
         self.at_once = np.array(best, dtype=np.int64) > self.ranks
+        self.table: dict[int, tuple[int, int]] = {a * self.width + b: x for (a, b), x in pairs.items()}
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Where each pair is in the table; -1 if it is no pair."""
@@ -66,6 +72,13 @@ class MergeRounds:
         """
         done_sym, done_word = [], []
         sym, word = symbols, np.repeat(np.arange(len(sizes)), sizes)
+        if len(sizes) and sizes.max() > LONG:
+            ends = np.cumsum(sizes)
+            for w in np.flatnonzero(sizes > LONG).tolist():
+                done_sym.append(self._merge_long(symbols[ends[w] - sizes[w] : ends[w]]))
+                done_word.append(np.full(len(done_sym[-1]), w))
+            short = (sizes <= LONG)[word]
+            sym, word = sym[short], word[short]
         at = np.full(len(sym), -1)
         if len(sym) > 1:
             at[:-1] = np.where(word[1:] == word[:-1], self._pairs(sym[:-1], sym[1:]), -1)
@@ -107,6 +120,39 @@ class MergeRounds:
         by = np.argsort(of, kind="stable")
         return out[by], np.bincount(of, minlength=len(sizes))
 
+    def _merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """One word's final symbols, by a heap of (rank, place): time grows hardly faster than its length."""
+        n = len(symbols)
+        sym, at = symbols.tolist(), self._pairs(symbols[:-1], symbols[1:])
+        rank = np.where(at >= 0, self.ranks[at], _NONE).tolist() + [_NONE]
+        heap = [r * n + i for i, r in enumerate(rank) if r != _NONE]
+        heapq.heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        width, table, none = self.width, self.table, (_NONE, 0)
+
+        def seen(i: int, j: int) -> None:
+            a, b = sym[i], sym[j]
+            r = table.get(a * width + b, none)[0] if 0 <= a and 0 <= b < width else _NONE
+            rank[i] = r
+            if r != _NONE:
+                heapq.heappush(heap, r * n + i)
+
+        while heap:
+            r, i = divmod(heapq.heappop(heap), n)
+            if rank[i] != r:
+                continue  # the pair at this place has changed since
+            gone = after[i]
+            sym[i] = table[sym[i] * width + sym[gone]][1]
+            rank[gone] = rank[i] = _NONE
+            sym[gone] = None
+            j = after[i] = after[gone]
+            if j < n:
+                before[j] = i
+                seen(i, j)
+            if before[i] >= 0:
+                seen(before[i], i)
+        return np.array([x for x in sym if x is not None], dtype=np.int64)
+
     def _all_at_once(self, hit: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
         """False for the places of words in which one place must go first."""
         single = ~self.at_once[at[hit]]

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -43,10 +44,12 @@ def verify(rows, texts, tokenizer):
 def test_word_ids_are_those_of_the_whole_text():
     t = Tokenizer.from_file(PATH)
     rng = random.Random(2)
-    letters = list("abcdeIst'' .,!\n\t\r") + ["é", "é", "́", "Σ", "İ", "\x85", " ", "\x1c", "\xa0", "漢", "🙂", "12", "<|endoftext|>"]
+    letters = list("abcdeIst'' .,!\n\t\r") + ["ﬁ", "Ⱥ", "Ŀ", "ª", "²", "'ll", "'RE", "\0", "<|", "é", "é", "́", "Σ", "İ", "\x85", " ", "\x1c", "\xa0", "漢", "🙂", "12", "<|endoftext|>"]
     encoder = pk.WordEncoder(PATH)
     given = ["", " ", "<|startoftext|>x", "don't I'll", "x" * 3000]
     given += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 80))) for _ in range(1500)]
+    latin = [x for x in letters if max(x) < "ɐ"] + [chr(c) for c in range(0x250)]
+    given += ["".join(rng.choice(latin) for _ in range(rng.randint(1, 80))) for _ in range(1500)]
     for text, got in zip(given, encoder.encode_batch(given), strict=True):
         assert np.frombuffer(got, dtype="<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
     for text in given[:50]:
@@ -54,11 +57,29 @@ def test_word_ids_are_those_of_the_whole_text():
 
 
 def test_word_ids_when_memory_is_full(monkeypatch):
-    monkeypatch.setattr(pk, "CACHED_WORDS", 3)
+    monkeypatch.setattr(pk, "CACHED_PARTS", 3)
+    monkeypatch.setattr(pk, "SLICE_CHARS", 12)
     t, encoder = Tokenizer.from_file(PATH), pk.WordEncoder(PATH)
-    for text in ["a b", "c d e f g h", "a b c", "x" * 70 + " a", "l m n o", "a l"]:
+    for text in ["a b", "c d e f g h", "a b c", "x" * 70 + " a", "l m n o", "a l", "it's a  longer text, cut twice or more"]:
         assert np.frombuffer(encoder.encode_batch([text])[0], dtype="<u4").tolist() == t.encode(text, add_special_tokens=False).ids
-    assert len(encoder.words.young) + len(encoder.words.old) <= 16
+    assert len(encoder.known.keys) <= 3 + 16
+
+
+def test_long_unbroken_text_takes_time_in_proportion():
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    encoder, began = pk.WordEncoder(PATH), time.process_time()
+    got = encoder.encode_batch([text])[0]
+    assert time.process_time() - began < 6
+    assert np.frombuffer(got, dtype="<u4").tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
+def test_large_ids_beside_a_null_one(spark):
+    ids = [2**60 + 1, None, 2**60 + 3]
+    df = spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string").coalesce(1)
+    assert sorted(pk.pack(df, PATH).toArrow()["id"].to_pylist(), key=str) == sorted(ids, key=str)
+    named = spark.createDataFrame([("x", "a b"), (None, "c")], "doc_id string, text string")
+    assert {r.id for r in pk.pack(named, PATH).collect()} == {"x", None}
 
 
 def test_best_two_fit():
