@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.session import shared_dir
@@ -81,6 +81,14 @@ def clean_up(spark: SparkSession) -> None:
 _folders: list[str] = []
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """The durable result of ``make``, without what was written on the way to it."""
+    before = set(_written)
+    out = durable(make())
+    discard(*(df for key, (df, _) in list(_written.items()) if key not in before and df is not out))
+    return out
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder in the shared one, deleted by ``clean_up``."""
     _folders.append(shared_dir(spark))
@@ -125,6 +133,24 @@ def mapped(read: DataFrame, run: Callable[[list[Any]], dict[str, Any]], schema:
     return read.mapInArrow(batches, ", ".join([*head, *(f"{k} {t}" for k, t in schema.items())]))
 
 
+def sample_by_hash(rows: DataFrame, id_col: str, most: int, by: str | None = None) -> DataFrame:
+    """At most ``most`` rows, of each value of ``by`` if given: those with the least hashes of their ids.
+
+    Counts give a hash that a quarter more rows than these lie below, so few rows
+    are ranked. The values of ``by`` must not be null; the driver holds a count of each.
+    """
+    kind = F.col(by) if by else F.lit(0)
+    counts = [r for r in rows.groupBy(kind.alias("kind")).count().collect() if r["kind"] is not None]
+    if not counts:
+        return rows.limit(0)
+    place = F.shiftrightunsigned(F.xxhash64(id_col), 11)
+    ends = [int(2.0**53 * min(1.0, (1.25 * most + 200) / r["count"])) for r in counts]
+    end_of = F.create_map(*[F.lit(x) for r, end in zip(counts, ends, strict=True) for x in (r["kind"], end)])
+    near = rows.withColumn("_place", place).where(F.col("_place") <= F.element_at(end_of, kind))
+    order = Window.partitionBy(kind).orderBy("_place", id_col)
+    return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).select(*rows.columns)
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 

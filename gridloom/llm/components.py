@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import durable
+from gridloom.llm.common import discard, durable
 
 
 def _larger_to_least(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def _smaller_to_least(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of ``edges(u, v)``, roots left out.
 
-    ``component`` is the least node that ``node`` reaches. Self-loops are
+    The result is durable. ``component`` is the least node that ``node`` reaches. Self-loops are
     ignored; an empty edge table gives an empty result.
     """
     flat = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
@@ -42,7 +42,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         now = tuple(flat.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first())
         if now == mark or not now[0]:
-            return flat.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark = now
+            found = durable(flat.select(F.col("u").alias("node"), F.col("v").alias("component")))
+            discard(flat)
+            return found
+        mark, before = now, flat
         flat = durable(_smaller_to_least(_larger_to_least(flat).distinct()).distinct())
+        discard(before)
     raise RuntimeError("components did not settle")

@@ -2,13 +2,14 @@
 
 A 64-bit fingerprint has eight bytes, each with its position. Two fingerprints
 that differ in at most two bits share at least six of their eight positional
-bytes. The index therefore posts every distinct fingerprint under each of the
-28 sets of six positional bytes: two fingerprints meet in a posting list exactly
-when their tally of shared bytes reaches that minimum, and a list never holds
-more than 2**16 fingerprints, whatever the input. (Lists of single bytes would
-grow with the input, and counting their pairs with its square.) Within a list
-the tally is taken per pair, pairs that reach the minimum are kept, and those
-are verified bit by bit.
+bytes. Posting lists of single bytes would grow with the input, and counting
+their pairs with its square. The index therefore posts every distinct
+fingerprint under five positional bytes at a time, for 11 sets of the three left
+out that hold every two positions between them: whichever two bytes a pair
+differs in, one set leaves both out, and the pair meets in its list. Lists hold
+2**24 fingerprints at most, whatever the input. Within a list the shared
+positional bytes are tallied per pair, pairs that reach the guaranteed minimum
+of six are kept, and those are verified bit by bit.
 
 Copies collapse to one fingerprint before they are indexed, and a list passes on
 a spanning set of its verified links rather than all of them, so a large group
@@ -18,7 +19,7 @@ of near copies costs time in proportion to its size.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_digest
 
-from gridloom.llm.common import durable, small_batches
+from gridloom.llm.common import discard, durable, small_batches
 from gridloom.llm.components import components
 
 SHINGLE = 3
@@ -35,12 +36,10 @@ SEED = 42
 MAX_BITS = 2
 #: Positional bytes that a pair within MAX_BITS shares at least.
 MIN_SHARED = 8 - MAX_BITS
-#: The index: for each set of two positional bytes left out, the bits kept.
-POSTING_MASKS = [
-    ~sum(0xFF << (8 * p) for p in left_out) & 0xFFFFFFFFFFFFFFFF for left_out in combinations(range(8), 8 - MIN_SHARED)
-]
+#: The positions left out of the bytes of a list: the lines of a plane on the first seven, and the eighth with pairs of them.
+LEFT_OUT = [*((i, (i + 1) % 7, (i + 3) % 7) for i in range(7)), (0, 1, 7), (2, 3, 7), (4, 5, 7), (0, 6, 7)]
 _CHUNK = 1 << 16
-#: Lists up to this many are compared as a matrix, longer ones by probing.
+#: In lists up to this many each pair is tallied; in longer ones only pairs that a flip of MAX_BITS bits leads to, with the same links.
 _MATRIX = 256
 _PROBES = np.array(
     [(1 << a) | (1 << b) for a in range(64) for b in range(a, 64)], dtype=np.uint64
@@ -154,14 +153,12 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     Every pair within MAX_BITS is joined by a path of edges, and every edge is
     such a pair or the end of such a path inside one posting list.
     """
-    signed = [m - (1 << 64) if m >> 63 else m for m in POSTING_MASKS]
-    # The bytes left out are zero in the key; the lowest of them names the set.
-    tags = [i << (8 * p[0]) for i, p in enumerate(combinations(range(8), 8 - MIN_SHARED))]
-    tags = [t - (1 << 64) if t >> 63 else t for t in tags]
-    postings = [
-        F.col("fp").bitwiseAND(F.lit(m).cast("long")).bitwiseOR(F.lit(t).cast("long"))
-        for m, t in zip(signed, tags, strict=True)
-    ]
+    postings = []
+    for i, left_out in enumerate(LEFT_OUT):
+        mask = ~sum(0xFF << (8 * p) for p in left_out) & (2**64 - 1)
+        tag = i << (8 * min(left_out))  # the lowest byte left out names the set
+        kept = F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
+        postings.append(kept.bitwiseOR(F.lit(tag).cast("long")))
     index = fps.select(F.explode(F.array(*postings)).alias("posting"), "fp")
     index = index.repartition("posting").sortWithinPartitions("posting")
     return index.mapInPandas(_links, "u long, v long")
@@ -178,13 +175,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     small_batches(docs.sparkSession)
     marked = durable(docs.select(F.col(id_col).alias("id"), simhash_udf(F.col(text_col)).alias("fp")))
-    nodes = durable(marked.groupBy("fp").agg(F.min("id").alias("least_id")))
-    roots = components(fingerprint_links(nodes.select("fp")))
-    nodes = nodes.join(roots, nodes.fp == roots.node, "left").select(
+    distinct = durable(marked.groupBy("fp").agg(F.min("id").alias("least_id")))
+    roots = components(fingerprint_links(distinct.select("fp")))
+    nodes = distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "least_id", F.coalesce("component", "fp").alias("root")
     )
     named = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
     nodes = durable(nodes.select("fp", "root").join(named, "root").select("fp", "component_id"))
+    discard(distinct, roots)
     return marked.join(nodes, "fp").select("id", "fp", "component_id")
 
 

@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -114,3 +115,14 @@ def test_query_on_given_table(spark, sf_dir):
     comp = brute_components([r.doc_id for r in docs], fps)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries()["op2_simhash_near_dedup"](spark, sf_dir).collect()}
     assert got == {r.doc_id: (f"{f:016x}", c) for r, f, c in zip(docs, fps, comp, strict=True)}
+
+
+def test_index_covers_every_pair_and_the_tally_rejects():
+    assert {p for x in sh.LEFT_OUT for p in combinations(sorted(x), 2)} == set(combinations(range(8), 2))
+    base = np.uint64(0x0123456789ABCDEF)
+    three_bytes, two_bytes = base ^ np.uint64(0x010101), base ^ np.uint64(0x0101)
+    # Both share a list with the base; only the second shares six bytes.
+    assert sh.shared_bytes(np.array([base ^ three_bytes, base ^ two_bytes])).tolist() == [5, 6]
+    assert sh.linked(np.array([base ^ three_bytes, base ^ two_bytes])).tolist() == [False, True]
+    u, v = sh.list_links(np.array([base, three_bytes]))
+    assert len(u) == len(v) == 0
