@@ -12,15 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import durable, small_batches
+from gridloom.llm.common import discard, durable, id_and_text, mapped, sample_by_hash, small_batches
 
 MAX_N = 3
 PROFILE = 400
 #: Documents of each language that its profile is counted on at most, in order of a hash of their ids.
-TRAIN_DOCS = 4_000
+TRAIN_DOCS = 1_000
 UNDETERMINED = "und"
 _BITS = 21  # of a code point
 
@@ -103,19 +103,12 @@ def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     executors, and of those PROFILE for each language.
     """
     small_batches(docs.sparkSession)
-    named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    langs = sorted(r[0] for r in named.select(lang_col).distinct().collect())
-    if not langs:
-        return Profiles({})
-    picked = None
-    for lang in langs:
-        own = named.where(F.col(lang_col) == lang).select(F.col(id_col).alias("_picked"))
-        own = own.orderBy(F.xxhash64("_picked"), "_picked").limit(TRAIN_DOCS)
-        picked = own if picked is None else picked.union(own)
-    picked = durable(picked.distinct())
-    # The broadcast side has TRAIN_DOCS ids a language at most.
-    read = named.join(F.broadcast(picked), F.col(id_col).eqNullSafe(F.col("_picked")))
-    read = read.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    named = docs.where(F.col(lang_col).isNotNull())
+    named = named.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    picked = sample_by_hash(named.select("_id", "lang"), "_id", TRAIN_DOCS, "lang")
+    picked = durable(picked.select("_id").distinct().withColumnRenamed("_id", "_picked"))
+    # The side that Spark may broadcast has TRAIN_DOCS ids a language at most.
+    read = named.join(picked, F.col("_id").eqNullSafe(F.col("_picked"))).where("text IS NOT NULL").select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -124,12 +117,12 @@ def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pd.DataFrame({"lang": lang, "gram": codes.view(np.int64), "n": counts})
 
     counted = read.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counted = durable(counted)
-    profiles = {}
-    for lang in langs:
-        top = counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(PROFILE).collect()
-        if top:
-            profiles[lang] = [r.gram for r in top]
+    frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    top = counted.withColumn("_rank", F.row_number().over(frequent)).where(F.col("_rank") <= PROFILE)
+    profiles: dict[str, list[int]] = {}
+    for r in sorted(top.select("lang", "_rank", "gram").collect()):
+        profiles.setdefault(r.lang, []).append(r.gram)
+    discard(picked)
     return Profiles(profiles)
 
 
@@ -138,13 +131,9 @@ def identified(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text
 
     Repeated rows and null ids come back as they are; other columns are ignored.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [profiles.predict(t) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "lang_pred": [x for x, _ in found], "score": [x for _, x in found]})
+    def run(texts: list[str | None]) -> dict[str, list]:
+        found = [profiles.predict(t) for t in texts]
+        return {"lang_pred": [x for x, _ in found], "score": [x for _, x in found]}
 
-    small_batches(docs.sparkSession)
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return read.mapInPandas(run, f"id {id_type}, lang_pred string, score double")
+    return mapped(id_and_text(docs, id_col, text_col), run, {"lang_pred": "string", "score": "double"})

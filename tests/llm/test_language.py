@@ -63,3 +63,21 @@ def test_query_is_accurate_on_held_out_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     held = [r for r in rows if r.held_out]
     assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) >= 0.97 * len(held)
+
+
+def test_large_ids_beside_a_null_one(spark):
+    ids = [2**60 + 1, None, 2**60 + 3]
+    df = spark.createDataFrame([(i, "ab", "en") for i in ids], "doc_id long, text string, lang string").coalesce(1)
+    assert lg.identified(df, lg.learn_profiles(df)).toArrow()["id"].to_pylist() == ids
+
+
+def test_profiles_against_plain_counts(spark):
+    rows = [(i, f"{w} {w[::-1]} x{i}", lang) for i, (w, lang) in enumerate([("hello", "en"), ("there", "en"), ("monde", "fr"), ("a" * 50_000, "fr")])]
+    profiles = lg.learn_profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for lang in ("en", "fr"):
+        counts = Counter()
+        for _, text, own in rows:
+            counts.update(lg.gram_codes(text).tolist() if own == lang else [])
+        want = [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))][: lg.PROFILE]
+        row = profiles.ranks[profiles.langs.index(lang)]
+        assert [int(profiles.codes[at]) for at in sorted((r, i) for i, r in enumerate(row.tolist()) if r >= 0) for at in at[1:]] == want
