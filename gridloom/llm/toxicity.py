@@ -2,8 +2,9 @@
 
 Texts are lower-cased, and all but letters become blanks. The features are the
 hashed n-grams, by how often they come in RATE words, and each is scaled by the
-log ratio of its smoothed counts of toxic and other texts. A logistic model with a ridge penalty is fitted on the
-scaled features, so its weights and the ratios multiply into one table.
+log ratio of its smoothed counts of toxic and other texts. A logistic model with
+a ridge penalty is fitted on the scaled features by Spark, whose executors sum
+the gradients, so its weights and the ratios multiply into one table.
 """
 
 from __future__ import annotations
@@ -12,20 +13,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import durable, small_batches
+from gridloom.llm.common import discard, durable, sample_by_hash, small_batches
 
 GRAMS = (4, 5, 6)
 BUCKETS = 1 << 20
+#: N-grams that the model has at most: those that part the classes most.
 FEATURES = 4096
 #: Labelled rows of each class that the model is fitted on at most, in order of a hash of their ids.
 TRAIN_ROWS = 10_000
+#: Labelled texts that an n-gram of the model is in at least.
 MIN_TEXTS = 3
 SMOOTHING = 0.5
 RIDGE = 0.02
-STEPS = 800
+#: Steps of the fit at most.
+STEPS = 100
 RATE = 60
 _SEP = 8  # blanks between the texts of a batch
 _SLICE_CHARS = 1 << 19  # of texts that are counted together
@@ -109,34 +115,17 @@ class Model:
         return np.concatenate(out)
 
 
-def _fit(row: np.ndarray, slot: np.ndarray, value: np.ndarray, size: int, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ridge-penalised logistic regression on scaled values, by accelerated descent."""
-    n = len(y)
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    norm = np.bincount(row, weights=value**2, minlength=n).max(initial=0) + 1
-    rate = 1 / (0.25 * norm + RIDGE / n)
-    w = ahead = np.zeros(size + 1)
-    for k in range(STEPS):
-        z = np.bincount(row, weights=ahead[slot] * value, minlength=n) + ahead[-1]
-        error = share * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        grad = np.r_[np.bincount(slot, weights=error[row] * value, minlength=size) + RIDGE / n * ahead[:-1], error.sum()]
-        new = ahead - rate * grad
-        ahead = new + k / (k + 3) * (new - w)
-        w = new
-    return w[:-1], float(w[-1])
-
-
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from ``labels(id_col, toxic)``, toxic being 0 or 1.
 
-    With one class alone the model has no features and always scores 0 (or 1).
+    It is fitted on TRAIN_ROWS rows of each class at most. Other values, null
+    labels and null ids are left out; a repeated label counts as often. With one
+    class alone the model has no features and always scores 0 (or 1).
     """
     small_batches(docs.sparkSession)
     chosen = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_label_id"), F.col("toxic").alias("_toxic"))
-    picked = [
-        chosen.where(F.col("_toxic") == c).orderBy(F.xxhash64("_label_id"), "_label_id").limit(TRAIN_ROWS) for c in (0, 1)
-    ]
-    picked = durable(picked[0].union(picked[1]))
+    chosen = chosen.where(F.col("_toxic").isin(0, 1))
+    picked = durable(sample_by_hash(chosen, "_label_id", TRAIN_ROWS, "_toxic"))
     # The broadcast side has 2 * TRAIN_ROWS pairs of numbers at most.
     read = docs.select(F.col(id_col).alias("_doc_id"), F.col(text_col).alias("_text"))
     rows = durable(read.join(F.broadcast(picked), F.col("_doc_id") == F.col("_label_id")).select("_doc_id", "_text", "_toxic"))
@@ -152,6 +141,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     size = {r["_toxic"]: r["count"] for r in rows.groupBy("_toxic").count().collect()}
     if len(size) < 2:
+        discard(rows, picked)
         return Model(np.full(BUCKETS, -1, dtype=np.int32), np.zeros(1), 500.0 if 1 in size else -500.0)
     counted = rows.mapInPandas(count, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     p1, p0 = F.col("n1") / size[1], F.col("n0") / size[0]
@@ -171,21 +161,29 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for part in _slices(list(pdf["_text"])):
                 text, slot, value = buckets(part, table)
                 at = np.searchsorted(text, np.arange(1, len(part)))
-                slots += [x.astype("<u2").tobytes() for x in np.split(slot, at)]
-                values += [x.astype("<f4").tobytes() for x in np.split(value, at)]
-            yield pd.DataFrame({"id": pdf["_doc_id"], "toxic": pdf["_toxic"], "slots": slots, "vals": values})
-
-    id_type = rows.schema["_doc_id"].dataType.simpleString()
-    found = rows.mapInPandas(present, f"id {id_type}, toxic int, slots binary, vals binary").toPandas()
-    found = found.sort_values("id", kind="stable")  # the order in which tasks end plays no part
-    y = found["toxic"].to_numpy(float)
-    slot = np.frombuffer(b"".join(found["slots"]), dtype="<u2").astype(np.int64)
-    value = np.frombuffer(b"".join(found["vals"]), dtype="<f4").astype(float) * scale[slot]
-    row = np.repeat(np.arange(len(y)), [len(x) // 2 for x in found["slots"]])
-    weights, bias = _fit(row, slot, value, len(scale), y)
+                slots += np.split(slot.astype(np.int32), at)
+                values += np.split(value * scale[slot], at)
+            yield pd.DataFrame({"toxic": pdf["_toxic"], "slots": slots, "vals": values})
+
+    found = durable(rows.mapInPandas(present, "toxic int, slots array<int>, vals array<double>"))
+    weights, bias = _fit(found, len(scale), size)
+    discard(found, rows, picked)
     return Model(table, weights * scale, bias)
 
 
+def _fit(rows: DataFrame, n_features: int, size: dict[int, int]) -> tuple[np.ndarray, float]:
+    """Ridge-penalised logistic regression in which both classes weigh alike."""
+    if not n_features:
+        return np.zeros(1), float(np.log(size[1] / size[0]))
+    vector = F.udf(lambda slots, vals: Vectors.sparse(n_features, slots, vals), VectorUDT())
+    share = F.when(F.col("toxic") == 1, 0.5 / size[1]).otherwise(0.5 / size[0])
+    given = rows.select(F.col("toxic").cast("double").alias("label"), share.alias("weight"), vector("slots", "vals").alias("features"))
+    fit = LogisticRegression(
+        weightCol="weight", regParam=RIDGE / sum(size.values()), standardization=False, maxIter=STEPS, tol=1e-8
+    ).fit(given)
+    return fit.coefficients.toArray(), float(fit.intercept)
+
+
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of each whole text; a null text scores as an empty one.
 
@@ -207,5 +205,10 @@ def score_column(model: Model, text_col: str, docs: DataFrame):
 
 
 def keep_civil(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that score 0.5 or more."""
+    """``docs`` without the rows that score 0.5 or more.
+
+    A null or empty text is scored as one without an n-gram. Repeated rows and
+    null ids are scored alike and stay or go each by itself; columns and their
+    names are left as they are; an empty table gives an empty one.
+    """
     return docs.where(score_column(model, text_col, docs) < 0.5)
