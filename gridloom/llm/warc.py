@@ -11,23 +11,24 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import durable, shared_dir, small_batches
+from gridloom.llm.common import durable, small_batches, work_dir
 
 ARCHIVE_BYTES = 64 << 20
 #: Payloads of fewer bytes are never revisited.
 REVISIT_BYTES = 0
 LEVEL = 6
+#: Tasks that archives are read in at most; more archives share a task.
+READ_TASKS = 20_000
 _READ = 1 << 20
 _ID = "urn:gridloom:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -126,36 +127,50 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
     The manifest is (path, records, bytes), a row for each archive.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, folder = fs.FileSystem.from_uri(root)
         store.create_dir(folder, recursive=True)
         out, path, count, size = None, "", 0, 0
-        for pdf in batches:
+        for batch in batches:
             done = []
-            for page_id, url, payload, refers in zip(pdf["page_id"], pdf["url"], pdf["payload"], pdf["refers_to"], strict=True):
+            for row in batch.to_pylist():
                 if out is None:
                     path, count, size = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(path, compression=None)
-                member = gzip_member(page_record(_int(page_id), url, bytes(payload), _int(refers)))
+                member = gzip_member(page_record(row["page_id"], row["url"], row["payload"], row["refers_to"]))
                 out.write(member)
                 count, size = count + 1, size + len(member)
                 if size >= ARCHIVE_BYTES:
                     out.close()
                     done.append((path, count, size))
                     out = None
-            yield pd.DataFrame(done, columns=["path", "records", "bytes"])
+            yield _batch(done, _MANIFEST)
         if out is not None:
             out.close()
-            yield pd.DataFrame([(path, count, size)], columns=["path", "records", "bytes"])
+            yield _batch([(path, count, size)], _MANIFEST)
 
     small_batches(pages.sparkSession)
-    return durable(pages.mapInPandas(run, "path string, records long, bytes long"))
+    return durable(pages.mapInArrow(run, "path string, records long, bytes long"))
 
 
-def _int(value: object) -> int | None:
-    return None if pd.isna(value) else int(value)
+_MANIFEST = pa.schema({"path": pa.string(), "records": pa.int64(), "bytes": pa.int64()})
+_RECORDS = pa.schema(
+    {
+        "page_id": pa.int64(),
+        "url": pa.string(),
+        "payload_bytes": pa.int64(),
+        "payload_digest": pa.string(),
+        "record_type": pa.string(),
+        "refers_to": pa.int64(),
+        "payload": pa.binary(),
+    }
+)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
 def read_archives(manifest: DataFrame, root: str, with_payload: bool = False) -> DataFrame:
@@ -163,38 +178,33 @@ def read_archives(manifest: DataFrame, root: str, with_payload: bool = False) ->
 
     With ``with_payload`` the payload follows; a revisit has none of its own.
     """
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-    kinds = ["long", "string", "long", "string", "string", "long", "binary"]
+    schema = _RECORDS if with_payload else _RECORDS.remove(len(_RECORDS) - 1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, _ = fs.FileSystem.from_uri(root)
-
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
-            return out if with_payload else out.drop(columns="payload")
-
-        for pdf in batches:
-            for path in pdf["path"]:
-                rows = []
-                with store.open_input_stream(path, compression=None) as stream:
-                    for r in records(io.BufferedReader(stream, _READ) if not hasattr(stream, "read") else stream):
-                        http, body = r.http
-                        h = r.headers
-                        rows.append(
-                            (_page(h["warc-record-id"]), h.get("warc-target-uri"), int(http["content-length"]),
-                             h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], _page(h.get("warc-refers-to")),
-                             body if h["warc-type"] == "response" and with_payload else None)
-                        )
-                        if len(rows) >= 1000:
-                            yield frame(rows)
-                            rows = []
-                yield frame(rows)
-
-    schema = ", ".join(f"{a} {b}" for a, b in zip(names, kinds, strict=True) if with_payload or a != "payload")
-    # A task for each archive, or else the file scan would put small ones together.
-    return manifest.repartition(max(1, manifest.count())).mapInPandas(run, schema)
+        for path in (x for batch in batches for x in batch.column("path").to_pylist()):
+            rows, size = [], 0
+            with store.open_input_stream(path, compression=None) as stream:
+                for r in records(stream):
+                    http, body = r.http
+                    h = r.headers
+                    rows.append(
+                        (_page(h["warc-record-id"]), h.get("warc-target-uri"), int(http["content-length"]),
+                         h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], _page(h.get("warc-refers-to")),
+                         body if h["warc-type"] == "response" else None)
+                    )
+                    size += len(body) if with_payload else 0
+                    if len(rows) >= 1000 or size >= ARCHIVE_BYTES:
+                        yield _batch(rows, schema)
+                        rows, size = [], 0
+            yield _batch(rows, schema)
+
+    ddl = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    # A task for each archive up to READ_TASKS, or else the file scan would put small ones together.
+    tasks = min(max(1, manifest.count()), READ_TASKS)
+    return manifest.repartition(tasks).mapInArrow(run, ddl + (", payload binary" if with_payload else ""))
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
@@ -207,17 +217,19 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).alias("url"),
         F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"),
-    ).withColumn("digest", F.sha1("payload"))
+    ).withColumn("digest", F.unhex(F.sha1("payload")))
     equal = read.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest")
     shared = equal.agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).where("n > 1")
-    joined = read.join(shared.select(F.col("digest").alias("shared_digest"), "response_id"), F.col("digest") == F.col("shared_digest"), "left")
+    # Written, so that Spark knows its size: small ones are broadcast, and the payloads are not shuffled.
+    shared = durable(shared.select(F.col("digest").alias("shared_digest"), "response_id"))
+    joined = read.join(shared, F.col("digest") == F.col("shared_digest"), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("response_id")), F.col("response_id"))
     return joined.select("page_id", "url", "payload", refers.alias("refers_to"))
 
 
 def archived(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
     """Every page written to archives in the shared folder and read back from them."""
-    root = shared_dir(pages.sparkSession)
+    root = work_dir(pages.sparkSession)
     return read_archives(write_archives(with_revisits(pages, id_col, html_col, url_col), root), root)
 
 

@@ -4,6 +4,7 @@ import io
 import pytest
 
 from gridloom.llm import warc
+from gridloom.llm.common import work_dir
 from gridloom.llm.queries import oracle_sql, queries
 
 
@@ -43,7 +44,7 @@ def test_odd_tables(spark, monkeypatch):
 
 def test_payloads_come_back(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    root = warc.shared_dir(spark)
+    root = work_dir(spark)
     back = warc.read_archives(warc.write_archives(warc.with_revisits(pages), root), root, with_payload=True)
     html = {r.page_id: r.html for r in pages.collect()}
     url = {r.page_id: r.url for r in pages.collect()}
@@ -63,3 +64,10 @@ def test_query_matches_sql(spark, sf_dir):
     got = queries()["op10_warc"](spark, sf_dir).toPandas()
     key = lambda d: sorted(map(str, d[sorted(d.columns)].astype(object).where(d.notna(), None).itertuples(index=False)))
     assert key(got) == key(want.astype(got.dtypes.to_dict()))
+
+
+def test_large_ids(spark):
+    ids = [2**60 + 1, 2**60 + 3, 5, None]
+    df = spark.createDataFrame([(i, "u", "<p>a" if i != 5 else "b") for i in ids], "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.refers_to for r in warc.archived(df).collect()}
+    assert got == {2**60 + 1: 2**60 + 3, 2**60 + 3: None, 5: None, None: 2**60 + 3}
