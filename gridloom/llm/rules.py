@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ASCII_SPACE, durable
+from gridloom.llm.common import ASCII_SPACE, discard, durable, sample_by_hash
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -164,7 +164,8 @@ def learn(
         *[F.count_if((F.col("bad") == b) & ~F.col("aside")).alias("grow_p" if b else "grow_n") for b in (True, False)],
         *[F.count_if((F.col("bad") == b) & F.col("aside")).alias("prune_p" if b else "prune_n") for b in (True, False)],
     )
-    cells = durable(cells)
+    written = durable(cells.coalesce(1))
+    cells = written.coalesce(1)  # a few rows for each bin: its sums need no shuffle
     binned = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(k).alias("bin")) for k in names])).alias("x")
 
     def test(k: str, at_least: bool, i: int) -> Column:
@@ -223,6 +224,7 @@ def learn(
         for c in rule:
             meets = meets & test(*c)
         left = left.where(~meets)
+    discard(written)
     return found
 
 
@@ -233,26 +235,38 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     rule are left to that rule.
     """
     picked = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull())
-    picked = picked.select(F.col(id_col).alias("_label_id"), "quality").orderBy(F.xxhash64(id_col), id_col).limit(TRAIN_ROWS)
-    picked = durable(picked.select("_label_id", F.col("quality").alias("_quality")))
+    picked = picked.select(F.col(id_col).alias("_label_id"), F.col("quality").alias("_quality"))
+    picked = durable(sample_by_hash(picked, "_label_id", TRAIN_ROWS))
     read = docs.select(F.col(id_col).alias("_doc_id"), F.col(text_col).alias("_text"))
     # The broadcast side has TRAIN_ROWS pairs of numbers at most.
     labelled = durable(read.join(F.broadcast(picked), F.col("_doc_id") == F.col("_label_id")))
     # Written between, or the filter and its statistics would go below the join.
-    counted = durable(with_statistics(labelled, "_text").drop("_text")).where(~base_failed())
+    counted = durable(with_statistics(labelled, "_text").drop("_text"))
     aside = F.crc32(F.col("_doc_id").cast("string").cast("binary")) % 3 == 0
-    return learn(counted, features(), F.col("_quality") == 0, aside)
+    found = learn(counted.where(~base_failed()), features(), F.col("_quality") == 0, aside)
+    discard(picked, labelled, counted)
+    return found
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, STATISTICS, base_failed, kept) for each row of ``docs``."""
+    """(id_col, STATISTICS, base_failed, kept) for each row of ``docs``.
+
+    A null or empty text has no word and so fails the base rule. Repeated rows
+    and null ids are judged alike, each by itself, and all come back; other
+    columns are ignored, whatever their names; an empty table gives an empty one.
+    """
     found = learn_quality(docs, labels, id_col, text_col)
     counted = with_statistics(docs.select(id_col, text_col), text_col).drop(text_col)
     return counted.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & found.kept(features()))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the base rule or the list rejects."""
+    """``docs`` without the rows that the base rule or the list rejects.
+
+    Nulls, repeated rows and null ids are treated as by ``judged``. Columns come
+    back as they are, also those that share the statistics' names; names that
+    begin with ``_rule_`` are reserved.
+    """
     found = learn_quality(docs, labels, id_col, text_col)
     counted = with_statistics(docs, text_col, "_rule_")
     kept = ~base_failed("_rule_") & found.kept(features("_rule_"))
