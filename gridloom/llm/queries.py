@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import html_text, language, media, packing, pieces, rules, shards, simhash, toxicity, warc
-from gridloom.llm.common import crc_mod, shared_dir, table
+from gridloom.llm.common import crc_mod, table, work_dir
 
 
 #: Parts in which the documents of op6 arrive, compacted after every other one.
@@ -45,7 +45,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as the compacted shards hold it, with its shard; documents arrive in eight parts."""
-    store = shards.ShardStore(spark, shared_dir(spark))
+    store = shards.ShardStore(spark, work_dir(spark))
     docs = table(spark, sf_dir, "documents")
     version = 0
     for k in range(ARRIVALS):

@@ -14,13 +14,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an arriving shard at most.
-ARRIVAL_ROWS = 1_000
+#: Rows of an arriving shard at most; below that it holds what one task writes.
+ARRIVAL_ROWS = 100_000
 #: Bytes of a merged shard, about; shards from half of it on stay as they are.
 TARGET_BYTES = 32 << 20
 #: Shards of a tier that call for a merge, and the factor from one tier to the next.
 FAN_IN = 4
 TIER_FACTOR = 4
+#: Shards that one job merges at most, and so names that the driver holds then.
+MERGE_SHARDS = 10_000
+#: Rows of a file of the manifest.
+MANIFEST_ROWS = 500_000
 _CODEC = "zstd"
 
 
@@ -39,7 +43,8 @@ class ShardStore:
 
     The manifest has a row (shard, rows, bytes) for each live shard. An empty
     arrival commits a version without new shards. Columns, nulls and repeated
-    rows are kept as they come; all arrivals must have the first one's schema.
+    rows are kept as they come; an arrival of other columns or types than the
+    shards have is refused.
     """
 
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES):
@@ -69,7 +74,7 @@ class ShardStore:
 
     def _commit(self, manifest: DataFrame, version: int) -> int:
         staged = f"staging/{uuid.uuid4().hex}"
-        manifest.coalesce(1).write.parquet(f"{self.root}/{staged}")
+        manifest.coalesce(1 + manifest.count() // MANIFEST_ROWS).write.parquet(f"{self.root}/{staged}")
         self._files().mkdirs(self._path("manifests"))
         jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
         context = self._hadoop.FileContext.getFileContext(self._path("").toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -93,52 +98,82 @@ class ShardStore:
         found = files.select(F.col("_metadata.file_path").alias("shard"), F.col("_metadata.file_size").alias("bytes"))
         return found.groupBy("shard", "bytes").agg(F.count("*").alias("rows")).select("shard", "rows", "bytes")
 
+    def _refuse_other(self, df: DataFrame, live: DataFrame) -> None:
+        one = live.select("shard").first()
+        held = self.spark.read.parquet(one.shard).schema if one else df.schema
+        kinds = lambda schema: [(f.name, f.dataType.simpleString()) for f in schema]
+        if kinds(held) != kinds(df.schema):
+            raise ValueError(f"the shards have {held.simpleString()}, not {df.schema.simpleString()}")
+
     def append(self, df: DataFrame) -> int:
         """Writes ``df`` as small shards and commits them; the new version."""
         before = self.version()
+        live = self.manifest(before)
+        self._refuse_other(df, live)
         folder = f"{self.root}/data/a{uuid.uuid4().hex}"
         df.write.option("maxRecordsPerFile", ARRIVAL_ROWS).option("compression", _CODEC).parquet(folder)
-        return self._commit(self.manifest(before).unionByName(self._written(folder, df.schema)), before + 1)
+        return self._commit(live.unionByName(self._written(folder, df.schema)), before + 1)
 
     def compact(self) -> int:
         """Merges tiers until none has FAN_IN shards, and commits; the version then.
 
-        Without a tier to merge there is no new version. The driver holds a row
-        for each shard that is merged, as its file index does.
+        Without a tier to merge there is no new version. A job merges
+        MERGE_SHARDS of a tier at most; the plan itself stays a table.
         """
         before = self.version()
-        live, changed = self.manifest(before), False
+        live, staged = self.manifest(before), ""
         while True:
-            tiers = live.withColumn("tier", tier_of("bytes", self.target))
-            full = tiers.groupBy("tier").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
-            full = full.where(F.col("tier").isNotNull() & (F.col("n") >= FAN_IN)).orderBy(F.desc("tier")).collect()
+            tiers = live.withColumn("tier", tier_of("bytes", self.target)).where("tier IS NOT NULL")
+            full = tiers.groupBy("tier").count().where(F.col("count") >= FAN_IN).orderBy(F.desc("tier")).first()
             if not full:
                 break
-            merged = tiers.where(F.col("tier") == full[0].tier)
-            paths = [r.shard for r in merged.select("shard").collect()]
-            read = self.spark.read.parquet(*paths)
+            # The shards of earlier runs first, by their names, so that a plan made again is the same.
+            merged = tiers.where(F.col("tier") == full.tier).orderBy("bytes", "shard").limit(MERGE_SHARDS)
+            chosen = merged.select("shard", "bytes").collect()
+            read = self.spark.read.parquet(*(r.shard for r in chosen))
             folder = f"{self.root}/data/c{uuid.uuid4().hex}"
-            files = max(1, round(full[0].size / self.target))
+            files = max(1, round(sum(r.bytes for r in chosen) / self.target))
             read.coalesce(files).write.option("compression", _CODEC).parquet(folder)
-            rest = tiers.where(~F.col("tier").eqNullSafe(F.lit(full[0].tier))).drop("tier")
-            next_rows = rest.unionByName(self._written(folder, read.schema)).collect()
-            live = self.spark.createDataFrame(next_rows, "shard string, rows long, bytes long")
-            changed = True
-        return self._commit(live, before + 1) if changed else before
+            rest = live.join(merged.select("shard"), "shard", "left_anti")
+            last, staged = staged, f"{self.root}/staging/{uuid.uuid4().hex}"
+            rest.unionByName(self._written(folder, read.schema)).write.parquet(staged)
+            live = self.spark.read.parquet(staged)
+            self._drop(last)
+        if not staged:
+            return before
+        version = self._commit(live, before + 1)
+        self._drop(staged)
+        return version
+
+    def _drop(self, path: str) -> None:
+        if path:
+            self._files().delete(self._hadoop.Path(path), True)
 
     def read(self, version: int | None = None) -> DataFrame | None:
-        """All rows of a version, with its hidden ``_metadata`` columns; None if it has none."""
-        paths = [r.shard for r in self.manifest(version).select("shard").collect()]
+        """All rows of a version, with its hidden ``_metadata`` columns; None if it has none.
+
+        The driver holds the name of each shard, as Spark's own list of a table's files does.
+        """
+        paths = [r.shard for r in self.manifest(version).select("shard").toLocalIterator()]
         return self.spark.read.parquet(*paths) if paths else None
 
     def vacuum(self, keep: int = 1) -> int:
-        """Deletes data files that none of the last ``keep`` versions name; how many."""
+        """Deletes data files that none of the last ``keep`` versions names; how many.
+
+        Folders are gone through one after another; of each the driver holds the names.
+        """
         last = self.version()
-        live = {self._hadoop.Path(r.shard).toUri().getPath() for v in range(max(1, last - keep + 1), last + 1) for r in self.manifest(v).collect()}
+        versions = [f"{self.root}/manifests/v{v:08d}" for v in range(max(1, last - keep + 1), last + 1)]
+        live = self.spark.read.parquet(*versions).select(F.substring_index(F.col("shard"), "/data/", -1).alias("shard")).distinct()
+        counts = {r["folder"]: r["count"] for r in live.groupBy(F.substring_index("shard", "/", 1).alias("folder")).count().collect()}
         fs, gone = self._files(), 0
-        for folder in fs.listStatus(self._path("data")):
-            for f in fs.listStatus(folder.getPath()):
-                name = f.getPath().getName()
-                if name.endswith(".parquet") and f.getPath().toUri().getPath() not in live:
-                    gone += bool(fs.delete(f.getPath(), False))
+        for folder in (x.getPath() for x in fs.listStatus(self._path("data"))):
+            name = folder.getName()
+            files = [x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().endswith(".parquet")]
+            if not counts.get(name):
+                gone += len(files)
+                fs.delete(folder, True)
+            elif counts[name] < len(files):
+                held = {r.shard for r in live.where(F.col("shard").startswith(f"{name}/")).collect()}
+                gone += sum(bool(fs.delete(f, False)) for f in files if f"{name}/{f.getName()}" not in held)
         return gone

@@ -78,3 +78,24 @@ def test_query_merges_over_several_arrivals(spark, tmp_path, monkeypatch):
     assert sorted(map(repr, ((r.doc_id, r.text_md5) for r in rows))) == sorted(map(repr, want))
     assert len([m for m in merged if m]) > 1
     assert any("/data/c" in shard for m in merged for shard in m)  # shards of an earlier merge are merged again
+
+
+def test_other_columns_are_refused(spark):
+    store = shards.ShardStore(spark, shared_dir(spark))
+    store.append(spark.range(3))
+    for other in (spark.range(3).withColumnRenamed("id", "x"), spark.range(3).selectExpr("cast(id AS int) AS id")):
+        with pytest.raises(ValueError):
+            store.append(other)
+    assert store.append(spark.range(2)) == 2
+
+
+def test_a_tier_is_merged_in_bounded_jobs(spark, monkeypatch):
+    monkeypatch.setattr(shards, "ARRIVAL_ROWS", 10)
+    monkeypatch.setattr(shards, "MERGE_SHARDS", 5)
+    store = shards.ShardStore(spark, shared_dir(spark), target_bytes=1 << 20)
+    store.append(spark.range(230))
+    before = store.manifest().count()
+    store.compact()
+    assert store.manifest().count() < before and contents(store.read()) == contents(spark.range(230))
+    tiers = store.manifest().withColumn("tier", shards.tier_of("bytes", 1 << 20)).groupBy("tier").count().collect()
+    assert all(r["count"] < shards.FAN_IN for r in tiers if r.tier is not None)
