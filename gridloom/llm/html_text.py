@@ -11,16 +11,14 @@ import heapq
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import small_batches
+from gridloom.llm.common import mapped
 
 #: Elements whose whole content is no text of the page; without an end tag they run to the end of it.
 _RAW = "script|style|template|textarea|title"
@@ -523,12 +521,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     tree = labelled_tree()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [extract(x, tree) for x in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def run(pages: list[str | None]) -> dict[str, list]:
+        texts = [extract(x, tree) for x in pages]
+        return {"text": texts, "n_chars": [len(t) for t in texts]}
 
-    small_batches(pages.sparkSession)
     read = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    id_type = pages.schema[id_col].dataType.simpleString()
-    return read.mapInPandas(run, f"page_id {id_type}, url string, text string, n_chars long")
+    return mapped(read, run, {"text": "string", "n_chars": "long"})

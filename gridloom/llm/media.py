@@ -13,14 +13,11 @@ import hashlib
 import io
 import wave
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from gridloom.llm.common import small_batches
+from gridloom.llm.common import id_and_text, mapped
 
 ALIGN = 64
 RATE = 8000
@@ -110,27 +107,33 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty and has a payload of 64 zero bytes. Repeated rows and null ids come
     back as they are; other columns are ignored.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                n, payload = padded(text)
-                media = to_wav(payload)
-                back = from_wav(media)
-                marks = landmarks(*peaks(back))
-                digest = hashlib.sha256(marks.astype("<i8").tobytes()).hexdigest()
-                rows.append(
-                    (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ALIGN:]), len(media),
-                     hashlib.sha256(media).hexdigest(), f"{len(marks)}:{digest}", marks, media)
-                )
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "id", pdf["id"].to_numpy())
-            yield out if keep_media else out.drop(columns="media")
-
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "landmarks", "media"]
-    kinds = ["long", "long", "string", "long", "long", "string", "string", "array<long>", "binary"]
-    schema = ", ".join([f"id {id_type}", *(f"{a} {b}" for a, b in zip(names, kinds, strict=True) if keep_media or a != "media")])
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    schema = {
+        "n_bytes": "long",
+        "payload_bytes": "long",
+        "payload_sha256": "string",
+        "tail_crc32": "long",
+        "media_bytes": "long",
+        "media_sha256": "string",
+        "feature": "string",
+        "landmarks": "array<long>",
+    }
+    if keep_media:
+        schema["media"] = "binary"
+
+    def run(texts: list[str | None]) -> dict[str, list]:
+        out: dict[str, list] = {k: [] for k in schema}
+        for text in texts:
+            n, payload = padded(text)
+            media = to_wav(payload)
+            back = from_wav(media)
+            marks = landmarks(*peaks(back))
+            digest = hashlib.sha256(marks.astype("<i8").tobytes()).hexdigest()
+            row = (
+                n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ALIGN:]), len(media),
+                hashlib.sha256(media).hexdigest(), f"{len(marks)}:{digest}", marks, media
+            )
+            for column, value in zip(out.values(), row, strict=False):
+                column.append(value)
+        return out
+
+    return mapped(id_and_text(docs, id_col, text_col), run, schema)

@@ -12,15 +12,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from gridloom.llm.common import small_batches
+from gridloom.llm.common import id_and_text, mapped
 from gridloom.llm.merges import Memory, MergeRounds
 
 BLANK = "▁"
@@ -144,40 +141,28 @@ def coded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
     A null text counts as empty and has the begin and end ids alone. Repeated
     rows come back as often; null ids are kept; other columns are ignored.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+    def run(texts: list[str | None]) -> dict[str, list]:
         coder = coder_of(model_path)
-        for pdf in batches:
-            ids = coder.encode_batch(list(pdf["text"]))
-            as_lists = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids]
-            yield pd.DataFrame({"id": pdf["id"], "ids": as_lists, "decoded": [coder.decode(x) for x in ids]})
+        ids = coder.encode_batch(texts)
+        as_lists = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids]
+        return {"ids": as_lists, "decoded": [coder.decode(x) for x in ids]}
 
-    return _read(docs, id_col, text_col).mapInPandas(run, f"id {_type(docs, id_col)}, ids array<int>, decoded string")
+    return mapped(id_and_text(docs, id_col, text_col), run, {"ids": "array<int>", "decoded": "string"})
 
 
 def coded_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256), as for ``coded``."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+    def run(texts: list[str | None]) -> dict[str, list]:
         coder = coder_of(model_path)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for pdf in batches:
-            ids = coder.encode_batch(list(pdf["text"]))
-            yield pd.DataFrame(
-                {
-                    "id": pdf["id"],
-                    "n_tokens": [len(x) // 4 for x in ids],
-                    "ids_sha256": [sha(x) for x in ids],
-                    "decoded_sha256": [sha(coder.decode(x).encode()) for x in ids],
-                }
-            )
-
-    schema = f"id {_type(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _read(docs, id_col, text_col).mapInPandas(run, schema)
-
-
-def _type(docs: DataFrame, column: str) -> str:
-    return docs.schema[column].dataType.simpleString()
-
-
-def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        ids = coder.encode_batch(texts)
+        return {
+            "n_tokens": [len(x) // 4 for x in ids],
+            "ids_sha256": [sha(x) for x in ids],
+            "decoded_sha256": [sha(coder.decode(x).encode()) for x in ids],
+        }
+
+    schema = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    return mapped(id_and_text(docs, id_col, text_col), run, schema)

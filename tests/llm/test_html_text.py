@@ -159,3 +159,9 @@ def test_query_on_given_table(spark, sf_dir):
         parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in parts]
         assert r.text == "\n\n".join(x for x in parts if x), r.page_id
         assert r.n_chars == len(r.text)
+
+
+def test_large_ids_beside_a_null_one(spark):
+    ids = [2**60 + 1, None, 2**60 + 3]
+    df = spark.createDataFrame([(i, "u", "<p>a") for i in ids], "page_id long, url string, html string").coalesce(1)
+    assert ht.main_text(df).toArrow()["page_id"].to_pylist() == ids

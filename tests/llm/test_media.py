@@ -72,3 +72,9 @@ def test_query_on_given_table(spark, sf_dir):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.media_sha256 == hashlib.sha256(stored).hexdigest()
         assert r.tail_crc32 == zlib.crc32(payload[-64:])
         assert features.setdefault(docs[r.doc_id], (r.feature, r.landmarks)) == (r.feature, r.landmarks)
+
+
+def test_large_ids_beside_a_null_one(spark):
+    ids = [2**60 + 1, None, 2**60 + 3]
+    df = spark.createDataFrame([(i, "a") for i in ids], "doc_id long, text string").coalesce(1)
+    assert media.media_columns(df).toArrow()["id"].to_pylist() == ids

@@ -1,12 +1,13 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
 from sentencepiece import SentencePieceProcessor
 
-from gridloom.llm.pieces import BLANK, PieceCoder, coded
+from gridloom.llm.pieces import BLANK, PieceCoder, coded, coded_digests
 from gridloom.llm.queries import queries
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -66,3 +67,20 @@ def test_query_on_given_table(spark, sf_dir, sp):
         sha = hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
         assert got[r.doc_id] == (len(ids), sha, hashlib.sha256(sp.decode(ids).encode()).hexdigest())
     assert len(got) == len(rows)
+
+
+def test_large_ids_beside_a_null_one(spark):
+    ids = [2**60 + 1, None, 2**60 + 3]
+    df = spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string").coalesce(1)
+    assert coded_digests(df, MODEL).toArrow()["id"].to_pylist() == ids
+    assert coded(df, MODEL).toArrow()["id"].to_pylist() == ids
+
+
+def test_long_unbroken_text_takes_time_in_proportion():
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    coder, began = PieceCoder(MODEL), time.process_time()
+    got = coder.encode_batch([text])[0]
+    assert time.process_time() - began < 6
+    sp = SentencePieceProcessor(model_file=MODEL)
+    assert np.frombuffer(got, dtype="<u4").tolist() == sp.encode(text, add_bos=True, add_eos=True)
