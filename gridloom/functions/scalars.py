@@ -14,15 +14,23 @@ PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 EXAMPLE_POLYNOMIAL = (0.2, 0.01, 0.025, 0.1)
 
 
+#: What Unicode text splitting takes for white space. The escapes mean the same in Java and RE2.
+WHITE_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def normalize_text(s: Column) -> Column:
-    """Lower case, punctuation off, articles off, white space squeezed."""
+    """Lower case, punctuation off, articles off, white space squeezed.
+
+    Letters of any script end a word as they do in Unicode, whatever the JVM
+    takes for a word boundary.
+    """
     out = F.translate(F.lower(s), PUNCTUATION, "")
-    out = F.regexp_replace(out, r"\b(a|an|the)\b", " ")
+    out = F.regexp_replace(out, r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])", " ")
     return squeeze(out)
 
 
 def squeeze(s: Column) -> Column:
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    return F.trim(F.regexp_replace(s, WHITE_SPACE + "+", " "))
 
 
 def span(s: Column, start: Column, end: Column) -> Column:
@@ -107,6 +115,15 @@ def test_functions(x: Column) -> dict[str, Column]:
     }
 
 
+def scaled(x: Column, top: float = 255.0) -> Column:
+    """Values from 0 to ``top`` as shares of it."""
+    return x / F.lit(float(top))
+
+
+def scaled_array(array: Column, top: float = 255.0) -> Column:
+    return F.transform(array, lambda x: scaled(x.cast("double"), top))
+
+
 def cosine_bump(x: Column, y: Column) -> Column:
     return F.cos(math.pi * x / 2) * F.cos(math.pi * y / 2)
 

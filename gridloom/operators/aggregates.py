@@ -87,9 +87,9 @@ def accuracy(true: Column, pred: Column) -> Column:
 
 
 def regression_metrics(y: Column, p: Column, eps: float = 0.0) -> dict[str, Column]:
-    """mse, mae, half-SSE and R2, in one pass: SStot from the sums of y and y squared."""
+    """mse, mae, half-SSE and R2, in one pass: SStot from the variance, as large means would cancel in sums of squares."""
     rss = F.sum((y - p) ** 2)
-    tss = F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(y)
+    tss = F.var_pop(y) * F.count(y)
     return {
         "mse": F.avg((y - p) ** 2),
         "mae": F.avg(F.abs(y - p)),
@@ -109,6 +109,12 @@ def compared(x: Column, reference: Column, tolerance: float) -> dict[str, Column
     return {"n_differ": F.count_if(error > tolerance), "max_error": F.max(error), "max_abs": F.max(F.abs(x - reference))}
 
 
+def affine_check(df: DataFrame, idx: str, value: str, slope: float, constant: float, tolerance: float = 0.0) -> DataFrame:
+    """One row: rows, and how many of them are not slope * idx + constant within the tolerance; a null value is not."""
+    off = F.abs(F.col(value) - (F.lit(slope) * F.col(idx) + F.lit(constant)))
+    return df.agg(F.count("*").alias("n"), F.count_if(F.coalesce(off > tolerance, F.lit(True))).alias("n_wrong"))
+
+
 def squared_deviation(x: Column, before: Column) -> Column:
     return F.sum((x - before) ** 2)
 

@@ -8,15 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def neighbours(grid: DataFrame) -> DataFrame:
+#: Rows and columns of a tile of the grid, which one task holds.
+TILE = 512
+
+
+def neighbours(grid: DataFrame, tile: int = TILE) -> DataFrame:
     """``grid`` with north, south, west and east values; null beyond the grid.
 
-    Windows run along rows and along columns, so no task holds more than a line.
+    Tiles get a border of one cell from those around them, so both directions
+    are ordered after a single shuffle by tile.
     """
-    along_i, along_j = Window.partitionBy("j").orderBy("i"), Window.partitionBy("i").orderBy("j")
-    return grid.withColumns({"west": F.lag("v").over(along_i), "east": F.lead("v").over(along_i)}).withColumns(
+    near = lambda c: F.explode(F.array_distinct(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.floor((F.col(c) + k) / tile))))
+    placed = grid.withColumn("_ti", near("i")).withColumn("_tj", near("j")).repartition("_ti", "_tj")
+    along_i, along_j = Window.partitionBy("_ti", "_tj", "j").orderBy("i"), Window.partitionBy("_ti", "_tj", "i").orderBy("j")
+    made = placed.withColumns({"west": F.lag("v").over(along_i), "east": F.lead("v").over(along_i)}).withColumns(
         {"south": F.lag("v").over(along_j), "north": F.lead("v").over(along_j)}
     )
+    own = (F.floor(F.col("i") / tile) == F.col("_ti")) & (F.floor(F.col("j") / tile) == F.col("_tj"))
+    return made.where(own).drop("_ti", "_tj")
 
 
 def diffusion(grid: DataFrame, dt: float = 0.1, steps: int = 1) -> DataFrame:
@@ -36,10 +45,15 @@ def energy(grid: DataFrame, dx: float) -> DataFrame:
     return grid.agg((F.sum("v") * dx * dx).alias("energy"))
 
 
-def residual(grid: DataFrame, old: str, alpha: float, dxs: float, border: float = 0.0) -> DataFrame:
-    """(i, j, s): -(4 + alpha) v + neighbours + alpha * old + dxs * v (1 - v), ``border`` beyond the grid."""
+def residual(grid: DataFrame, old: str, alpha: float, dxs: float, border: float | dict[str, Column] = 0.0) -> DataFrame:
+    """(i, j, s): -(4 + alpha) v + neighbours + alpha * old + dxs * v (1 - v).
+
+    ``border`` is the value beyond the grid, or the border vectors: an expression
+    of i or j for each of west, east, south and north.
+    """
     v = F.col("v")
-    around = sum((F.coalesce(x, F.lit(border)) for x in ("west", "east", "south", "north")), F.lit(0.0))
+    beyond = border if isinstance(border, dict) else {k: F.lit(border) for k in ("west", "east", "south", "north")}
+    around = sum((F.coalesce(F.col(k), x) for k, x in beyond.items()), F.lit(0.0))
     s = -(4 + alpha) * v + around + alpha * F.col(old) + dxs * v * (1 - v)
     return neighbours(grid).select("i", "j", s.alias("s"))
 

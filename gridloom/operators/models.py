@@ -14,11 +14,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.aggregates import moments
 from gridloom.operators.blocks import in_key_order
+from gridloom.session import delete, stored
 
 
 def fit_polynomial(df: DataFrame, x: Column, y: Column, degree: int, ridge: float = 0.0) -> list[float]:
@@ -34,16 +35,27 @@ def mean_squared_error(y: Column, p: Column) -> Column:
 
 
 def error_curve(df: DataFrame, x: Column, y: Column, trial: Column, trials: int, degrees: Sequence[int], ridge: float = 0.0) -> list[tuple[int, float]]:
-    """(degree, mean error on the other trials' rows): each trial fits on its own rows."""
-    out = []
-    for k in degrees:
-        errors = []
-        for t in range(trials):
-            c = fit_polynomial(df.where(trial == t), x, y, k, ridge)
-            p = sum((F.lit(v) * x**i for i, v in enumerate(c)), F.lit(0.0))
-            errors.append(df.where(trial != t).agg(mean_squared_error(y, p)).first()[0])
-        out.append((k, float(np.mean(errors))))
-    return out
+    """(degree, mean error on the other trials' rows): each trial fits on its own rows.
+
+    Two scans: the moments of each trial up to the largest degree give all fits,
+    then one row has all errors.
+    """
+    top = max(degrees)
+    rows = df.select(trial.alias("_t"), x.alias("_x"), y.alias("_y")).where(F.col("_t").between(0, trials - 1))
+    powers = [F.sum(F.col("_x") ** p).alias(f"x{p}") for p in range(2 * top + 1)]
+    powers += [F.sum(F.col("_x") ** p * F.col("_y")).alias(f"x{p}y") for p in range(top + 1)]
+    fits: dict[tuple[int, int], list[float]] = {}
+    for m in rows.groupBy("_t").agg(*powers).collect():
+        for k in degrees:
+            a = np.array([[m[f"x{i + j}"] for j in range(k + 1)] for i in range(k + 1)], dtype=float)
+            b = np.array([m[f"x{p}y"] for p in range(k + 1)], dtype=float)
+            fits[m["_t"], k] = np.linalg.solve(a + ridge * np.eye(k + 1), b).tolist()
+    missed = [
+        mean_squared_error(F.when(F.col("_t") != t, F.col("_y")), sum((F.lit(v) * F.col("_x") ** i for i, v in enumerate(c)), F.lit(0.0))).alias(f"e{t}_{k}")
+        for (t, k), c in fits.items()
+    ]
+    got = rows.agg(*missed).first() if missed else {}
+    return [(k, float(np.mean([got[f"e{t}_{d}"] for t, d in fits if d == k]))) for k in degrees if missed]
 
 
 def descend(gradient: Callable[[float], float], x: float, rate: float = 0.1, tolerance: float = 1e-4, decay: float = 0.0, most: int = 10_000) -> list[float]:
@@ -138,6 +150,60 @@ def stochastic_descent(df: DataFrame, key: str, order: Sequence[str], x: str, y:
     return ordered.mapInArrow(compose, schema).groupBy(key).applyInPandas(fold, f"{key} {key_type}, a double, b double, cost double")
 
 
+def mini_batch_descent(df: DataFrame, batch: Column, x: Column, y: Column, rate: float, epochs: int = 1, start: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """(a, b, batches): y = a + b x by descent on each batch's mean squared error, batches in ascending order.
+
+    A batch's step is an affine map of (a, b) that its sums give, and maps in a
+    row compose to one. A thousand at a time are composed on the executors until
+    one is left for an epoch, so no task and no driver goes through all batches.
+    """
+    sums = df.select(batch.alias("_at"), x.cast("double").alias("_x"), y.cast("double").alias("_y")).where("_at IS NOT NULL AND _x IS NOT NULL AND _y IS NOT NULL")
+    n, mean = F.count("*"), lambda c: F.avg(c)
+    step = [
+        F.lit(1.0 - 2 * rate), -2 * rate * mean(F.col("_x")), 2 * rate * mean(F.col("_y")),
+        -2 * rate * mean(F.col("_x")), 1.0 - 2 * rate * mean(F.col("_x") ** 2), 2 * rate * mean(F.col("_x") * F.col("_y")),
+    ]
+    maps = sums.groupBy("_at").agg(F.array(*step).alias("m"), n.alias("n"), F.lit(1).cast("long").alias("batches"))
+
+    def composed(first: Column, then: Column) -> Column:
+        f, t = (lambda k: F.element_at(first, k + 1)), (lambda k: F.element_at(then, k + 1))
+        row = lambda r: [t(r) * f(k) + t(r + 1) * f(3 + k) + (t(r + 2) if k == 2 else F.lit(0.0)) for k in range(3)]
+        return F.array(*row(0), *row(3))
+
+    one = F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)])
+    place = in_key_order(maps.withColumn("_one", F.lit(0)), "_one", ["_at"]).select("_at", "m", "batches", F.spark_partition_id().alias("_part"))
+    # Rows of a range follow one another, so parts of a range do too, whatever their number.
+    kept, path = stored(place)
+    ranked = kept.withColumn("_k", F.floor((F.row_number().over(Window.partitionBy("_part").orderBy("_at")) - 1) / 1000))
+    while True:
+        ordered = F.array_sort(F.collect_list(F.struct("_at", "m")))
+        ranked = ranked.groupBy("_part", "_k").agg(
+            F.min("_at").alias("_at"), F.aggregate(F.transform(ordered, lambda z: z["m"]), one, composed).alias("m"), F.sum("batches").alias("batches")
+        )
+        many = ranked.agg(F.count("*")).first()[0]
+        if many <= 1:
+            break
+        # Few are left: a thousand batches each, numbered in one order.
+        ranked = ranked.select("_at", "m", "batches", F.lit(0).alias("_part"), F.floor((F.row_number().over(Window.orderBy("_at")) - 1) / 1000).alias("_k"))
+    got = ranked.select("m", "batches").first()
+    delete(df.sparkSession, path)
+    a, b = start
+    for _ in range(epochs if got else 0):
+        a, b = got.m[0] * a + got.m[1] * b + got.m[2], got.m[3] * a + got.m[4] * b + got.m[5]
+    return df.sparkSession.range(1).select(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), F.lit(got.batches if got else 0).cast("long").alias("batches"))
+
+
+def save_fit(spark: SparkSession, coefficients: Sequence[float], path: str) -> None:
+    """A polynomial's coefficients as a Parquet table (power, coefficient)."""
+    rows = [(k, float(c)) for k, c in enumerate(coefficients)]
+    spark.createDataFrame(rows, "power int, coefficient double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_fit(spark: SparkSession, path: str) -> list[float]:
+    rows = spark.read.schema("power int, coefficient double").parquet(path).collect()
+    return [r.coefficient for r in sorted(rows)]
+
+
 def gradient_loop(df: DataFrame, gradient: Callable[[list[float]], list[Column]], start: list[float], rate: float, steps: int) -> list[float]:
     """Descent with one aggregation a step: the mean of each gradient column."""
     w = list(start)
@@ -148,15 +214,22 @@ def gradient_loop(df: DataFrame, gradient: Callable[[list[float]], list[Column]]
 
 
 def perceptron(df: DataFrame, features: Sequence[Column], target: Column, rate: float = 0.25, epochs: int = 20) -> list[float]:
-    """Weights, the bias input -1 last, by batch updates under the step activation."""
-    inputs = [*features, F.lit(-1.0)]
+    """Weights, the bias input -1 last, by batch updates under the step activation.
+
+    Features are made and written once; every epoch reads them again.
+    """
+    names = [f"f{k}" for k in range(len(features))]
+    rows, path = stored(df.select(*[f.cast("double").alias(k) for f, k in zip(features, names, strict=True)], target.alias("target")))
+    inputs = [*map(F.col, names), F.lit(-1.0)]
 
     def gradient(w: list[float]) -> list[Column]:
         fires = sum((F.lit(a) * x for a, x in zip(w, inputs, strict=True)), F.lit(0.0)) > 0
-        error = fires.cast("int") - target
+        error = fires.cast("int") - F.col("target")
         return [error * x for x in inputs]
 
-    return gradient_loop(df, gradient, [0.0] * len(inputs), rate, epochs)
+    w = gradient_loop(rows, gradient, [0.0] * len(inputs), rate, epochs)
+    delete(df.sparkSession, path)
+    return w
 
 
 @dataclass
@@ -197,7 +270,7 @@ def boost(df: DataFrame, x: Column, y: Column, rounds: int = 3, depth: int = 2,
     rows = df.select(x.cast("double").alias("x"), y.cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     cuts = rows.agg(F.percentile_approx("x", [k / bins for k in range(1, bins)], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))
-    binned = rows.withColumn("bin", F.least(*[F.when(F.col("x") <= c, k).otherwise(len(cuts)) for k, c in enumerate(cuts)], F.lit(len(cuts))) if cuts else F.lit(0))
+    binned, path = stored(rows.withColumn("bin", F.least(*[F.when(F.col("x") <= c, k).otherwise(len(cuts)) for k, c in enumerate(cuts)], F.lit(len(cuts))) if cuts else F.lit(0)))
     trees: list[Stump] = []
     for _ in range(rounds):
         predicted = sum((t.column(F.col("x")) for t in trees), F.lit(0.0))
@@ -207,6 +280,7 @@ def boost(df: DataFrame, x: Column, y: Column, rounds: int = 3, depth: int = 2,
         if sums.empty:
             break
         trees.append(_grow(sums, depth))
+    delete(df.sparkSession, path)
     return trees
 
 

@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.scalars import uniform
 from gridloom.operators.blocks import running
+from gridloom.operators.sequences import group_position
 
 
 def select(df: DataFrame, idx: str, predicate: Column, position: str = "position") -> DataFrame:
@@ -56,13 +58,20 @@ def split_contiguous(df: DataFrame, idx: str, shares: dict[str, float], size: in
 
 
 def split_random(df: DataFrame, key: str, train: float, seed: int = 0) -> DataFrame:
-    """A split by a hash of the key: the same at every run, whatever the partitions."""
-    at = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) / 1_000_000
+    """A split by a digest of the key: the same at every run and in any engine, whatever the partitions."""
+    at = uniform(F.col(key), f"/{seed}")
     return df.withColumn("split", F.when(at < train, "train").otherwise("test"))
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key)
+    """Rows in the order of a digest of the key; equal keys by the key."""
+    return df.orderBy(uniform(F.col(key), f"/{seed}"), key)
+
+
+def shuffled_places(df: DataFrame, key: str, seed: int = 0, name: str = "place") -> DataFrame:
+    """``df`` with each row's place from 0 in the order of ``shuffled``, without one task that holds all."""
+    drawn = df.withColumns({"_one": F.lit(0), "_draw": uniform(F.col(key), f"/{seed}")})
+    return group_position(drawn, "_one", ["_draw", key], name).drop("_one", "_draw")
 
 
 def one_hot(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:

@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalars import mask, normalize_text, padded
+from gridloom.functions.scalars import mask, normalize_text, padded, squeeze
+
+
+#: A token: a run of letters and digits, or a single other sign.
+TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+
+
+def token_ids(text: Column, vocabulary: int) -> Column:
+    """An id from 1 to ``vocabulary`` for each token, from a digest of it in lower case: the same in any engine."""
+    id_of = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % vocabulary + 1
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), id_of)
 
 
 def words(text: Column) -> Column:
@@ -60,6 +70,31 @@ def span_tokens(tokens_of: DataFrame, answers: DataFrame, key: str) -> DataFrame
     return met.groupBy(key).agg(F.min("place").alias("start_token"), (F.max("place") + 1).alias("end_token"))
 
 
+def answer_spans(df: DataFrame, key: str, context: str, question: str, answer: str, start: str, size: int = 384) -> DataFrame:
+    """(key, start_token, end_token, n_context, n_question) of questions whose answer can be found.
+
+    White space of the three texts is squeezed first; ``start`` is the answer's
+    first character in the squeezed context. Left out are rows whose answer ends
+    at or beyond the context's last character, answers that touch no token, and
+    rows of more than ``size`` tokens together. A null in any of the columns
+    leaves a row out; keys tell rows apart.
+    """
+    rows = df.select(
+        F.col(key).alias("_key"), squeeze(F.col(context)).alias("_context"), squeeze(F.col(question)).alias("_question"),
+        F.col(start).cast("int").alias("answer_start"), (F.col(start) + F.char_length(squeeze(F.col(answer)))).cast("int").alias("answer_end"),
+    )
+    rows = rows.where(F.col("answer_end") < F.char_length("_context"))
+    found = tokens(rows, "_key", "_context")
+    inside = (F.col("start") < F.col("answer_end")) & (F.col("end") > F.col("answer_start"))
+    met = found.join(rows.select(F.col("_key").alias("_of"), "answer_start", "answer_end"), F.col("_key") == F.col("_of"))
+    spans = met.groupBy("_key").agg(
+        F.min(F.when(inside, F.col("place"))).alias("start_token"), (F.max(F.when(inside, F.col("place"))) + 1).alias("end_token"), F.count("*").alias("n_context")
+    )
+    asked = rows.select("_key", F.regexp_count("_question", F.lit(TOKEN)).cast("long").alias("n_question"))
+    out = spans.where("start_token IS NOT NULL").join(asked, "_key").where(F.col("n_context") + F.col("n_question") <= size)
+    return out.withColumnRenamed("_key", key)
+
+
 def model_inputs(df: DataFrame, context: str, question: str, size: int = 384) -> DataFrame:
     """ids, types and mask of fixed length: context, then the question without its first id; longer rows are dropped."""
     rest = F.slice(F.col(question), 2, F.greatest(F.size(question) - 1, F.lit(0)))

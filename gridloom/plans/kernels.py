@@ -285,6 +285,17 @@ def residual_once(spark: SparkSession, sf: str) -> DataFrame:
     return gd.residual(grid, "o", 1.0, 0.5).select("i", "j", F.round("s", 6).alias("s"))
 
 
+@query(
+    "SELECT i, j, round(-5 * v + coalesce(lag(v) OVER a, 0.1 * j) + coalesce(lead(v) OVER a, 0.2 * j) + coalesce(lag(v) OVER b, 0.3 * i) + coalesce(lead(v) OVER b, 0.4 * i)"
+    f" + v / 2 + 0.5 * v * (1 - v), 6) AS s FROM (SELECT i, j, v / 10000 AS v FROM {_GRID}) WINDOW a AS (PARTITION BY j ORDER BY i), b AS (PARTITION BY i ORDER BY j)"
+)
+def residual_borders(spark: SparkSession, sf: str) -> DataFrame:
+    """The residual with a border vector on each side."""
+    grid = _grid(spark, sf).select("i", "j", (F.col("v") / 10000).alias("v"), (F.col("v") / 20000).alias("o"))
+    border = {"west": 0.1 * F.col("j"), "east": 0.2 * F.col("j"), "south": 0.3 * F.col("i"), "north": 0.4 * F.col("i")}
+    return gd.residual(grid, "o", 1.0, 0.5, border).select("i", "j", F.round("s", 6).alias("s"))
+
+
 @query(f"SELECT i, j, CASE WHEN (i - 5.0) ** 2 + (j - 5.0) ** 2 < 9 THEN 0.1 ELSE 0.0 END::DOUBLE AS u FROM {_GRID}")
 def circle_start(spark: SparkSession, sf: str) -> DataFrame:
     return _grid(spark, sf).select("i", "j", gd.circle(F.col("i"), F.col("j"), (5.0, 5.0), 3.0).alias("u"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import models as md
 from gridloom.plans.registry import query
+from gridloom.session import delete, shared_dir
 from gridloom.sources.tables import table
 
 
@@ -14,18 +15,53 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select((F.col("l_quantity") / 50).alias("x"), (F.col("l_extendedprice") / 10000).alias("y"), "l_orderkey", "l_linenumber", "l_suppkey")
 
 
-@query()
+_LINES_SQL = "(SELECT l_quantity / 50 AS x, l_extendedprice / 10000 AS y, l_orderkey FROM lineitem)"
+
+
+def solved(system: str) -> str:
+    """The solutions (s, i, c) of the systems (s, n, i, j, v), column n being the right side, by elimination."""
+    return (
+        f"WITH RECURSIVE g(s, n, k, i, j, v) AS (SELECT s, n, 0, i, j, v FROM ({system}) UNION ALL"
+        " SELECT a.s, a.n, a.k + 1, a.i, a.j, CASE WHEN a.i = a.k THEN a.v / d.v ELSE a.v - q.v * p.v / d.v END FROM g a"
+        " JOIN g p ON p.s = a.s AND p.i = a.k AND p.j = a.j JOIN g q ON q.s = a.s AND q.i = a.i AND q.j = a.k"
+        " JOIN g d ON d.s = a.s AND d.i = a.k AND d.j = a.k WHERE a.k < a.n),"
+        " solved AS (SELECT s, i, v AS c FROM g WHERE k = n AND j = n)"
+    )
+
+
+def _moments_sql(source: str, systems: str, ridge: str) -> str:
+    """Normal equations of polynomials: ``systems`` (s, n) gives the number of coefficients of each."""
+    return (
+        f"SELECT s, n, i, j, sum(CASE WHEN j = n THEN x ** i * y ELSE x ** (i + j) END) + CASE WHEN i = j THEN {ridge} ELSE 0 END AS v FROM {source}, {systems},"
+        " (SELECT unnest(range(9)) AS i), (SELECT unnest(range(9)) AS j) WHERE i < n AND j <= n GROUP BY s, n, i, j"
+    )
+
+
+@query(
+    solved(_moments_sql(_LINES_SQL, "(SELECT unnest([0, 1]) AS s, 4 AS n)", "s / 10.0"))
+    + " SELECT s / 10.0::DOUBLE AS ridge, i::INTEGER AS power, round(c, 6) AS coefficient FROM solved"
+)
 def ridge_fit(spark: SparkSession, sf: str) -> DataFrame:
     rows = _lines(spark, sf)
     fits = [(r, k, float(c)) for r in (0.0, 0.1) for k, c in enumerate(md.fit_polynomial(rows, F.col("x"), F.col("y"), 3, r))]
-    return spark.createDataFrame(fits, "ridge double, power int, coefficient double")
-
-
-@query()
+    return spark.createDataFrame(fits, "ridge double, power int, coefficient double").withColumn("coefficient", F.round("coefficient", 6))
+
+
+@query(
+    solved(
+        _moments_sql(
+            "(SELECT *, l_orderkey % 2 AS t FROM (SELECT l_quantity / 50 AS x, l_extendedprice / 10000 AS y, l_orderkey FROM lineitem))",
+            "(SELECT 10 * t0 + d AS s, t0, d + 1 AS n FROM (SELECT unnest([0, 1]) AS t0), (SELECT unnest([1, 2, 3]) AS d))",
+            "0",
+        ).replace("WHERE i < n", "WHERE t = t0 AND i < n")
+    )
+    + f", e AS (SELECT s, t, any_value(y) AS y, sum(c * x ** i) AS p FROM (SELECT *, l_orderkey % 2 AS t, row_number() OVER () AS r FROM {_LINES_SQL}) JOIN solved ON t <> s // 10 GROUP BY s, t, r)"
+    " SELECT degree, round(avg(error), 6) AS error FROM (SELECT (s % 10)::INTEGER AS degree, s, avg((y - p) ** 2) AS error FROM e GROUP BY s) GROUP BY degree"
+)
 def error_curve(spark: SparkSession, sf: str) -> DataFrame:
     rows = _lines(spark, sf)
     out = md.error_curve(rows, F.col("x"), F.col("y"), F.col("l_orderkey") % 2, 2, [1, 2, 3])
-    return spark.createDataFrame(out, "degree int, error double")
+    return spark.createDataFrame(out, "degree int, error double").withColumn("error", F.round("error", 6))
 
 
 @query()
@@ -78,8 +114,35 @@ def perceptron_quality(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "quality", fires.cast("int").alias("predicted"))
 
 
-@query()
+@query(
+    solved(
+        "SELECT 0 AS s, 3 AS n, i, j, sum(CASE WHEN j = 3 THEN x ** i * y ELSE x ** (i + j) END) + CASE WHEN i = j THEN 1e-9 ELSE 0 END AS v"
+        f" FROM {_LINES_SQL}, (SELECT unnest(range(3)) AS i), (SELECT unnest(range(4)) AS j) GROUP BY i, j"
+    )
+    + " SELECT i::INTEGER AS feature, round(c, 6) AS weight FROM solved"
+)
 def least_squares_policy(spark: SparkSession, sf: str) -> DataFrame:
     rows = _lines(spark, sf)
     w = md.least_squares_policy(rows, "l_orderkey", F.array(F.lit(1.0), F.col("x"), F.col("x") ** 2), 3, F.col("y"))
-    return spark.createDataFrame([(k, float(c)) for k, c in enumerate(w)], "feature int, weight double")
+    return spark.createDataFrame([(k, round(float(c), 6)) for k, c in enumerate(w)], "feature int, weight double")
+
+
+@query(
+    "WITH RECURSIVE b AS (SELECT row_number() OVER (ORDER BY batch) AS k, mx, my, mxx, mxy FROM (SELECT l_orderkey // 250 AS batch, avg(x) AS mx, avg(y) AS my, avg(x * x) AS mxx, avg(x * y) AS mxy"
+    f" FROM {_LINES_SQL} GROUP BY batch)), w(k, a, b) AS (SELECT 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT w.k + 1, a - 0.6 * (a + b * mx - my), b - 0.6 * (a * mx + b * mxx - mxy)"
+    " FROM w JOIN b ON b.k = w.k + 1) SELECT round(arg_max(a, k), 6) AS a, round(arg_max(b, k), 6) AS b, max(k) AS batches FROM w"
+)
+def mini_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """A line by descent over batches of 250 orders, one epoch."""
+    fit = md.mini_batch_descent(_lines(spark, sf), F.floor(F.col("l_orderkey") / 250), F.col("x"), F.col("y"), 0.3)
+    return fit.select(F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), "batches")
+
+
+@query("SELECT p_partkey, round(a + s * p_size, 6) AS predicted FROM part, (SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS s FROM (SELECT p_size AS x, p_retailprice AS y FROM part))")
+def kept_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of a line whose coefficients were written and read back."""
+    parts, path = table(spark, sf, "part"), shared_dir(spark)
+    md.save_fit(spark, md.fit_polynomial(parts, F.col("p_size"), F.col("p_retailprice"), 1), path)
+    a, b = md.load_fit(spark, path)
+    delete(spark, path)
+    return parts.select("p_partkey", F.round(F.lit(a) + F.lit(b) * F.col("p_size"), 6).alias("predicted"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as sc
 from gridloom.operators import text as tx
+from gridloom.plans.preparation import tokens_sql
 from gridloom.plans.registry import query
 from gridloom.sources.tables import table
 
@@ -21,11 +22,15 @@ def string_tests(spark: SparkSession, sf: str) -> DataFrame:
 _PUNCT = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~'"
 
 
-def _normal(column: str) -> str:
-    bare = f"translate(lower({column}), {_PUNCT}, '')"
-    return f"trim(regexp_replace(regexp_replace({bare}, '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+# RE2 has no look-around: neighbours are captured, and a second pass takes articles next to each other.
+_ARTICLES = "(^|[^\\p{L}\\p{N}_])(a|an|the)($|[^\\p{L}\\p{N}_])"
 
 
+def _normal(column: str) -> str:
+    bare = f"translate(lower({column}), {_PUNCT}, '')"
+    once = f"regexp_replace({bare}, '{_ARTICLES}', '\\1 \\3', 'g')"
+    twice = f"regexp_replace({once}, '{_ARTICLES}', '\\1 \\3', 'g')"
+    return f"trim(regexp_replace({twice}, '{sc.WHITE_SPACE}+', ' ', 'g'))"
 
 
 @query(f"SELECT conv_id, turn, {_normal('text')} AS normal FROM conversations")
@@ -33,7 +38,7 @@ def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", sc.normalize_text(F.col("text")).alias("normal"))
 
 
-@query("SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS squeezed FROM conversations")
+@query(f"SELECT conv_id, turn, trim(regexp_replace(text, '{sc.WHITE_SPACE}+', ' ', 'g')) AS squeezed FROM conversations")
 def squeeze_ws(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", sc.squeeze(F.col("text")).alias("squeezed"))
 
@@ -80,12 +85,15 @@ def _keyed(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select(key.alias("key"), "text")
 
 
-@query()
+_KEYED = "(SELECT conv_id || '-' || turn AS key, text FROM conversations)"
+
+
+@query(f"SELECT * FROM {tokens_sql(_KEYED)}")
 def token_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return tx.tokens(_keyed(spark, sf), "key", "text")
 
 
-@query()
+@query(f'SELECT key, min(place) AS start_token, max(place) + 1 AS end_token FROM {tokens_sql(_KEYED)} WHERE start < 20 AND "end" > 5 GROUP BY key')
 def span_align(spark: SparkSession, sf: str) -> DataFrame:
     """The tokens that characters 5 to 20 of each turn touch."""
     turns = _keyed(spark, sf)
@@ -101,7 +109,16 @@ def exact_match(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").agg(F.round(F.avg(hit), 6).alias("exact"), F.count("*").alias("n"))
 
 
-@query()
+_WORDS_OF = f"SELECT conv_id, turn, list_filter(string_split({_normal('text')}, ' '), lambda w: w <> '') AS w FROM conversations"
+_BAGS = "SELECT conv_id, turn, word, count(*) AS c FROM (SELECT conv_id, turn, unnest(w) AS word FROM words) GROUP BY ALL"
+
+
+@query(
+    f"WITH words AS ({_WORDS_OF}), bags AS ({_BAGS}), common AS (SELECT a.conv_id, a.turn, sum(least(a.c, b.c)) AS c FROM bags a JOIN bags b"
+    " ON b.conv_id = a.conv_id AND b.turn + 1 = a.turn AND b.word = a.word GROUP BY a.conv_id, a.turn)"
+    " SELECT a.conv_id, a.turn, round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 1 ELSE 2 * coalesce(c.c, 0)::DOUBLE / (len(a.w) + len(b.w)) END, 6) AS f1"
+    " FROM words a JOIN words b ON b.conv_id = a.conv_id AND b.turn + 1 = a.turn LEFT JOIN common c ON c.conv_id = a.conv_id AND c.turn = a.turn"
+)
 def token_f1(spark: SparkSession, sf: str) -> DataFrame:
     """Each turn against the one before it in its conversation."""
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "text")

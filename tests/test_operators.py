@@ -325,3 +325,64 @@ def test_null_cells_have_anomalies(spark):
     df = spark.createDataFrame([(1, None, "a", 1.0), (2, None, "a", 3.0), (3, 5, None, 4.0), (4, None, None, 7.0), (5, 5, "a", 2.0), (6, 5, "a", None)], "id int, h int, t string, v double")
     got = {r.id: r.anomaly for r in md.cell_anomaly(df, ["h", "t"], "v").collect()}
     assert got == {1: -1.0, 2: 1.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: None}
+
+
+def test_articles_and_white_space_beyond_ascii(spark):
+    rows = [("An\u00e7ai the\u00e9 a\u00e7a", "an\u00e7ai the\u00e9 a\u00e7a"), ("the an a\u00a0b\u2003\u1680c\x1cd", "b c d"), ("\u2028A.the\u3000", "athe"), ("a_the", "athe")]
+    df = spark.createDataFrame([(k, t, w) for k, (t, w) in enumerate(rows)], "k int, t string, want string")
+    for r in df.select("want", sc.normalize_text(F.col("t")).alias("got")).collect():
+        assert r.got == r.want
+    assert spark.sql("SELECT 'x\u00a0\u00a0y ' AS t").select(sc.squeeze(F.col("t"))).first()[0] == "x y"
+
+
+def test_r2_of_values_far_from_zero(spark):
+    df = spark.range(1000).select((1e9 + F.col("id") % 7 / 10).alias("y"), (1e9 + F.col("id") % 7 / 10 + 0.001).alias("p"))
+    y = np.arange(1000) % 7 / 10
+    assert abs(df.agg(ag.regression_metrics(F.col("y"), F.col("p"))["r2"]).first()[0] - (1 - 1e-6 / y.var())) < 1e-6
+
+
+def test_mini_batches_against_a_loop(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(k), float(x), float(2 * x + 1 + e)) for k, x, e in zip(rng.integers(0, 3000, 9000), rng.random(9000), rng.normal(0, 0.1, 9000), strict=True)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 1.0), (1, None, 1.0)], "k int, x double, y double")
+    a = b = 0.0
+    batches = {}
+    for k, x, y in rows:
+        batches.setdefault(k, []).append((x, y))
+    for _ in range(2):
+        for k in sorted(batches):
+            x, y = np.array(batches[k]).T
+            e = a + b * x - y
+            a, b = a - 0.1 * e.mean() * 2, b - 0.1 * (e * x).mean() * 2
+    got = md.mini_batch_descent(df, F.col("k"), F.col("x"), F.col("y"), 0.1, epochs=2).first()
+    assert got.batches == len(batches) and np.allclose([got.a, got.b], [a, b])
+    empty = md.mini_batch_descent(df.limit(0), F.col("k"), F.col("x"), F.col("y"), 0.1).first()
+    assert tuple(empty) == (0.0, 0.0, 0)
+
+
+def test_grid_tiles_agree_with_one(spark):
+    df = spark.range(35).select(F.floor(F.col("id") / 7).alias("i"), (F.col("id") % 7).alias("j"), (F.col("id") * F.col("id") % 11).cast("double").alias("v"))
+    rows = lambda n: sorted(map(repr, gd.neighbours(df, n).select("i", "j", "v", "west", "east", "south", "north").collect()))
+    assert rows(512) == rows(1) == rows(3)
+    west = {(r.i, r.j): r.west for r in gd.neighbours(df, 3).collect()}
+    assert west[0, 2] is None and west[3, 2] == (16 * 16) % 11
+
+
+def test_answer_spans_leave_out_what_cannot_be_found(spark):
+    rows = [
+        ("a", "One  two three.", "who?", "two", 4),  # found once white space is squeezed
+        ("b", "One two", "who?", "two", 4),  # ends where the context does
+        ("c", "One two three", "who?", "", 3),  # touches no token
+        ("d", "One two three", "w " * 20, "two", 4),  # too long
+        ("e", None, "who?", "two", 4),
+    ]
+    df = spark.createDataFrame(rows, "key string, context string, question string, answer string, start int")
+    got = [tuple(r) for r in tx.answer_spans(df, "key", "context", "question", "answer", "start", 10).select("key", "start_token", "end_token", "n_context", "n_question").collect()]
+    assert got == [("a", 1, 2, 4, 2)]
+    assert tx.answer_spans(df.limit(0), "key", "context", "question", "answer", "start").count() == 0
+
+
+def test_model_inputs_drop_longer_rows(spark):
+    df = spark.createDataFrame([(1, [5, 6], [1, 7]), (2, [5] * 9, [1, 7])], "k int, c array<int>, q array<int>")
+    got = tx.model_inputs(df, "c", "q", 5).collect()
+    assert [(r.k, r.input_ids, r.token_type_ids, r.attention_mask) for r in got] == [(1, [5, 6, 7, 0, 0], [0, 0, 1, 0, 0], [1, 1, 1, 0, 0])]
