@@ -1,8 +1,10 @@
 """Main text of web pages from flat text blocks and a small decision tree.
 
 A page becomes a flat list of text blocks. Each has its word count and link
-density, those of its neighbours, and what its open elements say of it. A
-decision tree, trained on the labelled table below, tells content from the rest.
+density, those of its neighbours, and what its open elements say of it: whether
+it lies in an element or under a name of side matter, in an article, or is a
+heading. A decision tree, trained on the blocks of the small labelled pages
+below, tells content from the rest.
 """
 
 from __future__ import annotations
@@ -76,7 +78,8 @@ class Block:
     text: str
     link_chars: int
     chars: int
-    side: bool
+    side_element: bool
+    side_name: bool
     article: bool
     heading: bool
 
@@ -122,8 +125,8 @@ class _Marks:
         self.own.append(0)
         return m
 
-    def side(self, found: list[Block], at: list[int]) -> list[bool]:
-        """Whether each block is side matter, given its mark."""
+    def side(self, found: list[Block], at: list[int]) -> list[int]:
+        """The kind of mark that each block is left under, given the one it was made under; -1 for none."""
         free = 0
         for b, m in zip(found, at, strict=True):
             if (b.chars >= RUNNING_CHARS or b.article) and b.density < RUNNING_DENSITY:
@@ -174,13 +177,16 @@ class _Marks:
                         heapq.heappush(open_marks, (-total[j], j))
                 else:
                     heapq.heappush(open_marks, (-total[k], k))
-        held: list[bool] = []
+        held: list[int] = []
         for m in range(n):
+            outer = held[self.around[m]] if self.around[m] >= 0 else -1
             if gone[m]:
-                held.append(self.kind[m] != _ARTICLE and self.around[m] >= 0 and held[self.around[m]])
+                held.append(-1 if self.kind[m] == _ARTICLE else outer)
+            elif outer >= 0:
+                held.append(min(outer, self.kind[m]))
             else:
-                held.append(True)
-        return [m >= 0 and held[m] for m in at]
+                held.append(self.kind[m])
+        return [held[m] if m >= 0 else -1 for m in at]
 
 
 @dataclass
@@ -200,8 +206,8 @@ def blocks(page: str) -> list[Block]:
     at_mark: list[int] = []
     marks = _Marks()
     stack: list[_Open] = []
-    links = 0
-    heading = False
+    links = 0  # the open elements around a link, itself included; it lasts over blocks until they end
+    heading = in_leaf = False
     leaf: _Open | None = None  # an open paragraph or heading, with what it says of itself
     now = _Builder()
 
@@ -218,7 +224,7 @@ def blocks(page: str) -> list[Block]:
         text = " ".join("".join(now.parts).split())
         if text:
             top = leaf or (stack[-1] if stack else _Open("", -1, False))
-            out.append(Block(text, now.link_chars, now.chars, False, top.article, heading))
+            out.append(Block(text, now.link_chars, now.chars, False, False, top.article, heading))
             at_mark.append(top.mark)
         now = _Builder()
 
@@ -248,17 +254,19 @@ def blocks(page: str) -> list[Block]:
             elif not token["attrs"].endswith("/"):
                 mute = name
         elif name == "a":
-            links = 0 if token["close"] else 1
+            links = len(stack) + 1 if not token["close"] and "href" in token["attrs"].lower() else 0
+            in_leaf = leaf is not None
         elif name == "br":
             now.parts.append(" ")
         elif name in _BLOCK and not mute:
             flush()
-            links, leaf = 0, None
+            links, leaf = 0 if in_leaf else links, None
             heading = name in _HEADING and not token["close"]
             if token["close"]:
                 if name in _OUTER and any(o.name == name for o in stack):
                     while stack.pop().name != name:
                         pass
+                    links = 0 if links > len(stack) + 1 else links
             else:
                 opened = _opened(name, token["attrs"], stack[-1] if stack else None, marks)
                 if name in _OUTER:
@@ -268,8 +276,8 @@ def blocks(page: str) -> list[Block]:
     if at < len(page) and not mute:
         add(page[at:])
     flush()
-    for b, side in zip(out, marks.side(out, at_mark), strict=True):
-        b.side = side
+    for b, kind in zip(out, marks.side(out, at_mark), strict=True):
+        b.side_element, b.side_name = kind in (_HIDDEN, _FIRM), kind > _FIRM
     return out
 
 
@@ -373,85 +381,73 @@ def _opened(name: str, attrs: str, around: _Open | None, marks: _Marks) -> _Open
     return _Open(name, mark, main or article or inside)
 
 
-FEATURES = ["words", "density", "words_before", "density_before", "words_after", "density_after", "side", "article", "heading"]
+FEATURES = [
+    "words", "density", "words_before", "density_before", "words_after", "density_after", "side_element", "side_name", "article", "heading"
+]
 
 
 def block_features(found: list[Block]) -> np.ndarray:
     """A row of FEATURES for each block; beyond either end, words and density are 0."""
     words = np.array([b.words for b in found], dtype=float)
     density = np.array([b.density for b in found])
-    own = np.array([[b.side, b.article, b.heading] for b in found], dtype=float).reshape(-1, 3)
+    own = np.array([[b.side_element, b.side_name, b.article, b.heading] for b in found], dtype=float).reshape(-1, 4)
     before = lambda x: np.r_[0.0, x[:-1]]
     after = lambda x: np.r_[x[1:], 0.0]
     return np.c_[words, density, before(words), before(density), after(words), after(density), own]
 
 
-#: Blocks of ordinary pages as FEATURES, then 1 for content; made for this table.
-LABELLED = """
-1 1.00 0 0.00 1 1.00 1 0 0 0
-1 1.00 1 1.00 2 1.00 1 0 0 0
-2 1.00 1 1.00 9 0.00 1 0 0 0
-2 1.00 1 1.00 3 1.00 0 0 0 0
-3 1.00 2 1.00 2 1.00 0 0 0 0
-4 1.00 3 1.00 3 1.00 0 0 0 0
-6 0.90 4 1.00 5 1.00 0 0 0 0
-5 1.00 6 0.95 0 0.00 0 0 0 0
-9 0.00 1 1.00 8 0.00 1 0 0 0
-12 0.00 2 1.00 9 0.00 1 0 0 0
-30 0.00 0 0.00 10 0.00 1 0 0 0
-7 0.10 60 0.00 0 0.00 1 0 0 0
-8 0.00 45 0.00 0 0.00 1 0 0 0
-25 0.00 12 0.30 9 0.00 1 0 0 0
-40 0.02 9 0.00 35 0.00 1 0 0 0
-18 0.00 22 0.00 14 0.00 1 1 0 0
-55 0.00 18 0.00 31 0.00 1 1 0 0
-3 0.00 60 0.00 21 0.00 1 1 1 0
-4 0.50 30 0.00 25 0.00 1 1 0 0
-4 1.00 80 0.00 3 1.00 1 1 0 0
-2 0.00 9 0.00 6 1.00 1 0 1 0
-5 0.80 3 1.00 2 0.00 0 0 0 0
-3 0.00 2 1.00 4 1.00 0 0 0 0
-2 0.00 4 1.00 5 1.00 0 0 1 0
-8 0.00 9 0.00 35 0.00 0 1 1 1
-5 0.00 8 0.00 1 0.00 0 1 1 1
-35 0.00 8 0.00 60 0.00 0 1 0 1
-60 0.02 35 0.00 4 0.00 0 1 0 1
-1 0.00 40 0.00 22 0.00 0 1 0 1
-2 0.00 11 0.00 7 0.00 0 1 0 1
-4 0.00 60 0.02 90 0.00 0 1 0 1
-90 0.10 4 0.00 7 0.10 0 1 0 1
-14 0.30 70 0.00 44 0.00 0 1 0 1
-120 0.05 14 0.30 3 0.00 0 1 0 1
-3 1.00 50 0.00 45 0.00 0 1 0 1
-10 1.00 33 0.00 28 0.05 0 1 0 1
-6 0.00 60 0.00 50 0.00 0 1 0 1
-1 0.00 6 0.00 9 0.00 0 1 0 1
-2 0.00 10 1.00 20 0.00 0 1 0 1
-1 0.00 5 0.90 12 0.00 0 1 0 1
-4 0.00 8 1.00 3 1.00 0 1 0 1
-6 1.00 8 1.00 4 0.00 0 1 0 1
-4 0.00 3 1.00 30 0.00 0 0 1 1
-6 0.00 1 1.00 25 0.00 0 0 1 1
-5 0.00 2 1.00 13 0.00 0 0 1 1
-3 0.00 4 0.80 18 0.05 0 0 1 1
-7 0.00 3 1.00 41 0.00 0 0 0 1
-3 1.00 30 0.00 4 1.00 0 0 0 0
-6 1.00 60 0.00 5 1.00 0 0 0 0
-8 0.90 44 0.00 0 0.00 0 0 0 0
-2 1.00 50 0.00 3 1.00 0 0 0 0
-9 0.00 3 1.00 50 0.00 0 0 1 1
-7 0.00 40 0.00 55 0.00 0 0 1 1
-50 0.00 9 0.00 70 0.03 0 0 0 1
-70 0.03 50 0.00 26 0.00 0 0 0 1
-26 0.00 70 0.03 8 0.00 0 0 0 1
-15 0.00 26 0.00 33 0.00 0 0 0 1
-33 0.15 15 0.00 5 1.00 0 0 0 1
-5 0.00 40 0.00 61 0.00 0 0 0 1
-11 0.00 36 0.00 0 0.00 0 0 0 1
-20 0.00 0 0.00 0 0.00 0 0 0 1
-8 0.00 0 0.00 30 0.00 0 0 1 1
-4 0.00 0 0.00 0 0.00 0 0 0 1
-"""
+#: Pages of ordinary kinds, made for this table. {n} stands for n words; a block that begins with + is content.
+LABELLED_PAGES = [
+    # news, with an article element
+    """<header><div>{3}</div></header><nav><a href=x>{1}</a><ul><li><a href=x>{1}</a><li><a href=x>{2}</a></ul></nav><div class=ad>{9}</div>
+    <article><h1>+{9}</h1><p>+{4}</p><p>+{35}</p><p>+{60}<a href=x>{3}</a></p><figcaption>+{9}</figcaption><p>+{2}</p><h2>+{3}</h2><p>+{44}</p>
+    <div class=ad>{12}</div><p>+{1}</p><p>+{90}</p><ul><li>+{4}<li>+{6}<li><a href=x>+{3}</a></ul><p>+{22}</p></article>
+    <aside><h3>{2}</h3><p>{18}</p><p>{25}</p></aside><footer><p>{14}</p><a href=x>{2}</a></footer>""",
+    # a blog in plain div elements
+    """<div>{2}</div><div>{6}</div><ul><li><a href=x>{1}</a><li><a href=x>{1}</a><li><a href=x>{2}</a></ul><h1>+{7}</h1><p>+{40}</p><p>+{7}</p><p>+{55}<a href=x>{6}</a></p>
+    <h2>+{4}</h2><p>+{70}</p><blockquote>+{26}</blockquote><p>+{15}</p><p>+{33}</p><div><a href=x>{3}</a> <a href=x>{4}</a></div><div>{2}</div>
+    <ul><li><a href=x>{6}</a><li><a href=x>{5}</a><li><a href=x>{7}</a></ul><div class=footer>{11}</div>""",
+    # a portal: nothing but links, teasers and notices
+    """<nav><a href=x>{1}</a><div><a href=x>{2}</a></div></nav><a href=x><div>{4}</div></a><a href=x><div>{5}</div></a><ul><li><a href=x>{8}</a><li><a href=x>{6}</a></ul>
+    <ul><li><a href=x>{11}</a><li><a href=x>{13}</a><li><a href=x>{12}</a><li><a href=x>{14}</a></ul><div><a href=x>{3}</a></div><div>{1}</div><div><a href=x>{3}</a></div><div class="cookie-bar">{22}<a href=x>{2}</a></div><footer>{20}</footer>""",
+    # a manual with a column of links
+    """<div class=sidebar><a href=x>{2}</a><ul><li><a href=x>{1}</a><li><a href=x>{3}</a></ul><p>{8}</p></div><main><h1>+{3}</h1><p>+{12}</p><pre>+{20}</pre><p>+{5}</p>
+    <table><tr><td>+{1}<td>+{5}<tr><td>+{2}<td>+{9}</table><h2>+{2}</h2><p>+{30}<a href=x>{8}</a></p><p><a href=x>+{2}</a></p><p>+{11}</p></main><div class=pagination><a href=x>{1}</a><a href=x>{1}</a></div><footer>{8}</footer>""",
+    # comments and related texts under an article
+    """<div class="site-header">{3}<ul><li><a href=x>{1}</a><li><a href=x>{1}</a></ul></div><article><h1>+{8}</h1><p>+{50}</p><p>+{6}</p><p>+{31}</p><div class="share">{2}<a href=x>{1}</a></div><p>+{3}</p></article>
+    <section id=comments><h2>{2}</h2><article class=comment><h3>{2}</h3><p>{30}</p></article><article class=comment><p>{18}</p><p>{41}</p></article></section>
+    <div class=related><article><h3>{6}</h3><p>{22}</p></article></div><form>{3}<p>{9}</p></form><footer><p>{19}</p></footer>""",
+    # an old page in tables
+    """<table><tr><td><a href=x>{1}</a><td><a href=x>{2}</a><td><a href=x>{1}</a></table><table><tr><td><h2>+{5}</h2><p>+{48}</p><p>+{66}</p><p>+{5}</p><p>+{61}<a href=x>{2}</a></p><td><a href=x>{2}</a>
+    <td><a href=x>{3}</a></table><div><a href=x>{2}</a> {1} <a href=x>{2}</a></div>""",
+    # a notice alone, hidden matter, a form, and a text without markup
+    """<p>+{8}</p><p>+{20}</p>""",
+    """<p>+{4}</p>""",
+    """<div class=cookie-notice>{30}</div><div class=cookie-notice><p>{24}</p></div>""",
+    """<div hidden><article><p>{30}</p><p>{20}</p></article></div><div class=login><form>{2}<p>{3}</p></form></div><article><h1>+{4}</h1><p>+{26}</p><p>+{13}</p></article>""",
+    # cards and tags inside the main element, and paragraphs with many links
+    """<nav><a href=x>{1}</a><a href=x>{2}</a></nav><main><article><h1>+{7}</h1><p>+{40}</p><p>+{3}<a href=x>{5}</a></p><p><a href=x>+{6}</a></p><ul class=tags><li><a href=x>{1}</a><li><a href=x>{2}</a></ul></article>
+    <div class=related><a href=x><h3>{4}</h3></a><a href=x><h3>{6}</h3></a><a href=x><div>{9}</div></a></div><div class="share"><a href=x>{2}</a> {1}</div></main><footer>{7}<a href=x>{2}</a></footer>""",
+    """<div><a href=x>{1}</a> | <a href=x>{2}</a></div><h1>+{5}</h1><p>+{16}<a href=x>{12}</a></p><p>+{30}</p><p>+{9}<a href=x>{8}</a>{3}</p><p>+{24}<a href=x>{20}</a></p><p>+{18}</p>
+    <div>{1}<a href=x>{2}</a><a href=x>{2}</a></div><div>{2}<a href=x>{3}</a></div>""",
+    # a headline and links to other parts between short paragraphs
+    """<div>{2}</div><ul><li><a href=x>{2}</a><li><a href=x>{1}</a></ul><h1>+{6}</h1><p>+{13}</p><p>+{25}</p><p>+{9}</p><p>+{41}</p><p>+{10}</p><ul><li>+{8}<li>+{11}</ul><p>+{17}</p>
+    <a href=x><div>{4}</div></a><a href=x><div>{6}</div></a><div>{3}</div><ul><li><a href=x>{2}</a></ul>""",
+]
+
+
+def _filled(page: str) -> str:
+    return re.sub(r"\{(\d+)\}", lambda m: " ".join(["word"] * int(m[1])), page)
+
+
+def labelled_rows(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """FEATURES of all blocks of labelled pages, and whether each is content."""
+    rows, content = [], []
+    for page in pages:
+        found = blocks(_filled(page))
+        content += [b.text.startswith("+") for b in found]
+        rows.append(block_features(found))
+    return np.concatenate(rows), np.array(content)
 
 
 @dataclass
@@ -497,12 +493,13 @@ def train_tree(rows: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2)
         return leaf
     high = rows[:, best[1]] >= best[2]
     low_tree, high_tree = (train_tree(rows[m], y[m], depth - 1, least) for m in (~high, high))
+    if low_tree.low is None and high_tree.low is None and low_tree.content == high_tree.content:
+        return leaf
     return Tree(best[1], best[2], low_tree, high_tree)
 
 
 def labelled_tree() -> Tree:
-    table = np.array([[float(x) for x in line.split()] for line in LABELLED.split("\n") if line])
-    return train_tree(table[:, :-1], table[:, -1] == 1)
+    return train_tree(*labelled_rows(LABELLED_PAGES))
 
 
 def extract(page: str | None, tree: Tree) -> str:
