@@ -15,6 +15,7 @@ from gridloom.operators import sequences as sq
 from gridloom.operators import sparse as sp
 from gridloom.plans.registry import query
 from gridloom.session import shared_dir
+from gridloom.sources import bricks as bk
 from gridloom.sources import matrices as mx
 from gridloom.sources.tables import table
 
@@ -296,6 +297,14 @@ def residual_borders(spark: SparkSession, sf: str) -> DataFrame:
     return gd.residual(grid, "o", 1.0, 0.5, border).select("i", "j", F.round("s", 6).alias("s"))
 
 
+@query(f"SELECT i, j, v FROM {_GRID} WHERE v IS NOT NULL")
+def bov_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid written as bricks of a few rows and read back."""
+    grid, root = _grid(spark, sf), shared_dir(spark)
+    size = grid.agg(F.max("i") + 1, F.max("j") + 1).first()
+    return bk.read_bov(spark, bk.write_bov(grid, root, "grid", *(size if size[0] is not None else (0, 0)), brick_cells=200))
+
+
 @query(f"SELECT i, j, CASE WHEN (i - 5.0) ** 2 + (j - 5.0) ** 2 < 9 THEN 0.1 ELSE 0.0 END::DOUBLE AS u FROM {_GRID}")
 def circle_start(spark: SparkSession, sf: str) -> DataFrame:
     return _grid(spark, sf).select("i", "j", gd.circle(F.col("i"), F.col("j"), (5.0, 5.0), 3.0).alias("u"))

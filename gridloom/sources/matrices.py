@@ -20,6 +20,12 @@ class MatrixError(ValueError):
     pass
 
 
+def check_index_fit(rows: int, columns: int, entries: int, bits: int = 32) -> None:
+    """Raises unless every row, column and place among the entries fits a signed index of ``bits``."""
+    if max(rows, columns, entries) > 2 ** (bits - 1) - 1:
+        raise MatrixError(f"{rows} x {columns} with {entries} entries does not fit {bits}-bit indices")
+
+
 def header(spark: SparkSession, path: str) -> dict:
     """rows, cols, nnz, field and symmetry of a MatrixMarket file.
 

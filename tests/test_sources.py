@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from gridloom.operators import sparse as sp
+from gridloom.sources import bricks as bk
 from gridloom.sources import matrices as mx
 from gridloom.sources import tables as tb
 from gridloom.streaming.micro_batches import map_files
@@ -151,3 +152,22 @@ def test_generators(spark):
     rows = spark.range(20).select((F.col("id") / 20 + 0.5).alias("x"))
     sums = rows.select(F.aggregate(spline_basis(F.col("x"), [-3.0, -2.0, -1.0, 0.0, 1.0, 2.0, 3.0, 4.0, 5.0]), F.lit(0.0), lambda u, v: u + v).alias("s")).collect()
     assert np.allclose([r.s for r in sums], 1.0)
+
+
+def test_index_fit():
+    mx.check_index_fit(2**31 - 1, 5, 7)
+    for n in ((2**31, 1, 1), (1, 2**31, 1), (1, 1, 2**31)):
+        with pytest.raises(mx.MatrixError):
+            mx.check_index_fit(*n)
+
+
+def test_bov_bricks_and_plain_files(spark, tmp_path):
+    rows = [(i, j, float(10 * i + j)) for i in range(5) for j in range(3) if (i, j) != (2, 1)]
+    df = spark.createDataFrame([*rows, (9, 9, 1.0)], "i long, j long, v double")
+    header = bk.write_bov(df, f"file://{tmp_path}", "g", 5, 3, brick_cells=6)
+    assert sorted(tuple(r) for r in bk.read_bov(spark, header).collect()) == rows
+    data = b"".join(p.read_bytes() for p in sorted(tmp_path.glob("g_*.bin")))
+    assert len(data) == 8 * 15
+    (tmp_path / "one.bin").write_bytes(data)
+    (tmp_path / "one.bov").write_text("TIME: 0.0\nDATA_FILE: one.bin\nDATA_SIZE: 3 5 1\nDATA_FORMAT: DOUBLE\nVARIABLE: phi\nDATA_ENDIAN: LITTLE\n")
+    assert sorted(tuple(r) for r in bk.read_bov(spark, f"file://{tmp_path}/one.bov").collect()) == rows
