@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of an arriving shard at most; below that it holds what one task writes.
 ARRIVAL_ROWS = 100_000
@@ -26,6 +27,7 @@ MERGE_SHARDS = 10_000
 #: Rows of a file of the manifest.
 MANIFEST_ROWS = 500_000
 _CODEC = "zstd"
+_MANIFEST = "shard string, rows long, bytes long"
 
 
 def tier_of(size: str, target: int) -> Column:
@@ -50,6 +52,7 @@ class ShardStore:
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES):
         self.spark, self.root, self.target = spark, root.rstrip("/"), target_bytes
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._schema: StructType | None = None
 
     # -- versions
 
@@ -69,12 +72,12 @@ class ShardStore:
     def manifest(self, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
         if not version:
-            return self.spark.createDataFrame([], "shard string, rows long, bytes long")
-        return self.spark.read.parquet(f"{self.root}/manifests/v{version:08d}")
+            return self.spark.createDataFrame([], _MANIFEST)
+        return self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifests/v{version:08d}")
 
     def _commit(self, manifest: DataFrame, version: int) -> int:
         staged = f"staging/{uuid.uuid4().hex}"
-        manifest.coalesce(1 + manifest.count() // MANIFEST_ROWS).write.parquet(f"{self.root}/{staged}")
+        manifest.coalesce(1).write.option("maxRecordsPerFile", MANIFEST_ROWS).parquet(f"{self.root}/{staged}")
         self._files().mkdirs(self._path("manifests"))
         jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
         context = self._hadoop.FileContext.getFileContext(self._path("").toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -98,18 +101,20 @@ class ShardStore:
         found = files.select(F.col("_metadata.file_path").alias("shard"), F.col("_metadata.file_size").alias("bytes"))
         return found.groupBy("shard", "bytes").agg(F.count("*").alias("rows")).select("shard", "rows", "bytes")
 
-    def _refuse_other(self, df: DataFrame, live: DataFrame) -> None:
-        one = live.select("shard").first()
-        held = self.spark.read.parquet(one.shard).schema if one else df.schema
-        kinds = lambda schema: [(f.name, f.dataType.simpleString()) for f in schema]
-        if kinds(held) != kinds(df.schema):
-            raise ValueError(f"the shards have {held.simpleString()}, not {df.schema.simpleString()}")
+    def schema(self, live: DataFrame) -> StructType | None:
+        """The schema of the shards, read once; None without any."""
+        if self._schema is None and (one := live.select("shard").first()):
+            self._schema = self.spark.read.parquet(one.shard).schema
+        return self._schema
 
     def append(self, df: DataFrame) -> int:
         """Writes ``df`` as small shards and commits them; the new version."""
         before = self.version()
         live = self.manifest(before)
-        self._refuse_other(df, live)
+        held = self.schema(live) or df.schema
+        kinds = lambda schema: [(f.name, f.dataType.simpleString()) for f in schema]
+        if kinds(held) != kinds(df.schema):
+            raise ValueError(f"the shards have {held.simpleString()}, not {df.schema.simpleString()}")
         folder = f"{self.root}/data/a{uuid.uuid4().hex}"
         df.write.option("maxRecordsPerFile", ARRIVAL_ROWS).option("compression", _CODEC).parquet(folder)
         return self._commit(live.unionByName(self._written(folder, df.schema)), before + 1)
@@ -130,14 +135,14 @@ class ShardStore:
             # The shards of earlier runs first, by their names, so that a plan made again is the same.
             merged = tiers.where(F.col("tier") == full.tier).orderBy("bytes", "shard").limit(MERGE_SHARDS)
             chosen = merged.select("shard", "bytes").collect()
-            read = self.spark.read.parquet(*(r.shard for r in chosen))
+            read = self.spark.read.schema(self.schema(live)).parquet(*(r.shard for r in chosen))
             folder = f"{self.root}/data/c{uuid.uuid4().hex}"
             files = max(1, round(sum(r.bytes for r in chosen) / self.target))
             read.coalesce(files).write.option("compression", _CODEC).parquet(folder)
             rest = live.join(merged.select("shard"), "shard", "left_anti")
             last, staged = staged, f"{self.root}/staging/{uuid.uuid4().hex}"
             rest.unionByName(self._written(folder, read.schema)).write.parquet(staged)
-            live = self.spark.read.parquet(staged)
+            live = self.spark.read.schema(_MANIFEST).parquet(staged)
             self._drop(last)
         if not staged:
             return before
@@ -154,8 +159,9 @@ class ShardStore:
 
         The driver holds the name of each shard, as Spark's own list of a table's files does.
         """
-        paths = [r.shard for r in self.manifest(version).select("shard").toLocalIterator()]
-        return self.spark.read.parquet(*paths) if paths else None
+        live = self.manifest(version)
+        paths = [r.shard for r in live.select("shard").toLocalIterator()]
+        return self.spark.read.schema(self.schema(live)).parquet(*paths) if paths else None
 
     def vacuum(self, keep: int = 1) -> int:
         """Deletes data files that none of the last ``keep`` versions names; how many.
