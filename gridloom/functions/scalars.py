@@ -165,6 +165,14 @@ def kronecker(a: Column, b: Column) -> Column:
     return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: x * y)))
 
 
+def row_difference(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
+
+
+def row_dot(a: Column, b: Column) -> Column:
+    return _sum(F.zip_with(a, b, lambda x, y: x * y))
+
+
 def adds_over(a: Column, b: Column) -> Column:
     return F.try_add(a, b).isNull()
 

@@ -133,3 +133,20 @@ def union_all(parts: Sequence[DataFrame], axis: str | None = None) -> DataFrame:
 
 def mapped(df: DataFrame, columns: Sequence[str], f: Callable[[Column], Column]) -> DataFrame:
     return df.withColumns({c: f(F.col(c)) for c in columns})
+
+
+def aligned(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Rows of both sides by ``key``; an error unless each key of either side is once on the other."""
+    sides = a.select(key, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(key, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    if not sides.groupBy(key).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b")).where("_a <> 1 OR _b <> 1").isEmpty():
+        raise ValueError(f"the sides do not match by {key}")
+    return a.join(b, key)
+
+
+def filled(df: DataFrame, column: str, value: float) -> DataFrame:
+    return df.withColumn(column, F.lit(float(value)))
+
+
+def copied(df: DataFrame, column: str, name: str, factor: float = 1.0) -> DataFrame:
+    """``column`` under another name, scaled."""
+    return df.withColumn(name, F.col(column) if factor == 1.0 else F.lit(float(factor)) * F.col(column))

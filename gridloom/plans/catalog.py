@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.plans import basics, kernels, modelling, preparation, series, wording  # noqa: F401
+from gridloom.plans import basics, files, kernels, modelling, preparation, series, wording  # noqa: F401
 from gridloom.plans.registry import ORACLES, QUERIES, Query
 
 

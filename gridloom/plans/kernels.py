@@ -14,7 +14,7 @@ from gridloom.operators import rows as rw
 from gridloom.operators import sequences as sq
 from gridloom.operators import sparse as sp
 from gridloom.plans.registry import query
-from gridloom.session import shared_dir
+from gridloom.session import kept_dir
 from gridloom.sources import bricks as bk
 from gridloom.sources import matrices as mx
 from gridloom.sources.tables import table
@@ -176,7 +176,7 @@ def matrix_market_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """The matrix as a MatrixMarket file set in the shared folder, and read back."""
     a = _part_supplier(spark, sf)
     rows, cols = a.agg(F.max("i") + 1, F.max("j") + 1).first()
-    path = shared_dir(spark)
+    path = kept_dir(spark)
     mx.write_matrix(a, path, rows, cols)
     return mx.read_matrix_set(spark, path)
 
@@ -300,7 +300,7 @@ def residual_borders(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT i, j, v FROM {_GRID} WHERE v IS NOT NULL")
 def bov_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """The grid written as bricks of a few rows and read back."""
-    grid, root = _grid(spark, sf), shared_dir(spark)
+    grid, root = _grid(spark, sf), kept_dir(spark)
     size = grid.agg(F.max("i") + 1, F.max("j") + 1).first()
     return bk.read_bov(spark, bk.write_bov(grid, root, "grid", *(size if size[0] is not None else (0, 0)), brick_cells=200))
 

@@ -32,6 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
 
 
+_kept: list[str] = []
+
+
+def kept_dir(spark: SparkSession) -> str:
+    """A new folder name for files that a lazy result still reads; ``clean_up`` deletes it."""
+    _kept.append(shared_dir(spark))
+    return _kept[-1]
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes the folders of ``kept_dir``, once their results are needed no more."""
+    while _kept:
+        delete(spark, _kept.pop())
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` written to the shared folder and read back, and where: what a loop reads again is made once."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)

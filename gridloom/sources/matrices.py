@@ -7,13 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The header of the packed format, nine 8-byte fields.
 _FIELDS = ("endian", "version", "size", "rows", "cols", "nnz", "index_bytes", "value_bytes", "flags")
 _LITTLE, _VERSION, _SYMMETRIC = 1, 1, 1
 _FIELD_TYPES = {"real", "integer"}
+#: What ``read_any_matrix`` reads besides, and how the mirrored entry follows from the given one.
+_ALL_FIELDS = {"real", "integer", "pattern", "complex"}
+_MIRRORED = {"symmetric": (1, 1), "skew-symmetric": (-1, -1), "hermitian": (1, -1)}
+#: Entries of one packed file, about.
+PACKED_ENTRIES = 1 << 20
 
 
 class MatrixError(ValueError):
@@ -26,11 +31,12 @@ def check_index_fit(rows: int, columns: int, entries: int, bits: int = 32) -> No
         raise MatrixError(f"{rows} x {columns} with {entries} entries does not fit {bits}-bit indices")
 
 
-def header(spark: SparkSession, path: str) -> dict:
+def header(spark: SparkSession, path: str, any_field: bool = False) -> dict:
     """rows, cols, nnz, field and symmetry of a MatrixMarket file.
 
     Only coordinate matrices of real or integer values, general or symmetric,
-    are read; others are refused.
+    are read; others are refused. With ``any_field`` pattern and complex ones are
+    read too, and the other symmetries that fit the field.
     """
     lines = spark.read.text(path)
     first = lines.first()
@@ -39,7 +45,12 @@ def header(spark: SparkSession, path: str) -> dict:
         raise MatrixError("not a coordinate matrix")
     field = words[3] if len(words) > 3 else "real"
     symmetry = words[4] if len(words) > 4 else "general"
-    if field not in _FIELD_TYPES or symmetry not in ("general", "symmetric"):
+    fits = field in _ALL_FIELDS and (
+        symmetry in ("general", "symmetric")
+        or (symmetry == "skew-symmetric" and field != "pattern")
+        or (symmetry == "hermitian" and field == "complex")
+    )
+    if not fits or not (any_field or (field in _FIELD_TYPES and symmetry in ("general", "symmetric"))):
         raise MatrixError(f"{field} {symmetry} matrices are not read")
     sizes = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).first()
     try:
@@ -62,6 +73,37 @@ def read_matrix(spark: SparkSession, path: str, checked: bool = True) -> DataFra
     return _entries(lines.where(F.col("_line") != sizes), head, checked)
 
 
+def read_any_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(i, j, v, im) from 0 of a MatrixMarket file of any field.
+
+    A pattern has v = 1; ``im`` is the imaginary part, 0 but in complex matrices.
+    The other triangle is added with the sign or conjugate of the symmetry. A
+    line that is not an entry of the field, a place met twice, or a wrong number of
+    entries is an error.
+    """
+    head = header(spark, path, any_field=True)
+    lines = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    lines = lines.withColumn("_line", F.monotonically_increasing_id())
+    sizes = lines.agg(F.min("_line")).first()[0]
+    parts = F.split(F.trim("value"), r"\s+")
+    value = lambda k: F.get(parts, F.lit(k)).try_cast("double")
+    v = F.lit(1.0) if head["field"] == "pattern" else value(2)
+    im = value(3) if head["field"] == "complex" else F.lit(0.0)
+    place = lambda k: F.get(parts, F.lit(k)).try_cast("long") - 1
+    body = lines.where(F.col("_line") != sizes).select(place(0).alias("i"), place(1).alias("j"), v.alias("v"), im.alias("im"))
+    inside = F.col("i").between(0, head["rows"] - 1) & F.col("j").between(0, head["cols"] - 1)
+    n, right = body.agg(F.count("*"), F.count_if(inside & F.col("v").isNotNull() & F.col("im").isNotNull())).first()
+    if (n, right) != (head["nnz"], head["nnz"]):
+        raise MatrixError(f"{n} entries of {head['nnz']}, {n - right} of them wrong")
+    if not body.groupBy("i", "j").count().where("count > 1").isEmpty():
+        raise MatrixError("repeated entry")
+    if head["symmetry"] in _MIRRORED:
+        real, imaginary = _MIRRORED[head["symmetry"]]
+        flipped = body.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), (real * F.col("v")).alias("v"), (imaginary * F.col("im")).alias("im"))
+        body = body.unionByName(flipped)
+    return body
+
+
 def read_matrix_set(spark: SparkSession, path: str, checked: bool = True) -> DataFrame:
     """A matrix that ``write_matrix`` wrote, as ``read_matrix`` gives it."""
     return _entries(spark.read.text(f"{path}/entries"), header(spark, f"{path}/header"), checked)
@@ -118,6 +160,78 @@ def unpack_matrix(content: bytes) -> tuple[dict, np.ndarray, np.ndarray, np.ndar
     return head, i.astype(np.int64), j.astype(np.int64), np.frombuffer(content, f"{order}f8", n, start + 8 * n).astype(float)
 
 
+def write_packed(coo: DataFrame, root: str, name: str, rows: int, cols: int) -> int:
+    """Writes ``coo(i, j, v)`` as packed files of about PACKED_ENTRIES entries under ``root``; how many.
+
+    An entry's file follows from a hash of its place, so a hot row is spread and
+    a task that runs again writes the same file. ``root`` must be a folder that
+    pyarrow can open and all executors share.
+    """
+    from pyarrow import fs
+
+    n = coo.count()
+    check_index_fit(rows, cols, 0)
+    files = max(1, -(-n // PACKED_ENTRIES))
+
+    def write(part: pd.DataFrame) -> pd.DataFrame:
+        k = int(part["file"].iloc[0])
+        part = part.sort_values(["i", "j"])
+        store, folder = fs.FileSystem.from_uri(root)
+        with store.open_output_stream(f"{folder}/{name}_{k:06d}.bmtx") as out:
+            out.write(pack_matrix(rows, cols, part["i"].to_numpy(), part["j"].to_numpy(), part["v"].to_numpy()))
+        return pd.DataFrame({"file": [k]})
+
+    store, folder = fs.FileSystem.from_uri(root)
+    store.create_dir(folder, recursive=True)
+    placed = coo.select("i", "j", F.col("v").cast("double").alias("v"), F.pmod(F.xxhash64("i", "j"), F.lit(files)).cast("int").alias("file"))
+    return placed.groupBy("file").applyInPandas(write, "file int").count()
+
+
+def write_edges(edges: DataFrame, path: str) -> None:
+    """Text edges ``i j`` from 1 in the order of their columns; part files follow one another."""
+    edges.orderBy("j", "i").select(F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1).alias("value")).write.text(path)
+
+
+def read_edges(spark: SparkSession, path: str, checked: bool = True) -> DataFrame:
+    """(i, j) from 0 of text edges ``i j`` from 1; columns without an edge are allowed.
+
+    With ``checked``, edges whose columns do not ascend, in the order of the
+    files' names and lines, are an error, as are lines that are not edges. Each
+    split of a file gives its first and last column and whether it ascends, and
+    only these, a row a split, are put in one order.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parts = F.split(F.trim("value"), r"\s+")
+    place = lambda k: F.get(parts, F.lit(k)).try_cast("long") - 1
+    edges = lines.select(place(0).alias("i"), place(1).alias("j"), F.size(parts).alias("_n"))
+    if checked:
+        wrong = F.col("i").isNull() | F.col("j").isNull() | (F.col("i") < 0) | (F.col("j") < 0) | (F.col("_n") != 2)
+        if bad := edges.agg(F.count_if(wrong)).first()[0]:
+            raise MatrixError(f"{bad} lines are not edges")
+
+        def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: list | None = None  # file, start, first, last, ascending
+            for pdf in batches:
+                for (file, start), own in pdf.groupby(["file", "start"], sort=False)["j"]:
+                    j = own.to_numpy()
+                    up = bool((j[1:] >= j[:-1]).all())
+                    if held and held[:2] == [file, start]:
+                        held[3:] = [j[-1], held[4] and up and held[3] <= j[0]]
+                        continue
+                    if held:
+                        yield pd.DataFrame([held], columns=["file", "start", "first", "last", "up"])
+                    held = [file, start, j[0], j[-1], up]
+            if held:
+                yield pd.DataFrame([held], columns=["file", "start", "first", "last", "up"])
+
+        placed = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), place(1).alias("j"))
+        splits = placed.mapInPandas(ends, "file string, start long, first long, last long, up boolean")
+        before = F.lag("last").over(Window.orderBy("file", "start"))
+        if not splits.withColumn("before", before).where("NOT up OR before > first").isEmpty():
+            raise MatrixError("columns do not ascend")
+    return edges.select("i", "j")
+
+
 def read_packed(spark: SparkSession, path: str) -> DataFrame:
     """(file, i, j, v) of packed matrix files, one task a file."""
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.functions.scalars import replaced
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,3 +58,8 @@ def write_daily_cells(df: DataFrame, path: str) -> None:
 def write_vector(df: DataFrame, idx: str, value: str, path: str) -> None:
     """One number a line in the order of ``idx``; part files follow one another."""
     df.orderBy(idx).select(F.format_string("%e", value)).write.text(path)
+
+
+def rewrite_labels(spark: SparkSession, source: str, target: str, labels: dict[str, str]) -> None:
+    """Text lines of ``source`` written to ``target`` with each label replaced."""
+    spark.read.text(source).select(replaced(F.col("value"), labels).alias("value")).write.text(target)

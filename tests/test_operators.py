@@ -386,3 +386,11 @@ def test_model_inputs_drop_longer_rows(spark):
     df = spark.createDataFrame([(1, [5, 6], [1, 7]), (2, [5] * 9, [1, 7])], "k int, c array<int>, q array<int>")
     got = tx.model_inputs(df, "c", "q", 5).collect()
     assert [(r.k, r.input_ids, r.token_type_ids, r.attention_mask) for r in got] == [(1, [5, 6, 7, 0, 0], [0, 0, 1, 0, 0], [1, 1, 1, 0, 0])]
+
+
+def test_aligned_wants_the_same_keys(spark):
+    a, b = spark.range(5).withColumn("a", F.lit(1)), spark.range(5).withColumn("b", F.lit(2))
+    assert rw.aligned(a, b, "id").count() == 5
+    for other in (b.where("id < 4"), b.union(b.limit(1)), spark.range(6).withColumn("b", F.lit(2))):
+        with pytest.raises(ValueError, match="do not match"):
+            rw.aligned(a, other, "id")

@@ -171,3 +171,42 @@ def test_bov_bricks_and_plain_files(spark, tmp_path):
     (tmp_path / "one.bin").write_bytes(data)
     (tmp_path / "one.bov").write_text("TIME: 0.0\nDATA_FILE: one.bin\nDATA_SIZE: 3 5 1\nDATA_FORMAT: DOUBLE\nVARIABLE: phi\nDATA_ENDIAN: LITTLE\n")
     assert sorted(tuple(r) for r in bk.read_bov(spark, f"file://{tmp_path}/one.bov").collect()) == rows
+
+
+def test_any_field(spark, tmp_path):
+    read = lambda text: sorted(tuple(r) for r in mx.read_any_matrix(spark, put(tmp_path, text)).collect())
+    banner = "%%MatrixMarket matrix coordinate "
+    assert read(banner + "pattern symmetric\n2 2 2\n1 1\n2 1\n") == [(0, 0, 1.0, 0.0), (0, 1, 1.0, 0.0), (1, 0, 1.0, 0.0)]
+    assert read(banner + "complex hermitian\n2 2 1\n2 1 3 4\n") == [(0, 1, 3.0, -4.0), (1, 0, 3.0, 4.0)]
+    assert read(banner + "real skew-symmetric\n3 3 1\n3 1 2.5\n") == [(0, 2, -2.5, 0.0), (2, 0, 2.5, 0.0)]
+    wrong = ["pattern skew-symmetric\n1 1 0\n", "real hermitian\n1 1 0\n", "complex general\n1 1 1\n1 1 2\n", "real general\n2 2 1\n1 x 1\n", "real general\n2 2 2\n1 1 1\n1 1 2\n"]
+    for text in wrong:
+        with pytest.raises(mx.MatrixError):
+            read(banner + text)
+
+
+def test_packed_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mx, "PACKED_ENTRIES", 40)
+    a = spark.range(150).selectExpr("id % 3 AS i", "id AS j", "id / 2 AS v")
+    assert mx.write_packed(a, f"file://{tmp_path}/p", "a", 3, 150) == 4
+    assert rows(mx.read_packed(spark, f"file://{tmp_path}/p/a_*.bmtx")) == rows(a)
+    with pytest.raises(mx.MatrixError):
+        mx.write_packed(a, f"file://{tmp_path}/q", "a", 2**31, 150)
+
+
+def test_edge_files(spark, tmp_path):
+    edges = spark.range(500).selectExpr("id * 7 % 90 AS i", "id % 40 + 5 AS j").distinct()
+    path = f"file://{tmp_path}/e"
+    mx.write_edges(edges.repartition(5), path)
+    got = mx.read_edges(spark, path)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, edges.collect()))
+    assert mx.read_edges(spark, put(tmp_path, "", "none.txt")).count() == 0
+    for text in ("1 2\n1 1\n", "1 2 3\n", "0 1\n", "1 x\n"):
+        with pytest.raises(mx.MatrixError):
+            mx.read_edges(spark, put(tmp_path, text, "bad.txt"))
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a.txt").write_text("1 1\n2 3\n")
+    (tmp_path / "two" / "b.txt").write_text("1 2\n" * 3)
+    with pytest.raises(mx.MatrixError):
+        mx.read_edges(spark, f"file://{tmp_path}/two")
+    assert mx.read_edges(spark, f"file://{tmp_path}/two", checked=False).count() == 5
