@@ -316,6 +316,120 @@ def hidden_layer(df: DataFrame, features: Sequence[str], label: str, hidden: int
     return MultilayerPerceptronClassifier(labelCol=label, layers=[len(features), hidden, classes], seed=1).fit(rows), rows
 
 
+@dataclass
+class Layers:
+    """A network of one hidden layer: weights and biases into it and out of it."""
+
+    w1: np.ndarray
+    b1: np.ndarray
+    w2: np.ndarray
+    b2: np.ndarray
+    kind: str = "logistic"
+
+    @classmethod
+    def start(cls, inputs: int, hidden: int, outputs: int, kind: str, seed: int) -> Layers:
+        """Uniform weights within 1 / sqrt(inputs) of 0, and the biases alike."""
+        rng = np.random.default_rng(seed)
+        draw = lambda fan, *shape: rng.uniform(-1, 1, shape) / math.sqrt(fan)
+        return cls(draw(inputs, inputs, hidden), draw(inputs, hidden), draw(hidden, hidden, outputs), draw(hidden, outputs), kind)
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.w1, self.b1, self.w2, self.b2]
+
+    def forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hidden values and the outputs of rows ``x``."""
+        squash = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        hidden = squash(x @ self.w1 + self.b1)
+        z = hidden @ self.w2 + self.b2
+        if self.kind == "linear":
+            return hidden, z
+        if self.kind == "logistic":
+            return hidden, squash(z)
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return hidden, e / e.sum(axis=1, keepdims=True)
+
+    def sums(self, x: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The gradients of all parts, flat, summed over the rows; then half the squared error."""
+        hidden, out = self.forward(x)
+        miss = out - t
+        at_out = miss if self.kind == "linear" else miss * out * (1 - out)
+        at_hidden = (at_out @ self.w2.T) * hidden * (1 - hidden)
+        flat = [x.T @ at_hidden, at_hidden.sum(axis=0), hidden.T @ at_out, at_out.sum(axis=0), np.array([(miss**2).sum() / 2])]
+        return np.concatenate([p.ravel() for p in flat])
+
+    def column(self, features: Sequence[Column], output: int = 0) -> Column:
+        """One output as a column expression; of softmax layers the score before it is normalised."""
+        line = lambda w, b, given: sum((F.lit(float(v)) * c for v, c in zip(w, given, strict=True)), F.lit(float(b)))
+        squash = lambda z: 1 / (1 + F.exp(-z))
+        hidden = [squash(line(self.w1[:, k], self.b1[k], features)) for k in range(len(self.b1))]
+        z = line(self.w2[:, output], self.b2[output], hidden)
+        return squash(z) if self.kind == "logistic" else z
+
+
+def _summed(rows: DataFrame, layers: Layers) -> np.ndarray:
+    """``layers.sums`` over all rows (x, t): a task sums its own, so a row for each part and number is shuffled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                made = layers.sums(np.stack(pdf["x"].to_list()), np.stack(pdf["t"].to_list()))
+                total = made if total is None else total + made
+        if total is not None:
+            yield pd.DataFrame({"place": np.arange(len(total)), "total": total})
+
+    found = rows.mapInPandas(run, "place int, total double").groupBy("place").agg(F.sum("total").alias("total")).collect()
+    out = np.zeros(sum(p.size for p in layers.parts()) + 1)
+    for r in found:
+        out[r.place] = r.total
+    return out
+
+
+def momentum_layers(
+    df: DataFrame,
+    features: Sequence[Column],
+    targets: Sequence[Column],
+    validate: Column,
+    hidden: int = 4,
+    kind: str = "logistic",
+    rate: float = 0.25,
+    momentum: float = 0.9,
+    steps: int = 10,
+    most_rounds: int = 20,
+    tolerance: float = 1e-3,
+    seed: int = 0,
+) -> tuple[Layers, list[float]]:
+    """A hidden layer fitted by descent with momentum, and the validation error after each round.
+
+    A round is ``steps`` steps from rest; rounds go on until two in a row lower
+    half the squared error of the rows that ``validate`` picks by no more than
+    ``tolerance``. Logistic outputs descend on the sum over the rows, linear and
+    softmax ones on the mean. Rows with a null are left out. A step is one job
+    over rows written once, and the driver holds the weights alone.
+    """
+    given = df.select(F.array(*[f.cast("double") for f in features]).alias("x"), F.array(*[t.cast("double") for t in targets]).alias("t"), validate.alias("held"))
+    whole = ~F.exists("x", lambda v: v.isNull()) & ~F.exists("t", lambda v: v.isNull()) & F.col("held").isNotNull()
+    rows, path = stored(given.where(whole))
+    train, held = rows.where(~F.col("held")).select("x", "t"), rows.where("held").select("x", "t")
+    n = 1 if kind == "logistic" else max(1, train.count())
+    layers = Layers.start(len(features), hidden, len(targets), kind, seed)
+    errors: list[float] = []
+    small = 0
+    while small < 2 and len(errors) < most_rounds:
+        moves = [np.zeros_like(p) for p in layers.parts()]
+        for _ in range(steps):
+            flat, at = _summed(train, layers), 0
+            for part, move in zip(layers.parts(), moves, strict=True):
+                move *= momentum
+                move += rate / n * flat[at : at + part.size].reshape(part.shape)
+                part -= move
+                at += part.size
+        errors.append(float(_summed(held, layers)[-1]))
+        small = small + 1 if len(errors) > 1 and errors[-2] - errors[-1] <= tolerance else 0
+    delete(df.sparkSession, path)
+    return layers, errors
+
+
 def monte_carlo_pi(df: DataFrame, key: str) -> DataFrame:
     """4 * share of points within the quarter circle, a point for each row."""
     from gridloom.functions.scalars import uniform
@@ -339,6 +453,37 @@ def least_squares_policy(df: DataFrame, key: str, features: Column, size: int, t
     return np.linalg.solve(s + ridge * np.eye(size), np.array([row[f"m{i}"] for i in range(size)], dtype=float)).tolist()
 
 
+def backward_policy(df: DataFrame, step: str, features: Column, size: int, cost: Column, discount: float) -> dict[int, list[float]]:
+    """Weights of the action values of each step but the last, from the last one back.
+
+    At a step, the rows' costs plus the discounted least value of the next step
+    are fitted to the feature array by the pseudo-inverse; the value after the
+    last step is 0. All products are summed in one scan, a row a step, and each
+    step then reads its own rows once for the least value.
+    """
+    rows, path = stored(df.select(F.col(step).cast("long").alias("t"), features.alias("f"), cost.cast("double").alias("r")).where("t IS NOT NULL AND r IS NOT NULL"))
+    f = [F.element_at("f", k + 1) for k in range(size)]
+    products = [F.sum(f[i] * f[j]).alias(f"s{i}_{j}") for i in range(size) for j in range(i, size)]
+    sums = [*products, *[F.sum(f[i] * F.col("r")).alias(f"m{i}") for i in range(size)], *[F.sum(f[i]).alias(f"p{i}") for i in range(size)]]
+    found = {r["t"]: r for r in rows.groupBy("t").agg(*sums).collect()}
+    weights: dict[int, list[float]] = {}
+    least = 0.0
+    for t in sorted(found, reverse=True)[1:]:
+        s = np.array([[found[t][f"s{min(i, j)}_{max(i, j)}"] for j in range(size)] for i in range(size)], dtype=float)
+        m, p = (np.array([found[t][f"{k}{i}"] for i in range(size)], dtype=float) for k in "mp")
+        w = np.linalg.pinv(s) @ (m + discount * least * p)
+        weights[t] = w.tolist()
+        value = sum((F.lit(float(a)) * c for a, c in zip(w, f, strict=True)), F.lit(0.0))
+        least = rows.where(F.col("t") == t).agg(F.min(value)).first()[0]
+    delete(df.sparkSession, path)
+    return weights
+
+
+def best_action(value: Callable[[float], Column], actions: Sequence[float]) -> Column:
+    """Of the actions that with the least value; of equal ones the first."""
+    return F.array_min(F.array(*[F.struct(value(a).alias("value"), F.lit(k).alias("k"), F.lit(float(a)).alias("action")) for k, a in enumerate(actions)]))["action"]
+
+
 def chunk_map(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """One row to none or many, a batch at a time, over all partitions."""
 

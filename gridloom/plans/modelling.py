@@ -146,3 +146,40 @@ def kept_fit(spark: SparkSession, sf: str) -> DataFrame:
     a, b = md.load_fit(spark, path)
     delete(spark, path)
     return parts.select("p_partkey", F.round(F.lit(a) + F.lit(b) * F.col("p_size"), 6).alias("predicted"))
+
+
+@query()
+def momentum_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """A hidden layer with momentum, stopped early by a fifth of the documents."""
+    rows = _features(spark, sf)
+    inputs = [F.col("a"), F.col("b") * 10]
+    layers, _ = md.momentum_layers(rows, inputs, [F.col("quality")], F.col("doc_id") % 5 == 0, 3, "linear", 0.1, most_rounds=5)
+    return rows.select("doc_id", "quality", (layers.column(inputs) >= 0.5).cast("int").alias("predicted"))
+
+
+def _orders(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem")
+    return lines.select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("x"), (F.col("l_discount") * 10).alias("a"), (F.col("l_extendedprice") / 1e5).alias("cost"))
+
+
+@query(
+    "WITH RECURSIVE q AS (SELECT l_linenumber AS t, l_quantity / 50 AS x, l_extendedprice / 100000 AS r FROM lineitem),"
+    " f AS (SELECT t, regr_slope(r, x) AS s, regr_intercept(r, x) AS c, min(x) AS lo, max(x) AS hi FROM q GROUP BY t),"
+    " w(t, c, s, least) AS (SELECT max(t)::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM f UNION ALL"
+    " SELECT f.t, f.c + 0.1 * least, f.s, f.c + 0.1 * least + least(f.s * lo, f.s * hi) FROM w JOIN f ON f.t = w.t - 1)"
+    " SELECT t AS step, round(c, 6) AS constant, round(s, 6) AS slope FROM w WHERE t < (SELECT max(t) FROM f)"
+)
+def policy_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of the lines of an order by backward induction, the line's number being the step."""
+    found = md.backward_policy(_orders(spark, sf), "l_linenumber", F.array(F.lit(1.0), F.col("x")), 2, F.col("cost"), 0.1)
+    return spark.createDataFrame([(t, round(w[0], 6), round(w[1], 6)) for t, w in found.items()], "step long, constant double, slope double")
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity / 50 < 0.25 THEN 0.0 WHEN l_quantity / 50 <= 0.75 THEN 0.5 ELSE 1.0 END::DOUBLE AS action FROM lineitem"
+)
+def best_actions(spark: SparkSession, sf: str) -> DataFrame:
+    """The action of 0, 1/2 and 1 that is nearest to each line's quantity, by the least squared distance."""
+    rows = _orders(spark, sf)
+    action = md.best_action(lambda a: (F.col("x") - a) ** 2, [0.5, 0.0, 1.0])
+    return rows.select("l_orderkey", "l_linenumber", action.alias("action"))

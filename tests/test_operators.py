@@ -394,3 +394,59 @@ def test_aligned_wants_the_same_keys(spark):
     for other in (b.where("id < 4"), b.union(b.limit(1)), spark.range(6).withColumn("b", F.lit(2))):
         with pytest.raises(ValueError, match="do not match"):
             rw.aligned(a, other, "id")
+
+
+@pytest.mark.parametrize("kind", ["linear", "logistic", "softmax"])
+def test_hidden_layer_with_momentum_against_a_loop(spark, kind):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 2))
+    t = np.column_stack([x[:, 0] > 0, x[:, 0] <= 0]).astype(float)
+    given = [(k, *map(float, a), *map(float, b)) for k, (a, b) in enumerate(zip(x, t, strict=True))]
+    df = spark.createDataFrame([*given, (100, None, 1.0, 0.0, 1.0)], "k long, a double, b double, u double, v double")
+    columns = [F.col(c) for c in "abuv"]
+    got, errors = md.momentum_layers(df, columns[:2], columns[2:], F.col("k") % 4 == 0, 3, kind, 0.05, 0.9, 4, 3, -math.inf, 7)
+    held = np.arange(60) % 4 == 0
+    want = md.Layers.start(2, 3, 2, kind, 7)
+    loss = lambda m: 0.5 * ((m.forward(x[~held])[1] - t[~held]) ** 2).sum()
+    # The steps are those of a loop over one array.
+    want_errors, n = [], 1 if kind == "logistic" else int((~held).sum())
+    for _ in range(3):
+        moves = np.zeros(got.w1.size + got.b1.size + got.w2.size + got.b2.size)
+        for _ in range(4):
+            moves = 0.9 * moves + 0.05 / n * want.sums(x[~held], t[~held])[:-1]
+            at = 0
+            for part in want.parts():
+                part -= moves[at : at + part.size].reshape(part.shape)
+                at += part.size
+        want_errors.append(0.5 * ((want.forward(x[held])[1] - t[held]) ** 2).sum())
+    for a, b in zip(got.parts(), want.parts(), strict=True):
+        assert np.allclose(a, b)
+    assert np.allclose(errors, want_errors)
+    # Gradients of one output are those of the loss by differences.
+    if kind != "softmax":
+        flat, at = want.sums(x[~held], t[~held]), 0
+        for part in want.parts():
+            part.flat[0] += 1e-6
+            up = loss(want)
+            part.flat[0] -= 2e-6
+            assert math.isclose((up - loss(want)) / 2e-6, flat[at], rel_tol=1e-4, abs_tol=1e-6)
+            part.flat[0] += 1e-6
+            at += part.size
+        out = {r.k: r.z for r in df.select("k", got.column(columns[:2], 1).alias("z")).collect()}
+        assert np.allclose([out[k] for k in range(60)], got.forward(x)[1][:, 1])
+
+
+def test_backward_policy_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(k), float(a), float(b), float(r)) for k, a, b, r in zip(rng.integers(0, 4, 200), rng.random(200), rng.random(200), rng.random(200), strict=True)]
+    df = spark.createDataFrame([*rows, (None, 0.1, 0.1, 0.1), (2, 0.1, 0.1, None)], "t int, a double, b double, r double")
+    got = md.backward_policy(df, "t", F.array(F.lit(1.0), F.col("a"), F.col("b"), F.col("a")), 4, F.col("r"), 0.5)
+    least, array = 0.0, np.array(rows)
+    assert sorted(got) == [0, 1, 2]
+    for t in (2, 1, 0):
+        own = array[array[:, 0] == t]
+        phi = np.column_stack([np.ones(len(own)), own[:, 1], own[:, 2], own[:, 1]])
+        want = np.linalg.pinv(phi) @ (own[:, 3] + 0.5 * least)
+        assert np.allclose(got[t], want, atol=1e-8)
+        least = (phi @ want).min()
+    assert md.backward_policy(df.limit(0), "t", F.array(F.lit(1.0)), 1, F.col("r"), 0.5) == {}
