@@ -1,6 +1,8 @@
+import math
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import rules
@@ -62,6 +64,59 @@ def test_learns_planted_rules(spark):
     assert {c.feature for c in found.rules[0]} <= set("abc") and "reject" in str(found)
 
 
+def plain_list(rows, names, max_rules, max_conditions, min_precision, min_share):
+    """Sequential covering over all rows: each rule grown by gain on two parts of three, pruned on the third."""
+    cuts = {}
+    for j, k in enumerate(names):
+        values = sorted(r[j] for r in rows)
+        own = {values[max(0, math.ceil(q * len(values)) - 1)] for q in rules.QUANTILES}
+        cuts[k] = sorted(own | {min(v for v in values if v > 0)})
+    meets = lambda r, rule: all((r[names.index(k)] >= t) == up for k, up, t in rule)
+    count = lambda part: (sum(r[-2] for r in part), sum(not r[-2] for r in part))
+    found, left = [], rows
+    while len(found) < max_rules:
+        rule, met = [], [r for r in left if not r[-1]]
+        while len(rule) < max_conditions and all(before := count(met)):
+            options = [(k, up, t) for k in names for t in cuts[k] for up in (True, False)]
+            gains = [rules._gain(*count([r for r in met if meets(r, [c])]), *before) for c in options]
+            best = 0.0, None
+            for gain, c in zip(gains, options, strict=True):
+                if gain > best[0] + 1e-9:
+                    best = gain, c
+            if not best[1]:
+                break
+            rule.append(best[1])
+            met = [r for r in met if meets(r, rule[-1:])]
+        if not rule:
+            break
+        scored = []
+        for j in range(1, len(rule) + 1):
+            own = [r for r in left if meets(r, rule[:j])]
+            p, n = count([r for r in own if r[-1]] or own)
+            scored.append(((p - n) / (p + n), -j, p / (p + n), len(own)))
+        _, j, precision, size = max(scored)
+        rule = rule[:-j]
+        if precision < min_precision or size < max(2, min_share * len(rows)):
+            break
+        found.append(rule)
+        left = [r for r in left if not meets(r, rule)]
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_same_list_as_plain_covering(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(900):
+        a, b, c = (rng.choice([0.0, rng.randrange(1, 60) / 64]) for _ in range(3))
+        rows.append((a, b, c, (a > 0.8 or (b > 0.5 and c < 0.3)) != (rng.random() < 0.04), rng.random() < 0.33))
+    df = spark.createDataFrame(rows, "a double, b double, c double, bad boolean, aside boolean")
+    tested = {k: F.col(k) for k in "abc"}
+    found = rules.learn(df, tested, F.col("bad"), F.col("aside"), 6, 3, 0.7, 0.001)
+    want = plain_list(rows, "abc", 6, 3, 0.7, 0.001)
+    assert len(want) > 1 and [[(c.feature, c.at_least, c.threshold) for c in r] for r in found.rules] == want
+
+
 def test_learns_nothing_without_labels(spark):
     df = spark.createDataFrame([], "a double, bad boolean")
     assert rules.learn(df, {"a": F.col("a")}, F.col("bad"), F.lit(False)).rules == []

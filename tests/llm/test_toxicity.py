@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -53,6 +54,38 @@ def test_odd_tables(spark):
     assert tx.scored(docs.limit(0), tx.learn(docs.limit(0), labels)).count() == 0
 
 
+def test_fit_against_a_plain_one(spark):
+    """Counts, log-count ratios and the ridge fit from Python's counts and Newton steps; some labels are wrong, so the classes overlap."""
+    rng = random.Random(2)
+    mild, harsh = ["table", "river", "green", "walking"], ["idiots", "stupid", "river", "table"]
+    given = [(k, " ".join(rng.choice(harsh if k % 3 == 0 else mild) for _ in range(rng.randrange(4, 12))), int((k % 3 == 0) != (k % 10 == 5))) for k in range(60)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in given], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in given], "doc_id long, toxic int")
+    model = tx.learn(docs, labels)
+    y = np.array([y for _, _, y in given], dtype=float)
+    own = [brute(t) for _, t, _ in given]
+    n1, n0 = (Counter(g for x, k in zip(own, y, strict=True) for g in x if k == c) for c in (1, 0))
+    kept = sorted(g for g in n0.keys() | n1.keys() if n0[g] + n1[g] >= tx.MIN_TEXTS)
+    assert np.flatnonzero(model.table >= 0).tolist() == kept
+    ratio = np.array([math.log((n1[g] + 0.5) / (y.sum() + 1)) - math.log((n0[g] + 0.5) / ((1 - y).sum() + 1)) for g in kept])
+    x = np.array([[f.get(g, 0.0) for g in kept] for f in own]) * ratio
+    x1 = np.column_stack([x, np.ones(len(x))])
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    ridge = np.r_[np.full(len(kept), tx.RIDGE / len(y)), 0.0]
+    w = np.zeros(len(kept) + 1)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-x1 @ w))
+        step = np.linalg.lstsq((x1.T * (share * p * (1 - p))) @ x1 + np.diag(ridge), x1.T @ (share * (p - y)) + ridge * w, rcond=None)[0]
+        w -= step
+        if np.abs(step).max() < 1e-10:
+            break
+    assert np.allclose(model.scores([t for _, t, _ in given]), 1 / (1 + np.exp(-x1 @ w)), atol=0.003)
+    # The minimum is flat along n-grams that come together, so the objective is compared, not each weight.
+    objective = lambda w: share @ np.logaddexp(0, np.where(y == 1, -1, 1) * (x1 @ w)) + (ridge * w**2).sum() / 2
+    got = np.r_[model.weights[model.table[kept]] / ratio, model.bias]
+    assert objective(w) <= objective(got) + 1e-12 and objective(got) <= objective(w) * 1.01, (objective(w), objective(got))
+
+
 def test_query_is_accurate_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
