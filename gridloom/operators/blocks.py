@@ -1,6 +1,6 @@
 """Sequences in blocks: windows over a whole order without one task holding it.
 
-Rows carry a position, a long that need not be dense. A block is a range of
+Rows carry a position, a long. A block is a range of
 positions; each row also goes to the blocks whose rows look back or ahead to it,
 so a window within a block sees all that it needs.
 """
@@ -21,14 +21,21 @@ def in_blocks(df: DataFrame, idx: str, before: int, after: int, make: Callable[[
     """``df`` with window columns over ``idx``, positions being dense from 0.
 
     ``make`` gets a window spec by block and position, and returns the columns;
-    they may look ``before`` rows back and ``after`` rows ahead.
+    they may look ``before`` rows back and ``after`` rows ahead. A null position,
+    one met twice, or one missing before or after which rows look is an error
+    when the rows are made, as a row at the end of a block would miss its neighbour.
     """
     own = F.floor(F.col(idx) / block)
+    at = F.when(F.col(idx) >= 0, F.col(idx)).otherwise(F.raise_error(F.lit(f"{idx} is null or negative")).cast("long"))
+    df = df.withColumn(idx, at)
     first, last = F.floor((F.col(idx) - after) / block), F.floor((F.col(idx) + before) / block)
     placed = df.withColumn("_block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
     spec = Window.partitionBy("_block").orderBy(idx)
-    made = placed.select("*", *[c.alias(k) for k, c in make(spec).items()])
-    return made.where(F.col("_block") == own).drop("_block")
+    made = placed.select("*", *[c.alias(k) for k, c in make(spec).items()], F.lag(idx).over(spec).alias("_before"))
+    # The first row that a block sees has no neighbour to be held against.
+    gap = (F.col(idx) - F.col("_before") != 1) | (F.col("_before").isNull() & (F.col(idx) > 0) & F.lit(before > 0))
+    sound = F.when(gap, F.raise_error(F.concat(F.lit(f"{idx} is not dense at "), F.col(idx))).cast("boolean")).otherwise(True)
+    return made.where(F.col("_block") == own).where(sound).drop("_block", "_before")
 
 
 def running(df: DataFrame, idx: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:

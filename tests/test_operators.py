@@ -450,3 +450,12 @@ def test_backward_policy_against_numpy(spark):
         assert np.allclose(got[t], want, atol=1e-8)
         least = (phi @ want).min()
     assert md.backward_policy(df.limit(0), "t", F.array(F.lit(1.0)), 1, F.col("r"), 0.5) == {}
+
+
+@pytest.mark.parametrize("places", [[0, 1, 2, 4, 5], [0, 1, 1, 2], [1, 2, 3], [0, 1, None], [-1, 0, 1]])
+@pytest.mark.parametrize("block", [2, 100])
+def test_blocks_refuse_places_that_are_not_dense(spark, places, block):
+    df = spark.createDataFrame([(p, 1.0) for p in places], "idx long, v double")
+    made = in_blocks(df, "idx", 1, 1, lambda w: {"a": F.lag("v").over(w)}, block)
+    with pytest.raises(Exception, match="idx is"):
+        made.collect()
