@@ -1,7 +1,7 @@
 """Sequences in blocks: windows over a whole order without one task holding it.
 
-Rows carry a position, a long. A block is a range of
-positions; each row also goes to the blocks whose rows look back or ahead to it,
+Rows carry a position, a long. A block is a range of positions;
+each row also goes to the blocks whose rows look back or ahead to it,
 so a window within a block sees all that it needs.
 """
 
