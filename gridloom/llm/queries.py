@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import html_text, jaccard, language, media, packing, pieces, rules, shards, simhash, toxicity, warc
+from gridloom.llm import collocations, html_text, jaccard, language, media, packing, pieces, rules, shards, simhash, toxicity, warc
 from gridloom.llm.common import crc_mod, table, work_dir
 
 
@@ -102,6 +102,10 @@ def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -115,8 +119,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_warc": op10_warc,
         "op11_jaccard_join": op11_jaccard_join,
+        "op13_phrase_collocations": op13_phrase_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": warc.ORACLE_SQL}
+    return {"op10_warc": warc.ORACLE_SQL, "op13_phrase_collocations": collocations.ORACLE_SQL}
