@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import collocations, html_text, jaccard, language, media, packing, pieces, rules, shards, simhash, toxicity, warc
+from gridloom.llm import alignment, collocations, html_text, jaccard, language, media, packing, pieces, rules, shards, simhash, toxicity, warc
 from gridloom.llm.common import crc_mod, table, work_dir
 
 
@@ -102,6 +102,11 @@ def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+    return alignment.alignment_counts(table(spark, sf_dir, "documents"), *files).withColumnRenamed("id", "doc_id")
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -119,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_warc": op10_warc,
         "op11_jaccard_join": op11_jaccard_join,
+        "op12_token_alignment": op12_token_alignment,
         "op13_phrase_collocations": op13_phrase_collocations,
     }
 
