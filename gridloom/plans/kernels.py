@@ -12,6 +12,7 @@ from gridloom.operators import graph as gr
 from gridloom.operators import grid as gd
 from gridloom.operators import rows as rw
 from gridloom.operators import sequences as sq
+from gridloom.operators import solvers as sv
 from gridloom.operators import sparse as sp
 from gridloom.plans.registry import query
 from gridloom.session import kept_dir
@@ -310,20 +311,64 @@ def circle_start(spark: SparkSession, sf: str) -> DataFrame:
     return _grid(spark, sf).select("i", "j", gd.circle(F.col("i"), F.col("j"), (5.0, 5.0), 3.0).alias("u"))
 
 
-@query()
-def newton_cg_tiles(spark: SparkSession, sf: str) -> DataFrame:
-    """One implicit reaction-diffusion step on every 8 x 8 tile of the customers' grid."""
-    tile = F.floor(F.col("i") / 8) * (1 << 31) + F.floor(F.col("j") / 8)
-    tiles = _grid(spark, sf).select(tile.alias("tile"), (F.col("i") % 8).alias("i"), (F.col("j") % 8).alias("j"), (0.1 * F.abs("v") / 10000).alias("v"))
-    return gd.solve_tiles(tiles, 2.0, 0.1)
+_AROUND = "coalesce(lag(v) OVER a, 0) + coalesce(lead(v) OVER a, 0) + coalesce(lag(v) OVER b, 0) + coalesce(lead(v) OVER b, 0)"
+_OVER = "WINDOW a AS (PARTITION BY j ORDER BY i), b AS (PARTITION BY i ORDER BY j)"
 
 
-@query()
-def lorenz_means(spark: SparkSession, sf: str) -> DataFrame:
-    from gridloom.functions.scalars import uniform
+@query(
+    f"WITH RECURSIVE g AS (SELECT i, j, v / 10000 AS o FROM {_GRID}), t AS (SELECT 0 AS k, i, j, o, 0.0::DOUBLE AS v FROM g UNION ALL"
+    f" SELECT k + 1, i, j, o, (o + {_AROUND}) / 8 FROM t WHERE k < 60 {_OVER}) SELECT i, j, round(v, 6) AS x FROM t WHERE k = 60"
+)
+def cg_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """8 x less its neighbours is the customers' balance, solved by conjugate gradients over the table."""
+    system = _grid(spark, sf).select("i", "j", (F.col("v") / 10000).alias("b"))
+    solved, _, _ = sv.conjugate_gradient(system, sv.stencil_product(8.0), tolerance=1e-9)
+    return solved.select("i", "j", F.round("x", 6).alias("x"))
+
 
-    starts = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), *[(uniform(F.col("s_suppkey"), k) * 30 - 15).alias(k) for k in "xyz"])
-    return gd.lorenz(starts)
+@query(
+    f"WITH RECURSIVE g AS (SELECT i, j, 0.1 * abs(v) / 10000 AS o FROM {_GRID}), t AS (SELECT 0 AS k, i, j, o, o AS v FROM g UNION ALL"
+    f" SELECT k + 1, i, j, o, ({_AROUND} + 4 * o + 0.1 * v * (1 - v)) / 8 FROM t WHERE k < 60 {_OVER}) SELECT i, j, round(v, 6) AS v FROM t WHERE k = 60"
+)
+def newton_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """One implicit reaction-diffusion step of the customers' grid, by Newton and conjugate gradients over the table."""
+    start = _grid(spark, sf).select("i", "j", (0.1 * F.abs("v") / 10000).alias("v"))
+    found, _, _ = sv.implicit_step(start, 4.0, 0.1, tolerance=1e-7)
+    return found.select("i", "j", F.round("v", 6).alias("v"))
+
+
+@query(
+    f"WITH RECURSIVE t AS (SELECT 0 AS k, i, j, v FROM {_GRID} UNION ALL SELECT k + 1, i, j, coalesce(v + 0.1::DOUBLE * (lag(v) OVER a + lead(v) OVER a + lag(v) OVER b"
+    f" + lead(v) OVER b - 4 * v), v) FROM t WHERE k < 40 {_OVER}) SELECT i, j, round(v, 4) AS v FROM t WHERE k = 40"
+)
+def diffusion_40(spark: SparkSession, sf: str) -> DataFrame:
+    """Forty steps in five shuffles."""
+    return gd.diffusion(_grid(spark, sf), 0.1, 40).select("i", "j", F.round("v", 4).alias("v"))
+
+
+_SLOPES = """
+  SELECT id, n, x, y, z, sx, sy, sz, 10 * (y - x) AS kax, x * (28 - z) - y AS kay, x * y - 8.0::DOUBLE / 3 * z AS kaz FROM t WHERE n < 1000"""
+
+
+def _stage(source: str, of: str, to: str, h: str) -> str:
+    x, y, z = (f"({c} + {h} * {of}{c})" for c in "xyz")
+    return f"SELECT *, 10 * ({y} - {x}) AS {to}x, {x} * (28 - {z}) - {y} AS {to}y, {x} * {y} - 8.0::DOUBLE / 3 * {z} AS {to}z FROM ({source})"
+
+
+_LORENZ = _stage(_stage(_stage(_SLOPES, "ka", "kb", "0.002::DOUBLE"), "kb", "kc", "0.002::DOUBLE"), "kc", "kd", "0.004::DOUBLE")
+
+
+@query(
+    "WITH RECURSIVE t AS (SELECT s_suppkey AS id, 0 AS n, s_acctbal / 1000 AS x, (s_suppkey % 7 - 3)::DOUBLE AS y, 20 + (s_suppkey % 5)::DOUBLE AS z,"
+    " 0.0::DOUBLE AS sx, 0.0::DOUBLE AS sy, 0.0::DOUBLE AS sz FROM supplier UNION ALL SELECT id, n + 1,"
+    + ", ".join(f"{c} + 0.004::DOUBLE / 6 * (ka{c} + 2 * kb{c} + 2 * kc{c} + kd{c})" for c in "xyz")
+    + f", sx + x, sy + y, sz + z FROM ({_LORENZ})) SELECT id, round(sx / 1000, 4) AS mean_x, round(sy / 1000, 4) AS mean_y, round(sz / 1000, 4) AS mean_z FROM t WHERE n = 1000"
+)
+def lorenz_means(spark: SparkSession, sf: str) -> DataFrame:
+    """A trajectory for each supplier, of 1,000 steps as an expression of its row."""
+    key = F.col("s_suppkey")
+    starts = table(spark, sf, "supplier").select(key.alias("id"), (F.col("s_acctbal") / 1000).alias("x"), (key % 7 - 3).cast("double").alias("y"), (20 + key % 5).cast("double").alias("z"))
+    return gd.lorenz(starts).select("id", *[F.round(f"mean_{c}", 4).alias(f"mean_{c}") for c in "xyz"])
 
 
 # -- distances of every fiftieth vector to all
