@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.blocks import running
 from gridloom.operators.sequences import block_sorted
 
+#: Columns in a stretch of a row that one array or window holds.
+PART = 65_536
+
 
 def coo(df: DataFrame, i: str | Column, j: str | Column, v: str | Column) -> DataFrame:
     """A matrix from rows; entries of the same place are added."""
@@ -139,5 +146,90 @@ def lengths(a: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     return n if rows is None else rows.join(n, "i", "left").fillna(0, ["n"])
 
 
-def position_in_row(a: DataFrame) -> DataFrame:
-    return a.withColumn("place", F.row_number().over(Window.partitionBy("i").orderBy("j")) - 1)
+def position_in_row(a: DataFrame, columns: int = PART) -> DataFrame:
+    """``a`` with ``place``, from 0 in the order of the columns of each row; places (i, j) are met once.
+
+    A row is ordered in stretches of ``columns`` columns, and only a count for
+    each stretch is ordered over the whole row.
+    """
+    stretch = F.expr(f"j div {columns}")
+    placed = a.withColumn("_part", stretch).withColumn("_within", F.row_number().over(Window.partitionBy("i", stretch).orderBy("j")) - 1)
+    counts = a.groupBy("i", stretch.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("i").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col("i").alias("_i"), F.col("_part").alias("_of"), F.coalesce(before, F.lit(0)).alias("_ahead"))
+    out = placed.join(counts, (placed.i == counts["_i"]) & (placed["_part"] == counts["_of"]))
+    return out.withColumn("place", F.col("_within") + F.col("_ahead")).drop("_part", "_within", "_i", "_of", "_ahead")
+
+
+def csr_parts(a: DataFrame, columns: int = PART) -> DataFrame:
+    """(i, part, entries): each row's columns and values in order, an array for each stretch of ``columns`` columns.
+
+    As a place is met once, no array is longer than that, however long a row is.
+    """
+    return a.groupBy("i", F.expr(f"j div {columns}").alias("part")).agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("entries"))
+
+
+# -- the product on stored chunks
+
+_CHUNK = "chunk long, block long, part int, width int, columns array<int>, values array<double>"
+
+
+def sell(a: DataFrame, rows: DataFrame, c: int = 8, sigma: int = 1, block: int = 4096, width: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """SELL-C-sigma with its cells: (chunk, block, part, width, columns, values), and the rows' places (i, position).
+
+    Rows of ``rows(i)``, numbered from 0, are ordered by length in blocks of
+    ``sigma`` and stored ``c`` to a chunk. The cells of a chunk are parted by
+    blocks of ``block`` columns and then ``width`` to a lane, so that an array
+    has ``c * width`` cells at most, however long a row is. Cell k belongs to
+    lane k % c; a column is counted in its block, and -1 fills up a lane.
+    """
+    lanes = block_sorted(lengths(a, rows), sigma).select("i", "position")
+    cells = a.join(lanes, "i").select(
+        F.expr(f"position div {c}").alias("chunk"), F.expr(f"int(position % {c})").alias("lane"), F.expr(f"j div {block}").alias("block"), F.expr(f"int(j % {block})").alias("column"), F.col("v").cast("double").alias("v")
+    )
+    # A lane has at most ``block`` cells of a block, so this window is bounded.
+    place = F.row_number().over(Window.partitionBy("chunk", "lane", "block").orderBy("column")) - 1
+    cells = cells.withColumn("place", place).withColumn("part", F.expr(f"int(place div {width})"))
+    packed = cells.groupBy("chunk", "block", "part").agg(F.collect_list(F.struct("lane", (F.col("place") % width).cast("int").alias("place"), "column", "v")).alias("cells"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column("cells")
+            n = found.value_lengths().to_numpy(zero_copy_only=False)
+            lane, at, column, v = (found.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            start = np.cumsum(n) - n
+            wide = np.maximum.reduceat(at, start) + 1 if len(n) else n
+            begin = np.cumsum(wide * c) - wide * c
+            columns, values = np.full(int((wide * c).sum()), -1, np.int32), np.zeros(int((wide * c).sum()))
+            k = np.repeat(begin, n) + at * c + lane
+            columns[k], values[k] = column, v
+            ends = pa.array(np.r_[begin, len(columns)].astype(np.int32))
+            arrays = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (columns, values)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("chunk", "block", "part")), pa.array(wide.astype(np.int32)), *arrays], names=["chunk", "block", "part", "width", "columns", "values"])
+
+    return packed.mapInArrow(fill, _CHUNK), lanes
+
+
+def sell_spmv(chunks: DataFrame, lanes: DataFrame, x: DataFrame, c: int = 8, block: int = 4096) -> DataFrame:
+    """(i, v) of A x for ``sell``'s chunks and x(j, x); a missing or null x counts as 0, rows without cells have 0.
+
+    x is gathered in blocks of ``block`` values, which meet the chunks of their
+    columns; a chunk's lanes are summed as columns of one array.
+    """
+    cells = x.where("x IS NOT NULL").groupBy(F.expr(f"j div {block}").alias("block")).agg(F.collect_list(F.struct(F.expr(f"int(j % {block})").alias("at"), F.col("x").cast("double").alias("x"))).alias("xs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk, sums = batch.column("chunk").to_numpy(), []
+            for columns, values, xs in zip(batch.column("columns"), batch.column("values"), batch.column("xs"), strict=True):
+                own, at = np.zeros(block + 1), xs.values.field(0).to_numpy()
+                own[at] = xs.values.field(1).to_numpy()
+                # The column -1 is the last place, a zero; its value is zero too.
+                sums.append((values.values.to_numpy() * own[columns.values.to_numpy()]).reshape(-1, c).sum(axis=0))
+            place = (chunk[:, None] * c + np.arange(c)).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.concatenate(sums) if sums else np.zeros(0))], names=["position", "v"])
+
+    # Few x blocks stay in a batch beside their chunks.
+    partial = chunks.join(cells, "block").select("chunk", "columns", "values", "xs").mapInArrow(run, "position long, v double")
+    total = partial.groupBy("position").agg(F.sum("v").alias("v"))
+    return lanes.join(total, "position", "left").select("i", F.coalesce("v", F.lit(0.0)).alias("v"))

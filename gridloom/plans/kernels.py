@@ -37,6 +37,26 @@ def spmv_part_supplier(spark: SparkSession, sf: str) -> DataFrame:
     return sp.spmv(a, x).select("i", F.round("v", 2).alias("y"))
 
 
+@query(
+    f"SELECT p_partkey AS i, round(coalesce(sum(v * s_acctbal), 0), 2) AS y FROM part LEFT JOIN ({_A[1:-1]}) ON i = p_partkey LEFT JOIN supplier ON j = s_suppkey GROUP BY p_partkey"
+)
+def sell_product(spark: SparkSession, sf: str) -> DataFrame:
+    """The product on SELL-8-32 chunks stored as arrays."""
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("i"))
+    x = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("j"), F.col("s_acctbal").alias("x"))
+    chunks, lanes = sp.sell(_part_supplier(spark, sf), rows, 8, 32)
+    return sp.sell_spmv(chunks, lanes, x).select("i", F.round("v", 2).alias("y"))
+
+
+@query(f"SELECT i, j // 64 AS part, count(*) AS n, string_agg(j, ',' ORDER BY j) AS columns, round(sum(v), 2) AS total FROM {_A} GROUP BY 1, 2")
+def csr_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The arrays of compressed rows, in stretches of 64 columns."""
+    rows = sp.csr_parts(_part_supplier(spark, sf), 64)
+    total = F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["v"])
+    said = F.array_join(F.transform("entries", lambda e: e["j"].cast("string")), ",")
+    return rows.select("i", "part", F.size("entries").cast("long").alias("n"), said.alias("columns"), F.round(total, 2).alias("total"))
+
+
 @query(
     f"SELECT p_partkey AS i, round(p_retailprice + 3 * coalesce(s, 0), 2) AS y FROM part LEFT JOIN"
     f" (SELECT i, sum(v * s_acctbal) AS s FROM {_A} a JOIN supplier ON j = s_suppkey GROUP BY i) ON i = p_partkey"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import models as md
+from gridloom.operators import intervals as iv
 from gridloom.operators import sequences as sq
 from gridloom.plans.registry import query
 from gridloom.sources.tables import table
@@ -152,3 +153,42 @@ def piecewise_lookup(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     out = sq.interpolated(lines, F.col("l_quantity") + 0.3, grid)
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("y", 7).alias("y"))
+
+
+_POINTS = "(SELECT p_retailprice AS at, min(p_partkey) AS part, avg(p_size) AS y FROM part GROUP BY p_retailprice)"
+_LINES = "(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice / l_quantity AS x FROM lineitem)"
+_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def _points(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").groupBy(F.col("p_retailprice").alias("at")).agg(F.min("p_partkey").alias("part"), F.avg("p_size").alias("y"))
+
+
+@query(f"SELECT l.* EXCLUDE (x), p.at, p.part FROM {_LINES} l ASOF LEFT JOIN {_POINTS} p ON l.x >= p.at")
+def price_interval(spark: SparkSession, sf: str) -> DataFrame:
+    """The dearest part price up to each line's unit price: an interval of irregular points."""
+    lines = table(spark, sf, "lineitem").select(*_LINE, (F.col("l_extendedprice") / F.col("l_quantity")).alias("x"))
+    return iv.as_of(lines, F.col("x"), _points(spark, sf).drop("y"), "at").drop("x")
+
+
+@query(
+    f"SELECT l.* EXCLUDE (x), round(CASE WHEN a.at = l.x THEN a.y ELSE a.y + (l.x - a.at) / (b.at - a.at) * (b.y - a.y) END, 6) AS y"
+    f" FROM {_LINES} l ASOF LEFT JOIN {_POINTS} a ON l.x >= a.at ASOF LEFT JOIN {_POINTS} b ON l.x < b.at"
+)
+def irregular_interpolation(spark: SparkSession, sf: str) -> DataFrame:
+    """The mean part size at each line's unit price, on the line between the prices around it."""
+    lines = table(spark, sf, "lineitem").select(*_LINE, (F.col("l_extendedprice") / F.col("l_quantity")).alias("x"))
+    out = iv.interpolated_between(lines, F.col("x"), _points(spark, sf), "at", "y")
+    return out.select(*_LINE, F.round("y", 6).alias("y"))
+
+
+_KINDS = "(SELECT user_id, ts AS at, max(event_id) AS last_event FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2)"
+
+
+@query(f"SELECT e.event_id, e.user_id, p.last_event FROM events e ASOF LEFT JOIN {_KINDS} p ON e.user_id = p.user_id AND e.ts >= p.at WHERE e.event_id % 3 <> 0")
+def last_of_user(spark: SparkSession, sf: str) -> DataFrame:
+    """For each event the user's last one whose number three divides."""
+    events = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    points = events.where("event_id % 3 = 0").groupBy("user_id", F.col("ts").alias("at")).agg(F.max("event_id").alias("last_event"))
+    found = iv.as_of(events.where("event_id % 3 <> 0"), F.col("ts"), points, "at", ["user_id"])
+    return found.select("event_id", "user_id", "last_event")
