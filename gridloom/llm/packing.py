@@ -73,38 +73,44 @@ def _cut(text: str) -> Iterator[str]:
 
 
 class PartTable:
-    """Ids of the parts met lately, found by a 64-bit hash of the part.
-
-    Of 10**10 different parts fewer than one in 10**12 would be taken for another.
-    """
+    """Ids of the parts met lately, found by a 64-bit hash of the part and compared by its characters."""
 
     def __init__(self, most: int):
         self.most, self.batch = most, 0
         self.keys, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.first, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.codes, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, keys: np.ndarray, codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The place of each key; -1 for those without ids, -2 where another part has the key.
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key; -1 for those without ids."""
+        The parts' characters are the runs of ``codes`` at ``begin``, of ``size``.
+        """
         self.batch += 1
         if not len(self.keys):
             return np.full(len(keys), -1)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         at = np.where(self.keys[at] == keys, at, -1)
-        self.used[at[at >= 0]] = self.batch
+        hit = np.flatnonzero(at >= 0)
+        same = equal_runs(codes, begin[hit], size[hit], self.codes, self.begin[at[hit]], self.size[at[hit]])
+        self.used[at[hit[same]]] = self.batch
+        at[hit[~same]] = -2
         return at
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, codes: np.ndarray, size: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
         """Keeps new ``keys``; with more than ``most`` of them those used longest ago go."""
         keys, used = np.r_[self.keys, keys], np.r_[self.used, np.full(len(keys), self.batch)]
         first, count = np.r_[self.first, len(self.ids) + np.cumsum(count) - count], np.r_[self.count, count]
-        ids = np.r_[self.ids, ids]
+        begin, size = np.r_[self.begin, len(self.codes) + np.cumsum(size) - size], np.r_[self.size, size]
+        ids, codes = np.r_[self.ids, ids], np.r_[self.codes, codes]
         if len(keys) > self.most:
             stay = np.sort(np.argsort(-used, kind="stable")[: self.most // 2])
-            keys, used, first, count = keys[stay], used[stay], first[stay], count[stay]
-            ids = ids[spread(first, count)]
-            first = np.cumsum(count) - count
+            keys, used, first, count, begin, size = (x[stay] for x in (keys, used, first, count, begin, size))
+            ids, codes = ids[spread(first, count)], codes[spread(begin, size)]
+            first, begin = np.cumsum(count) - count, np.cumsum(size) - size
         by = np.argsort(keys)
-        self.keys, self.used, self.first, self.count, self.ids = keys[by], used[by], first[by], count[by], ids
+        self.keys, self.used, self.first, self.count, self.begin, self.size = (x[by] for x in (keys, used, first, count, begin, size))
+        self.ids, self.codes = ids, codes
 
 
 def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -113,6 +119,17 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - before, count) + np.arange(count.sum())
 
 
+def equal_runs(a: np.ndarray, at_a: np.ndarray, size_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Which runs of ``a`` equal those of ``b``; none is empty."""
+    same = size_a == size_b
+    own = np.flatnonzero(same)
+    if len(own):
+        size = size_a[own]
+        alike = a[spread(at_a[own], size)] == b[spread(at_b[own], size)]
+        same[own] = np.logical_and.reduceat(alike, np.cumsum(size) - size)
+    return same
+
+
 class WordEncoder:
     """Ids of texts under a byte-level BPE that drops white space and case.
 
@@ -189,7 +206,11 @@ class WordEncoder:
         place = np.arange(len(flat)) - np.repeat(first, size)
         key = np.add.reduceat(self.noise[flat] * power[place], first)
         keys, one, of = np.unique(key, return_index=True, return_inverse=True)
-        found = self.known.find(keys)
+        # Parts are the same only where their characters are, whatever their hashes.
+        of_same = one[of]
+        twin = np.minimum(np.repeat(first[of_same], size) + place, len(flat) - 1)
+        odd = np.flatnonzero(~np.logical_and.reduceat(flat[twin] == flat, first) | (size != size[of_same]))
+        found = self.known.find(keys, flat, first[one], size[one])
         new = np.flatnonzero(found < 0)
         ids, begin, count = self.known.ids, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         old = found >= 0
@@ -199,12 +220,18 @@ class WordEncoder:
             own, n = self._merged([joined[a : a + k] for a, k in zip(begins.tolist(), sizes.tolist(), strict=True)])
             begin[new], count[new] = len(ids) + np.cumsum(n) - n, n
             ids = np.r_[ids, own]
-            short = sizes <= CACHED_CHARS
-            self.known.add(keys[new][short], own[np.repeat(short, n)], n[short])
-        out = ids[spread(begin[of], count[of])].astype("<u4").tobytes()
+            short = (sizes <= CACHED_CHARS) & (found[new] == -1)
+            kept = one[new][short]
+            self.known.add(keys[new][short], flat[spread(first[kept], size[kept])], size[kept], own[np.repeat(short, n)], n[short])
+        begin, count = begin[of], count[of]
+        if len(odd):
+            own, n = self._merged([joined[a : a + k] for a, k in zip(at[odd].tolist(), size[odd].tolist(), strict=True)])
+            begin[odd], count[odd] = len(ids) + np.cumsum(n) - n, n
+            ids = np.r_[ids, own]
+        out = ids[spread(begin, count)].astype("<u4").tobytes()
         # The parts before the end of each text, and the ids of these.
         ends = np.cumsum([len(t) + 1 for t in lower])
-        stops = np.r_[0, np.cumsum(4 * count[of])][np.searchsorted(at, ends)].tolist()
+        stops = np.r_[0, np.cumsum(4 * count)][np.searchsorted(at, ends)].tolist()
         return [out[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
     def _near(self, texts: list[str]) -> Iterator[bytes]:

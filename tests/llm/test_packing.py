@@ -112,3 +112,24 @@ def test_query_on_given_table(spark, sf_dir):
     assert used <= least * 1.02 + 1
     tables = pk.packed_tables(spark.read.parquet(f"{sf_dir}/documents.parquet"), PATH)
     assert tables.agg({"tokens": "max"}).first()[0] <= 2048
+
+
+def thue_morse(size, flip=False):
+    return "".join("ba"[(bin(k).count("1") + flip) % 2] for k in range(size))
+
+
+def test_parts_of_one_hash_keep_their_own_ids(monkeypatch):
+    """Words whose polynomial hashes agree whatever the multiplier, in one batch and in two; then all hashes agree."""
+    t, encoder = Tokenizer.from_file(PATH), pk.WordEncoder(PATH)
+    ids = lambda x: t.encode(x, add_special_tokens=False).ids
+    got = lambda e, texts: [np.frombuffer(x, "<u4").tolist() for x in e.encode_batch(texts)]
+    for size in (1024, 2048):
+        pair = [thue_morse(size), thue_morse(size, True)]
+        assert got(encoder, [" ".join(pair)])[0] == ids(" ".join(pair))
+        assert [got(encoder, [x])[0] for x in pair] == [ids(x) for x in pair]
+    clash = pk.WordEncoder(PATH)
+    clash.noise = np.zeros_like(clash.noise)
+    texts = ["one two three two", "three four one", "five six seven eight", "eight one! two's", "", "four"]
+    for _ in range(2):
+        assert got(clash, texts) == [ids(x) for x in texts]
+        assert [got(clash, [x])[0] for x in texts] == [ids(x) for x in texts]
