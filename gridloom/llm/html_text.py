@@ -49,13 +49,13 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SIDE = frozenset("nav footer aside menu dialog search optgroup option".split())
 _SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 _SIDE_NAMES = frozenset(
-    "ad ads adv advert adverts alert advertisement advertising banner breadcrumb breadcrumbs comment commentform commentlist comments cookie cookiebar cookienotice cookies consent"
-    " disclaimer disqus dropdown footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification"
-    " pagination pager popup promo promos promoted promotion recommended related reply replies respond search share sharing sidebar"
-    " signup skyscraper social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget".split()
+    "ad ads adv advert adverts alert advertisement advertising authorbox banner breadcrumb breadcrumbs comment commentform commentlist comments copyright cookie cookiebar cookienotice cookies consent"
+    " disclaimer disqus disqusthread dropdown footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification"
+    " pagination pager popup promo promos promoted promotion recommended related reply replies respond responses reviews search share sharing sidebar"
+    " signup siteinfo skyscraper social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget".split()
 )
 #: Names of matter that comes as articles of its own, and of notices that are never the text of a page.
-_MANY_NAMES = frozenset("comment commentform commentlist comments disqus related recommended reply replies respond".split())
+_MANY_NAMES = frozenset("comment commentform commentlist comments disqus disqusthread related recommended reply replies respond responses reviews".split())
 _NOTICE_NAMES = frozenset("cookie cookiebar cookienotice cookies consent gdpr".split())
 #: A last part that ends so is a name of side matter too, as in "mainmenu".
 _SIDE_ENDS = ("banner", "comments", "footer", "menu", "navbar", "sidebar")
@@ -71,6 +71,9 @@ _HIDDEN, _FIRM, _NOTICE, _MANY, _LOOSE, _ARTICLE = range(6)
 #: Characters from which a block is running text, and the link density that it stays below.
 RUNNING_CHARS = 50
 RUNNING_DENSITY = 0.33
+#: Short blocks outside articles that say so are imprints or calls to sign up, whatever their element's name.
+IMPRINT_WORDS = 30
+_IMPRINT = re.compile(r"\ball rights reserved\b|^(?:copyright\b|\(c\)|©)\W*(?:19|20)\d\d\b|^(?:subscribe to|sign up (?:for|to)) (?:our|the|this) ", re.I).search
 
 
 @dataclass
@@ -206,6 +209,7 @@ def blocks(page: str) -> list[Block]:
     at_mark: list[int] = []
     marks = _Marks()
     stack: list[_Open] = []
+    open_names: Counter[str] = Counter()
     links = 0  # the open elements around a link, itself included; it lasts over blocks until they end
     heading = in_leaf = False
     leaf: _Open | None = None  # an open paragraph or heading, with what it says of itself
@@ -263,21 +267,24 @@ def blocks(page: str) -> list[Block]:
             links, leaf = 0 if in_leaf else links, None
             heading = name in _HEADING and not token["close"]
             if token["close"]:
-                if name in _OUTER and any(o.name == name for o in stack):
-                    while stack.pop().name != name:
-                        pass
+                if open_names[name]:
+                    above = ""
+                    while above != name:
+                        above = stack.pop().name
+                        open_names[above] -= 1
                     links = 0 if links > len(stack) + 1 else links
             else:
                 opened = _opened(name, token["attrs"], stack[-1] if stack else None, marks)
                 if name in _OUTER:
                     stack.append(opened)
+                    open_names[name] += 1
                 else:
                     leaf = opened
     if at < len(page) and not mute:
         add(page[at:])
     flush()
     for b, kind in zip(out, marks.side(out, at_mark), strict=True):
-        b.side_element, b.side_name = kind in (_HIDDEN, _FIRM), kind > _FIRM
+        b.side_element, b.side_name = kind in (_HIDDEN, _FIRM), kind > _FIRM or (not b.article and b.words <= IMPRINT_WORDS and bool(_IMPRINT(b.text)))
     return out
 
 
@@ -322,7 +329,7 @@ def _token_kind(token: str) -> tuple[int, str] | None:
     follow; "content-sidebar-wrap" and "has-sidebar" are about other elements.
     """
     parts = [x.lower() for x in _PART.findall(token.partition("--")[0])]
-    if not parts or (len(parts) > 1 and parts[0] in _NOT_OF_ITSELF):
+    if not parts or (len(parts) > 1 and parts[0] in _NOT_OF_ITSELF and "".join(parts) not in _SIDE_NAMES):
         return None
     plain = len(parts) > 1 and all(x in _PLAIN_PARTS for x in parts[1:])
     for said in ("".join(parts), parts[-1], *parts[: int(plain)]):
@@ -514,7 +521,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(page_id, url, text, n_chars) of each page.
 
     A null or empty page has an empty text. Repeated rows and null ids come
-    back as they are; other columns are ignored.
+    back as they are; pages of any length are read whole, in time that grows
+    with their length; an empty table gives no row; other columns are ignored,
+    whatever their names.
     """
     tree = labelled_tree()
 

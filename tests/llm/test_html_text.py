@@ -1,5 +1,8 @@
 import html
 import re
+import time
+
+import pytest
 
 from gridloom.llm import html_text as ht
 from gridloom.llm.queries import queries
@@ -194,3 +197,30 @@ def test_large_ids_beside_a_null_one(spark):
     ids = [2**60 + 1, None, 2**60 + 3]
     df = spark.createDataFrame([(i, "u", "<p>a") for i in ids], "page_id long, url string, html string").coalesce(1)
     assert ht.main_text(df).toArrow()["page_id"].to_pylist() == ids
+
+
+def test_stray_end_tags_take_linear_time():
+    began = time.perf_counter()
+    assert len(ht.blocks("<section>" * 20_000 + "word " + "</div>" * 20_000)) == 1
+    assert time.perf_counter() - began < 2
+
+
+@pytest.mark.parametrize(
+    "side",
+    [
+        "<div>Copyright 2020 Foo Inc. All rights reserved.</div>",
+        '<div class="site-info">Copyright 2020 Foo Inc. All rights reserved.</div>',
+        "<p>Subscribe to our newsletter</p>",
+        '<div id="disqus_thread"><p>I do not agree with a word of this, and here is why I think so.</p></div>',
+        '<div class="user-reviews"><p>Bought it twice and both of them broke after a week of use, sadly.</p></div>',
+        '<section class="reader-responses"><p>A fine text, thank you for it, I shall read it again some day.</p></section>',
+        '<div class="author-box"><p>Jo writes about towns and the people who live in them.</p></div>',
+    ],
+)
+def test_ordinary_side_matter_goes(side):
+    body = " ".join(["running words of a text"] * 12)
+    page = f"<article><h1>A title of words</h1><p>{body}</p><p>{body}</p></article>{side}"
+    text = ht.extract(page, ht.labelled_tree())
+    assert text == f"A title of words\n\n{body}\n\n{body}"
+    within = f"<article><h1>A title</h1><p>{body}</p><p>The notice said that all rights reserved to them were void.</p></article>"
+    assert "void" in ht.extract(within, ht.labelled_tree())
