@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_digest
 
 from gridloom.llm.common import discard, durable, small_batches
-from gridloom.llm.components import components
+from gridloom.llm.components import components, least_reached
 
 SHINGLE = 3
 SEED = 42
@@ -46,16 +46,16 @@ _PROBES = np.array(
 )
 
 
-def simhash(text: str | None) -> int:
+def simhash(text: str | None, width: int = SHINGLE) -> int:
     """The fingerprint as a signed 64-bit number; 0 without a word."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return 0
-    n = max(1, len(words) - SHINGLE + 1)
-    if len(words) < SHINGLE:
+    n = max(1, len(words) - width + 1)
+    if len(words) < width:
         shingles = iter([b" ".join(words)])
     else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False))
+        shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
     digests = b"".join(map(xxh64_digest, shingles, repeat(SEED)))
     rows = np.frombuffer(digests, dtype=np.uint8).reshape(n, 8)
     ones = np.zeros(64, dtype=np.int64)
@@ -64,9 +64,14 @@ def simhash(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-@F.pandas_udf(T.LongType())
-def simhash_udf(texts: pd.Series) -> pd.Series:
-    return pd.Series([simhash(x) for x in texts], dtype="int64")
+def simhash_udf(width: int = SHINGLE):
+    """The fingerprint of shingles of ``width`` words as a column function."""
+
+    @F.pandas_udf(T.LongType())
+    def fingerprint(texts: pd.Series) -> pd.Series:
+        return pd.Series([simhash(x, width) for x in texts], dtype="int64")
+
+    return fingerprint
 
 
 def shared_bytes(x: np.ndarray) -> np.ndarray:
@@ -83,16 +88,7 @@ def linked(x: np.ndarray) -> np.ndarray:
 
 def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Star edges with the same components as the links (a, b) on 0..n-1."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if np.array_equal(new, root):
-            break
-        root = new
+    root = least_reached(n, a, b)
     hung = np.flatnonzero(root != np.arange(n))
     return hung, root[hung]
 
@@ -164,25 +160,30 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return index.mapInPandas(_links, "u long, v long")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_components(distinct: DataFrame) -> DataFrame:
+    """(fp, least_id, root): ``distinct(fp, least_id)`` with the least fingerprint that each reaches."""
+    roots = components(fingerprint_links(distinct.select("fp")))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root"))
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """(id, fp, component_id) for each row of ``docs``.
 
     ``component_id`` is the least id that reaches the row over links between
-    fingerprints that differ in at most MAX_BITS bits. A null, empty or blank
-    text has fingerprint 0. Repeated rows each come back. A null id comes back
-    with the component of its fingerprint, which has the least of the other
-    ids, or null if it has none. Columns other than the two are ignored.
+    fingerprints of shingles of ``width`` words that differ in at most MAX_BITS
+    bits. A null, empty or blank text has fingerprint 0. Repeated rows each come
+    back. A null id comes back with the component of its fingerprint, which has
+    the least of the other ids, or null if it has none. Texts of any length are
+    taken whole; an empty table gives no row. Columns other than the two are
+    ignored, whatever their names.
     """
     small_batches(docs.sparkSession)
-    marked = durable(docs.select(F.col(id_col).alias("id"), simhash_udf(F.col(text_col)).alias("fp")))
+    marked = durable(docs.select(F.col(id_col).alias("id"), simhash_udf(width)(F.col(text_col)).alias("fp")))
     distinct = durable(marked.groupBy("fp").agg(F.min("id").alias("least_id")))
-    roots = components(fingerprint_links(distinct.select("fp")))
-    nodes = distinct.join(roots, distinct.fp == roots.node, "left").select(
-        "fp", "least_id", F.coalesce("component", "fp").alias("root")
-    )
+    nodes = fingerprint_components(distinct)
     named = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
     nodes = durable(nodes.select("fp", "root").join(named, "root").select("fp", "component_id"))
-    discard(distinct, roots)
+    discard(distinct)
     return marked.join(nodes, "fp").select("id", "fp", "component_id")
 
 
@@ -191,17 +192,26 @@ def fingerprint_text(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group, that of the least id.
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the least id, of equal ids that of the least fingerprint.
 
-    Rows whose id is null are no one's copy by name and stay. Where an id is
-    repeated, one row of it stays.
+    Rows are told apart by id and fingerprint. Of rows that have both in common
+    one stays; rows that share an id and differ in text stay or go by
+    themselves. Rows whose id is null are no one's copy by name and stay. Null,
+    empty and blank texts are copies of one another. Texts of any length are
+    taken whole; an empty table stays empty; columns of any name come back as
+    they are.
     """
-    groups = simhash_groups(docs, id_col, text_col)
-    kept = groups.where(F.col("id") == F.col("component_id"))
-    stay = durable(kept.groupBy(F.col("id").alias("_kept_id")).agg(F.count("*").alias("_kept_rows")))
-    # Merged at every size: the kept ids grow with the input, so they are never broadcast.
-    out = docs.join(stay.hint("merge"), docs[id_col] == stay["_kept_id"])
-    once = out.where("_kept_rows = 1").select(*docs.columns)
-    repeated = out.where("_kept_rows > 1").select(*docs.columns).dropDuplicates([id_col])
-    return once.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))
+    small_batches(docs.sparkSession)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = durable(docs.select(F.col(id_col).alias("id"), simhash_udf(width)(F.col(text_col)).alias("fp"), whole))
+    keys = marked.where("id is not null").groupBy("fp").agg(F.min("id").alias("least_id"))
+    distinct = durable(keys)
+    nodes = fingerprint_components(distinct)
+    first = nodes.groupBy("root").agg(F.min(F.struct(F.col("least_id").alias("id"), "fp")).alias("stay"))
+    stay = durable(first.select(F.col("stay.id").alias("stay_id"), F.col("stay.fp").alias("stay_fp")))
+    discard(distinct)
+    # Merged at every size: the rows that stay grow with the input, so they are never broadcast.
+    kept = marked.join(stay.hint("merge"), (marked.id == stay.stay_id) & (marked.fp == stay.stay_fp))
+    once = kept.select("id", "fp", "row").dropDuplicates(["id", "fp"]).select("row.*")
+    return once.unionByName(marked.where("id is null").select("row.*"))

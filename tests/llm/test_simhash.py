@@ -126,3 +126,23 @@ def test_index_covers_every_pair_and_the_tally_rejects():
     assert sh.linked(np.array([base ^ three_bytes, base ^ two_bytes])).tolist() == [False, True]
     u, v = sh.list_links(np.array([base, three_bytes]))
     assert len(u) == len(v) == 0
+
+
+def test_rows_that_share_an_id_go_by_their_text(spark):
+    a, b = "a text of some words here", "quite another text than the first one"
+    rows = [(1, a), (5, a), (5, b), (7, b), (None, a), (9, None), (8, "  "), (5, b), (None, None)]
+    df = spark.createDataFrame([(i, t, k, 1, 2, "r", 3) for k, (i, t) in enumerate(rows)], "doc_id long, text string, fp int, _kept_rows int, id int, row string, stay_id int")
+    out = sh.drop_near_copies(df)
+    assert out.columns == df.columns
+    got = sorted((r.doc_id or 0, (r.text or "").strip()) for r in out.collect())
+    assert got == sorted([(1, a), (5, b), (0, a), (8, ""), (0, "")])
+
+
+def test_wider_shingles(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    assert sh.simhash(text, 5) != sh.simhash(text, 3)
+    words = text.encode().split()
+    h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 5]), 42) for i in range(46)]
+    assert sh.simhash(text, 5) & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    df = spark.createDataFrame([(1, text), (2, text), (3, text + " more words")], "doc_id long, text string")
+    assert {r.fp for r in sh.simhash_groups(df, width=5).where("id < 3").collect()} == {sh.simhash(text, 5)}
