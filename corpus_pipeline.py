@@ -35,9 +35,9 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id from each group of near copies.
 
-    Texts without a word are copies of one another. Rows with a null id stay; of
-    rows that share an id one stays; an empty table stays empty; columns are left
-    as they are.
+    Texts without a word are copies of one another. Rows with a null id stay;
+    rows that share an id and differ in text stay or go by themselves, equal ones
+    are copies; an empty table stays empty; columns are left as they are.
     """
     return simhash.drop_near_copies(docs)
 
