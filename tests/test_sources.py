@@ -163,7 +163,7 @@ def test_index_fit():
 
 def test_bov_bricks_and_plain_files(spark, tmp_path):
     rows = [(i, j, float(10 * i + j)) for i in range(5) for j in range(3) if (i, j) != (2, 1)]
-    df = spark.createDataFrame([*rows, (9, 9, 1.0)], "i long, j long, v double")
+    df = spark.createDataFrame([*rows, (2, 1, None)], "i long, j long, v double")
     header = bk.write_bov(df, f"file://{tmp_path}", "g", 5, 3, brick_cells=6)
     assert sorted(tuple(r) for r in bk.read_bov(spark, header).collect()) == rows
     data = b"".join(p.read_bytes() for p in sorted(tmp_path.glob("g_*.bin")))
@@ -173,6 +173,42 @@ def test_bov_bricks_and_plain_files(spark, tmp_path):
     assert sorted(tuple(r) for r in bk.read_bov(spark, f"file://{tmp_path}/one.bov").collect()) == rows
 
 
+def test_bov_keeps_nan_and_refuses_what_does_not_fit(spark, tmp_path):
+    nan = float("nan")
+    rows = [(0, 0, nan), (0, 1, 1.0), (2, 1, nan), (3, 0, float("inf"))]
+    df = spark.createDataFrame(rows, "i int, j int, v double")
+    got = bk.read_bov(spark, bk.write_bov(df, f"file://{tmp_path}/a", "g", 4, 2, brick_cells=4)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, rows))
+    for more, said in (((4, 0, 1.0), "outside"), ((0, 2, 1.0), "outside"), ((-1, 0, 1.0), "outside"), ((0, 1, 2.0), "more than once")):
+        with pytest.raises(Exception, match=said):
+            bk.write_bov(df.union(spark.createDataFrame([more], df.schema)), f"file://{tmp_path}/b", "g", 4, 2, brick_cells=4)
+        assert not (tmp_path / "b" / "g.bov").exists()
+    empty = bk.write_bov(df.limit(0), f"file://{tmp_path}/c", "g", 4, 2)
+    assert bk.read_bov(spark, empty).count() == 0
+
+
+def test_bov_plans_byte_ranges(spark, tmp_path):
+    """A brick of any size is many tasks, and a filter on rows reads their bytes alone."""
+    big = bk.Header(2_000_000, 300, 2_000_000, "one.bin")  # one file of 4.8 GB
+    reader = bk.BovReader("file:///none", big, bk.SPLIT_CELLS)
+    every = reader.partitions()
+    assert len(every) > 100 and sum(p.rows for p in every) == big.rows and max(p.bytes(300) for p in every) <= 8 * bk.SPLIT_CELLS
+    assert all(a.first + a.rows == b.first and a.offset + a.bytes(300) == b.offset for a, b in zip(every, every[1:], strict=False))
+    assert sum(p.bytes(300) for p in bk.BovReader("file:///none", big, bk.SPLIT_CELLS, 1000, 1009).partitions()) == 8 * 300 * 10
+    df = spark.range(5000).selectExpr("id div 50 AS i", "id % 50 AS j", "double(id) AS v")
+    header = bk.write_bov(df, f"file://{tmp_path}", "g", 100, 50, brick_cells=1000)
+    read = bk.read_bov(spark, header, split_cells=200)
+    assert read.rdd.getNumPartitions() == 25
+    some = bk.read_bov(spark, header, 40, 43, split_cells=200)
+    assert some.rdd.getNumPartitions() == 1
+    assert sorted(tuple(r) for r in some.where("v % 2 = 0").collect()) == sorted(tuple(r) for r in df.where("i >= 40 and i < 44 and v % 2 = 0").collect())
+    assert sorted(tuple(r) for r in read.where("i in (3, 97)").collect()) == sorted(tuple(r) for r in df.where("i in (3, 97)").collect())
+    assert read.where("i = 200").count() == bk.read_bov(spark, header, 200, 300).count() == 0 and read.count() == 5000
+    (tmp_path / "g_00002.bin").write_bytes(b"x" * 100)
+    with pytest.raises(Exception, match="ends before row"):
+        read.count()
+
+
 def test_any_field(spark, tmp_path):
     read = lambda text: sorted(tuple(r) for r in mx.read_any_matrix(spark, put(tmp_path, text)).collect())
     banner = "%%MatrixMarket matrix coordinate "
