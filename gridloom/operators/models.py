@@ -71,6 +71,65 @@ def descend(gradient: Callable[[float], float], x: float, rate: float = 0.1, tol
     return path
 
 
+#: Step sizes of a search: from the first downwards, each a share of the one before.
+STEP_SIZES, STEP_SHARE = 24, 0.5
+#: Armijo's share of the decrease that the slope promises.
+DECREASE = 1e-4
+
+
+def line_search(f: Callable[[float], float], gradient: Callable[[float], float], x: float, first: float = 1.0, tolerance: float = 1e-4, most: int = 1_000) -> list[float]:
+    """Points of a one-dimensional descent that each time takes the largest step of a backtracking search.
+
+    A step t is good where f(x - t g) <= f(x) - DECREASE * t * g**2. It ends
+    where a step moves by ``tolerance`` at most, or none is good.
+    """
+    path = [x]
+    for _ in range(most):
+        g = gradient(x)
+        good = [t for t in (first * STEP_SHARE**k for k in range(STEP_SIZES)) if f(x - t * g) <= f(x) - DECREASE * t * g * g]
+        if not good:
+            break
+        new = x - good[0] * g
+        path.append(new)
+        if abs(new - x) <= tolerance:
+            break
+        x = new
+    return path
+
+
+def searched_descent(
+    df: DataFrame, loss: Callable[[Sequence[Column]], Column], slope: Callable[[Sequence[Column]], Sequence[Column]], start: Sequence[float], first: float = 1.0, tolerance: float = 1e-6, most: int = 100
+) -> tuple[list[float], list[tuple[float, float]]]:
+    """(parameters, (step, loss) of each turn): descent on the mean of ``loss`` with a backtracking line search.
+
+    ``loss`` and ``slope`` take parameters as columns and give a row's loss and
+    its derivatives. A turn is two aggregations: the mean slope and loss, then
+    the mean losses of all candidate steps together, of which the largest good
+    one is taken (see ``line_search``). It ends where the slope's norm is
+    ``tolerance`` at most or no step is good. Rows whose loss is null are left
+    out; without rows the start comes back.
+    """
+    at, path = list(map(float, start)), []
+    for _ in range(most):
+        here = [F.lit(v) for v in at]
+        now = df.agg(F.avg(loss(here)).alias("loss"), *[F.avg(s).alias(f"s{k}") for k, s in enumerate(slope(here))]).first()
+        if now["loss"] is None:
+            break
+        g = [now[f"s{k}"] for k in range(len(at))]
+        norm = math.fsum(v * v for v in g)
+        if math.sqrt(norm) <= tolerance:
+            break
+        steps = [first * STEP_SHARE**k for k in range(STEP_SIZES)]
+        there = [[v - t * d for v, d in zip(at, g, strict=True)] for t in steps]
+        tried = df.agg(*[F.avg(loss([F.lit(v) for v in p])).alias(f"t{k}") for k, p in enumerate(there)]).first()
+        good = [k for k, t in enumerate(steps) if tried[k] <= now["loss"] - DECREASE * t * norm]
+        if not good:
+            break
+        at = there[good[0]]
+        path.append((steps[good[0]], tried[good[0]]))
+    return at, path
+
+
 def batch_descent(df: DataFrame, x: Column, y: Column, rate: float, tolerance: float, start: tuple[float, float] = (1.0, 1.0), most: int = 1_000_000) -> tuple[float, float, int]:
     """(constant, slope, steps) of mean-gradient descent on y = a + b x, from one row of sums."""
     n, sx, sy, sxx, sxy = df.agg(F.count("*"), F.sum(x), F.sum(y), F.sum(x * x), F.sum(x * y)).first()

@@ -70,10 +70,33 @@ def batch_descent(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(float(a), float(b), steps)], "constant double, slope double, steps long")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE l AS (SELECT x AS u, y AS v FROM {_LINES_SQL}), m AS (SELECT count(*)::DOUBLE AS n, sum(u) AS su, sum(v) AS sv, sum(u * u) AS suu, sum(u * v) AS suv, sum(v * v) AS svv FROM l),"
+    " t AS (SELECT 0 AS k, 1.0::DOUBLE AS a, 1.0::DOUBLE AS b, 0.0::DOUBLE AS step UNION ALL SELECT k + 1, a - s * ga, b - s * gb, s FROM"
+    " (SELECT k, a, b, ga, gb, list_filter(list_transform(range(24), lambda j: 4.0::DOUBLE * 0.5::DOUBLE ** j),"
+    "   lambda s: ((n * (a - s * ga) ** 2 + suu * (b - s * gb) ** 2 + svv) / 2 + su * (a - s * ga) * (b - s * gb) - sv * (a - s * ga) - suv * (b - s * gb)) / n"
+    "   <= ((n * a ** 2 + suu * b ** 2 + svv) / 2 + su * a * b - sv * a - suv * b) / n - 0.0001::DOUBLE * s * (ga ** 2 + gb ** 2))[1] AS s"
+    "  FROM (SELECT k, a, b, m.*, (n * a + su * b - sv) / n AS ga, (su * a + suu * b - suv) / n AS gb FROM t, m WHERE k < 6)) WHERE s IS NOT NULL)"
+    " SELECT k AS turn, round(step, 6) AS step, round(((n * a ** 2 + suu * b ** 2 + svv) / 2 + su * a * b - sv * a - suv * b) / n, 6) AS loss FROM t, m WHERE k > 0"
+)
+def searched_descent(spark: SparkSession, sf: str) -> DataFrame:
+    """Six turns of a line's descent, the step of each found by a backtracking search over the items."""
+    u, v = F.col("x"), F.col("y")
+    missed = lambda p: p[0] + p[1] * u - v
+    _, path = md.searched_descent(_lines(spark, sf), lambda p: missed(p) ** 2 / 2, lambda p: (missed(p), missed(p) * u), (1.0, 1.0), first=4.0, most=6)
+    return spark.createDataFrame([(k + 1, round(t, 6), round(loss, 6)) for k, (t, loss) in enumerate(path)], "turn int, step double, loss double")
+
+
+@query(
+    "WITH RECURSIVE l AS (SELECT l_suppkey, l_quantity / 50 AS u, l_extendedprice / 10000 AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity / 50, l_extendedprice / 10000) AS k FROM lineitem),"
+    " t AS (SELECT l_suppkey, 0::BIGINT AS k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM l WHERE k = 1 UNION ALL"
+    " SELECT t.l_suppkey, l.k, a - 0.1::DOUBLE * (a + b * u - v), b - 0.1::DOUBLE * u * (a + b * u - v), c + (a + b * u - v) ** 2 / 2 FROM t JOIN l ON l.l_suppkey = t.l_suppkey AND l.k = t.k + 1)"
+    " SELECT l_suppkey, round(a, 6) AS a, round(b, 6) AS b, round(c / k, 6) AS cost FROM t QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY k DESC) = 1"
+)
 def stochastic_descent(spark: SparkSession, sf: str) -> DataFrame:
     """A line for each supplier, row by row in the order of its items."""
-    return md.stochastic_descent(_lines(spark, sf), "l_suppkey", ["l_orderkey", "l_linenumber"], "x", "y", 0.1)
+    found = md.stochastic_descent(_lines(spark, sf), "l_suppkey", ["l_orderkey", "l_linenumber", "x", "y"], "x", "y", 0.1)
+    return found.select("l_suppkey", *[F.round(c, 6).alias(c) for c in ("a", "b", "cost")])
 
 
 @query()

@@ -458,3 +458,34 @@ def test_blocks_refuse_places_that_are_not_dense(spark, places, block):
     made = in_blocks(df, "idx", 1, 1, lambda w: {"a": F.lag("v").over(w)}, block)
     with pytest.raises(Exception, match="idx is"):
         made.collect()
+
+
+def test_line_search_on_the_cubic():
+    """f = x**3 - 2 x**2 + 2 from 2: the minimum 4/3 in few steps; then steps worked out by hand."""
+    f, g = (lambda x: x**3 - 2 * x**2 + 2), (lambda x: 3 * x**2 - 4 * x)
+    path = md.line_search(f, g, 2.0, first=0.25)
+    # From 2 the slope is 4, and 1 is lower; from 1 it is -1, and 1.25 is lower.
+    assert path[:3] == [2.0, 1.0, 1.25]
+    assert len(path) < 12 and math.isclose(path[-1], 4 / 3, abs_tol=1e-4)
+    # A step of 1 would pass the minimum of a parabola by as much as it was before it: the half of it is taken.
+    assert md.line_search(lambda x: x * x, lambda x: 2 * x, 3.0) == [3.0, 0.0, 0.0]
+
+
+def test_searched_descent_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.random(200), 3 + 2 * rng.random(200)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)] + [(None, 1.0)], "x double, y double")
+    missed = lambda p: p[0] + p[1] * F.col("x") - F.col("y")
+    at, path = md.searched_descent(df, lambda p: missed(p) ** 2 / 2, lambda p: (missed(p), missed(p) * F.col("x")), (0.0, 0.0), first=2.0, most=15)
+    a = b = 0.0
+    loss = lambda a, b: ((a + b * x - y) ** 2).mean() / 2
+    for step, value in path:
+        e = a + b * x - y
+        ga, gb = e.mean(), (e * x).mean()
+        t = 2.0
+        while loss(a - t * ga, b - t * gb) > loss(a, b) - 1e-4 * t * (ga * ga + gb * gb):
+            t /= 2
+        a, b = a - t * ga, b - t * gb
+        assert t == step and math.isclose(loss(a, b), value, rel_tol=1e-9)
+    assert len(path) == 15 and np.allclose(at, [a, b])
+    assert md.searched_descent(df.limit(0), missed, lambda p: (missed(p), missed(p)), (7.0, 1.0)) == ([7.0, 1.0], [])
