@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,94 @@ def token_ids(text: Column, vocabulary: int) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), id_of)
 
 
+#: Entries of a vocabulary that tasks hold, at most; the longest word that is cut into pieces.
+VOCABULARY, LONGEST_WORD = 100_000, 100
+UNKNOWN, INNER = "[UNK]", "##"
+
+
+def piece_vocabulary(docs: DataFrame, text: str = "text", size: int = 30_000) -> list[str]:
+    """A plain vocabulary of pieces for texts: the unknown piece, letters and signs, then the commonest whole words.
+
+    Nothing is learned: single characters stand both for beginnings and, after
+    ``##``, for what follows; words come by falling count, then in order. The
+    list has ``size`` entries at most, so tasks may hold it.
+    """
+    found = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    signs = found.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c"), "n").where("c <> ''").groupBy("c").agg(F.sum("n").alias("n"))
+    half = max(1, (min(size, VOCABULARY) - 1) // 4)
+    letters = sorted(r["c"] for r in signs.orderBy(F.desc("n"), "c").limit(half).collect())
+    head = [UNKNOWN, *letters, *(INNER + c for c in letters)]
+    common = [r["word"] for r in found.where(F.char_length("word") > 1).orderBy(F.desc("n"), "word").limit(max(0, min(size, VOCABULARY) - len(head))).collect()]
+    return head + common
+
+
+def word_pieces(word: str, ids: dict[str, int], longest: int) -> list[tuple[str, int, int]]:
+    """(piece, start, end) of a word by the longest entries from the left; the unknown piece alone if some part has none."""
+    out, at = [], 0
+    while at < len(word) and len(word) <= LONGEST_WORD:
+        for end in range(min(len(word), at + longest), at, -1):
+            piece = (INNER if at else "") + word[at:end]
+            if piece in ids:
+                break
+        else:
+            return [(UNKNOWN, 0, len(word))]
+        out.append((piece, at, end))
+        at = end
+    return out if at else [(UNKNOWN, 0, len(word))]
+
+
+def wordpieces(df: DataFrame, key: str, text: str, vocabulary: list[str], lower: bool = True) -> DataFrame:
+    """(key, place, token, id, start, end) for each piece of each text, characters from 0.
+
+    Texts are cut into words and signs (TOKEN), and each of these into the
+    longest pieces of ``vocabulary`` from the left, whose places are the ids;
+    pieces within a word begin with ``##``. A word with a part that no piece
+    covers, or longer than LONGEST_WORD, is ``[UNK]``. Offsets are those of the
+    text as given: ``lower`` changes no length, letters whose small form has
+    another length stay. Null and blank texts have no piece; other columns are
+    ignored. At most VOCABULARY entries are taken, so every task may hold them.
+    """
+    if len(vocabulary) > VOCABULARY or UNKNOWN not in vocabulary:
+        raise ValueError(f"a vocabulary has {VOCABULARY} entries at most, and {UNKNOWN}")
+    kind = df.schema[key].dataType.simpleString()
+    ids = {p: k for k, p in enumerate(vocabulary)}
+    longest = max(map(len, vocabulary))
+    # Words with their places: the lengths of what is between tokens and of tokens add up.
+    split = F.regexp_extract_all(F.col(text), F.lit(rf"(?s)({TOKEN})|[^\S]+"), F.lit(0))
+    read = df.select(F.col(key).alias("_key"), split.alias("_parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[tuple[str, int, int]]] = {}
+        for batch in batches:
+            rows, out = [], []
+            for k, parts in enumerate(batch.column(1).to_pylist()):
+                at = place = 0
+                for part in parts or ():
+                    if not part.isspace():
+                        word = "".join(c.lower() if len(c.lower()) == 1 else c for c in part) if lower else part
+                        if word not in known:
+                            known[word] = word_pieces(word, ids, longest)
+                        for piece, a, b in known[word]:
+                            rows.append(k)
+                            out.append((place, piece, ids[piece], at + a, at + b))
+                            place += 1
+                    at += len(part)
+            if len(known) > VOCABULARY:
+                known.clear()
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            made = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *made], names=[key, "place", "token", "id", "start", "end"])
+
+    return read.mapInArrow(run, f"`{key}` {kind}, place long, token string, id long, start long, end long")
+
+
+def joined_pieces(pieces: DataFrame, key: str) -> DataFrame:
+    """(key, text): pieces of ``wordpieces`` put together, words parted by single blanks."""
+    whole = F.array_sort(F.collect_list(F.struct("place", "token")))
+    glued = F.regexp_replace(F.array_join(F.transform(whole, lambda p: p["token"]), " "), f" {INNER}", "")
+    return pieces.groupBy(key).agg(glued.alias("text"))
+
+
 def words(text: Column) -> Column:
     """Runs of ASCII letters, lower-cased; all else parts words."""
     return F.filter(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z]+", " ")), " "), lambda w: w != "")

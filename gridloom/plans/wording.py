@@ -93,6 +93,25 @@ def token_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return tx.tokens(_keyed(spark, sf), "key", "text")
 
 
+@query(
+    f"""WITH toks AS (SELECT key, start, lower(token) AS word FROM {tokens_sql(_KEYED)}),
+    counts AS (SELECT word, count(*) AS n FROM toks GROUP BY word),
+    signs AS (SELECT c, sum(n) AS n FROM (SELECT n, unnest(list_distinct(string_split(word, ''))) AS c FROM counts) GROUP BY c),
+    letters AS (SELECT c, row_number() OVER (ORDER BY c) AS k, count(*) OVER () AS m FROM (SELECT c FROM signs ORDER BY n DESC, c LIMIT 7499)),
+    common AS (SELECT word, 2 * m + row_number() OVER (ORDER BY n DESC, word) AS id FROM counts, (SELECT any_value(m) AS m FROM letters) WHERE length(word) > 1 QUALIFY id < 30000),
+    heads AS (SELECT w.word, max(length(p.word)) AS m FROM (SELECT word, unnest(range(2, length(word) + 1)) AS l FROM counts) w JOIN common p ON p.word = substring(w.word, 1, l) GROUP BY 1),
+    placed AS (SELECT word, coalesce(m, 1) AS m, unnest(range(0, length(word) - coalesce(m, 1) + 1)) AS o FROM counts LEFT JOIN heads USING (word)),
+    cut AS (SELECT word, o, CASE WHEN o = 0 THEN 0 ELSE m + o - 1 END AS off, CASE WHEN o = 0 THEN m ELSE 1 END AS size FROM placed),
+    named AS (SELECT c.word, off, size, CASE WHEN o = 0 THEN '' ELSE '##' END || substring(c.word, off + 1, size) AS token, CASE WHEN size > 1 THEN p.id WHEN o = 0 THEN l.k ELSE l.m + l.k END AS id
+      FROM cut c LEFT JOIN common p ON c.size > 1 AND p.word = substring(c.word, 1, size) LEFT JOIN letters l ON c.size = 1 AND l.c = substring(c.word, off + 1, 1))
+    SELECT key, row_number() OVER (PARTITION BY key ORDER BY start + off) - 1 AS place, token, id, start + off AS start, start + off + size AS "end" FROM toks JOIN named USING (word)"""
+)
+def wordpiece_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces of each turn, by a vocabulary of the turns' letters and commonest words."""
+    turns = _keyed(spark, sf)
+    return tx.wordpieces(turns, "key", "text", tx.piece_vocabulary(turns))
+
+
 @query(f'SELECT key, min(place) AS start_token, max(place) + 1 AS end_token FROM {tokens_sql(_KEYED)} WHERE start < 20 AND "end" > 5 GROUP BY key')
 def span_align(spark: SparkSession, sf: str) -> DataFrame:
     """The tokens that characters 5 to 20 of each turn touch."""

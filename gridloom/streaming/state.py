@@ -103,7 +103,8 @@ def observed_files(
     def write(batch: DataFrame, number: int) -> None:
         if seed is not None:
             place = F.xxhash64(F.lit(seed), F.lit(number), *batch.columns)
-            batch = batch.repartitionByRange(place).sortWithinPartitions(place)
+            # Ranges would read the rows twice for their bounds, and count them twice.
+            batch = batch.repartition(place).sortWithinPartitions(place)
         batch.select(*columns).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     listener = _History(name)
@@ -114,5 +115,6 @@ def observed_files(
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     finally:
         spark.streams.removeListener(listener)
+    kinds = spark.createDataFrame([], schema).agg(*[c.alias(k) for k, c in metrics.items()]).schema
     for number, row in listener.rows:
-        spark.createDataFrame([row]).write.mode("overwrite").parquet(f"{history}/batch={number}")
+        spark.createDataFrame([tuple(row[k] for k in metrics)], kinds).write.mode("overwrite").parquet(f"{history}/batch={number}")
