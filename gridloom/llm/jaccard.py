@@ -33,6 +33,7 @@ from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from gridloom.llm.common import discard, durable, mapped, small_batches
 from gridloom.llm.components import components
+from gridloom.llm.packing import spread
 
 SHINGLE = 3
 PERCENT = 90
@@ -41,9 +42,11 @@ MATCHES = (1, 2, 3, 4, 6, 8, 12)
 #: Cost of a candidate's verification, in postings met.
 VERIFY_COST = 8
 #: Rounds in which each node is compared with one hub.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: Nodes of a list that one block holds, about.
 BLOCK = 256
+#: Pairs of a group that are looked at together.
+PAIRS_AT_ONCE = 1 << 17
 #: Bits of a parity bitmap.
 BITS = 1024
 #: Hashes of words that a worker remembers at most.
@@ -209,9 +212,9 @@ def _similar(a: str, b: str, percent: int) -> str:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough."""
-    left, right = sets.select(F.col("node").alias("u"), F.col("own").alias("own_u")), sets.select(F.col("node").alias("v"), F.col("own").alias("own_v"))
-    both = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "own_u", "own_v")
+    """(u, v): the components of the ``pairs(node, other, u, v)`` whose sets are similar enough, each two once."""
+    left, right = sets.select("node", F.col("own").alias("own_u")), sets.select(F.col("node").alias("other"), F.col("own").alias("own_v"))
+    both = pairs.join(left, "node").join(right, "other").select("u", "v", "own_u", "own_v")
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -223,12 +226,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     small_batches(pairs.sparkSession)
-    return both.mapInArrow(batches, "u long, v long")
+    return both.mapInArrow(batches, "u long, v long").distinct()
 
 
 def _rooted(index: DataFrame, roots: DataFrame | None) -> DataFrame:
     """``index(token, node, size)`` with each node's component."""
-    return index.withColumn("root", F.col("node")) if roots is None else _with_roots(index, roots)
+    return index.withColumn("root", F.col("node")) if roots is None else _with_roots(index, roots, root="root")
 
 
 def _open_lists(placed: DataFrame, *more) -> DataFrame:
@@ -237,13 +240,25 @@ def _open_lists(placed: DataFrame, *more) -> DataFrame:
     return lists.where("low < high").drop("low", "high")
 
 
-def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    own = roots.select(F.col("node").alias("of"), "component")
-    return rows.join(own, rows.node == own["of"], "left").select(*rows.columns, F.coalesce("component", "node").alias("root"))
+def _with_roots(rows: DataFrame, roots: DataFrame, name: str = "node", root: str | None = None) -> DataFrame:
+    """``rows`` with the component of the node ``name``, as ``root`` or in its place."""
+    own = roots.select(F.col("node").alias("_of"), F.col("component").alias("_component"))
+    return rows.join(own, rows[name] == own["_of"], "left").withColumn(root or name, F.coalesce("_component", name)).drop("_of", "_component")
+
+
+def _joined(roots: DataFrame | None, more: DataFrame) -> DataFrame:
+    """(node, component) once the components ``more`` joins are one. Durable."""
+    if roots is None:
+        return more
+    further = more.select(F.col("node").alias("of"), F.col("component").alias("least"))
+    moved = roots.join(further, roots.component == further["of"], "left").select("node", F.coalesce("least", "component").alias("component"))
+    found = durable(moved.union(more.join(roots, "node", "left_anti")))
+    discard(more)
+    return found
 
 
 def hub_pairs(index: DataFrame, roots: DataFrame | None, turn: int, percent: int) -> DataFrame:
-    """(u, v): each node with the hub that most of its open lists name, of another component and a like size.
+    """(node, other, u, v): each node with the hub that most of its open lists name, of a like size and another component, and both components.
 
     A list's hub is its node of the least hash, another one each turn.
     """
@@ -251,64 +266,74 @@ def hub_pairs(index: DataFrame, roots: DataFrame | None, turn: int, percent: int
     hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "root", "size")).alias("hub")
     hubs = _open_lists(placed, hub).select("token", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"), F.col("hub.size").alias("hub_size"))
     met = placed.join(hubs, "token").where(f"root <> hub_root and {_similar('size', 'hub_size', percent)}")
-    votes = met.groupBy("node", "hub").agg(F.count("*").alias("n"))
-    best = votes.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("best"))
-    return best.select(F.col("node").alias("u"), F.col("best.hub").alias("v"))
+    votes = met.groupBy("node", "root", "hub", "hub_root").agg(F.count("*").alias("n"))
+    best = votes.groupBy("node", "root").agg(F.max(F.struct("n", "hub", "hub_root")).alias("best"))
+    return best.select("node", F.col("best.hub").alias("other"), F.col("root").alias("u"), F.col("best.hub_root").alias("v"))
+
+
+def _binary_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column as 64-bit numbers, and where each value begins among them; one more for the end."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(np.int64), (offsets - offsets[0]) // 8
+
+
+def _tallied(rows: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    """The pairs of whole groups of blocks that share enough of their prefixes."""
+    token, node, root, size, l, block, i, j = (rows.column(c).to_numpy() for c in ("token", "node", "root", "size", "l", "block", "i", "j"))
+    bits = _binary_rows(rows.column("bits"))[0].view(np.uint64).reshape(len(rows), -1)
+    prefix, begin = _binary_rows(rows.column("prefix"))
+    fresh = np.r_[True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+    end = np.r_[np.flatnonzero(fresh)[1:], len(rows)][np.cumsum(fresh) - 1]
+    met = np.cumsum(end - np.arange(len(rows)) - 1)
+    out, at = [], 0
+    while at < len(rows):
+        stop = max(at + 1, int(np.searchsorted(met, (met[at - 1] if at else 0) + PAIRS_AT_ONCE)))
+        own = np.arange(at, stop)
+        x = np.repeat(own, end[own] - own - 1)
+        y = spread(own + 1, end[own] - own - 1)
+        at = stop
+        fit = (root[x] != root[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])) & ((block[x] != block[y]) | (i[x] == j[x]))
+        x, y = x[fit], y[fit]
+        total = size[x] + size[y]
+        apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero(apart <= total - 2 * -(-percent * total // (100 + percent)))
+        for k in near.tolist():
+            p, q = x[k], y[k]
+            first, other = prefix[begin[p] : begin[p + 1]], prefix[begin[q] : begin[q + 1]]
+            same = np.isin(first, other)
+            # Each pair is tallied in the list of its first shared shingle.
+            if first[same.argmax()] == token[p] and same.sum() >= min(l[p], l[q]):
+                out.append((min(root[p], root[q]), max(root[p], root[q]), apart[k], node[p], node[q]))
+    columns = zip(*out, strict=True) if out else [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u", "v", "apart", "node", "other"])
 
 
 def _block_pairs(percent: int):
-    """Tallies the pairs of blocks, which arrive one after another."""
-
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        token = rows.column("token")[0].as_py()
-        node, root, size, l, block = (rows.column(c).to_numpy() for c in ("node", "root", "size", "l", "block"))
-        bits = np.stack([np.frombuffer(x, np.uint64) for x in rows.column("bits").to_pylist()])
-        prefix = [np.frombuffer(x, np.int64) for x in rows.column("prefix").to_pylist()]
-        here, there = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        a, b = np.flatnonzero(block == here), np.flatnonzero(block == there)
-        fit = root[a][:, None] != root[b][None, :]
-        fit &= 100 * np.minimum(size[a][:, None], size[b][None, :]) >= percent * np.maximum(size[a][:, None], size[b][None, :])
-        if here == there:
-            fit = np.triu(fit, 1)
-        x, y = np.nonzero(fit)
-        x, y = a[x], b[y]
-        us, vs = [], []
-        for at in range(0, len(x), 1 << 14):
-            p, q = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
-            total = size[p] + size[q]
-            shared = -(-percent * total // (100 + percent))
-            near = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1) <= total - 2 * shared
-            for i, j in zip(p[near].tolist(), q[near].tolist(), strict=True):
-                same = np.isin(prefix[i], prefix[j], assume_unique=True)
-                # Each pair is tallied in the list of its first shared shingle.
-                if same.sum() >= min(l[i], l[j]) and prefix[i][same.argmax()] == token:
-                    us.append(max(node[i], node[j]))
-                    vs.append(min(node[i], node[j]))
-        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+    """Groups of blocks arrive one after another; one may span batches."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in found:
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([held, rows]) if held is not None else rows
-            if not len(rows):
+            rows = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()
+            if not rows:
                 continue
-            key = np.stack([rows.column(c).to_numpy() for c in ("token", "i", "j")])
-            start = np.r_[0, 1 + np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))].tolist()
-            for s, e in zip(start, start[1:], strict=False):
-                yield pairs(rows.slice(s, e - s))
-            held = rows.slice(start[-1])
+            rows = rows[0]
+            last = [rows.column(c).to_numpy() for c in ("token", "i", "j")]
+            start = len(rows) - int(np.argmax(np.r_[np.any([c[::-1] != c[-1] for c in last], axis=0), True]))
+            if start:
+                yield _tallied(rows.slice(0, start), percent)
+            held = rows.slice(start)
         if held is not None and len(held):
-            yield pairs(held)
+            yield _tallied(held, percent)
 
     return batches
 
 
 def block_pairs(index: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(u, v): pairs of different components that share enough of their prefixes and may be similar.
+    """(u, v, apart, node, other): pairs of different components ``u`` and ``v`` that share enough of their prefixes and may be similar.
 
     A list of n nodes is dealt into n / BLOCK blocks, and every two of them meet
-    in a group of their own.
+    in a group of their own. ``apart`` are the bits in which bitmaps differ.
     """
     placed = _rooted(index, roots)
     rows = placed.join(_open_lists(placed), "token").withColumn("blocks", F.expr(f"int((n + {BLOCK} - 1) div {BLOCK})"))
@@ -317,7 +342,7 @@ def block_pairs(index: DataFrame, nodes: DataFrame, roots: DataFrame, percent: i
     rows = rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root")
     rows = rows.join(nodes.select("node", "size", "bits", "l", "prefix"), "node")
     rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return rows.mapInArrow(_block_pairs(percent), "u long, v long").distinct()
+    return rows.mapInArrow(_block_pairs(percent), "u long, v long, apart long, node long, other long")
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -362,18 +387,26 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     index = durable(postings(chosen.select("node", "size", "prefix")))
     sets = durable(whole_sets(docs, nodes.join(chosen.select("node"), "node", "left_semi"), id_col, text_col, width))
-    roots, edges = None, None
+    # Edges join components of the turn before, so they shrink from turn to turn.
+    roots = None
     for turn in range(HUB_ROUNDS):
-        found = verified(hub_pairs(index, roots, turn, percent), sets, percent)
-        before, edges = edges, durable(found if edges is None else edges.union(found))
-        old, roots = roots, components(edges)
-        discard(before, old)
-    more = durable(verified(block_pairs(index, chosen, roots, percent), sets, percent))
-    last = components(edges.union(more))
-    discard(roots, edges, more, sets, index, chosen)
-    linked = _with_roots(nodes.select(*key, "id", "node"), last)
+        edges = durable(verified(hub_pairs(index, roots, turn, percent), sets, percent))
+        old, roots = roots, _joined(roots, components(edges))
+        discard(old, edges)
+    pairs = durable(block_pairs(index, chosen, roots, percent))
+    likeliest = F.min(F.struct("apart", "node", "other")).alias("best")
+    edges = durable(verified(pairs.groupBy("u", "v").agg(likeliest).select("best.node", "best.other", "u", "v"), sets, percent))
+    more = components(edges)
+    left = _with_roots(_with_roots(pairs, more, "u"), more, "v").where("u <> v")
+    last = durable(verified(left.select("node", "other", "u", "v"), sets, percent))
+    old, roots = roots, _joined(roots, more)
+    discard(old, edges)
+    old, roots = roots, _joined(roots, components(last))
+    discard(old, last, pairs)
+    discard(sets, index, chosen)
+    linked = _with_roots(nodes.select(*key, "id", "node"), roots, root="root")
     named = linked.groupBy("root").agg(F.min("id").alias("component_id"))
     found = durable(linked.join(named, "root").select(*key, "component_id"))
-    discard(nodes, last)
+    discard(nodes, roots)
     own = F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("component_id"))
     return marked.join(found, key, "left").select("id", F.col("size").alias("n_shingles"), own.alias("component_id"))
