@@ -29,15 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import discard, durable, id_and_text, mapped, small_batches
+from gridloom.llm.merges import Memory
 from gridloom.llm.packing import byte_letters, spread
+from gridloom.llm.pieces import PieceCoder
 
-#: Bytes of text in a chunk, about.
-CHUNK_BYTES = 12 << 20
+#: Characters of text in a chunk, about, and of those that are aligned at once.
+CHUNK_CHARS, SLICE_CHARS = 8 << 20, 1 << 19
 #: Driving ends between two that are sought from the text's beginning.
 STRIDE = 16
+#: Stretches of texts whose byte-level ids a worker remembers at most, and the longest of them.
+CACHED_UNITS, CACHED_CHARS = 200_000, 64
 #: Groups with more pairs than this are counted by their distinct ids.
 WIDE_GROUP = 256
-_BLANK = "▁"
 #: How the byte-level vocabulary's pre-tokenizer cuts a text: a fixed value.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Beyond these characters two libraries' tables of letters may differ.
@@ -62,18 +65,41 @@ class BytePieces:
         vocab = model["model"]["vocab"]
         made = [vocab[a + b] for a, b in merges]
         plain = model["pre_tokenizer"].get("type") == "ByteLevel" and not model["pre_tokenizer"]["add_prefix_space"] and not model["normalizer"]
+        self.known = Memory(CACHED_UNITS)
         # Where merges rank as their results' ids do, ranks alone give the same ids, faster.
         self.quick = None
         if plain and made == sorted(made) and len(made) + 256 == len(self.spelling):
             self.quick = tiktoken.Encoding("pieces", pat_str=_PATTERN, mergeable_ranks={s: i for i, s in self.spelling.items()}, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in texts]
-        far = [k for k, t in enumerate(texts) if self.quick is None or not t.isascii() and _foreign(t)]
-        for k, e in zip(far, self.library.encode_batch([texts[k] for k in far], add_special_tokens=False), strict=True):
-            out[k] = e.ids
-        for k in set(range(len(texts))).difference(far):
-            out[k] = self.quick.encode_ordinary(texts[k])
+    def _quick(self, text: str) -> bytes:
+        return np.array(self.quick.encode_ordinary(text), dtype="<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian ids of each text with a blank put before it.
+
+        A blank begins a part of the text unless another one is beside it, so the
+        stretches between single blanks are encoded by themselves, and those met
+        lately are remembered.
+        """
+        out: list[bytes] = [b""] * len(texts)
+        far, cut = [], {}
+        for k, t in enumerate(texts):
+            if self.quick is None or not t.isascii() and _foreign(t):
+                far.append(k)
+            elif "  " in t or t[0] == " " or t[-1] == " ":
+                out[k] = self._quick(" " + t)
+            else:
+                cut[k] = t.split(" ")
+        for k, e in zip(far, self.library.encode_batch([" " + texts[k] for k in far], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, dtype="<u4").tobytes()
+        new = self.known.missing(set().union(*cut.values()))
+        known = self.known.young
+        known.update((u, self._quick(" " + u)) for u in new)
+        for k, units in cut.items():
+            out[k] = b"".join(map(known.__getitem__, units))
+        for u in new:
+            if len(u) > CACHED_CHARS:
+                del known[u]
         return out
 
 
@@ -81,16 +107,12 @@ class SentencePieces:
     """Ids of texts under a SentencePiece model, and the bytes of its pieces."""
 
     def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor
-
-        self.library = SentencePieceProcessor(model_file=path)
-        n = self.library.get_piece_size()
-        self.spelling = {
-            i: bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace(_BLANK, " ").encode() for i, p in enumerate(map(self.library.id_to_piece, range(n)))
-        }
+        self.coder = PieceCoder(path)
+        self.spelling = dict(enumerate(self.coder.spelling))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.library.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian ids of each text, without those of its begin and end."""
+        return [x[4:-4] for x in self.coder.encode_batch(texts)]
 
 
 def gallop(short: np.ndarray, long: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -182,13 +204,13 @@ class Aligner:
         """
         rows = [k for k, t in enumerate(texts) if t]
         read = [texts[k] for k in rows]
-        ids = self.sides[0].encode([" " + t for t in read]), self.sides[1].encode(read)
-        keep = []
+        ids = [[np.frombuffer(x, "<u4") for x in side.encode(read)] for side in self.sides]
+        kept = []
         for k, (t, x, y) in enumerate(zip(read, *ids, strict=True)):
             whole = b" " + t.encode("utf-8", "surrogatepass")
-            keep.append(all(b"".join(map(side.spelling.__getitem__, z)) == whole for side, z in zip(self.sides, (x, y), strict=True)))
-        kept = [k for k, ok in enumerate(keep) if ok]
-        flat = [np.fromiter((i for k in kept for i in side[k]), np.int64) for side in ids]
+            if all(b"".join(map(side.spelling.__getitem__, z.tolist())) == whole for side, z in zip(self.sides, (x, y), strict=True)):
+                kept.append(k)
+        flat = [np.concatenate([np.zeros(0, "<u4"), *(side[k] for k in kept)]).astype(np.int64) for side in ids]
         stops = [np.cumsum([len(side[k]) for k in kept], dtype=np.int64) for side in ids]
         # The texts of a batch lie one after another, so the byte offsets grow over all of them.
         ends = [np.cumsum(size[x]) for size, x in zip(self.sizes, flat, strict=True)]
@@ -278,39 +300,55 @@ def chunks_of(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str, t
     read = id_and_text(docs, id_col, text_col)
     kind = read.schema["id"].dataType.simpleString()
 
-    def row(chunk: int, ids: list[pa.Array], texts: list[str | None]) -> pa.RecordBatch:
-        aligner = aligner_of(bytes_path, pieces_path)
-        x = aligner.batch(texts)
-        counts = np.zeros((4, len(texts)), np.int64)
-        sha = [""] * len(texts)
-        rows, groups = x["rows"], np.diff(x["groups"], prepend=0)
-        counts[0, rows], counts[1, rows], counts[2, rows] = np.diff(x["ends_a"], prepend=0), np.diff(x["ends_b"], prepend=0), groups
-        for k, raw in zip(rows.tolist(), aligner.written_groups(x), strict=True):
-            sha[k] = hashlib.sha256(raw).hexdigest()
-        pair, text, times = aligner.links(x)
-        if len(rows):
-            np.add.at(counts[3], rows[text], times)
-        start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
-        held = np.diff(np.r_[start, len(pair)])
-        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        own = [pa.array([chunk]), one(pa.concat_arrays(ids)), *(one(pa.array(c)) for c in counts), one(pa.array(sha))]
-        own += [one(pa.array(pair[start])), one(pa.array(held)), one(pa.array(rows[text].astype(np.int32))), one(pa.array(times))]
-        return pa.RecordBatch.from_arrays(own, names=["chunk", "ids", *_COUNTS, "groups_sha256", "pairs", "held", "docs", "times"])
+    class Chunk:
+        """Aligns texts a slice at a time and keeps what a chunk's row has."""
+
+        def __init__(self):
+            self.aligner = aligner_of(bytes_path, pieces_path)
+            self.ids, self.counts, self.sha, self.links, self.size, self.held = [], [], [], [], 0, 0
+
+        def add(self, ids: pa.Array, texts: list[str | None]) -> None:
+            x = self.aligner.batch(texts)
+            counts, sha, rows = np.zeros((4, len(texts)), np.int64), [""] * len(texts), x["rows"]
+            counts[0, rows], counts[1, rows], counts[2, rows] = (np.diff(x[k], prepend=0) for k in ("ends_a", "ends_b", "groups"))
+            for k, raw in zip(rows.tolist(), self.aligner.written_groups(x), strict=True):
+                sha[k] = hashlib.sha256(raw).hexdigest()
+            pair, text, times = self.aligner.links(x)
+            if len(rows):
+                np.add.at(counts[3], rows[text], times)
+                self.links.append((pair, (rows[text] + self.held).astype(np.int32), times))
+            self.ids.append(ids)
+            self.counts.append(counts)
+            self.sha += sha
+            self.held += len(texts)
+            self.size += sum(len(t) for t in texts if t)
+
+        def row(self, chunk: int) -> pa.RecordBatch:
+            pair, doc, times = (np.concatenate(c) for c in zip(*self.links, strict=True)) if self.links else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+            by = np.argsort(pair, kind="stable")
+            pair, doc, times = pair[by], doc[by], times[by]
+            start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
+            held = np.diff(np.r_[start, len(pair)])
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            own = [pa.array([chunk]), one(pa.concat_arrays(self.ids)), *(one(pa.array(c)) for c in np.concatenate(self.counts, axis=1)), one(pa.array(self.sha))]
+            own += [one(pa.array(c)) for c in (pair[start], held, doc, times)]
+            return pa.RecordBatch.from_arrays(own, names=["chunk", "ids", *_COUNTS, "groups_sha256", "pairs", "held", "docs", "times"])
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, size, ids, texts = TaskContext.get().partitionId() << 32, 0, [], []
+        chunk, now = TaskContext.get().partitionId() << 32, None
         for batch in found:
-            begin, own = 0, batch.column(1).to_pylist()
-            for k, text in enumerate(own):
+            begin, size, texts = 0, 0, batch.column(1).to_pylist()
+            for k, text in enumerate(texts):
                 size += len(text) if text else 0
-                if size >= CHUNK_BYTES:
-                    yield row(chunk, [*ids, batch.column(0).slice(begin, k + 1 - begin)], texts + own[begin : k + 1])
-                    chunk, size, ids, texts, begin = chunk + 1, 0, [], [], k + 1
-            if begin < len(own):
-                ids.append(batch.column(0).slice(begin))
-                texts += own[begin:]
-        if texts:
-            yield row(chunk, ids, texts)
+                if size >= SLICE_CHARS or k == len(texts) - 1:
+                    now = now or Chunk()
+                    now.add(batch.column(0).slice(begin, k + 1 - begin), texts[begin : k + 1])
+                    begin, size = k + 1, 0
+                    if now.size >= CHUNK_CHARS:
+                        yield now.row(chunk)
+                        chunk, now = chunk + 1, None
+        if now:
+            yield now.row(chunk)
 
     small_batches(docs.sparkSession)
     arrays = [f"{c} array<long>" for c in _COUNTS]
