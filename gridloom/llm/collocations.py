@@ -26,8 +26,10 @@ from gridloom.llm.quotient import Layout
 MIN_COUNT = 100
 LONGEST = 5
 TOP = 2000
-#: Bytes of text in a chunk, about.
-CHUNK_BYTES = 16 << 20
+#: Bytes of text in a chunk, about; of those numbered at once; words whose n-grams are counted at once.
+CHUNK_BYTES, SLICE_BYTES, SLICE_WORDS = 32 << 20, 1 << 20, 1 << 20
+#: Bytes of a block's filters that are merged at once.
+MERGE_BYTES = 16 << 20
 #: n-grams in a block, about, while a chunk's filter of a block is not too small for that.
 BLOCK_GRAMS, MOST_BLOCK_BITS = 1 << 20, 17
 #: Bits of a bitmap for each frequent n-gram, and in all.
@@ -55,6 +57,28 @@ def numbered(texts: list[bytes], numbers: _Numbers) -> np.ndarray:
     return np.maximum(ids[ids > 0] - 2, -1)
 
 
+class _Numbered:
+    """Texts of one language as numbers of their words, a slice at a time."""
+
+    def __init__(self):
+        self.numbers, self.done, self.texts, self.size = _Numbers(), [], [], 0
+
+    def add(self, text: bytes) -> None:
+        self.texts.append(text)
+        self.size += len(text)
+        if self.size >= SLICE_BYTES:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self.texts:
+            self.done += [squeezed(numbered(self.texts, self.numbers)).astype("<i4"), np.array([-1], "<i4")]
+            self.texts, self.size = [], 0
+
+    def whole(self) -> tuple[np.ndarray, list[bytes]]:
+        self._flush()
+        return np.concatenate(self.done), list(self.numbers)[2:]
+
+
 def squeezed(ids: np.ndarray) -> np.ndarray:
     """One -1 for each run of them."""
     return ids[(ids >= 0) | np.r_[True, ids[:-1] >= 0]]
@@ -63,14 +87,12 @@ def squeezed(ids: np.ndarray) -> np.ndarray:
 def chunked(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(chunk, lang, stream, words, counts): numbers of a chunk's words, little-endian, its words and how often each comes."""
 
-    def rows(chunk: int, held: dict[str, list[bytes]]) -> pa.RecordBatch:
+    def rows(chunk: int, held: dict[str, _Numbered]) -> pa.RecordBatch:
         out: list[list] = [[], [], [], [], []]
-        for lang, texts in held.items():
-            numbers = _Numbers()
-            ids = numbered(texts, numbers)
-            words = list(numbers)[2:]
+        for lang, own in held.items():
+            ids, words = own.whole()
             counts = np.bincount(ids[ids >= 0], minlength=len(words))
-            for column, value in zip(out, (chunk, lang, squeezed(ids).astype("<i4").tobytes(), words, counts), strict=True):
+            for column, value in zip(out, (chunk, lang, ids.tobytes(), words, counts), strict=True):
                 column.append(value)
         types = (pa.int64(), pa.string(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["chunk", "lang", "stream", "words", "counts"])
@@ -79,7 +101,9 @@ def chunked(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         chunk, size, held = TaskContext.get().partitionId() << 32, 0, {}
         for batch in found:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(lang, []).append(text)
+                if lang not in held:
+                    held[lang] = _Numbered()
+                held[lang].add(text)
                 size += len(text)
                 if size >= CHUNK_BYTES:
                     yield rows(chunk, held)
@@ -109,7 +133,9 @@ def frequent_words(chunks: DataFrame, least: int) -> DataFrame:
 def renumbered(chunks: DataFrame, words: DataFrame) -> DataFrame:
     """(ids): each chunk's stream in the corpus's numbers; -1 for other words and between pieces."""
     own = chunks.select("chunk", "lang", F.posexplode("words").alias("k", "word"))
-    ids = own.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk", "lang").agg(F.collect_list(F.struct("k", "id")).alias("ids"))
+    # Words without a number stay in the join and are left out of the lists, which a task makes of its own rows first.
+    known = F.when(F.col("id").isNotNull(), F.struct("k", "id"))
+    ids = own.join(words.select("lang", "word", "id"), ["lang", "word"], "left").groupBy("chunk", "lang").agg(F.collect_list(known).alias("ids"))
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -172,23 +198,27 @@ def counted(streams: DataFrame, layout: Layout, least: int, shorter: tuple[Layou
     def build(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             for raw, wide in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), "<i8" if wide.as_py() else "<i4").astype(np.int64)
-                if before:
-                    bits = (len(sieve.value) * 64 - 1).bit_length()
-                    at = windows(ids, before.n)
-                    places = _bit_places(before.pack([ids[at + k] for k in range(before.n)]), bits)
-                    may = np.zeros(len(ids) + 1, bool)
-                    may[at] = sieve.value[places >> 6] >> (places & 63).astype(np.uint64) & np.uint64(1) > 0
-                    at = np.flatnonzero(may[:-1] & may[1:])
-                else:
-                    at = windows(ids, n)
-                parts, counts = layout.summed(layout.pack([ids[at + k] for k in range(n)]))
-                if not len(counts):
-                    continue
-                block = layout.block(parts)
-                start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]).tolist()
-                out = [layout.encode([p[a:b] for p in parts], counts[a:b]) for a, b in zip(start, [*start[1:], len(block)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(block[start]), pa.array(out, pa.binary())], names=["block", "filter"])
+                ids = np.frombuffer(raw.as_buffer(), "<i8" if wide.as_py() else "<i4")
+                for at in range(0, len(ids), SLICE_WORDS):
+                    # A slice has the words after it that its last n-grams need.
+                    yield from filters_of(ids[at : at + SLICE_WORDS + n - 1].astype(np.int64))
+
+    def filters_of(ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if before:
+            bits = (len(sieve.value) * 64 - 1).bit_length()
+            at = windows(ids, before.n)
+            places = _bit_places(before.pack([ids[at + k] for k in range(before.n)]), bits)
+            may = np.zeros(len(ids) + 1, bool)
+            may[at] = sieve.value[places >> 6] >> (places & 63).astype(np.uint64) & np.uint64(1) > 0
+            at = np.flatnonzero(may[:-1] & may[1:])
+        else:
+            at = windows(ids, n)
+        parts, counts = layout.summed(layout.pack([ids[at + k] for k in range(n)]))
+        if len(counts):
+            block = layout.block(parts)
+            start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]).tolist()
+            out = [layout.encode([p[a:b] for p in parts], counts[a:b]) for a, b in zip(start, [*start[1:], len(block)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(block[start]), pa.array(out, pa.binary())], names=["block", "filter"])
 
     def kept(filters: list[bytes], block: int) -> pa.RecordBatch:
         parts, counts = layout.merge(filters, block)
@@ -207,7 +237,7 @@ def counted(streams: DataFrame, layout: Layout, least: int, shorter: tuple[Layou
                 now = block
                 held.append(raw)
                 size += len(raw)
-                if size >= CHUNK_BYTES and len(held) > 1:
+                if size >= MERGE_BYTES and len(held) > 1:
                     held = [layout.encode(*layout.merge(held, now))]
                     size = len(held[0]) // 2  # what is merged weighs less, so that it is not merged at each step
         if held:

@@ -61,7 +61,8 @@ def drawn(seed, n, langs=("a", "b", None, "und")):
 @pytest.mark.parametrize("least, longest, top", [(3, 5, 2000), (20, 3, 7), (2, 2, 50), (5, 6, None)])
 def test_against_brute_force(spark, monkeypatch, least, longest, top):
     monkeypatch.setattr(collocations, "CHUNK_BYTES", 3000)
-    monkeypatch.setattr(collocations, "BLOCK_GRAMS", 500)
+    for name, value in (("BLOCK_GRAMS", 500), ("SLICE_BYTES", 700), ("SLICE_WORDS", 90), ("MERGE_BYTES", 2000)):
+        monkeypatch.setattr(collocations, name, value)
     rows = [*drawn(1, 150), (None, "a"), ("", "b"), ("  \t ", "only blanks"), ("x " * 5000, "long"), ("one two " * 40, "rep")]
     got = collocations.collocations(frame(spark, rows), least=least, longest=longest, top=top)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
