@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators import boosting as bo
 from gridloom.operators import models as md
 from gridloom.plans.registry import query
 from gridloom.session import delete, shared_dir
@@ -123,6 +124,27 @@ def boosted_quality(spark: SparkSession, sf: str) -> DataFrame:
     return model.transform(rows).select("doc_id", "quality", F.col("prediction").cast("int").alias("predicted"))
 
 
+def _text_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight statistics of each labelled document's text."""
+    t, n = F.col("text"), F.greatest(F.char_length("text"), F.lit(1))
+    words = F.split(F.trim("text"), r"\s+")
+    share = lambda pattern: F.regexp_count(t, F.lit(pattern)) / n
+    docs = table(spark, sf, "documents").select(
+        "doc_id", n.cast("double").alias("chars"), F.size(words).cast("double").alias("words"), (n / F.size(words)).alias("word_chars"), share("[#$%&*|<>]").alias("signs"), share("[0-9]").alias("digits"),
+        share("[A-Z]").alias("capitals"), share("\n").alias("lines"), (F.size(F.array_distinct(words)) / F.size(words)).alias("distinct"),
+    )
+    return docs.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query()
+def boosted_trees_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """The quality of labelled documents by trees on eight statistics of their texts, fitted on those whose id five does not divide."""
+    rows = _text_features(spark, sf)
+    fit = bo.boost(rows.where("doc_id % 5 <> 0"), [c for c in rows.columns if c not in ("doc_id", "quality")], "quality", rounds=5, depth=4)
+    chance = F.round(fit.probability(), 6)
+    return rows.select("doc_id", (F.col("doc_id") % 5 == 0).alias("held_out"), "quality", chance.alias("probability"), (chance >= 0.5).cast("int").alias("predicted"))
+
+
 @query()
 def hidden_layer_quality(spark: SparkSession, sf: str) -> DataFrame:
     model, rows = md.hidden_layer(_features(spark, sf), ["a", "b"], "quality", 4)

@@ -17,6 +17,10 @@ def session(master: str = "local[*]", partitions: int | None = None, **conf: str
     return builder.getOrCreate()
 
 
+#: The temporary folder of each application with a local master and no shared one.
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the cluster's shared checkpoint folder.
 
@@ -27,8 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", base)
+        application = spark.sparkContext.applicationId
+        if application not in _local:
+            _local[application] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        base = _local[application]
     return f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
 
 
