@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from gridloom.session import delete, keep, stored
+
 DAMPING = 0.85
 
 
@@ -42,20 +44,27 @@ def pagerank(
 ) -> tuple[DataFrame, int, float]:
     """((id, x), iterations, last norm): iterates until the change is within the tolerance.
 
-    With ``steps`` it makes so many iterations. Each one checkpoints its small
-    vector to reliable storage, so plans and recomputation stay bounded.
+    With ``steps`` it makes so many iterations. Each one is a job that writes its
+    small vector to the shared folder, from which the norm comes back, so plans
+    and recomputation stay bounded; the last one stays until
+    ``session.clean_up``. Edges are shuffled by the join of each step, in which
+    Spark may split a node with very many of them.
     """
-    n = nodes.count()
+    spark, n = edges.sparkSession, nodes.count()
     scaled, z = prepared(edges, nodes, n, p)
     scaled = scaled.persist()
-    state = z.select("id", "z", F.lit(1.0 / max(n, 1)).alias("x")).checkpoint()
+    state, path = stored(z.select("id", "z", F.lit(1.0 / max(n, 1)).alias("x")))
     norm, done = float("inf"), 0
     while done < (max_steps if steps is None else steps) and n:
-        state = pagerank_step(scaled, state).checkpoint()
+        seen = Observation()
+        old = path
+        ahead = pagerank_step(scaled, state)
+        state, path = stored(ahead.observe(seen, F.sum((F.col("x") - F.col("old")) ** 2).alias("moved")).drop("old"))
+        delete(spark, old)
         done += 1
-        if steps is None:
-            norm = state.agg(F.sqrt(F.sum((F.col("x") - F.col("old")) ** 2))).first()[0]
-        if norm <= tolerance:
+        norm = (seen.get["moved"] or 0.0) ** 0.5
+        if steps is None and norm <= tolerance:
             break
     scaled.unpersist()
+    keep(path)
     return state.select("id", "x"), done, norm

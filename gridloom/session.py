@@ -47,6 +47,11 @@ def kept_dir(spark: SparkSession) -> str:
     return _kept[-1]
 
 
+def keep(path: str) -> None:
+    """Leaves a folder that a lazy result still reads to ``clean_up``."""
+    _kept.append(path)
+
+
 def clean_up(spark: SparkSession) -> None:
     """Deletes the folders of ``kept_dir``, once their results are needed no more."""
     while _kept:
