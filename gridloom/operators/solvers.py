@@ -92,14 +92,17 @@ def matrix_product(matrix: DataFrame) -> Product:
 
 
 def implicit_step(
-    grid: DataFrame, alpha: float, dxs: float, tolerance: float = 1e-6, newtons: int = 50, cgs: int = 200, eps: float = 1e-8
+    grid: DataFrame, alpha: float, dxs: float, tolerance: float = 1e-6, newtons: int = 50, cgs: int = 200, eps: float = 1e-8, inner: float = 1e-4
 ) -> tuple[DataFrame, int, int]:
     """(i, j, v): the grid after one implicit reaction-diffusion step, with the Newton and the inner steps taken.
 
     v solves residual(v) = 0 with the values of ``grid(i, j, v)`` as the old
     ones and zeros beyond it. Each Newton step solves for the change by
     conjugate gradients, whose product with the Jacobian is the difference
-    quotient of the residual. Raises NotConverged as they do.
+    quotient of the residual. They work on the residual divided by its norm, so
+    that the quotient's step has one size, and end at ``inner`` of it; Newton
+    ends where the norm itself is below ``tolerance``. Raises NotConverged as
+    they do.
     """
     spark = grid.sparkSession
     state, path = stored(grid.select("i", "j", "v", F.col("v").alias("old")))
@@ -108,23 +111,24 @@ def implicit_step(
     def quotient(rows: DataFrame) -> DataFrame:
         moved = rows.withColumns({"at": F.col("v"), "v": F.col("v") + eps * F.col("r")})
         there = gd.residual_of(gd.neighbours(moved), "old", alpha, dxs)
-        return there.withColumns({"w": (F.col("residual") - F.col("b")) / eps, "v": F.col("at")}).drop("at", "residual", *gd.SIDES)
+        return there.withColumns({"w": (F.col("residual") - F.col("f")) / eps, "v": F.col("at")}).drop("at", "residual", *gd.SIDES)
 
     for k in range(newtons + 1):
-        right = gd.residual_of(gd.neighbours(state), "old", alpha, dxs).select("i", "j", "v", "old", F.col("residual").alias("b"))
+        right = gd.residual_of(gd.neighbours(state), "old", alpha, dxs).select("i", "j", "v", "old", F.col("residual").alias("f"))
         seen = Observation()
-        kept, place = stored(right.observe(seen, F.sum(F.col("b") * F.col("b")).alias("bb")))
+        kept, place = stored(right.observe(seen, F.sum(F.col("f") * F.col("f")).alias("ff")))
         delete(spark, path)
         state, path = kept, place
-        if math.sqrt(seen.get["bb"] or 0.0) < tolerance:
+        norm = math.sqrt(seen.get["ff"] or 0.0)
+        if norm < tolerance:
             out = kept_dir(spark)
             state.select("i", "j", "v").write.parquet(out)
             delete(spark, path)
             return spark.read.schema(grid.select("i", "j", "v").schema).parquet(out), k, total
         if k == newtons:
             break
-        solved, steps, _ = conjugate_gradient(state, quotient, tolerance, cgs)
+        solved, steps, _ = conjugate_gradient(state.withColumn("b", F.col("f") / norm), quotient, inner, cgs)
         total += steps
-        state = solved.select("i", "j", (F.col("v") - F.col("x")).alias("v"), "old")
+        state = solved.select("i", "j", (F.col("v") - norm * F.col("x")).alias("v"), "old")
     delete(spark, path)
     raise NotConverged(f"Newton: {newtons} steps")

@@ -337,24 +337,24 @@ _OVER = "WINDOW a AS (PARTITION BY j ORDER BY i), b AS (PARTITION BY i ORDER BY
 
 @query(
     f"WITH RECURSIVE g AS (SELECT i, j, v / 10000 AS o FROM {_GRID}), t AS (SELECT 0 AS k, i, j, o, 0.0::DOUBLE AS v FROM g UNION ALL"
-    f" SELECT k + 1, i, j, o, (o + {_AROUND}) / 8 FROM t WHERE k < 60 {_OVER}) SELECT i, j, round(v, 6) AS x FROM t WHERE k = 60"
+    f" SELECT k + 1, i, j, o, (o + {_AROUND}) / 8 FROM t WHERE k < 60 {_OVER}) SELECT i, j, round(v, 5) AS x FROM t WHERE k = 60"
 )
 def cg_grid(spark: SparkSession, sf: str) -> DataFrame:
     """8 x less its neighbours is the customers' balance, solved by conjugate gradients over the table."""
     system = _grid(spark, sf).select("i", "j", (F.col("v") / 10000).alias("b"))
-    solved, _, _ = sv.conjugate_gradient(system, sv.stencil_product(8.0), tolerance=1e-9)
-    return solved.select("i", "j", F.round("x", 6).alias("x"))
+    solved, _, _ = sv.conjugate_gradient(system, sv.stencil_product(8.0), tolerance=1e-11)
+    return solved.select("i", "j", F.round("x", 5).alias("x"))
 
 
 @query(
     f"WITH RECURSIVE g AS (SELECT i, j, 0.1 * abs(v) / 10000 AS o FROM {_GRID}), t AS (SELECT 0 AS k, i, j, o, o AS v FROM g UNION ALL"
-    f" SELECT k + 1, i, j, o, ({_AROUND} + 4 * o + 0.1 * v * (1 - v)) / 8 FROM t WHERE k < 60 {_OVER}) SELECT i, j, round(v, 6) AS v FROM t WHERE k = 60"
+    f" SELECT k + 1, i, j, o, ({_AROUND} + 4 * o + 0.1 * v * (1 - v)) / 8 FROM t WHERE k < 60 {_OVER}) SELECT i, j, round(v, 4) AS v FROM t WHERE k = 60"
 )
 def newton_grid(spark: SparkSession, sf: str) -> DataFrame:
     """One implicit reaction-diffusion step of the customers' grid, by Newton and conjugate gradients over the table."""
     start = _grid(spark, sf).select("i", "j", (0.1 * F.abs("v") / 10000).alias("v"))
-    found, _, _ = sv.implicit_step(start, 4.0, 0.1, tolerance=1e-7)
-    return found.select("i", "j", F.round("v", 6).alias("v"))
+    found, _, _ = sv.implicit_step(start, 4.0, 0.1, tolerance=1e-9)
+    return found.select("i", "j", F.round("v", 4).alias("v"))
 
 
 @query(
