@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.aggregates import moments
 from gridloom.operators.blocks import in_key_order
-from gridloom.session import delete, stored
+from gridloom.session import delete, shared_dir, stored
 
 
 def fit_polynomial(df: DataFrame, x: Column, y: Column, degree: int, ridge: float = 0.0) -> list[float]:
@@ -348,15 +348,23 @@ def boosted(trees: list[Stump], x: Column) -> Column:
 
 
 def logistic(df: DataFrame, features: Sequence[str], label: str, c: float = 1.0, tolerance: float = 1e-4, most: int = 2000):
-    """Ridge-penalised logistic regression: penalty 1 / (c n), features as they are."""
-    from pyspark.ml.classification import LogisticRegression
+    """Ridge-penalised logistic regression: penalty 1 / (c n), features as they are.
+
+    The model comes back written and read: as it was fitted it holds a summary
+    with the session, which can't be sent to tasks once the session has job tags.
+    """
+    from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
     from pyspark.ml.feature import VectorAssembler
 
     rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
     fit = LogisticRegression(
         labelCol=label, regParam=1.0 / (c * max(1, df.count())), elasticNetParam=0.0, standardization=False, tol=tolerance, maxIter=most
     )
-    return fit.fit(rows), rows
+    path = shared_dir(df.sparkSession)
+    fit.fit(rows).save(path)
+    model = LogisticRegressionModel.load(path)
+    delete(df.sparkSession, path)
+    return model, rows
 
 
 def boosted_classifier(df: DataFrame, features: Sequence[str], label: str, depth: int = 6, rate: float = 0.75, rounds: int = 20):

@@ -395,6 +395,17 @@ def test_aligned_wants_the_same_keys(spark):
             rw.aligned(a, other, "id")
 
 
+def test_logistic_model_goes_to_tasks_of_a_session_with_tags(spark):
+    own = spark.newSession()
+    own.addTag("watched")  # from now on the session can't be sent to a task
+    df = own.createDataFrame([(k, k / 10, k % 3 / 3, int(k > 50)) for k in range(100)], "id long, a double, b double, label int")
+    model, rows = md.logistic(df, ["a", "b"], "label", c=100.0)
+    line = lambda r: model.intercept + model.coefficients[0] * r.a + model.coefficients[1] * r.b
+    found = model.transform(rows).collect()
+    assert len(found) == 100 and all(r.prediction == (line(r) > 0) for r in found)
+    assert sum(r.prediction == r.label for r in found) > 95
+
+
 @pytest.mark.parametrize("kind", ["linear", "logistic", "softmax"])
 def test_hidden_layer_with_momentum_against_a_loop(spark, kind):
     rng = np.random.default_rng(3)
