@@ -20,14 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import discard, durable, small_batches
+from gridloom.llm.common import WIDE_ROWS, discard, durable, small_batches
 from gridloom.llm.quotient import Layout
 
 MIN_COUNT = 100
 LONGEST = 5
 TOP = 2000
 #: Bytes of text in a chunk, about; of those numbered at once; words whose n-grams are counted at once.
-CHUNK_BYTES, SLICE_BYTES, SLICE_WORDS = 32 << 20, 1 << 20, 1 << 20
+CHUNK_BYTES, SLICE_BYTES, SLICE_WORDS = 8 << 20, 1 << 20, 1 << 20
 #: Bytes of a block's filters that are merged at once.
 MERGE_BYTES = 16 << 20
 #: n-grams in a block, about, while a chunk's filter of a block is not too small for that.
@@ -196,12 +196,21 @@ def counted(streams: DataFrame, layout: Layout, least: int, shorter: tuple[Layou
     before = shorter[0] if shorter else None
 
     def build(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0  # short streams are counted together
         for batch in found:
             for raw, wide in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), "<i8" if wide.as_py() else "<i4")
-                for at in range(0, len(ids), SLICE_WORDS):
-                    # A slice has the words after it that its last n-grams need.
-                    yield from filters_of(ids[at : at + SLICE_WORDS + n - 1].astype(np.int64))
+                held += [np.frombuffer(raw.as_buffer(), "<i8" if wide.as_py() else "<i4").astype(np.int64), np.array([-1])]
+                size += len(held[-2]) + 1
+                if size >= SLICE_WORDS + n:
+                    ids = np.concatenate(held)
+                    at = range(0, size - SLICE_WORDS - n + 2, SLICE_WORDS)
+                    for k in at:
+                        # A slice has the words after it that its last n-grams need.
+                        yield from filters_of(ids[k : k + SLICE_WORDS + n - 1])
+                    held = [ids[at[-1] + SLICE_WORDS :].copy()]
+                    size = len(held[0])
+        if held:
+            yield from filters_of(np.concatenate(held))
 
     def filters_of(ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         if before:
@@ -279,9 +288,9 @@ def collocations(
     often enough, gives no row. Columns other than the two are ignored, whatever
     their names. Counts are exact: products are decimals of 38 digits.
     """
-    chunks = durable(chunked(docs, text_col, lang_col))
+    chunks = durable(chunked(docs, text_col, lang_col), **WIDE_ROWS)
     words = frequent_words(chunks, least)
-    streams = durable(renumbered(chunks, words))
+    streams = durable(renumbered(chunks, words), **WIDE_ROWS)
     size = chunks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n"))
     sizes = durable(size.groupBy("lang").agg(F.sum("n").alias("n")))
     discard(chunks)

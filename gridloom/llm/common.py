@@ -39,15 +39,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _written: dict[int, tuple[DataFrame, str]] = {}
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back.
+#: For ``durable`` where a row has megabytes: Parquet ends a page by its size after any row, not after a hundred at least.
+WIDE_ROWS = {"parquet.page.size.row.check.min": "1"}
+
+
+def durable(df: DataFrame, **options: str) -> DataFrame:
+    """``df`` written to the shared folder, with ``options`` of the writer, and read back.
 
     It cuts the lineage; the files outlive any executor. ``discard`` or
     ``clean_up`` deletes them once nothing reads them any more.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _written[id(out)] = (out, path)
     return out

@@ -5,8 +5,10 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import collocations
+from gridloom.llm.common import WIDE_ROWS, discard, durable
 from gridloom.llm.queries import oracle_sql, queries
 from gridloom.llm.quotient import Layout
 
@@ -85,6 +87,27 @@ def test_products_beyond_64_bits(spark):
     assert score == 1000 * (big // 3) * big // ((big // 2) * (big // 2 + 1))
 
 
+def test_rows_of_chunks_are_bounded(spark):
+    """However large a task's input is, a row that passes between Spark and Python has some MB at most."""
+    text = " ".join(map(str, range(100_000)))
+    docs = spark.range(0, 40, 1, 1).select(F.concat(F.lit(text), F.col("id").cast("string")).alias("text"), F.lit("x").alias("lang"))
+    rows = collocations.chunked(docs, "text", "lang").selectExpr("length(stream) as stream", "size(words) as words").collect()
+    assert sum(r.stream for r in rows) > 40 * 4 * 100_000
+    assert max(r.stream for r in rows) < 8 << 20
+
+
+def test_pages_of_wide_rows_are_bounded(spark):
+    rows = spark.range(0, 20, 1, 1).selectExpr("repeat(uuid(), 1 << 16) as stream")
+    kept = durable(rows, **WIDE_ROWS)
+    path = spark._jvm.org.apache.hadoop.fs.Path(kept.inputFiles()[0])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    reader = spark._jvm.org.apache.parquet.hadoop.ParquetFileReader.open(spark._jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, conf))
+    pages = reader.readOffsetIndex(reader.getFooter().getBlocks().get(0).getColumns().get(0)).getPageCount()
+    reader.close()
+    discard(kept)
+    assert pages >= 10
+
+
 def test_nothing_frequent(spark):
     assert collocations.collocations(frame(spark, [("a b c", "x")])).count() == 0
     assert collocations.collocations(frame(spark, [])).count() == 0
