@@ -9,7 +9,8 @@ lists (their ranks) give each group's ranges.
 
 How many documents hold a pair of ids linked is counted over the corpus. Texts
 are aligned once, in chunks; a chunk keeps its distinct pairs and, for each, the
-documents that hold it, and the pairs' counts return to the chunks by a join.
+documents that hold it, and the pairs' counts return to the chunks by a join. A
+worker remembers the stretches between blanks that it has aligned lately.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 from pathlib import Path
 
 import numpy as np
@@ -38,7 +40,9 @@ CHUNK_CHARS, SLICE_CHARS = 8 << 20, 1 << 19
 #: Driving ends between two that are sought from the text's beginning.
 STRIDE = 16
 #: Stretches of texts whose byte-level ids a worker remembers at most, and the longest of them.
-CACHED_UNITS, CACHED_CHARS = 200_000, 64
+UNITS, UNIT_CHARS = 200_000, 64
+#: Characters of the stretches that a worker remembers as aligned, about.
+CACHED_CHARS = 4 << 20
 #: Groups with more pairs than this are counted by their distinct ids.
 WIDE_GROUP = 256
 #: How the byte-level vocabulary's pre-tokenizer cuts a text: a fixed value.
@@ -47,6 +51,13 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 _foreign = re.compile("[^\0-ɏ]").search
 
 
+def _sizes(spelling: dict[int, bytes]) -> np.ndarray:
+    """How many bytes each id has."""
+    out = np.zeros(1 + max(spelling), np.int64)
+    out[list(spelling)] = [len(s) for s in spelling.values()]
+    return out
+
+
 class BytePieces:
     """Ids of texts under a byte-level BPE, special tokens taken as plain text."""
 
@@ -65,7 +76,8 @@ class BytePieces:
         vocab = model["model"]["vocab"]
         made = [vocab[a + b] for a, b in merges]
         plain = model["pre_tokenizer"].get("type") == "ByteLevel" and not model["pre_tokenizer"]["add_prefix_space"] and not model["normalizer"]
-        self.known = Memory(CACHED_UNITS)
+        self.sizes = _sizes(self.spelling)
+        self.known = Memory(UNITS)
         # Where merges rank as their results' ids do, ranks alone give the same ids, faster.
         self.quick = None
         if plain and made == sorted(made) and len(made) + 256 == len(self.spelling):
@@ -74,6 +86,28 @@ class BytePieces:
     def _quick(self, text: str) -> bytes:
         return np.array(self.quick.encode_ordinary(text), dtype="<u4").tobytes()
 
+    def cuttable(self, text: str) -> bool:
+        """Whether the ids of a text are those of its stretches between blanks, each with a blank before it."""
+        return not (self.quick is None or "  " in text or text[0] == " " or text[-1] == " " or not text.isascii() and _foreign(text))
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Little-endian ids of stretches of cuttable texts, encoded as one text of them; they are not remembered."""
+        if any(w[0].isspace() or w[-1].isspace() for w in words):
+            inner = [w for w in words if not (w[0].isspace() or w[-1].isspace())]
+            known = dict(zip(inner, self.encode_words(inner), strict=True))
+            return [known[w] if w in known else self._quick(" " + w) for w in words]
+        if not words:
+            return []
+        text = " " + " ".join(words)
+        ids = np.array(self.quick.encode_ordinary(text), dtype="<u4")
+        size = np.fromiter(map(len, text.encode("utf-8", "surrogatepass")[1:].split(b" ")), np.int64, len(words)) + 1
+        ends, stop = np.cumsum(self.sizes[ids]), np.cumsum(size)
+        last = np.searchsorted(ends, stop)
+        if last[-1] >= len(ends) or (ends[last] != stop).any():
+            return [self._quick(" " + w) for w in words]
+        raw = ids.tobytes()
+        return [raw[s:e] for s, e in zip([0, *(last[:-1] * 4 + 4).tolist()], (last * 4 + 4).tolist(), strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text with a blank put before it.
 
@@ -94,11 +128,11 @@ class BytePieces:
             out[k] = np.array(e.ids, dtype="<u4").tobytes()
         new = self.known.missing(set().union(*cut.values()))
         known = self.known.young
-        known.update((u, self._quick(" " + u)) for u in new)
+        known.update(zip(new, self.encode_words(new), strict=True))
         for k, units in cut.items():
             out[k] = b"".join(map(known.__getitem__, units))
         for u in new:
-            if len(u) > CACHED_CHARS:
+            if len(u) > UNIT_CHARS:
                 del known[u]
         return out
 
@@ -109,6 +143,10 @@ class SentencePieces:
     def __init__(self, path: str):
         self.coder = PieceCoder(path)
         self.spelling = dict(enumerate(self.coder.spelling))
+        self.sizes = _sizes(self.spelling)
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        return self.coder.encode_words(words)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, without those of its begin and end."""
@@ -180,16 +218,39 @@ def common_ends(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.nda
     return x, found[x]
 
 
+class Numbers(dict):
+    """Numbers keys from 0, as they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+class Grown:
+    """Whole numbers that are added to."""
+
+    def __init__(self):
+        self.held, self.size = np.empty(1024, np.int64), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.held):
+            held = np.empty(max(2 * len(self.held), self.size + len(values)), np.int64)
+            held[: self.size] = self.whole()
+            self.held = held
+        self.held[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+    def whole(self) -> np.ndarray:
+        return self.held[: self.size]
+
+
 class Aligner:
     """Both tokenizers, and the groups of batches of texts."""
 
     def __init__(self, bytes_path: str, pieces_path: str):
         self.sides = BytePieces(bytes_path), SentencePieces(pieces_path)
-        self.sizes = []
-        for side in self.sides:
-            size = np.zeros(1 + max(side.spelling), np.int64)
-            size[list(side.spelling)] = [len(s) for s in side.spelling.values()]
-            self.sizes.append(size)
+        self.sizes = [side.sizes for side in self.sides]
+        self.forget()
         n = max(map(len, self.sizes))
         # An id with what follows it in a text's groups: another token, its group's second list, the next group.
         self.written = [b"%d%s" % (i, mark) for mark in (b",", b"|", b";") for i in range(n)]
@@ -203,28 +264,110 @@ class Aligner:
         ``groups``: where each text's groups stop.
         """
         rows = [k for k, t in enumerate(texts) if t]
-        read = [texts[k] for k in rows]
-        ids = [[np.frombuffer(x, "<u4") for x in side.encode(read)] for side in self.sides]
-        kept = []
-        for k, (t, x, y) in enumerate(zip(read, *ids, strict=True)):
+        ids = self._whole([texts[k] for k in rows])
+        kept = [k for k, x in enumerate(ids[0]) if x]
+        return {"rows": np.array(rows, np.int64)[kept]} | self._grouped([[side[k] for k in kept] for side in ids])
+
+    def _whole(self, read: list[str]) -> list[list[bytes]]:
+        """Both sides' ids of each text; none where a side's bytes are not the text's."""
+        ids = [side.encode(read) for side in self.sides]
+        for k, (t, *own) in enumerate(zip(read, *ids, strict=True)):
             whole = b" " + t.encode("utf-8", "surrogatepass")
-            if all(b"".join(map(side.spelling.__getitem__, z.tolist())) == whole for side, z in zip(self.sides, (x, y), strict=True)):
-                kept.append(k)
-        flat = [np.concatenate([np.zeros(0, "<u4"), *(side[k] for k in kept)]).astype(np.int64) for side in ids]
-        stops = [np.cumsum([len(side[k]) for k in kept], dtype=np.int64) for side in ids]
+            if any(b"".join(map(side.spelling.__getitem__, np.frombuffer(z, "<u4").tolist())) != whole for side, z in zip(self.sides, own, strict=True)):
+                ids[0][k] = ids[1][k] = b""
+        return ids
+
+    def _words(self, words: list[str]) -> list[list[bytes]]:
+        """As ``_whole`` for stretches of cuttable texts."""
+        ids = [side.encode_words(words) for side in self.sides]
+        spelt = (" " + " ".join(words)).encode("utf-8", "surrogatepass")
+        size = np.fromiter(map(len, spelt[1:].split(b" ")), np.int64, len(words)) + 1
+        good = np.ones(len(words), bool)
+        for side, own in zip(self.sides, ids, strict=True):
+            flat = np.frombuffer(b"".join(own), "<u4")
+            ends = np.cumsum(side.sizes[flat])
+            stop = np.cumsum([len(x) // 4 for x in own])
+            if not len(flat) or b"".join(map(side.spelling.__getitem__, flat.tolist())) != spelt or (ends[stop - 1] != np.cumsum(size)).any():
+                one = lambda x, side=side: b"".join(map(side.spelling.__getitem__, np.frombuffer(x, "<u4").tolist()))
+                good &= [one(x) == b" " + w.encode("utf-8", "surrogatepass") for x, w in zip(own, words, strict=True)]
+        return ids if good.all() else [[x if g else b"" for x, g in zip(side, good.tolist(), strict=True)] for side in ids]
+
+    def _grouped(self, ids: list[list[bytes]]) -> dict[str, np.ndarray]:
+        """The arrays of ``batch`` but ``rows``, from the ids of texts on both sides."""
+        flat = [np.frombuffer(b"".join(side), "<u4").astype(np.int64) for side in ids]
+        stops = [np.cumsum([len(x) // 4 for x in side], dtype=np.int64) for side in ids]
         # The texts of a batch lie one after another, so the byte offsets grow over all of them.
         ends = [np.cumsum(size[x]) for size, x in zip(self.sizes, flat, strict=True)]
         last_a, last_b = common_ends(*ends, *stops)
-        return {
-            "rows": np.array(rows, np.int64)[kept],
-            "a": flat[0],
-            "b": flat[1],
-            "ends_a": stops[0],
-            "ends_b": stops[1],
-            "last_a": last_a,
-            "last_b": last_b,
-            "groups": np.searchsorted(last_a, stops[0]),
-        }
+        return {"a": flat[0], "b": flat[1], "ends_a": stops[0], "ends_b": stops[1], "last_a": last_a, "last_b": last_b, "groups": np.searchsorted(last_a, stops[0])}
+
+    def forget(self) -> None:
+        """Drops all stretches that are remembered."""
+        self.known, self.chars = Numbers(), 0
+        self.said: list[bytes] = []
+        # Of each stretch: tokens on both sides, groups, links, and where its pairs begin.
+        self.numbers = [Grown() for _ in range(5)]
+        self.pair, self.times = Grown(), Grown()
+
+    def summed(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, counts, digests, links) of the texts that have tokens.
+
+        ``rows`` are their places, ``counts`` their tokens on both sides, groups
+        and links, ``links`` as for ``links``, with places in ``rows`` as texts.
+        Both tokenizers begin a token at a blank without another one beside it,
+        so a group ends before it, and a text's groups are those of its stretches
+        between such blanks. A stretch is aligned when a worker first meets it
+        and remembered with its groups and pairs; any other text is one stretch.
+        """
+        if self.chars > CACHED_CHARS:
+            self.forget()
+        rows, cut, met = [k for k, t in enumerate(texts) if t], self.sides[0].cuttable, len(self.known)
+        parts = [t.split(" ") if cut(t) else [t] for t in map(texts.__getitem__, rows)]
+        sizes = np.array(list(map(len, parts)), np.int64)
+        places = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, sizes.sum())
+        if len(self.known) > met:
+            self._learn(list(islice(reversed(self.known), len(self.known) - met))[::-1])
+        n_a, _, _, _, first = (x.whole() for x in self.numbers)
+        good = np.bincount(np.repeat(np.arange(len(rows)), sizes)[(n_a == 0)[places]], minlength=len(rows)) == 0
+        places, sizes = places[np.repeat(good, sizes)], sizes[good]
+        stops = np.cumsum(sizes)
+        begin = stops - sizes
+        counts = np.array([np.add.reduceat(x.whole()[places], begin) if len(begin) else np.zeros(0, np.int64) for x in self.numbers[:4]])
+        said = list(map(self.said.__getitem__, places.tolist()))
+        digests = [hashlib.sha256(b";".join(said[s:e])).hexdigest() for s, e in zip(begin.tolist(), stops.tolist(), strict=True)]
+        # The pairs of each text's distinct stretches, summed.
+        own, often = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(n_a) + places, return_counts=True)
+        text, place = np.divmod(own, max(1, len(n_a)))
+        many = np.diff(np.r_[first, self.pair.size])[place]
+        take = spread(first[place], many)
+        names, pair = np.unique(self.pair.whole()[take], return_inverse=True)
+        key, times = pair * max(1, len(sizes)) + np.repeat(text, many), self.times.whole()[take] * np.repeat(often, many)
+        by = np.argsort(key)
+        key, times = key[by], times[by]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        pair, text = np.divmod(key[start], max(1, len(sizes)))
+        return np.array(rows, np.int64)[good], counts, digests, (names[pair], text, np.add.reduceat(times, start) if len(start) else times)
+
+    def _learn(self, new: list[str]) -> None:
+        """Aligns stretches that are new, in the order of their numbers."""
+        cut = self.sides[0].cuttable
+        words, whole = [u for u in new if " " not in u and cut(u)], [u for u in new if " " in u or not cut(u)]
+        ids = self._words(words) if words else [[], []]
+        if whole:
+            own = [dict(zip([*words, *whole], side + more, strict=True)) for side, more in zip(ids, self._whole(whole), strict=True)]
+            ids = [list(map(side.__getitem__, new)) for side in own]
+        x = self._grouped(ids)
+        pair, unit, times = self.links(x)
+        by = np.argsort(unit, kind="stable")
+        many = np.bincount(unit, minlength=len(new))
+        links = np.zeros(len(new), np.int64)
+        np.add.at(links, unit, times)
+        for column, values in zip(self.numbers, (*(np.diff(x[k], prepend=0) for k in ("ends_a", "ends_b", "groups")), links, self.pair.size + np.cumsum(many) - many), strict=True):
+            column.add(values)
+        self.pair.add(pair[by])
+        self.times.add(times[by])
+        self.said += self.written_groups(x)
+        self.chars += sum(map(len, new))
 
     def written_groups(self, x: dict[str, np.ndarray]) -> list[bytes]:
         """The groups of each text as ``a1,a2|b1;a3|b2,b3``."""
@@ -308,14 +451,12 @@ def chunks_of(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str, t
             self.ids, self.counts, self.sha, self.links, self.size, self.held = [], [], [], [], 0, 0
 
         def add(self, ids: pa.Array, texts: list[str | None]) -> None:
-            x = self.aligner.batch(texts)
-            counts, sha, rows = np.zeros((4, len(texts)), np.int64), [""] * len(texts), x["rows"]
-            counts[0, rows], counts[1, rows], counts[2, rows] = (np.diff(x[k], prepend=0) for k in ("ends_a", "ends_b", "groups"))
-            for k, raw in zip(rows.tolist(), self.aligner.written_groups(x), strict=True):
-                sha[k] = hashlib.sha256(raw).hexdigest()
-            pair, text, times = self.aligner.links(x)
+            rows, own, digests, (pair, text, times) = self.aligner.summed(texts)
+            counts, sha = np.zeros((4, len(texts)), np.int64), [""] * len(texts)
+            counts[:, rows] = own
+            for k, digest in zip(rows.tolist(), digests, strict=True):
+                sha[k] = digest
             if len(rows):
-                np.add.at(counts[3], rows[text], times)
                 self.links.append((pair, (rows[text] + self.held).astype(np.int32), times))
             self.ids.append(ids)
             self.counts.append(counts)

@@ -107,6 +107,14 @@ class PieceCoder:
         blocks = (blanks - 33) // 16
         return [BLANK * 16] * blocks + [BLANK * (blanks - 16 * blocks) + word]
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of texts without a blank or begin and end ids, little-endian; they are not remembered."""
+        plain = [w for w in words if w and "\n" not in w and BLANK not in w]
+        known = dict(zip(plain, self._encode_units([BLANK + w for w in plain]), strict=True)) if plain else {}
+        rest = [w for w in words if w not in known]
+        known.update(zip(rest, (x[4:-4] for x in self.encode_batch(rest)), strict=True) if rest else ())
+        return list(map(known.__getitem__, words))
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, begin and end ids included."""
         split = [self.units(t) if t else [] for t in texts]

@@ -152,6 +152,30 @@ def test_long_text_in_bounded_time():
     assert times.sum() == (na * nb).sum() and len(pair) < 1000
 
 
+def test_stretches_are_aligned_once_and_texts_are_sums_of_them(libraries, monkeypatch):
+    aligner = alignment.Aligner(A, B)
+    rng = random.Random(5)
+    words = ["the", "naïve", "don't", "x.y", "a\nb", "\tq", "end\n", "1234", "Äpfel", "supercalifragilistic"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(300)] + TEXTS
+    work = []
+    monkeypatch.setattr(alignment, "common_ends", lambda a, b, *rest, f=alignment.common_ends: (work.append(len(a)), f(a, b, *rest))[1])
+    for most in (1 << 22, 0):
+        monkeypatch.setattr(alignment, "CACHED_CHARS", most)
+        for some in (texts[:150], texts[150:], texts[:150]):
+            rows, counts, digests, links = aligner.summed(some)
+            x = aligner.batch(some)
+            assert rows.tolist() == x["rows"].tolist()
+            assert [c.tolist() for c in counts[:3]] == [np.diff(x[k], prepend=0).tolist() for k in ("ends_a", "ends_b", "groups")]
+            assert digests == [hashlib.sha256(g).hexdigest() for g in aligner.written_groups(x)]
+            assert all((u == v).all() for u, v in zip(links, aligner.links(x), strict=True))
+            assert counts[3].tolist() == np.bincount(x["rows"].searchsorted(x["rows"][links[1]]), weights=links[2], minlength=len(rows)).astype(int).tolist()
+    work.clear()
+    monkeypatch.setattr(alignment, "CACHED_CHARS", 1 << 22)
+    aligner.summed(["the cat sat on " * 500 + "it"] * 20)
+    aligner.summed(["it sat on the cat " * 500 + "it"] * 20)
+    assert sum(work) < 20
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.alignment_counts(df, A, B).count() == 0
