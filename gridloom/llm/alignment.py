@@ -41,8 +41,8 @@ CHUNK_CHARS, SLICE_CHARS = 8 << 20, 1 << 19
 STRIDE = 16
 #: Stretches of texts whose byte-level ids a worker remembers at most, and the longest of them.
 UNITS, UNIT_CHARS = 200_000, 64
-#: Characters of the stretches that a worker remembers as aligned, about.
-CACHED_CHARS = 4 << 20
+#: Characters, and pairs, of the stretches that a worker remembers as aligned, about.
+CACHED_CHARS = 2 << 20
 #: Groups with more pairs than this are counted by their distinct ids.
 WIDE_GROUP = 256
 #: How the byte-level vocabulary's pre-tokenizer cuts a text: a fixed value.
@@ -319,7 +319,7 @@ class Aligner:
         between such blanks. A stretch is aligned when a worker first meets it
         and remembered with its groups and pairs; any other text is one stretch.
         """
-        if self.chars > CACHED_CHARS:
+        if max(self.chars, self.pair.size) > CACHED_CHARS:
             self.forget()
         rows, cut, met = [k for k, t in enumerate(texts) if t], self.sides[0].cuttable, len(self.known)
         parts = [t.split(" ") if cut(t) else [t] for t in map(texts.__getitem__, rows)]
