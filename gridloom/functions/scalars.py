@@ -181,6 +181,11 @@ def multiplies_over(a: Column, b: Column) -> Column:
     return F.try_multiply(a, b).isNull()
 
 
+def no_long(x: Column) -> Column:
+    """Whether an exact decimal, as of products and sums of longs, is null or beyond the longs."""
+    return x.try_cast("long").isNull()
+
+
 def uniform(key: Column, salt: str = "") -> Column:
     """A number in [0, 1) from a digest of the key: the same in any engine."""
     digits = F.substring(F.md5(F.concat(key.cast("string"), F.lit(salt)).cast("binary")), 1, 8)

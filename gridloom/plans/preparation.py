@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,10 +96,11 @@ def kronecker_rows(spark: SparkSession, sf: str) -> DataFrame:
     " TRY_CAST(p_size::HUGEINT * 300000000000000000 AS BIGINT) IS NULL AS multiplies_over FROM part"
 )
 def overflow_flags(spark: SparkSession, sf: str) -> DataFrame:
-    big = F.col("p_partkey") * F.lit(1_000_000_000_000_000)
+    # The product may pass 64 bits before the sum is taken: 19 and 16 digits, and one more, always fit a decimal.
+    big = F.col("p_partkey").cast("decimal(19,0)") * F.lit(Decimal(10**15))
     return table(spark, sf, "part").select(
         "p_partkey",
-        sc.adds_over(big, F.lit(9223372036854775000)).alias("adds_over"),
+        sc.no_long(big + F.lit(Decimal(9223372036854775000))).alias("adds_over"),
         sc.multiplies_over(F.col("p_size").cast("long"), F.lit(300_000_000_000_000_000)).alias("multiplies_over"),
     )
 
