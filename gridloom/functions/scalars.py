@@ -181,6 +181,31 @@ def multiplies_over(a: Column, b: Column) -> Column:
     return F.try_multiply(a, b).isNull()
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as floating point has it: a zero divisor gives an infinite value or NaN, by both signs; null for nulls alone."""
+    # pow(b, -1) is infinite with the sign of a zero b.
+    a, b = a.cast("double"), b.cast("double")
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+
+
+def logarithm(x: Column) -> Column:
+    """The natural logarithm, -inf at zero and NaN below, where Spark's is null."""
+    return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.log(x))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """x times a power of ten to the next whole number, halves away from zero, and back: SQL's round of a double.
+
+    Spark's own rounds the shortest decimal of x, so 8.0046875, which times 10^6 lies below the half, goes up.
+    """
+    m = F.lit(float(10**digits))
+    t = x * m
+    whole = F.rint(t)
+    # The difference to a whole number is exact, and so is half a step from a half.
+    whole = F.when(F.abs(t - whole) == 0.5, t + F.signum(t) * 0.5).otherwise(whole) / m
+    return F.when(F.abs(whole) < float("inf"), whole).otherwise(x)
+
+
 def no_long(x: Column) -> Column:
     """Whether an exact decimal, as of products and sums of longs, is null or beyond the longs."""
     return x.try_cast("long").isNull()

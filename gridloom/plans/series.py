@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.scalars import rounded
 from gridloom.operators import models as md
 from gridloom.operators import intervals as iv
 from gridloom.operators import sequences as sq
@@ -46,7 +47,7 @@ _LAG = "(SELECT event_id, user_id, value, lag(value) OVER (PARTITION BY user_id
 )
 def returns(spark: SparkSession, sf: str) -> DataFrame:
     out = sq.returns(_by_user(spark, sf), "user_id", ["ts", "event_id"], "value")
-    return out.select("event_id", "lag1", *[F.round(k, 6).alias(k) for k in ("simple", "absolute", "log")])
+    return out.select("event_id", "lag1", *[rounded(F.col(k), 6).alias(k) for k in ("simple", "absolute", "log")])
 
 
 @query(f"SELECT round(1 - sum((r - 0.1) ** 2) / sum(r * r), 8) AS r2 FROM (SELECT value / lag1 - 1 AS r FROM {_LAG} WHERE lag1 IS NOT NULL)")

@@ -4,6 +4,10 @@ import math
 
 import duckdb
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from gridloom.functions import scalars as sc
 from gridloom.plans import catalog
 
 
@@ -31,3 +35,30 @@ def test_overflow_flags_where_the_product_passes_64_bits(spark, tmp_path):
     rows = [(k, size) for k, size in zip(keys, [1, 30, 31, 50, -31, None, *range(7)], strict=True)]
     want = same_as_sql(spark, tmp_path, "overflow_flags", part=spark.createDataFrame(rows, "p_partkey long, p_size int"))
     assert {r["adds_over"] for r in want} == {True, False}
+
+
+def priced(spark, paths):
+    """Events of users whose values follow ``paths``."""
+    rows = [(u, v) for u, path in enumerate(paths) for v in path]
+    made = spark.createDataFrame([(k, u, v) for k, (u, v) in enumerate(rows)], "event_id long, user_id long, value double")
+    return made.selectExpr("*", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, event_id div 2) AS ts")
+
+
+#: Zeros of both signs before and after other values, a null, values below zero and beyond all.
+ODD = [(0.0, 0.0, 5.0, 0.0, 2.0), (-0.0, 3.0, -0.0, -3.0, 0.0, -0.0), (1.0, None, 0.0, None), (4.0, -2.0, -2.0, 1.0), (math.inf, 1.0, math.inf, math.inf), (math.nan, 2.0, math.nan, 0.0)]
+
+
+def test_returns_of_zeros(spark, tmp_path):
+    """Nor is 57.63 / 6.4 - 1 a half at six digits."""
+    want = same_as_sql(spark, tmp_path, "returns", events=priced(spark, [*ODD, (6.4, 57.63)]))
+    assert {str(r["log"]) for r in want} >= {"inf", "-inf", "nan", "None"}
+
+
+def test_rounded_as_sql(spark):
+    rng = np.random.default_rng(0)
+    x = np.r_[rng.normal(size=2000), (rng.integers(-(10**6), 10**6, 4000) + 0.5) / 1e4, 57.63 / 6.4 - 1, 1e305, 2**52 + 0.5, 0.49999999999999994, -0.0, math.inf, -math.inf, math.nan]
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").select("x", *[sc.rounded(F.col("x"), n).alias(f"y{n}") for n in (2, 4, 6)])
+    with duckdb.connect() as con:
+        for r in df.collect():
+            for n in (2, 4, 6):
+                assert repr(r[f"y{n}"] + 0.0) == repr(con.execute(f"SELECT round(?::DOUBLE, {n})", [r.x]).fetchone()[0] + 0.0), (r, n)
