@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.scalars import quotient
+
 
 def dot(x: Column, y: Column) -> Column:
     return F.sum(x * y)
@@ -99,7 +101,8 @@ def regression_metrics(y: Column, p: Column, eps: float = 0.0) -> dict[str, Colu
 
 
 def uncentred_r2(y: Column, p: Column) -> Column:
-    return 1 - F.try_divide(F.sum((y - p) ** 2), F.sum(y * y))
+    """Where all y are zero it is -inf, or NaN if p has no error either."""
+    return 1 - quotient(F.sum((y - p) ** 2), F.sum(y * y))
 
 
 def compared(x: Column, reference: Column, tolerance: float) -> dict[str, Column]:

@@ -55,7 +55,7 @@ def uncentered_return_r2(spark: SparkSession, sf: str) -> DataFrame:
     from gridloom.operators.aggregates import uncentred_r2
 
     out = sq.returns(_by_user(spark, sf), "user_id", ["ts", "event_id"], "value")
-    return out.agg(F.round(uncentred_r2(F.col("simple"), F.lit(0.1)), 8).alias("r2"))
+    return out.agg(rounded(uncentred_r2(F.col("simple"), F.lit(0.1)), 8).alias("r2"))
 
 
 @query(

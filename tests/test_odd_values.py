@@ -5,6 +5,7 @@ import math
 import duckdb
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as sc
@@ -54,6 +55,12 @@ def test_returns_of_zeros(spark, tmp_path):
     assert {str(r["log"]) for r in want} >= {"inf", "-inf", "nan", "None"}
 
 
+@pytest.mark.parametrize("paths", [ODD, [(2.0, 2.0, 2.0)], [(0.0, 1.0), (1.0, 2.0, 2.5)], [(1.0,)], [(1.0, 1.1, 1.3), (1.0, None, 7.0, 2.0)]])
+def test_uncentred_r2_of_zeros(spark, tmp_path, paths):
+    """Returns that are infinite, all zero, none, or plain."""
+    same_as_sql(spark, tmp_path, "uncentered_return_r2", events=priced(spark, paths))
+
+
 def test_rounded_as_sql(spark):
     rng = np.random.default_rng(0)
     x = np.r_[rng.normal(size=2000), (rng.integers(-(10**6), 10**6, 4000) + 0.5) / 1e4, 57.63 / 6.4 - 1, 1e305, 2**52 + 0.5, 0.49999999999999994, -0.0, math.inf, -math.inf, math.nan]
