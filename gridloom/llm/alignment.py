@@ -30,13 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import discard, durable, id_and_text, mapped, small_batches
+from gridloom.llm.common import WIDE_ROWS, discard, durable, id_and_text, mapped, small_batches
 from gridloom.llm.merges import Memory
 from gridloom.llm.packing import byte_letters, spread
 from gridloom.llm.pieces import PieceCoder
 
 #: Characters of text in a chunk, about, and of those that are aligned at once.
-CHUNK_CHARS, SLICE_CHARS = 8 << 20, 1 << 19
+CHUNK_CHARS, SLICE_CHARS = 2 << 20, 1 << 19
+#: Chunks in a row group of Parquet: its reader holds a whole group at once, and its writer what it has not yet written.
+GROUP_CHUNKS = 2
 #: Driving ends between two that are sought from the text's beginning.
 STRIDE = 16
 #: Stretches of texts whose byte-level ids a worker remembers at most, and the longest of them.
@@ -517,27 +519,41 @@ def alignment_counts(docs: DataFrame, bytes_path: str, pieces_path: str, id_col:
     other columns are ignored, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    chunks = durable(chunks_of(docs, bytes_path, pieces_path, id_col, text_col))
+    chunks = durable(chunks_of(docs, bytes_path, pieces_path, id_col, text_col), **WIDE_ROWS | {"parquet.block.row.count.limit": str(GROUP_CHUNKS)})
     counts = durable(pair_counts(chunks))
-    own = chunks.select("chunk", F.posexplode("pairs").alias("k", "pair"))
-    back = own.join(counts, "pair").groupBy("chunk").agg(F.collect_list(F.struct("k", "count", "best")).alias("counts"))
+    # A chunk's own row, then its pairs' counts in order, so that no side of it is gathered before it is needed.
+    own = chunks.select("chunk", F.posexplode("pairs").alias("k", "pair")).join(counts, "pair").select("chunk", "k", "count", "best")
+    body = F.struct("ids", *_COUNTS, "groups_sha256", "held", "docs", "times").alias("body")
+    whole = chunks.select("chunk", body).unionByName(own, allowMissingColumns=True)
+    whole = whole.repartition("chunk").sortWithinPartitions("chunk", F.col("k").asc_nulls_first()).drop("chunk", "k")
+
+    def row(body: pa.StructScalar, counts: list[pa.Array], best: list[pa.Array]) -> pa.RecordBatch:
+        at = {c: body[c].values for c in body}
+        held, docs_of, times = (at[c].to_numpy() for c in ("held", "docs", "times"))
+        size = len(at["ids"])
+        n_best, count_sum = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for out, of in ((count_sum, counts), (n_best, best)):
+            if of:
+                np.add.at(out, docs_of, times * np.repeat(np.concatenate([x.to_numpy(zero_copy_only=False) for x in of]), held))
+        columns = [at["ids"], *(at[c] for c in _COUNTS), pa.array(n_best), pa.array(count_sum), at["groups_sha256"]]
+        return pa.RecordBatch.from_arrays(columns, names=["id", *_COUNTS, "n_best", "count_sum", "groups_sha256"])
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple[pa.StructScalar, list[pa.Array], list[pa.Array]] | None = None
         for batch in found:
-            for r in range(len(batch)):
-                at = {c: batch.column(c)[r].values for c in batch.schema.names}
-                held, docs_of, times = (at[c].to_numpy() for c in ("held", "docs", "times"))
-                size = len(at["ids"])
-                n_best, count_sum = np.zeros(size, np.int64), np.zeros(size, np.int64)
-                if at["counts"] is not None and len(held):
-                    k, count, best = (at["counts"].field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                    by = np.argsort(k)
-                    np.add.at(count_sum, docs_of, times * np.repeat(count[by], held))
-                    np.add.at(n_best, docs_of, times * np.repeat(best[by], held))
-                columns = [at["ids"], *(at[c] for c in _COUNTS), pa.array(n_best), pa.array(count_sum), at["groups_sha256"]]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", *_COUNTS, "n_best", "count_sum", "groups_sha256"])
-
-    whole = chunks.drop("pairs").join(back, "chunk", "left").drop("chunk")
+            body, count, best = (batch.column(c) for c in ("body", "count", "best"))
+            heads = np.flatnonzero(body.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for head, end in zip([-1, *heads], [*heads, len(batch)], strict=True):
+                if head >= 0:
+                    if now:
+                        yield row(*now)
+                    now = body[head], [], []
+                if now and end > head + 1:
+                    now[1].append(count.slice(head + 1, end - head - 1))
+                    now[2].append(best.slice(head + 1, end - head - 1))
+        if now:
+            yield row(*now)
+
     longs = ", ".join(f"{c} long" for c in (*_COUNTS, "n_best", "count_sum"))
     found = whole.mapInArrow(batches, f"id {kind}, {longs}, groups_sha256 string")
     return found

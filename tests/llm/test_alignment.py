@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -185,3 +186,18 @@ def test_query_on_given_table(spark, sf_dir, libraries):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = [tuple(r) for r in queries()["op12_token_alignment"](spark, sf_dir).collect()]
     assert ordered(got) == ordered(brute(libraries, docs))
+
+
+def test_a_row_group_has_few_chunks(spark, monkeypatch):
+    """A reader of Parquet holds a row group at once, so a task's many chunks are not one group."""
+    written = []
+    durable = alignment.durable
+    monkeypatch.setattr(alignment, "durable", lambda df, **options: (written.append(durable(df, **options)), written[-1])[1])
+    monkeypatch.setattr(alignment, "CHUNK_CHARS", 200)
+    monkeypatch.setattr(alignment, "SLICE_CHARS", 100)
+    rows = [(k, f"The cat number {k} sat on mat {k % 7}, and it was happy there.") for k in range(60)]
+    found = alignment.alignment_counts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), A, B)
+    assert found.count() == 60
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in written[0].inputFiles()]
+    sizes = [m.row_group(k).num_rows for m in groups for k in range(m.num_row_groups)]
+    assert sum(sizes) > 10 and max(sizes) <= alignment.GROUP_CHUNKS
