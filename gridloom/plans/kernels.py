@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.scalars import rounded
 from gridloom.operators import distances as ds
 from gridloom.operators import graph as gr
 from gridloom.operators import grid as gd
@@ -403,7 +404,7 @@ _EACH = "list_sum(list_transform(list_zip(q.e, b.e), lambda z: {}))"
 def _distances(spark: SparkSession, sf: str, f) -> DataFrame:
     rows = table(spark, sf, "embeddings")
     out = f(rows, rows.where("vec_id % 50 = 0"))
-    return out.select("q", "id", F.round("distance", 4).alias("distance"))
+    return out.select("q", "id", rounded(F.col("distance"), 4).alias("distance"))
 
 
 @query(_PAIRS.format(_EACH.format("abs(z[1] - z[2])")))
@@ -430,4 +431,4 @@ def signed_queries(spark: SparkSession, sf: str) -> DataFrame:
 def outer_sum(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "supplier")
     out = ds.outer_sum(rows, rows.where("s_suppkey % 50 = 0"), "s_suppkey", "s_acctbal", "distance")
-    return out.select("q", "id", F.round("distance", 4).alias("distance"))
+    return out.select("q", "id", rounded(F.col("distance"), 4).alias("distance"))

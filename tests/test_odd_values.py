@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as sc
+from gridloom.operators import distances as ds
 from gridloom.plans import catalog
 
 
@@ -69,3 +70,33 @@ def test_rounded_as_sql(spark):
         for r in df.collect():
             for n in (2, 4, 6):
                 assert repr(r[f"y{n}"] + 0.0) == repr(con.execute(f"SELECT round(?::DOUBLE, {n})", [r.x]).fetchone()[0] + 0.0), (r, n)
+
+
+@pytest.mark.parametrize("name", ["l1_queries", "l2sq_queries", "signed_queries"])
+def test_distances_of_odd_vectors(spark, tmp_path, name):
+    """Nulls for vectors and in them, none in common, other lengths, no places, NaN, and keys that are null or negative."""
+    vectors = [[1.0, 2.5, -3.0], None, [], [4.0], [None, 1.0, 7.0], [5.0, None, None, 2.0], [math.nan, 1.0, 1.0], [1e-9, -0.0, 0.00005], [None, None, None], [0.1, 0.2, 0.3]]
+    keys = [0, 50, -50, 100, 150, 7, 200, 250, 300, None]
+    df = spark.createDataFrame(list(zip(keys, vectors, strict=True)), "vec_id long, embedding array<float>")
+    want = same_as_sql(spark, tmp_path, name, embeddings=df)
+    assert len(want) == 80 and any(r["distance"] is None for r in want)
+
+
+def test_outer_sum_of_odd_values(spark, tmp_path):
+    rows = [(0, 1.005), (50, None), (-50, -1.005), (3, math.inf), (100, -math.inf), (None, 2.0), (150, 0.00005)]
+    same_as_sql(spark, tmp_path, "outer_sum", supplier=spark.createDataFrame(rows, "s_suppkey long, s_acctbal double"))
+
+
+def test_pairs_are_dealt_to_tasks(spark, monkeypatch):
+    """One file's rows are one task's no more; blocks of both sides meet once."""
+    monkeypatch.setattr(ds, "TASK_PAIRS", 2000)
+    monkeypatch.setattr(ds, "TASK_QUERIES", 40)
+    monkeypatch.setattr(ds, "ROW_BLOCK", 16)
+    monkeypatch.setattr(ds, "QUERY_BLOCK", 8)
+    df = spark.range(200).coalesce(1).selectExpr("id AS k", "array(double(id), 1.0D) AS x", "double(id) AS v")
+    want = {(q, i) for q in range(0, 200, 2) for i in range(200)}
+    for out, of in ((ds.to_queries(df, df.where("k % 2 = 0"), "k", "x", ds.l1), lambda q, i: abs(q - i)), (ds.outer_sum(df, df.where("k % 2 = 0"), "k", "v", "distance"), lambda q, i: q + i)):
+        rows = out.withColumn("task", F.spark_partition_id()).collect()
+        assert {(r.q, r.id) for r in rows} == want and len(rows) == len(want)
+        assert all(r.distance == of(r.q, r.id) for r in rows)
+        assert len({r.task for r in rows}) > 5
