@@ -171,6 +171,12 @@ def csr_parts(a: DataFrame, columns: int = PART) -> DataFrame:
 
 # -- the product on stored chunks
 
+
+def _stretch(column: str, size: int) -> Column:
+    """The number of the stretch of ``size`` whole numbers that a long lies in, also below zero."""
+    return F.expr(f"({column} - pmod({column}, {size})) div {size}")
+
+
 _CHUNK = "chunk long, block long, part int, width int, columns array<int>, values array<double>"
 
 
@@ -184,52 +190,79 @@ def sell(a: DataFrame, rows: DataFrame, c: int = 8, sigma: int = 1, block: int =
     lane k % c; a column is counted in its block, and -1 fills up a lane.
     """
     lanes = block_sorted(lengths(a, rows), sigma).select("i", "position")
-    cells = a.join(lanes, "i").select(
-        F.expr(f"position div {c}").alias("chunk"), F.expr(f"int(position % {c})").alias("lane"), F.expr(f"j div {block}").alias("block"), F.expr(f"int(j % {block})").alias("column"), F.col("v").cast("double").alias("v")
-    )
-    # A lane has at most ``block`` cells of a block, so this window is bounded.
-    place = F.row_number().over(Window.partitionBy("chunk", "lane", "block").orderBy("column")) - 1
-    cells = cells.withColumn("place", place).withColumn("part", F.expr(f"int(place div {width})"))
-    packed = cells.groupBy("chunk", "block", "part").agg(F.collect_list(F.struct("lane", (F.col("place") % width).cast("int").alias("place"), "column", "v")).alias("cells"))
+    cells = a.join(lanes, "i").where("v IS NOT NULL AND j IS NOT NULL").select("position", "j", F.col("v").cast("double").alias("v"))
+
+    def packed(position: np.ndarray, j: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        (chunk, lane), (of, column) = np.divmod(position, c), np.divmod(j, block)
+        by = np.lexsort((column, lane, of, chunk))
+        chunk, of, lane, column, v = (x[by] for x in (chunk, of, lane, column, v))
+        fresh = np.r_[True, (chunk[1:] != chunk[:-1]) | (of[1:] != of[:-1])]
+        begins = np.flatnonzero(fresh | np.r_[True, lane[1:] != lane[:-1]])
+        part, at = np.divmod(np.arange(len(v)) - np.repeat(begins, np.diff(np.r_[begins, len(v)])), width)
+        parts = int(part.max()) + 1
+        names, own = np.unique((np.cumsum(fresh) - 1) * parts + part, return_inverse=True)
+        wide = np.zeros(len(names), np.int64)
+        np.maximum.at(wide, own, at + 1)
+        begin = np.cumsum(wide * c) - wide * c
+        columns, values = np.full(int((wide * c).sum()), -1, np.int32), np.zeros(int((wide * c).sum()))
+        k = begin[own] + at * c + lane
+        columns[k], values[k] = column, v
+        ends = pa.array(np.r_[begin, len(columns)].astype(np.int32))
+        arrays = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (columns, values)]
+        group, place = np.divmod(names, parts)
+        group = np.flatnonzero(fresh)[group]
+        kept = [chunk[group], of[group], place.astype(np.int32), wide.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, kept), *arrays], names=["chunk", "block", "part", "width", "columns", "values"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packs whole groups; the last of a batch, of ``c * block`` cells at most, waits for the next one."""
+        held = None
         for batch in batches:
-            found = batch.column("cells")
-            n = found.value_lengths().to_numpy(zero_copy_only=False)
-            lane, at, column, v = (found.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            start = np.cumsum(n) - n
-            wide = np.maximum.reduceat(at, start) + 1 if len(n) else n
-            begin = np.cumsum(wide * c) - wide * c
-            columns, values = np.full(int((wide * c).sum()), -1, np.int32), np.zeros(int((wide * c).sum()))
-            k = np.repeat(begin, n) + at * c + lane
-            columns[k], values[k] = column, v
-            ends = pa.array(np.r_[begin, len(columns)].astype(np.int32))
-            arrays = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (columns, values)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("chunk", "block", "part")), pa.array(wide.astype(np.int32)), *arrays], names=["chunk", "block", "part", "width", "columns", "values"])
-
-    return packed.mapInArrow(fill, _CHUNK), lanes
+            found = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+            held = found if held is None else [np.concatenate(x) for x in zip(held, found, strict=True)]
+            chunk, of = held[0] // c, held[1] // block
+            last = np.flatnonzero((chunk[1:] != chunk[:-1]) | (of[1:] != of[:-1]))
+            if len(last):
+                end = last[-1] + 1
+                yield packed(*(x[:end] for x in held))
+                held = [x[end:] for x in held]
+        if held is not None and len(held[0]):
+            yield packed(*held)
+
+    # Groups lie together, so none is gathered in memory on its way.
+    group = _stretch("position", c), _stretch("j", block)
+    grouped = cells.repartition(*group).sortWithinPartitions(*group)
+    return grouped.mapInArrow(fill, _CHUNK), lanes
 
 
 def sell_spmv(chunks: DataFrame, lanes: DataFrame, x: DataFrame, c: int = 8, block: int = 4096) -> DataFrame:
     """(i, v) of A x for ``sell``'s chunks and x(j, x); a missing or null x counts as 0, rows without cells have 0.
 
-    x is gathered in blocks of ``block`` values, which meet the chunks of their
-    columns; a chunk's lanes are summed as columns of one array.
+    x is gathered in blocks of ``block`` values, the bytes of an array each, which
+    meet the chunks of their columns; a chunk's lanes are summed as columns of
+    one array.
     """
-    cells = x.where("x IS NOT NULL").groupBy(F.expr(f"j div {block}").alias("block")).agg(F.collect_list(F.struct(F.expr(f"int(j % {block})").alias("at"), F.col("x").cast("double").alias("x"))).alias("xs"))
+    gathered = x.where("x IS NOT NULL AND j IS NOT NULL").groupBy(_stretch("j", block).alias("block")).agg(F.collect_list(F.struct(F.expr(f"int(pmod(j, {block}))").alias("at"), F.col("x").cast("double").alias("x"))).alias("xs"))
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block_of, xs in zip(batch.column("block"), batch.column("xs"), strict=True):
+                # The column -1 is the last place, a zero; its value is zero too.
+                own = np.zeros(block + 1)
+                own[xs.values.field(0).to_numpy()] = xs.values.field(1).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array([block_of.as_py()], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["block", "xs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chunk, sums = batch.column("chunk").to_numpy(), []
             for columns, values, xs in zip(batch.column("columns"), batch.column("values"), batch.column("xs"), strict=True):
-                own, at = np.zeros(block + 1), xs.values.field(0).to_numpy()
-                own[at] = xs.values.field(1).to_numpy()
-                # The column -1 is the last place, a zero; its value is zero too.
+                own = np.frombuffer(xs.as_buffer())
                 sums.append((values.values.to_numpy() * own[columns.values.to_numpy()]).reshape(-1, c).sum(axis=0))
             place = (chunk[:, None] * c + np.arange(c)).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.concatenate(sums) if sums else np.zeros(0))], names=["position", "v"])
 
-    # Few x blocks stay in a batch beside their chunks.
+    cells = gathered.mapInArrow(filled, "block long, xs binary")
+    # A batch ends by its bytes, so few x blocks stay beside their chunks.
     partial = chunks.join(cells, "block").select("chunk", "columns", "values", "xs").mapInArrow(run, "position long, v double")
     total = partial.groupBy("position").agg(F.sum("v").alias("v"))
     return lanes.join(total, "position", "left").select("i", F.coalesce("v", F.lit(0.0)).alias("v"))

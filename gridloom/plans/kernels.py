@@ -16,7 +16,7 @@ from gridloom.operators import sequences as sq
 from gridloom.operators import solvers as sv
 from gridloom.operators import sparse as sp
 from gridloom.plans.registry import query
-from gridloom.session import kept_dir
+from gridloom.session import keep, kept_dir, stored
 from gridloom.sources import bricks as bk
 from gridloom.sources import matrices as mx
 from gridloom.sources.tables import table
@@ -45,7 +45,10 @@ def sell_product(spark: SparkSession, sf: str) -> DataFrame:
     """The product on SELL-8-32 chunks stored as arrays."""
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("i"))
     x = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("j"), F.col("s_acctbal").alias("x"))
-    chunks, lanes = sp.sell(_part_supplier(spark, sf), rows, 8, 32)
+    # The rows' lengths and their cells are both read from it.
+    a, path = stored(_part_supplier(spark, sf))
+    keep(path)
+    chunks, lanes = sp.sell(a, rows, 8, 32)
     return sp.sell_spmv(chunks, lanes, x).select("i", F.round("v", 2).alias("y"))
 
 

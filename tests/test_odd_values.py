@@ -100,3 +100,12 @@ def test_pairs_are_dealt_to_tasks(spark, monkeypatch):
         assert {(r.q, r.id) for r in rows} == want and len(rows) == len(want)
         assert all(r.distance == of(r.q, r.id) for r in rows)
         assert len({r.task for r in rows}) > 5
+
+
+def test_sell_product_of_odd_values(spark, tmp_path):
+    """Null quantities and balances, parts without lines, lines without part or supplier, columns of several blocks and below zero."""
+    rows = [(0, 1, 2.0), (0, 1, None), (0, 2, 3.0), (1, 1, None), (2, 7, 4.0), (3, 3, 5.0), (3, 5000, 6.0), (4, 5000, 1.5), (9, 1, 1.0), (None, 1, 1.0), (5, None, 1.0), (6, -1, 2.0), (6, -4097, 3.0), (6, 4095, 4.0), (6, 1, 8.0)]
+    lineitem = spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_quantity double")
+    supplier = spark.createDataFrame([(1, 10.5), (2, -3.25), (3, None), (5000, 100.0), (-1, 7.0), (-4097, 11.0), (4095, 13.0)], "s_suppkey long, s_acctbal double")
+    want = same_as_sql(spark, tmp_path, "sell_product", lineitem=lineitem, supplier=supplier, part=spark.range(7).withColumnRenamed("id", "p_partkey"))
+    assert len(want) == 7
